@@ -6,8 +6,10 @@ import importlib
 
 #: Query name -> (module, function, name of its SQL or None).
 _QUERIES = {
+    "op1_best_fit_packing": ("packing", "op1", None),
     "op2_ppm_language": ("ppm_langid", "op2", None),
     "op4_host_quality": ("quality_hosts", "op4", "OP4_SQL"),
+    "op8_jaccard_components": ("jaccard_join", "op8", None),
     "op9_token_counts": ("token_counts", "op9", None),
     "op10_cuckoo_dedup": ("exact_dedup", "op10", "OP10_SQL"),
 }
