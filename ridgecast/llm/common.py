@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
+#: Counted rows up to which a narrow table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df (narrow, on disk), to be broadcast if its counted rows allow it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, so that they need no path of the driver's."""
     context = spark.sparkContext

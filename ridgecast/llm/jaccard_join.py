@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, python_workers
+from .common import documents, materialise, python_workers, small
 from .components import components
 
 WORDS = 3
@@ -53,8 +53,6 @@ LEAF_SHINGLES = 2_000_000
 #: Cells of at most this many classes are compared directly.
 CELL = 48
 PIVOTS = 8
-#: Rows that may be broadcast; larger tables are shuffled instead.
-BROADCAST_ROWS = 1_000_000
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -159,11 +157,6 @@ def _sets(words: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class _Region:
     """Shingle sets of one region with local codes, so that a distance is a table look-up for each shingle."""
 
@@ -329,10 +322,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = profiles.select("k1", F.explode("marks").alias("mark"))
     shared = postings.groupBy("mark").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("mark").alias("m2"))
     shared = materialise(shared, "shared-marks")
-    open_ = postings.join(_small(shared), F.col("mark") == F.col("m2"), "left_semi").select(F.col("k1").alias("o1")).distinct()
+    open_ = postings.join(small(shared), F.col("mark") == F.col("m2"), "left_semi").select(F.col("k1").alias("o1")).distinct()
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
     reps = materialise(classes.join(materialise(open_, "open"), F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    wanted = _small(reps.select(F.col("low").alias("doc_id")).distinct())
+    wanted = small(reps.select(F.col("low").alias("doc_id")).distinct())
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, k1 long, k2 long, shingles array<long>")
     own = reps.select("cid", "n", F.col("low").alias("l2"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
     sets = materialise(sets.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("l2"))).select("cid", "n", "shingles"), "sets")

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, held_out, python_workers, text_buffer
 
@@ -39,8 +40,6 @@ SYMBOLS = 64
 BLOCK = 1 << 20
 UNDETERMINED = "und"
 
-OUTPUT = "doc_id long, held_out boolean, lang_pred string, score double"
-
 
 def byte_classes() -> np.ndarray:
     """The class of each byte: letters 1-26, digits 27, white space 28, 0xC3 29, continuation bytes 30-61, other lead bytes 62, the rest 63."""
@@ -182,27 +181,36 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     return build_model({lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in found.groupby("lang")})
 
 
-def predict(df: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, lang_pred, score."""
+def annotate(df: DataFrame, model: PpmModel, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """df with two more columns: the predicted language and its score (they replace columns of these names)."""
     spark = df.sparkSession
     python_workers(spark)
     shared = spark.sparkContext.broadcast(model)
+    own, letters = "__ppm_text", "__ppm_letters"
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*shared.value.languages, UNDETERMINED], pa.string())
         for batch in batches:
-            bits = code_lengths(shared.value, *text_buffer(batch.column("text")))
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
+            bits = code_lengths(shared.value, *text_buffer(batch.column(own)))
+            known = batch.column(letters).to_numpy(zero_copy_only=False)
             if bits.shape[1]:
-                best = np.where(letters, bits.argmin(1), len(names) - 1)
+                best = np.where(known, bits.argmin(1), len(names) - 1)
                 share = 1 / np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000)).sum(1)
             else:
                 best, share = np.full(len(bits), len(names) - 1), np.zeros(len(bits))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), names.take(pa.array(best)), pa.array(np.where(letters, share, 0.0))], names=["doc_id", "held_out", "lang_pred", "score"])
+            kept = [k for k, name in enumerate(batch.schema.names) if name not in (own, letters)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), names.take(pa.array(best)), pa.array(np.where(known, share, 0.0))], names=[*(batch.schema.names[k] for k in kept), lang, score])
 
+    df = df.drop(lang, score)
+    schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"), text.rlike(r"\p{L}").alias("letters"))
-    return rows.mapInArrow(score, OUTPUT)
+    return df.select("*", text.alias(own), text.rlike(r"\p{L}").alias(letters)).mapInArrow(run, schema)
+
+
+def predict(df: DataFrame, model: PpmModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
+    return annotate(rows, model, "__text").drop("__text")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_best_fit_packing": ("packing", "op1", None),
     "op2_ppm_language": ("ppm_langid", "op2", None),
     "op4_host_quality": ("quality_hosts", "op4", "OP4_SQL"),
+    "op5_rake_and_sample": ("mixing", "op5", None),
     "op8_jaccard_components": ("jaccard_join", "op8", None),
     "op9_token_counts": ("token_counts", "op9", None),
     "op10_cuckoo_dedup": ("exact_dedup", "op10", "OP10_SQL"),
