@@ -8,8 +8,11 @@ import importlib
 _QUERIES = {
     "op1_best_fit_packing": ("packing", "op1", None),
     "op2_ppm_language": ("ppm_langid", "op2", None),
+    "op3_toxicity_chain": ("toxicity_chain", "op3", None),
     "op4_host_quality": ("quality_hosts", "op4", "OP4_SQL"),
     "op5_rake_and_sample": ("mixing", "op5", None),
+    "op6_feistel_shards": ("token_output", "op6", None),
+    "op7_warc_derivatives": ("warc", "op7", "OP7_SQL"),
     "op8_jaccard_components": ("jaccard_join", "op8", None),
     "op9_token_counts": ("token_counts", "op9", None),
     "op10_cuckoo_dedup": ("exact_dedup", "op10", "OP10_SQL"),

@@ -30,13 +30,13 @@ from pyspark.sql import functions as F
 from .common import documents, materialise
 
 TRAIN_DOCS = 20_000
-VOCABULARY = 1024
+VOCABULARY = 512
 MIN_DOCS = 4
 FOLDS = 3
 SEVERE_WORDS = 3
 SEVERE_VOCABULARY = 64
-THRESHOLD = 0.5
-REGULARISATION = 1e-3
+THRESHOLD = 0.4
+REGULARISATION = 1e-4
 
 
 def words_of(text: Column) -> Column:
