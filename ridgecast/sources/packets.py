@@ -33,7 +33,7 @@ def packet_sender(raw: Column) -> Column:
 
 def packet_path(raw: Column) -> Column:
     """Path tokens after the destination; none without '>'."""
-    rest = F.split(F.split(packet_header(raw), ">", 2)[1], ",")
+    rest = F.split(F.get(F.split(packet_header(raw), ">", 2), F.lit(1)), ",")
     return F.coalesce(F.slice(rest, F.lit(2), F.greatest(F.size(rest) - 1, F.lit(0))), F.array().cast("array<string>"))
 
 
