@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def _r6(column, name):
-    return F.round(column, 6).alias(name)
+    return (F.round(column, 6) + 0.0).alias(name)  # no negative zeros
 
 
 # Packets -----------------------------------------------------------------------------------------------------------
@@ -295,9 +295,9 @@ def _assessed(v):
     return quality.assess(merged, v("fx_registry"), matches, AS_OF)
 
 
-@query(f"with {_NEAR} select callsign, matched, osm_type, osm_id, round(d, 6) as distance_km, distance_m, case when d <= 0.1 then 'STRONG' when d <= 0.3 then 'GOOD' when d <= 1 then 'NEARBY' when d is not null then 'WEAK' end as strength from matches")
+@query(f"with {_NEAR} select callsign, matched, osm_type, coalesce(osm_id, -1) as osm_id, round(d, 6) as distance_km, coalesce(distance_m, -1) as distance_m, case when d <= 0.1 then 'STRONG' when d <= 0.3 then 'GOOD' when d <= 1 then 'NEARBY' when d is not null then 'WEAK' end as strength from matches")
 def osm_nearest(v):
-    return nearest.nearest_feature(catalog.merge_records(v("fx_stations_raw")), v("fx_osm"), 3.0).withColumn("distance_km", F.round("distance_km", 6))
+    return nearest.nearest_feature(catalog.merge_records(v("fx_stations_raw")), v("fx_osm"), 3.0).withColumns({"distance_km": F.round("distance_km", 6), "osm_id": F.coalesce("osm_id", F.lit(-1).cast("long")), "distance_m": F.coalesce("distance_m", F.lit(-1).cast("long"))})
 
 
 @query(f"with {_NEAR} select count(*) filter (matched) as matched, count(*) as total from matches")
@@ -482,7 +482,7 @@ def on_grid(v):
     return terrain.on_grid(_sites(v).select("site", "r", "c"), v("fx_dem")).select("site", "r", "c", "elev_m")
 
 
-@query(f"with {_SITES} select site, cast(k as int) as radial, k * 30e0 as bearing, round(r - 8 * cos(radians(k * 30e0)), 6) as end_row, round(c + 8 * sin(radians(k * 30e0)), 6) as end_col from sites, (select unnest(range(0, 12)) as k)")
+@query(f"with {_SITES} select site, cast(k as int) as radial, k * 30e0 as bearing, round(r - 8 * cos(radians(k * 30e0)), 6) + 0e0 as end_row, round(c + 8 * sin(radians(k * 30e0)), 6) + 0e0 as end_col from sites, (select unnest(range(0, 12)) as k)")
 def radials(v):
     rows = terrain.radials(_sites(v).select("site", "r", "c"), 12, 8.0)
     return rows.select("site", "radial", "bearing", _r6(F.col("end_row"), "end_row"), _r6(F.col("end_col"), "end_col"))
