@@ -76,6 +76,13 @@ def share_canonical(grids: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(grids, "site")
 
 
+def run_summary(members: DataFrame, grids: DataFrame) -> DataFrame:
+    """total, resolved, computed, shared, skipped calls of a run (members: callsign, canonical, site; grids: site, ...)."""
+    done = members.join(grids.select("site", F.lit(True).alias("done")).distinct(), "site", "left")
+    have, own = F.coalesce("done", F.lit(False)), F.col("callsign") == F.col("canonical")
+    return done.agg(F.count(F.lit(1)).alias("total"), F.count_if(have).alias("resolved"), F.count_if(have & own).alias("computed"), F.count_if(have & ~own).alias("shared"), F.count_if(~have).alias("skipped"))
+
+
 def margin_rgba(kind: Column, margin: Column, floor_db: float, max_db: float, alpha: float = 200.0) -> dict[str, Column]:
     """Colour columns of a station grid."""
     n = F.least(F.greatest((margin - floor_db) / (max_db - floor_db), F.lit(0.0)), F.lit(1.0))

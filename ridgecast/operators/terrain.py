@@ -54,13 +54,13 @@ def mosaic_geometry(tiles: DataFrame, cap: int, bytes_per_cell: int = 4) -> Data
     return size.withColumn("memory_mb", F.col("out_width") * F.col("out_height") * bytes_per_cell / F.lit(1e6))
 
 
-def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, width: int, row: str = "row", col: str = "col", value: str = "elev_m") -> DataFrame:
-    """keys, value at the fractional (row, col) of each point; null where a neighbour is missing."""
+def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, width: int, row: str = "row", col: str = "col", value: str = "elev_m", by: tuple[str, ...] = ()) -> DataFrame:
+    """keys, value at the fractional (row, col) of each point; null where a neighbour is missing. by: keys that tell several grids apart."""
     r0 = F.least(F.greatest(F.floor(row), F.lit(0)), F.lit(max(height - 2, 0))).cast("int")
     c0 = F.least(F.greatest(F.floor(col), F.lit(0)), F.lit(max(width - 2, 0))).cast("int")
     base = points.select(*keys, r0.alias("__r0"), c0.alias("__c0"), (F.col(row) - r0).alias("__fr"), (F.col(col) - c0).alias("__fc"))
     corners = F.array(*[F.struct((F.col("__r0") + i).alias("r"), (F.col("__c0") + j).alias("c"), ((F.col("__fr") if i else 1 - F.col("__fr")) * (F.col("__fc") if j else 1 - F.col("__fc"))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    each = base.select(*keys, F.inline(corners)).join(dem.select("r", "c", F.col(value).alias("__v")), ["r", "c"], "left")
+    each = base.select(*keys, F.inline(corners)).join(dem.select(*by, "r", "c", F.col(value).alias("__v")), [*by, "r", "c"], "left")
     return each.groupBy(*keys).agg(F.when(F.count("__v") == 4, F.sum(F.col("w") * F.col("__v"))).alias(value))
 
 
@@ -138,3 +138,31 @@ def profiles(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radial
     inside = steps.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     keys = ["site", "radial", "k", "dist_m", "row", "col"]
     return fill_forward(bilinear(inside, dem, keys, height, width), sites)
+
+
+def crop(dem: DataFrame, sites: DataFrame, radius_px: int) -> DataFrame:
+    """site, r, c, elev_m of the square around each site (site, r0, c0); whole blocks are matched first, then cells.
+
+    A site explodes the blocks of side radius_px that its square touches (at most nine), so the join is on equal blocks.
+    """
+    side = max(1, radius_px)
+    block = lambda x: F.floor(x / side).cast("int")
+    span = lambda x: F.sequence(block(F.col(x) - radius_px), block(F.col(x) + radius_px))
+    wanted = sites.select("site", "r0", "c0").withColumn("br", F.explode(span("r0"))).withColumn("bc", F.explode(span("c0")))
+    cells = dem.withColumns({"br": block(F.col("r")), "bc": block(F.col("c"))})
+    near = (F.abs(F.col("r") - F.col("r0")) <= radius_px) & (F.abs(F.col("c") - F.col("c0")) <= radius_px)
+    return wanted.join(cells, ["br", "bc"]).filter(near).select("site", "r", "c", "elev_m")
+
+
+def to_reference(cells: DataFrame, origins: DataFrame, cell: float, ref_cell: float) -> DataFrame:
+    """site, r, c, margin_db of site grids on the reference grid, bilinear, inside each site's window only; missing stays absent.
+
+    origins: site, row0, col0 of the site grid's first cell edge in metres from the reference grid's.
+    """
+    box = cells.groupBy("site").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.min("c").alias("c1"), F.max("c").alias("c2")).join(origins, "site")
+    edge = lambda origin, at, shift: F.floor((F.col(origin) + (F.col(at) + shift) * cell) / ref_cell).cast("int")
+    window = box.withColumn("tr", F.explode(F.sequence(edge("row0", "r1", 0), edge("row0", "r2", 1)))).withColumn("tc", F.explode(F.sequence(edge("col0", "c1", 0), edge("col0", "c2", 1))))
+    at = lambda t, origin: ((F.col(t) + 0.5) * ref_cell - F.col(origin)) / cell - 0.5
+    points = window.withColumns({"row": at("tr", "row0"), "col": at("tc", "col0")}).filter((F.col("row") >= F.col("r1")) & (F.col("row") <= F.col("r2")) & (F.col("col") >= F.col("c1")) & (F.col("col") <= F.col("c2")))
+    big = 2**30
+    return bilinear(points, cells, ["site", "tr", "tc"], big, big, value="margin_db", by=("site",)).filter("margin_db is not null").select("site", F.col("tr").alias("r"), F.col("tc").alias("c"), "margin_db")

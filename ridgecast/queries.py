@@ -405,6 +405,33 @@ def missing_tiles(v):
     return terrain.missing_tiles(terrain.required_tiles(_placed(v), 180.0), index).select("lat0", "lon0", "tile")
 
 
+@query(f"with {_TILES}, idx as (select distinct 'n' || lpad(cast(cast(floor(lat) as int) as varchar), 2, '0') || 'w' || lpad(cast(abs(cast(floor(lon) as int)) as varchar), 3, '0') as tile from fx_stations_raw where lat is not null) select (select count(*) from tiles where tile not in (select tile from idx)) = 0 and (select count(*) from idx where tile not in (select tile from tiles)) = 0 as same")
+def tile_set_equality(v):
+    index = _placed(v).select(geo.tile_key(F.col("lat"), F.col("lon")).alias("tile")).distinct()
+    required = terrain.required_tiles(_placed(v), 180.0).select("tile")
+    odd = required.exceptAll(index).unionAll(index.exceptAll(required))
+    return odd.agg((F.count(F.lit(1)) == 0).alias("same"))
+
+
+@query(f"select ord, {AS_OF} - lasttime <= 21600 * 40 and {_hav('lat', 'lon', '39e0', '-112e0')} + 50 <= 300 as valid from fx_stations_raw where lat is not null and lon is not null")
+def cache_validity(v):
+    from .streaming.session import cache_is_valid
+
+    rows = _placed(v).select("ord", F.col("lasttime").alias("updated_at"), F.col("lat").alias("center_lat"), F.col("lon").alias("center_lon"), F.lit(300.0).alias("radius_km"))
+    return cache_is_valid(rows, 39.0, -112.0, 50.0, AS_OF, 21600 * 40).select("ord", "valid")
+
+
+@query(f"with {_MERGE} select callsign, case when type = 'digi' then 15e0 else 10e0 end as height_m from merged")
+def antenna_heights(v):
+    return catalog.merge_records(v("fx_stations_raw")).select("callsign", radio.antenna_height(F.col("type"), F.lit(15.0), F.lit(10.0)).alias("height_m"))
+
+
+@query(f"with {_PATH} select 'N' || call as callsign, replace(call, '1', '_') as file, '&lt;' || call || '&gt;' as shown from sets")
+def escaped_labels(v):
+    rows = catalog.role_sets(_roles(v))
+    return rows.select(F.concat(F.lit("N"), "call").alias("callsign"), text.safe_name(F.translate("call", "1", "-")).alias("file"), text.escape_text(F.concat(F.lit("<"), "call", F.lit(">"))).alias("shown"))
+
+
 # Terrain -----------------------------------------------------------------------------------------------------------
 
 def _tiles(v):
@@ -482,6 +509,11 @@ def on_grid(v):
     return terrain.on_grid(_sites(v).select("site", "r", "c"), v("fx_dem")).select("site", "r", "c", "elev_m")
 
 
+@query(f"with {_SITES} select s.site, d.r, d.c, d.elev_m from sites s join fx_dem d on abs(d.r - s.r) <= 5 and abs(d.c - s.c) <= 5")
+def crop(v):
+    return terrain.crop(v("fx_dem"), _sites(v).select("site", F.col("r").alias("r0"), F.col("c").alias("c0")), 5)
+
+
 @query(f"with {_SITES} select site, cast(k as int) as radial, k * 30e0 as bearing, round(r - 8 * cos(radians(k * 30e0)), 6) + 0e0 as end_row, round(c + 8 * sin(radians(k * 30e0)), 6) + 0e0 as end_col from sites, (select unnest(range(0, 12)) as k)")
 def radials(v):
     rows = terrain.radials(_sites(v).select("site", "r", "c"), 12, 8.0)
@@ -650,6 +682,28 @@ def share_canonical(v):
     return coverage.share_canonical(_painted(v), members).groupBy("callsign", "site").agg(F.count(F.lit(1)).alias("cells"), F.max("margin_db").alias("best"))
 
 
+@query(f"""with {_PAINT}, m as (select distinct {_CALL} as callsign, cast(ord % 60 as int) as site from fx_stations_raw where group_rank = 0), k as (select *, min(callsign) over (partition by site) as canonical, site in (select site from painted) as done from m)
+ select count(*) as total, count(*) filter (done) as resolved, count(*) filter (done and callsign = canonical) as computed, count(*) filter (done and callsign <> canonical) as shared, count(*) filter (not done) as skipped from k""")
+def run_summary(v):
+    members = v("fx_stations_raw").filter("group_rank = 0").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 60).cast("int").alias("site")).distinct()
+    canonical = members.groupBy("site").agg(F.min("callsign").alias("canonical"))
+    return coverage.run_summary(members.join(canonical, "site"), _painted(v))
+
+
+@query(f"""with {_PAINT}, o as (select site, site * 10e0 as row0, site * 20e0 as col0 from (select distinct site from painted)),
+ b as (select site, min(r) as r1, max(r) as r2, min(c) as c1, max(c) as c2 from painted group by site),
+ w as (select b.*, row0, col0, unnest(range(cast(floor((row0 + r1 * 90e0) / 120) as bigint), cast(floor((row0 + (r2 + 1) * 90e0) / 120) as bigint) + 1)) as tr from b join o using (site)),
+ p as (select *, unnest(range(cast(floor((col0 + c1 * 90e0) / 120) as bigint), cast(floor((col0 + (c2 + 1) * 90e0) / 120) as bigint) + 1)) as tc from w),
+ q as (select *, ((tr + 0.5e0) * 120 - row0) / 90 - 0.5e0 as fr, ((tc + 0.5e0) * 120 - col0) / 90 - 0.5e0 as fc from p),
+ z as (select *, cast(floor(fr) as int) as r0, cast(floor(fc) as int) as c0 from q where fr >= r1 and fr <= r2 and fc >= c1 and fc <= c2)
+ select z.site, cast(tr as int) as r, cast(tc as int) as c, round((1 - (fr - r0)) * (1 - (fc - c0)) * a.margin_db + (1 - (fr - r0)) * (fc - c0) * b.margin_db + (fr - r0) * (1 - (fc - c0)) * d.margin_db + (fr - r0) * (fc - c0) * e.margin_db, 6) as margin_db
+ from z join painted a on a.site = z.site and a.r = r0 and a.c = c0 join painted b on b.site = z.site and b.r = r0 and b.c = c0 + 1 join painted d on d.site = z.site and d.r = r0 + 1 and d.c = c0 join painted e on e.site = z.site and e.r = r0 + 1 and e.c = c0 + 1""")
+def reference_grid(v):
+    grids = _painted(v)
+    origins = grids.select("site").distinct().select("site", (F.col("site") * 10.0).alias("row0"), (F.col("site") * 20.0).alias("col0"))
+    return terrain.to_reference(grids, origins, 90.0, 120.0).withColumn("margin_db", F.round("margin_db", 6))
+
+
 def _grid_shape(v):
     return {"height": _height(v), "width": 100, "n_radials": 36, "points": 40, "radius_px": 12.0, "radius_m": 12000.0}
 
