@@ -56,7 +56,7 @@ def needs_review(assessed: DataFrame) -> DataFrame:
     return assessed.filter((F.col("label") == "LOW") | F.col("review_candidate"))
 
 
-def review_queue(assessed: DataFrame, shards: int = 0) -> DataFrame:
+def review_queue(assessed: DataFrame) -> DataFrame:
     """Rows to review with their successor in (score, call) order, missing scores last."""
     rows = needs_review(assessed).withColumn("queue_score", F.coalesce("score", F.lit(999)))
     return rows.withColumn("next_call", F.lead("callsign").over(Window.orderBy("queue_score", "callsign")))
