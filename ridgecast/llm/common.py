@@ -18,7 +18,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
 #: Counted rows up to which a narrow table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

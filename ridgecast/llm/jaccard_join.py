@@ -9,13 +9,14 @@ set aside first what cannot have a neighbour within the radius r = 1 - t:
    some half of every cut has J >= t as well; following it down, the union falls to where J >= t means equality. So
    two neighbours share the content of a trie node of at most 1/r - 1 shingles whose parent was larger. A mark is the hash
    of such a node's content; a class whose marks nobody shares has no neighbour.
-3. Rare prefix. Among classes left, shingles are ordered by document frequency; two neighbours share one of their first
-   n - ceil(t n) + 1 shingles. A class whose prefix nobody shares has no neighbour.
 
 Then the metric join proper:
 
-4. Each shared prefix shingle's classes choose the most central of them as pivot (fewest shingles of its own); all
-   shingles with one pivot form that pivot's region, and a class that several pivots attract is replicated into each.
+3. The classes that share a mark choose the most central of them as pivot (most of its marks shared); all marks with one pivot
+   form that pivot's region, and a class that several pivots attract is replicated into each.
+4. The classes of regions too large for one task are drawn into new, finer regions by a sharper bound: shingles are ordered by their
+   frequency among these classes, and two neighbours share one of their first n - ceil(t n) + 1 shingles. A class whose prefix
+   nobody shares has no neighbour.
 5. Inside a region pivots are drawn again and classes go to the nearest (Voronoi cells); a class x is replicated into
    pivot p's cell too when d(x, p) <= d(x, nearest) + 2 r, which by the triangle inequality keeps every pair within r together.
    Classes within r of a pivot are linked to it directly and to each other through it; a pair is compared only if at
@@ -52,6 +53,8 @@ LEAF_CLASSES = 2048
 LEAF_SHINGLES = 2_000_000
 #: Cells of at most this many classes are compared directly.
 CELL = 48
+#: Rows of one 8-byte column up to which the shared marks are broadcast.
+BROADCAST_MARKS = 2_000_000
 PIVOTS = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -265,9 +268,10 @@ def _leaf(percent: int):
 
 def _prefix(sets: DataFrame, percent: int) -> DataFrame:
     """s, cid, own: the shared ones among each class's rarest shingles, and the share of its shingles that nobody has."""
-    each = sets.select("cid", "n", F.explode("shingles").alias("s"))
-    common = each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").withColumnRenamed("s", "s2")
-    known = each.join(common, F.col("s") == F.col("s2")).groupBy("cid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
+    each = sets.select("cid", F.explode("shingles").alias("s"))
+    common = each.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1").withColumnRenamed("s", "s2")
+    known = each.join(common, F.col("s") == F.col("s2")).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
+    known = known.join(small(sets.select(F.col("cid").alias("c2"), "n")), F.col("cid") == F.col("c2"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     own = F.col("n") - F.size("known")
     return known.filter(own < length).select("cid", (own / F.col("n")).alias("own"), F.explode(F.slice("known", F.lit(1), (length - own).cast("int"))).alias("k")).select(F.col("k.s").alias("s"), "cid", "own")
@@ -302,15 +306,33 @@ def _large_regions(members: DataFrame, sets: DataFrame, percent: int) -> tuple[D
     return links, tasks
 
 
-def links_of(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Spanning links (a, b) of the classes in sets (cid, n, shingles), a table on disk."""
-    members = materialise(_regions(_prefix(sets, percent)), "regions")
-    sizes = members.join(sets.select("cid", "n"), "cid").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
-    large = sizes.filter((F.col("m") > LEAF_CLASSES) | (F.col("volume") > LEAF_SHINGLES)).select("pivot")
-    tasks = members.join(large, "pivot", "left_anti").select(F.col("pivot").cast("string").alias("region"), F.lit(0).alias("side"), "cid")
-    direct, cut = _large_regions(members.join(large, "pivot", "left_semi"), sets, percent)
-    shipped = tasks.union(cut).join(sets.select("cid", "shingles"), "cid")
-    return shipped.groupBy("region").applyInArrow(_leaf(percent), "a long, b long").union(direct)
+def _by_size(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (pivot, cid) of the regions that fit one task, and of the others."""
+    sizes = members.join(small(sets.select("cid", "n")), "cid").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
+    large = materialise(sizes.filter((F.col("m") > LEAF_CLASSES) | (F.col("volume") > LEAF_SHINGLES)).select("pivot"), "large")
+    return members.join(large, "pivot", "left_anti"), members.join(large, "pivot", "left_semi")
+
+
+def _tasks(members: DataFrame, name: str) -> DataFrame:
+    return members.select(F.concat_ws("/", F.lit(name), "pivot").alias("region"), F.lit(0).alias("side"), "cid")
+
+
+def links_of(sets: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Spanning links (a, b) of the classes in sets (cid, n, shingles) that share marks (s, cid); both are tables on disk."""
+    share = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("k")).join(small(sets.select("cid", "n")), "cid")
+    central = shared.join(small(materialise(share.select("cid", (-F.col("k") / F.col("n")).alias("own")), "central")), "cid")
+    fit, large = _by_size(materialise(_regions(central), "regions"), sets)
+    tasks, direct = _tasks(fit, "mark"), None
+    large = materialise(large.select("cid").distinct(), "large")
+    if not large.isEmpty():
+        hard = sets.join(small(large), "cid", "left_semi")
+        fit, large = _by_size(materialise(_regions(_prefix(hard, percent)), "regions"), hard)
+        direct, cut = _large_regions(large, hard, percent)
+        tasks = tasks.union(_tasks(fit, "prefix")).union(cut)
+    tasks = materialise(tasks, "tasks")
+    shipped = sets.select("cid", "shingles").join(small(tasks), "cid")
+    links = shipped.groupBy("region").applyInArrow(_leaf(percent), "a long, b long")
+    return links if direct is None else links.union(direct)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -322,14 +344,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     postings = profiles.select("k1", F.explode("marks").alias("mark"))
     shared = postings.groupBy("mark").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("mark").alias("m2"))
     shared = materialise(shared, "shared-marks")
-    open_ = postings.join(small(shared), F.col("mark") == F.col("m2"), "left_semi").select(F.col("k1").alias("o1")).distinct()
+    open_ = materialise(postings.join(small(shared, BROADCAST_MARKS), F.col("mark") == F.col("m2"), "left_semi").distinct(), "open-marks")
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
-    reps = materialise(classes.join(materialise(open_, "open"), F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    reps = materialise(classes.join(open_.select(F.col("k1").alias("o1")).distinct(), F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
     wanted = small(reps.select(F.col("low").alias("doc_id")).distinct())
     sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, k1 long, k2 long, shingles array<long>")
-    own = reps.select("cid", "n", F.col("low").alias("l2"), F.col("k1").alias("c1"), F.col("k2").alias("c2"))
+    own = small(reps.select("cid", "n", F.col("low").alias("l2"), F.col("k1").alias("c1"), F.col("k2").alias("c2")))
     sets = materialise(sets.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("l2"))).select("cid", "n", "shingles"), "sets")
-    found = components(links_of(sets, percent))
+    marks = open_.join(small(reps.select("cid", F.col("k1").alias("c1"))), F.col("k1") == F.col("c1")).select(F.col("mark").alias("s"), "cid")
+    found = components(links_of(sets, materialise(marks, "marks"), percent))
     named = reps.join(found, F.col("cid") == F.col("node"))
     lows = named.groupBy("label").agg(F.min("low").alias("lowest")).withColumnRenamed("label", "l2")
     named = named.join(lows, F.col("label") == F.col("l2")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "lowest")
