@@ -10,6 +10,9 @@ Each shard is one range partition, sorted by slot and written by one task under
 retried task writes the same bytes again. Ids take two bytes where the vocabulary allows it, four otherwise; the last
 sequence of a task is padded with the end id.
 
+On the way (the written table of sequences and the shuffle) each sequence is compressed: ids become ranks by frequency in a
+bounded sample of documents, frequent ranks take one byte, and zstd does the rest. This changes sizes only, never results.
+
 Defined cases: a null or empty text contributes its end id; repeated rows are written each; an empty table gives no shards;
 other columns are ignored.
 """
@@ -22,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +38,10 @@ LENGTH = 1024
 PER_SHARD = 4096
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
+#: Documents (about) from which the ranks come.
+RANK_DOCS = 2000
+#: Ranks of one byte, and first rank that needs more than two.
+ONE_BYTE, TWO_BYTES = 192, 192 + 63 * 256
 
 SEQUENCES = "part int, local long, n_tokens int, doc_ids array<long>, ids binary"
 WRITTEN = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, ids_crc32 long, path string"
@@ -59,10 +67,56 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, wide: bool = False) -> DataFrame:
-    """Full sequences of each task's texts: part, local, n_tokens (before padding), doc_ids, ids."""
+def frequent_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", docs: int = RANK_DOCS) -> np.ndarray:
+    """The most frequent ids of a hash sample of documents, most frequent first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, n = np.unique(np.concatenate([encode(path, t) for t in batch.column("text").to_pylist()] or [np.zeros(0, np.uint32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64())], names=["id", "n"])
+
+    python_workers(df.sparkSession)
+    rate = min(1.0, docs / max(1, df.count()))
+    sample = df.filter(F.pmod(F.xxhash64(id_col, F.lit("ranks")), F.lit(1 << 20)) < int(rate * (1 << 20))).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = sample.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(TWO_BYTES)
+    return np.array([r["id"] for r in found.collect()], np.int64)
+
+
+def ranks_of(frequent: np.ndarray, size: int = 1 << 16) -> np.ndarray:
+    ranks = np.full(size, TWO_BYTES, np.int32)
+    ranks[frequent] = np.arange(len(frequent))
+    return ranks
+
+
+def compress_ids(ids: np.ndarray, ranks: np.ndarray) -> bytes:
+    """Two-byte ids: a plane of one byte each, the second bytes of middling ranks, then the rare ids themselves."""
+    k = ranks[ids]
+    middle, rare = (k >= ONE_BYTE) & (k < TWO_BYTES), k >= TWO_BYTES
+    low = np.where(middle, ONE_BYTE + (k - ONE_BYTE) // 256, np.where(rare, 255, k)).astype(np.uint8)
+    high = ((k[middle] - ONE_BYTE) % 256).astype(np.uint8)
+    return zstandard.compress(low.tobytes() + high.tobytes() + ids[rare].astype("<u2").tobytes())
+
+
+def expand_ids(raw: bytes, n: int, frequent: np.ndarray) -> np.ndarray:
+    """The n ids that compress_ids() was given."""
+    data = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    low = data[:n].astype(np.int64)
+    middle, rare = (low >= ONE_BYTE) & (low < 255), low == 255
+    second = n + int(middle.sum())
+    low[middle] = ONE_BYTE + (low[middle] - ONE_BYTE) * 256 + data[n:second]
+    out = np.empty(n, "<u2")
+    out[~rare] = frequent[low[~rare]]
+    out[rare] = data[second:].view("<u2")
+    return out
+
+
+def sequences(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, frequent: np.ndarray | None = None) -> DataFrame:
+    """Full sequences of each task's texts: part, local, n_tokens (before padding), doc_ids, ids.
+
+    ids are compressed by the ranks of the frequent ids; without any they are plain four-byte numbers.
+    """
     python_workers(df.sparkSession)
-    kind = "<u4" if wide else "<u2"
+    ranks = None if frequent is None else ranks_of(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, local = TaskContext.get().partitionId(), 0
@@ -71,7 +125,8 @@ def sequences(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
         def batch_of(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             nonlocal local
-            full = [np.append(i, np.full(length - len(i), end_id, np.uint32)).astype(kind).tobytes() for i, _ in rows]
+            padded = [np.append(i, np.full(length - len(i), end_id, np.uint32)) for i, _ in rows]
+            full = [i.astype("<u4").tobytes() if ranks is None else compress_ids(i, ranks) for i in padded]
             docs = [[known[k] for k in dict.fromkeys(o.tolist())] for _, o in rows]
             local += len(rows)
             return pa.RecordBatch.from_arrays(
@@ -115,7 +170,7 @@ def with_slots(table: DataFrame, key: int = KEY, per_shard: int = PER_SHARD) ->
     return indexed.mapInArrow(run, schema), n
 
 
-def _write(out_dir: str, per_shard: int):
+def _write(out_dir: str, per_shard: int, length: int, frequent: np.ndarray | None):
     """Rows of one partition, sorted by slot, to their shard's file; one row for each written record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +187,7 @@ def _write(out_dir: str, per_shard: int):
 
         for batch in batches:
             slots, shards, ids = batch.column("slot").to_numpy(), batch.column("shard").to_numpy(), batch.column("ids").to_pylist()
+            ids = ids if frequent is None else [expand_ids(x, length, frequent).tobytes() for x in ids]
             for shard, raw in zip(shards, ids, strict=True):
                 if shard != now:
                     close()
@@ -153,9 +209,10 @@ def _write(out_dir: str, per_shard: int):
 
 def materialise_order(df: DataFrame, path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, wide: bool = False) -> DataFrame:
     """Write the shards under out_dir when the result is read; one row for each sequence, with its place."""
-    table, n = with_slots(materialise(sequences(df, path, id_col, text_col, length, wide=wide), "sequences"), key, per_shard)
+    frequent = None if wide else frequent_ids(df, path, id_col, text_col)
+    table, n = with_slots(materialise(sequences(df, path, id_col, text_col, length, frequent=frequent), "sequences"), key, per_shard)
     shards = max(1, -(-n // per_shard))
-    return table.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(_write(out_dir, per_shard), WRITTEN)
+    return table.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(_write(out_dir, per_shard, length, frequent), WRITTEN)
 
 
 def read_order(out_dir: str, n: int, start: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, wide: bool = False) -> Iterator[np.ndarray]:

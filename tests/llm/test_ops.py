@@ -308,6 +308,22 @@ def test_feistel_is_a_permutation():
     assert (token_output.permute(np.arange(1000), 1000, 1) != token_output.permute(np.arange(1000), 1000, 2)).any()
 
 
+def test_compressed_ids_round_trip():
+    rng = np.random.default_rng(2)
+    frequent = rng.permutation(50_257)[: token_output.TWO_BYTES]
+    for chosen in (frequent, frequent[:50], frequent[:0]):
+        for n in (0, 1, 1024):
+            ids = rng.integers(0, 50_257, n).astype(np.uint32)
+            assert token_output.expand_ids(token_output.compress_ids(ids, token_output.ranks_of(chosen)), n, chosen).tolist() == ids.tolist()
+
+
+def test_wide_ids(docs, tmp_path):
+    out = f"file://{tmp_path}/wide"
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    got = sorted(token_output.materialise_order(docs, path, out, length=64, per_shard=32, wide=True).collect(), key=lambda r: r.slot)
+    assert [zlib.crc32(x.tobytes()) for x in token_output.read_order(out, len(got), length=64, per_shard=32, wide=True)] == [r.ids_crc32 for r in got]
+
+
 def test_shards_round_trip(docs, empty, rows, tmp_path):
     path = common.tokenizer_path("byte_bpe_50k.tiktoken")
     out = f"file://{tmp_path}/shards"
