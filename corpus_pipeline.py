@@ -14,6 +14,8 @@ from ridgecast.llm.common import documents, held_out, materialise, small, tokeni
 
 #: Share of the evidence that a predicted language needs.
 MIN_SCORE = 0.5
+#: Near copies share this percentage of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each linked group stays."""
-    return _without(docs, jaccard_join.jaccard_components(docs).filter("doc_id <> component_id"))
+    return _without(docs, jaccard_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id <> component_id"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -556,3 +556,17 @@ def test_pipeline_by_stage(spark, docs, rows, tmp_path):
     assert ids(after) == sorted(r.doc_id for r in mixing.mix(before).filter("sampled").collect())
     before, after = steps["packing"]
     assert sorted({r.doc_id for r in after.collect()}) == ids(before)
+
+
+def test_near_copies_on_five_words(spark, tmp_path):
+    """Pairs at 80 % of their five-word shingles go, though they are under 90 % of three words; looser pairs stay."""
+    import corpus_pipeline
+
+    base = [[f"d{d}w{i}" for i in range(200)] for d in range(4)]
+    edits = ((40, 80, 120, 160), (20, 60, 100, 140, 180), (100,), ())
+    edited = [["edit" if i in k else x for i, x in enumerate(w)] for w, k in zip(base, edits)]
+    texts = [(10 * d, " ".join(w)) for d, w in enumerate(base)] + [(10 * d + 1, " ".join(w)) for d, w in enumerate(edited)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    want = {c for _, _, c in brute_components(texts, 5, 80)}
+    assert want == {0, 10, 11, 20, 30} and 1 in {c for _, _, c in brute_components(texts)}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()} == want
