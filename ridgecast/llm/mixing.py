@@ -3,9 +3,13 @@
 Documents fall into cells of source, language and topic, each with the tokens of its documents. Raking scales
 the cells' weights to one marginal after the other until all marginals hold; a cell's ratio of raked to original weight
 says how much more or less of it the mixture wants. Documents are then sampled with probability min(1, c * ratio), c
-as large as it can be with no probability over 1 (or so that the expected tokens are a wanted fraction, at the price of
-cells that end at 1 and miss their target), by a hash of the document's id, so the choice is
-reproducible and needs no shuffle.
+so that the expected tokens are a wanted fraction of all (FRACTION where none is named; cells that end at 1 miss their
+target), by a hash of the document's id, so the choice is reproducible and needs no shuffle. fraction=None takes c as
+large as it can be with no probability over 1: exactly calibrated, but one rare cell then sets how much stays.
+
+Cells with less than POOL_SHARE of all tokens are not raked: a cell that is alone in its source, language and topic has no
+solution, and its ratio would be noise. They take the largest ratio of the others. rake() warns if its rounds end before
+the marginals hold.
 
 Everything runs on the table of cells as Spark jobs, one written table for each round; the driver sees only
 convergence figures. Targets default to the corpus's own marginals raised to a power below 1, which lifts small
@@ -18,6 +22,8 @@ table gives an empty result; other columns are kept by mix() and replaced if the
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,10 @@ DIMENSIONS = ("mix_source", "mix_lang", "topic")
 POWER = 0.85
 ROUNDS = 20
 TOLERANCE = 1e-4
+#: Part of the tokens that a mixture keeps.
+FRACTION = 0.5
+#: Cells with a smaller part of the tokens are pooled instead of raked.
+POOL_SHARE = 1e-4
 UNKNOWN = "unknown"
 
 
@@ -83,9 +93,19 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
         now = now.drop(*[f"scale_{d}" for d in present])
         if worst is None or worst < tolerance:
             break
+    else:
+        warnings.warn(f"raking ended after {rounds} rounds with scales up to {worst:.2g} off", stacklevel=2)
     return now.withColumn("ratio", F.col("raked") / F.col("weight")).drop("raked")
 
 
+def rake_pooled(cells: DataFrame, targets: dict[str, DataFrame], share: float = POOL_SHARE) -> DataFrame:
+    """rake() of the cells with at least a share of the weight; the lighter ones take the largest ratio of these."""
+    least = (cells.agg(F.sum("weight")).first()[0] or 0.0) * share
+    raked = materialise(rake(cells.filter(F.col("weight") >= least), targets), "raked")
+    most = raked.agg(F.max("ratio")).first()[0] or 1.0
+    return raked.unionByName(cells.filter(F.col("weight") < least).withColumn("ratio", F.lit(float(most))))
+
+
 def sampling_constant(cells: DataFrame, fraction: float | None = None) -> float:
     """1 over the largest ratio; with a fraction c such that sum(weight * min(1, c * ratio)) is that part of sum(weight)."""
     ends = cells.agg(F.sum("weight").alias("w"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).first()
@@ -105,7 +125,7 @@ def sampling_constant(cells: DataFrame, fraction: float | None = None) -> float:
     return high
 
 
-def mix(df: DataFrame, fraction: float | None = None, power: float = POWER, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: str = "mix", **columns: str) -> DataFrame:
+def mix(df: DataFrame, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: str = "mix", **columns: str) -> DataFrame:
     """df with mix_source, mix_lang, topic, n_tokens, probability and sampled.
 
     targets: shares by dimension (mix_source, mix_lang, topic); tempered marginals where none are given.
@@ -113,7 +133,7 @@ def mix(df: DataFrame, fraction: float | None = None, power: float = POWER, targ
     rows = features(df, **columns)
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("weight")).filter("weight > 0")
     cells = materialise(cells, "cells")
-    raked = rake(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS})
+    raked = rake_pooled(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS})
     raked = materialise(raked, "raked")
     c = sampling_constant(raked, fraction)
     chances = raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("k_p"))

@@ -570,3 +570,23 @@ def test_near_copies_on_five_words(spark, tmp_path):
     want = {c for _, _, c in brute_components(texts, 5, 80)}
     assert want == {0, 10, 11, 20, 30} and 1 in {c for _, _, c in brute_components(texts)}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()} == want
+
+
+def test_stray_rows_leave_the_share(spark, recwarn):
+    """One document of a new source, language and topic changes neither what stays nor whether raking converges."""
+    rng = np.random.default_rng(17)
+    size = lambda i: int(rng.integers(150, 250)) * (1 + 9 * (i % 3 == 0))
+    rows = [(i, "w " * size(i), ("en", "de", "fr")[int(rng.integers(0, 3))], f"s{i % 4}", 1) for i in range(2_000)]
+    stray = [(9_000, "# " * 50, "xx", "new", 1)]
+    kept = []
+    for table in (rows, rows + stray):
+        got = mixing.mix(spark.createDataFrame(table, SCHEMA))
+        kept.append(got.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0])
+    assert abs(kept[0] - mixing.FRACTION) < 0.01 and abs(kept[1] - kept[0]) < 0.01
+    assert not [w for w in recwarn if "raking" in str(w.message)]
+
+
+def test_raking_reports_missing_convergence(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 90.0), ("a", "y", "t", 900.0), ("b", "z", "u", 9.0)], "mix_source string, mix_lang string, topic string, weight double")
+    with pytest.warns(UserWarning, match="raking ended"):
+        mixing.rake(cells, {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMENSIONS}, rounds=3)
