@@ -15,18 +15,25 @@ def gap_fill_reach(radius_px: float, n_radials: int, factor: float) -> int:
     return max(2, round(gap * factor * 0.5))
 
 
-def dense_cells(cells: DataFrame, margin: int) -> DataFrame:
-    """Every cell of each site's bounding box, padded; empty ones are 0."""
+def blur_radius(reach: int) -> int:
+    return int(4 * max(1.0, 0.6 * reach) + 0.5)
+
+
+def dense_cells(cells: DataFrame, margin: int, size: tuple[int, int] | None = None) -> DataFrame:
+    """Every cell of each site's bounding box, padded and cut to the grid's size (height, width) if given; empty ones are 0."""
     box = cells.groupBy("site").agg((F.min("r") - margin).alias("r1"), (F.max("r") + margin).alias("r2"), (F.min("c") - margin).alias("c1"), (F.max("c") + margin).alias("c2"))
+    if size:
+        for k, last in (("r", size[0] - 1), ("c", size[1] - 1)):
+            box = box.withColumns({f"{k}1": F.greatest(f"{k}1", F.lit(0)), f"{k}2": F.least(f"{k}2", F.lit(last))})
     grid = box.withColumn("r", F.explode(F.sequence("r1", "r2"))).withColumn("c", F.explode(F.sequence("c1", "c2"))).select("site", "r", "c")
     return grid.join(cells, ["site", "r", "c"], "left").withColumn("margin_db", F.coalesce("margin_db", F.lit(0.0)))
 
 
-def gap_fill(cells: DataFrame, reach: int) -> DataFrame:
+def gap_fill(cells: DataFrame, reach: int, margin: int | None = None, size: tuple[int, int] | None = None) -> DataFrame:
     """Dense cells; an empty one takes the largest margin within reach (a square, as two passes of range frames)."""
     along_row = Window.partitionBy("site", "r").orderBy("c").rangeBetween(-reach, reach)
     along_col = Window.partitionBy("site", "c").orderBy("r").rangeBetween(-reach, reach)
-    rows = dense_cells(cells, reach).withColumn("__m", F.max("margin_db").over(along_row)).withColumn("__m", F.max("__m").over(along_col))
+    rows = dense_cells(cells, reach if margin is None else margin, size).withColumn("__m", F.max("margin_db").over(along_row)).withColumn("__m", F.max("__m").over(along_col))
     return rows.withColumn("margin_db", F.when(F.col("margin_db") == 0, F.col("__m")).otherwise(F.col("margin_db"))).drop("__m")
 
 
@@ -42,7 +49,7 @@ def _blur(rows: DataFrame, line: str, axis: str, weights: list[float]) -> DataFr
 def smooth(cells: DataFrame, reach: int) -> DataFrame:
     """Gaussian smoothing of dense cells with empty ones at -1; cells that were empty are empty again afterwards."""
     sigma = max(1.0, 0.6 * reach)
-    radius = int(4 * sigma + 0.5)
+    radius = blur_radius(reach)
     weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
     weights = [w / sum(weights) for w in weights]
     start = cells.withColumn("v", F.when(F.col("margin_db") == 0, F.lit(EMPTY)).otherwise(F.col("margin_db")))
@@ -56,9 +63,14 @@ def threshold_clip(margin: Column, floor_db: float, max_db: float) -> Column:
     return F.when(margin < floor_db, F.lit(EMPTY)).otherwise(F.least(F.greatest(margin, F.lit(EMPTY)), F.lit(float(max_db))))
 
 
-def finish_grid(cells: DataFrame, reach: int, floor_db: float, max_db: float) -> DataFrame:
-    """Gap-filled, smoothed, thresholded cells; empty ones are left out."""
-    done = smooth(gap_fill(cells, reach), reach)
+def finish_grid(cells: DataFrame, reach: int, floor_db: float, max_db: float, size: tuple[int, int] | None = None) -> DataFrame:
+    """Gap-filled, smoothed, thresholded cells; empty ones are left out.
+
+    With the size (height, width) of the whole grid the result is that of the whole grid: nothing is filled outside it and it is
+    mirrored only at its own edges.
+    """
+    margin = reach + blur_radius(reach) if size else None
+    done = smooth(gap_fill(cells, reach, margin, size), reach)
     return done.withColumn("margin_db", threshold_clip(F.col("margin_db"), floor_db, max_db)).filter(F.col("margin_db") > EMPTY)
 
 

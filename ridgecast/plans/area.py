@@ -25,15 +25,21 @@ def site_margins(sites: DataFrame, dem: DataFrame, height: int, width: int, n_ra
     return propagation.path_loss(propagation.samples(seen, radius_m, points), budget, freq_mhz, model)
 
 
-def site_grids(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float, budget: Column, freq_mhz: Column, floor_db: float = 0.0, max_db: float = 60.0, **more) -> DataFrame:
-    """Painted cells of every site: site, r, c, margin_db."""
+def _finished(cells: DataFrame, height: int, width: int, n_radials: int, radius_px: float, floor_db: float, max_db: float, gap_factor: float) -> DataFrame:
+    """Painted cells, gap-filled, smoothed and thresholded site by site."""
+    return coverage.finish_grid(cells, coverage.gap_fill_reach(radius_px, n_radials, gap_factor), floor_db, max_db, (height, width))
+
+
+def site_grids(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float, budget: Column, freq_mhz: Column, floor_db: float = 0.0, max_db: float = 60.0, gap_factor: float = 0.25, **more) -> DataFrame:
+    """Finished cells of every site: site, r, c, margin_db."""
     margins = site_margins(sites, dem, height, width, n_radials, points, radius_px, radius_m, budget, freq_mhz, **more)
     steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor_db), radius_m, points)
-    return propagation.paint(steps, sites, n_radials, radius_px, radius_m, floor_db, max_db, height, width)
+    painted = propagation.paint(steps, sites, n_radials, radius_px, radius_m, floor_db, max_db, height, width)
+    return _finished(painted, height, width, n_radials, radius_px, floor_db, max_db, gap_factor)
 
 
 def scenario_grids(sites: DataFrame, profiles: DataFrame, dem: DataFrame, **shape) -> DataFrame:
-    """Painted cells of every site under every radio profile: scenario (site:profile), r, c, margin_db.
+    """Finished cells of every site under every radio profile: scenario (site:profile), r, c, margin_db.
 
     The terrain is the same for all profiles of a site, so it is profiled once and only the loss is evaluated for each.
     """
@@ -46,7 +52,8 @@ def scenario_grids(sites: DataFrame, profiles: DataFrame, dem: DataFrame, **shap
     floor_db, max_db = shape.get("floor_db", 0.0), shape.get("max_db", 60.0)
     steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor_db), shape["radius_m"], shape["points"])
     places = margins.select("site", F.split("site", ":")[0].alias("s")).distinct().join(sites.select(F.col("site").cast("string").alias("s"), "r", "c"), "s").select("site", "r", "c")
-    return propagation.paint(steps, places, shape["n_radials"], shape["radius_px"], shape["radius_m"], floor_db, max_db, shape["height"], shape["width"]).withColumnRenamed("site", "scenario")
+    painted = propagation.paint(steps, places, shape["n_radials"], shape["radius_px"], shape["radius_m"], floor_db, max_db, shape["height"], shape["width"])
+    return _finished(painted, shape["height"], shape["width"], shape["n_radials"], shape["radius_px"], floor_db, max_db, shape.get("gap_factor", 0.25)).withColumnRenamed("site", "scenario")
 
 
 def merged_coverage(grids: DataFrame) -> DataFrame:

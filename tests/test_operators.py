@@ -253,3 +253,38 @@ def test_tile_sets(spark):
 def test_resolve_seed(spark):
     a, empty = spark.createDataFrame([("x",)], "callsign string"), spark.createDataFrame([], "callsign string")
     assert stations.resolve_seed(a, empty).count() == 1 and stations.resolve_seed(empty, a, chosen=True).count() == 0 and stations.resolve_seed(None, a).count() == 1
+
+
+def test_site_and_scenario_grids_are_finished(spark):
+    """Grids of few rays equal the whole grid filled, smoothed and thresholded in numpy, also at the grid's edge."""
+    from ridgecast.plans import area
+
+    dem = spark.range(900).selectExpr("cast(id div 30 as int) r", "cast(id % 30 as int) c", "1000.0D elev_m")
+    sites = spark.createDataFrame([(1, 15, 15, 1000.0), (2, 1, 28, 1000.0)], "site int, r int, c int, site_elev double")
+    shape = {"height": 30, "width": 30, "n_radials": 12, "points": 30, "radius_px": 10.0, "radius_m": 10000.0}
+    margins = area.site_margins(sites, dem, budget=F.lit(138.0), freq_mhz=F.lit(144.39), model="fspl_los", **shape)
+    painted = propagation.paint(propagation.interpolate_margin(margins, 10000.0, 30), sites, 12, 10.0, 10000.0, 0.0, 60.0, 30, 30).collect()
+    reach, want = coverage.gap_fill_reach(10.0, 12, 0.25), {}
+    radius = int(4 * max(1.0, 0.6 * reach) + 0.5)
+    w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(1.0, 0.6 * reach)) ** 2)
+    w /= w.sum()
+    for site in (1, 2):
+        grid = np.zeros((30, 30))
+        for p in painted:
+            if p.site == site:
+                grid[p.r, p.c] = p.margin_db
+        padded = np.pad(grid, reach)
+        box = np.array([[padded[i : i + 2 * reach + 1, j : j + 2 * reach + 1].max() for j in range(30)] for i in range(30)])
+        start = np.where(grid == 0, box, grid)
+        start[start == 0] = -1.0
+        blur = start
+        for axis in (0, 1):
+            blur = np.apply_along_axis(lambda x: np.convolve(np.pad(x, radius, mode="symmetric"), w, "valid"), axis, blur)
+        blur = np.where((start == -1) | (blur < 0), -1.0, np.minimum(blur, 60.0))
+        want |= {(site, i, j): blur[i, j] for i, j in zip(*np.nonzero(blur > -1))}
+    assert len(want) > len(painted)
+    got = {(r.site, r.r, r.c): r.margin_db for r in area.site_grids(sites, dem, budget=F.lit(138.0), freq_mhz=F.lit(144.39), model="fspl_los", **shape).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    profiles = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 0.0, 138.0, 144.39)], "profile_id int, tx_power_dbm double, tx_gain_dbd double, rx_sens_dbm double, rx_gain_dbd double, cap_db double, freq_mhz double")
+    scenario = {(int(r.scenario.split(":")[0]), r.r, r.c): r.margin_db for r in area.scenario_grids(sites, profiles, dem, **shape).collect()}
+    assert scenario.keys() == want.keys() and all(abs(scenario[k] - want[k]) < 1e-9 for k in want)
