@@ -705,11 +705,16 @@ def reference_grid(v):
 
 
 def _grid_shape(v):
-    return {"height": _height(v), "width": 100, "n_radials": 36, "points": 40, "radius_px": 12.0, "radius_m": 12000.0}
+    """120 points: at this radius fewer would merge some of the 40 loss samples of a ray."""
+    return {"height": _height(v), "width": 100, "n_radials": 1080, "points": 120, "radius_px": 12.0, "radius_m": 12000.0}
 
 
 def _grid_sites(v):
-    return _sites(v, 211).filter("elev_m is not null").select("site", "r", "c", F.col("elev_m").alias("site_elev"))
+    """Every placed station of the catalog on its cell, the grid stretched over the stations' region in zone 12."""
+    placed = catalog.merge_records(v("fx_stations_raw")).filter("lat is not null and lon is not null").select(F.col("callsign").alias("site"), "lat", "lon")
+    cell_m = max(600_000.0 / 100, 690_000.0 / _height(v))
+    located = terrain.locate_cells(placed, F.lit(12), 135_000.0, 4_720_000.0, cell_m).select("site", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    return terrain.on_grid(located, v("fx_dem")).select("site", "r", "c", F.col("elev_m").alias("site_elev"))
 
 
 @query(None)
@@ -731,7 +736,7 @@ def scenario_grid(v):
 @query(None)
 def zero_coverage(v):
     margins = area.site_margins(_grid_sites(v), v("fx_dem"), budget=F.lit(60.0), freq_mhz=F.lit(144.39), model="fspl_los", **_grid_shape(v))
-    return propagation.zero_coverage(propagation.radial_stats(margins, 36, -100.0), terrain.pit_check(_grid_sites(v).select("site", "r", "c"), v("fx_dem")), margins)
+    return propagation.zero_coverage(propagation.radial_stats(margins, _grid_shape(v)["n_radials"], -100.0), terrain.pit_check(_grid_sites(v).select("site", "r", "c"), v("fx_dem")), margins)
 
 
 @query(f"with {_MERGE} select type, count(*) as n from merged group by type")
