@@ -14,6 +14,7 @@ from __future__ import annotations
 import gzip
 import uuid
 from collections.abc import Iterator
+from html import entities
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from .common import python_workers
 #: The date of records whose source has none.
 DATE = "2024-01-31T00:00:00Z"
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|title|tr|ul"
-#: (pattern, replacement), in order; the patterns mean the same in Java and RE2.
+#: (pattern, replacement), in order; the patterns mean the same in Java and RE2. The SQL decodes the six references named here, visible_text all.
 TEXT_RULES = [
     (r"(?s)<!--.*?-->", " "),
     (r"(?is)<script(\s[^>]*)?>.*?</script\s*>", " "),
@@ -44,10 +45,56 @@ TEXT_RULES = [
 ]
 
 
+#: Names that stand without a semicolon too, longest first.
+_BARE = "|".join(sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True))
+#: What the numbers 128 to 159 mean: Windows-1252, where it has a character.
+_C1 = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+#: Control characters and noncharacters, which numeric references cannot name.
+_NO_CHARACTER = [*range(1, 9), 11, *range(14, 32), 127, *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))]
+
+
+def _table(pairs: dict) -> Column:
+    """A constant map of strings; none of them holds the separators."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in pairs.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a numeric reference, by the rules of HTML."""
+    short = F.regexp_replace(digits, "^0+", "")
+    n = F.when(F.length(short) > 7, F.lit(0x110000)).otherwise(F.conv(short, base, 10).try_cast("long"))
+    n = F.coalesce(n, F.lit(0))
+    lost = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    return F.when(lost, "\ufffd").when(n == 160, " ").when(n.between(128, 159), F.get(F.array(*[F.lit(_C1[k]) for k in range(128, 160)]), (n - 128).cast("int"))).when(n.isin(_NO_CHARACTER), "").otherwise(char)
+
+
+def decode_references(text: Column) -> Column:
+    """text with every named and numeric character reference decoded once, as html.unescape does; a no-break space becomes a space."""
+    named = _table({k: v.replace("\xa0", " ") for k, v in entities.html5.items()})
+
+    def piece(p: Column) -> Column:
+        dec, hexa = F.regexp_extract(p, r"^#([0-9]+);?", 1), F.regexp_extract(p, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        full, bare = F.regexp_extract(p, r"^[A-Za-z][A-Za-z0-9]*;", 0), F.regexp_extract(p, f"^(?:{_BARE})", 0)
+        rest = lambda ref: F.substr(p, F.length(ref) + 1)
+        value = F.try_element_at(named, full)
+        return (
+            F.when(dec != "", F.concat(_numbered(dec, 10), rest(F.regexp_extract(p, r"^#[0-9]+;?", 0))))
+            .when(hexa != "", F.concat(_numbered(hexa, 16), rest(F.regexp_extract(p, r"^#[xX][0-9a-fA-F]+;?", 0))))
+            .when((full != "") & value.isNotNull(), F.concat(value, rest(full)))
+            .when(bare != "", F.concat(F.try_element_at(named, bare), rest(bare)))
+            .otherwise(F.concat(F.lit("&"), p))
+        )
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(piece(p))), "")
+
+
 def visible_text(html: Column) -> Column:
-    text = F.coalesce(html, F.lit(""))
+    text, decoded = F.coalesce(html, F.lit("")), False
     for pattern, put in TEXT_RULES:
-        text = F.regexp_replace(text, pattern, put)
+        if not pattern.startswith("&"):
+            text = F.regexp_replace(text, pattern, put)
+        elif not decoded:
+            text, decoded = decode_references(text), True
     return text
 
 

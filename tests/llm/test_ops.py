@@ -590,3 +590,18 @@ def test_raking_reports_missing_convergence(spark):
     cells = spark.createDataFrame([("a", "x", "t", 90.0), ("a", "y", "t", 900.0), ("b", "z", "u", 9.0)], "mix_source string, mix_lang string, topic string, weight double")
     with pytest.warns(UserWarning, match="raking ended"):
         mixing.rake(cells, {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMENSIONS}, rounds=3)
+
+
+def test_references_are_decoded(spark):
+    """Whole pages against html.unescape, with every named reference and awkward numeric ones."""
+    import html
+    from html import entities
+
+    odd = ["&copy;", "&copy2", "&notit;", "&notin;", "&amp;lt;", "&amp;amp;", "&#169;", "&#xA9", "&#X1F600;", "&#0;", "&#x80;", "&#129;", "&#x1;", "&#xD800;", "&#x110000;", "&#99999999999999999999;", "&#0000065;", "&#xFFFF;", "&#;", "&#x;", "&;", "&", "& x", "&unknown;", "&ampx;", "a&b", "&#39;&middot;"]
+    texts = [" ".join(f"&{n}" for n in entities.html5), *odd, *[f"&#{n};" for n in [*range(0, 300), 0xFDD0, 0x1FFFE]]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", warc.decode_references(F.col("t")).alias("t")).collect()
+    nbsp = lambda t: html.unescape(t.replace("&nbsp", "&#160")).replace("\xa0", " ")
+    assert [(r.i, r.t) for r in sorted(rows)] == [(i, nbsp(t)) for i, t in enumerate(texts)]
+    pages = spark.createDataFrame([(1, "http://a/", "<p>A &amp;lt; B&nbsp;C</p><footer>&copy; 2024 &middot; x &#8212; y</footer>")], "page_id long, url string, html string")
+    blocks = [r.block for r in warc.derive(warc.responses(pages)).collect() if r.warc_type == "conversion"]
+    assert blocks == ["A &lt; B C\n© 2024 · x — y"]
