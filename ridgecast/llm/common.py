@@ -17,8 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
-#: Counted rows up to which a narrow table is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes (counted rows times a row's width) up to which a narrow table is broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh local one where none is named (tests)."""
+    """The folder that the driver and all executors share; without one in the session a fresh local one, on a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="ridgecast-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -43,12 +45,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._ridgecast_path = path
+    return table
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (narrow, on disk), to be broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing will read again; other DataFrames are left alone."""
+    for table in tables:
+        if path := getattr(table, "_ridgecast_path", None):
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """A row's width in memory for fixed-size columns; a string, array or binary counts as 64 bytes."""
+    return 16 + sum(8 if f.dataType.typeName() in ("long", "integer", "double", "boolean", "float", "short", "byte") else 64 for f in df.schema.fields)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df (narrow, on disk), to be broadcast if its counted rows make no more than so many bytes."""
+    return F.broadcast(df) if df.count() * row_bytes(df) <= most else df
 
 
 def ship(spark: SparkSession) -> None:

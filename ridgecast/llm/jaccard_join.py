@@ -5,30 +5,34 @@ regions around pivots drawn from all texts would replicate every document into e
 set aside first what cannot have a neighbour within the radius r = 1 - t:
 
 1. Equal sets are one class; only classes go on.
-2. Trie marks. Cut the hash space of shingles by leading bits. If J(x, y) >= t then (a mean is at most its largest part)
-   some half of every cut has J >= t as well; following it down, the union falls to where J >= t means equality. So
-   two neighbours share the content of a trie node of at most 1/r - 1 shingles whose parent was larger. A mark is the hash
-   of such a node's content; a class whose marks nobody shares has no neighbour.
+2. Marks. Under any one order of all shingles two neighbours share one of their first n - ceil(t n) + 1 shingles. The order is:
+   shingles that a hash sample of ORDER_DOCS documents doesn't show often, by hash, then the frequent ones, rarest first. (The
+   sample sets the order only; every order gives the same result.) A class whose marks nobody shares has no neighbour.
 
 Then the metric join proper:
 
 3. The classes that share a mark choose the most central of them as pivot (most of its marks shared); all marks with one pivot
    form that pivot's region, and a class that several pivots attract is replicated into each.
-4. The classes of regions too large for one task are drawn into new, finer regions by a sharper bound: shingles are ordered by their
-   frequency among these classes, and two neighbours share one of their first n - ceil(t n) + 1 shingles. A class whose prefix
-   nobody shares has no neighbour.
-5. Inside a region pivots are drawn again and classes go to the nearest (Voronoi cells); a class x is replicated into
+4. Regions too large for one task are joined in rounds. A round draws the regions anew from their open classes alone, by marks under
+   the order of exact frequency among those. In each region that is still too large it draws PIVOTS central classes and measures every
+   member's distance to them. A member within r of a pivot belongs to that pivot's Voronoi cell and is linked to it (pivots
+   within r of each other make one cell), so pairs inside a cell need no comparison. By the triangle inequality a class within r of
+   a cell's member is within 2 r of one of its pivots: the boundary classes in that window are replicated into the cell and compared
+   with its members, in tasks of bounded size. What is in no cell is open and joins recursively in the next round.
+5. Inside a region that fits a task pivots are drawn again and classes go to the nearest (Voronoi cells); a class x is replicated into
    pivot p's cell too when d(x, p) <= d(x, nearest) + 2 r, which by the triangle inequality keeps every pair within r together.
    Classes within r of a pivot are linked to it directly and to each other through it; a pair is compared only if at
    least one of them isn't, and only if their distances to the pivot differ by at most r. Cells are cut again until
    small or until cutting doesn't help.
-6. A region too large for one task is first cut by its pivot into rings of width r, of which only neighbouring ones can
-   link, and rings that are still too large into blocks; each pair of blocks is then a task.
 
-Tasks return spanning links, never pairs, so the output is linear in the classes. Shingles are 64-bit hashes, classes
-128-bit hashes of their sorted shingles.
+A family of near copies around one text so costs its members once or twice, however large it is. If a round puts less than a tenth of
+the open classes into cells, the classes left in large regions are compared in pairs of blocks: exact, but quadratic in a region
+whose members are alike without being near. The same holds for a cell with very many members and very many boundary classes.
 
-Defined cases: null and empty texts have no shingles and stay alone; texts of one or two words have one shingle; repeated
+Tasks return spanning links as stars, never pairs, so the output is linear in the classes. Shingles are 64-bit hashes, classes
+128-bit hashes of their sorted shingles. The number of a document's links is no result: pairs inside a cell are never compared.
+
+Defined cases: null and empty texts have no shingles and stay alone; texts of fewer words than a shingle have one shingle; repeated
 rows are in one class; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -40,11 +44,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialise, python_workers, small
-from .components import components
+from .common import discard, documents, materialise, python_workers, small
+from .components import components, heavy_keys, spread_join
 
 WORDS = 3
 PERCENT = 90
@@ -53,8 +57,12 @@ LEAF_CLASSES = 2048
 LEAF_SHINGLES = 2_000_000
 #: Cells of at most this many classes are compared directly.
 CELL = 48
-#: Rows of one 8-byte column up to which the shared marks are broadcast.
-BROADCAST_MARKS = 2_000_000
+#: Documents (about) whose shingles order the marks, how many of them make a shingle frequent, and the most frequent shingles kept.
+ORDER_DOCS = 8_000
+ORDER_COUNT = 3
+ORDER_SHINGLES = 500_000
+#: Bytes up to which the shared marks are broadcast.
+BROADCAST_MARKS = 48 << 20
 PIVOTS = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -91,32 +99,45 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def mark_limits(percent: int) -> tuple[int, int]:
-    """(largest union at which the similarity means equality, least size of a set in a larger union)."""
-    equal = -(-100 // (100 - percent)) - 1
-    return equal, -(-percent * (equal + 1) // 100)
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """How many first shingles of a set of n hold one of any neighbour's."""
+    return n + percent * -n // 100 + 1 if n else 0
+
+
+def prefix_marks(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
+    """The first shingles of each set (sorted hashes); frequent: (sorted frequent shingles, their ranks from the rarest)."""
+    known, ranks = frequent
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = np.minimum(np.searchsorted(known, flat), max(len(known) - 1, 0))
+    often = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+    out, a = [], 0
+    for s in sets:
+        b = a + len(s)
+        wanted, mine = prefix_length(len(s), percent), often[a:b]
+        first = s[~mine][:wanted]
+        if len(first) < wanted:
+            last = s[mine][np.argsort(ranks[at[a:b][mine]], kind="stable")]
+            first = np.concatenate([first, last[: wanted - len(first)]])
+        out.append(first)
+        a = b
+    return out
+
 
+def frequent_shingles(docs: DataFrame, words: int, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted shingles, ranks) of the shingles that at least ORDER_COUNT of about ORDER_DOCS sampled documents hold."""
 
-def trie_marks(sets: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the set, mark) of every trie node that two similar sets may have in common."""
-    equal, inner = mark_limits(percent)
-    h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    mixed = _mix(h, 7)
-    owners, marks = [], []
-    for depth in range(65):
-        if not len(h):
-            break
-        top = h >> np.uint64(64 - depth) if depth else np.zeros(len(h), np.uint64)
-        first = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (top[1:] != top[:-1])]))
-        sizes = np.diff(np.append(first, len(h)))
-        small = sizes <= equal
-        sums = np.add.reduceat(mixed, first)[small]
-        owners.append(owner[first[small]])
-        marks.append(_mix(sums + sizes[small].astype(np.uint64), depth + 1))
-        stay = np.repeat(sizes >= inner, sizes)
-        h, owner, mixed = h[stay], owner[stay], mixed[stay]
-    return (np.concatenate(owners), np.concatenate(marks)) if owners else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), words)
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(sets) if sets else np.zeros(0, np.uint64)).view(np.int64))], names=["s"])
+
+    rate = min(1.0, (size or ORDER_DOCS) / max(1, docs.count()))
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("text")
+    each = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= ORDER_COUNT)
+    found = each.orderBy(F.desc("df"), "s").limit(ORDER_SHINGLES).toPandas()  # bounded by ORDER_SHINGLES
+    shingles = found["s"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], (len(shingles) - 1 - order).astype(np.int64)
 
 
 def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +146,7 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _profiles(words: int, percent: int):
+def _profiles(words: int, percent: int, frequent):
     """doc_id, text -> doc_id, n_shingles, k1, k2, marks; a set that the task has seen brings no marks again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +158,10 @@ def _profiles(words: int, percent: int):
             for s, k in zip(sets, k1.tolist(), strict=True):
                 fresh.append(s if len(s) and k not in seen else s[:0])
                 seen.add(k)
-            owner, marks = trie_marks(fresh, percent)
-            order = np.argsort(owner, kind="stable")
-            offsets = np.searchsorted(owner[order], np.arange(len(sets) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(marks[order].view(np.int64)))
+            marks = prefix_marks(fresh, frequent.value, percent)
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
+            values = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists], names=["doc_id", "n_shingles", "k1", "k2", "marks"])
 
     return run
@@ -250,18 +271,66 @@ class _Region:
                 self.near(int(one), others)
 
 
+def _region_of(table: pa.Table, percent: int) -> tuple[np.ndarray, _Region]:
+    ids = table.column("cid").to_numpy()
+    lists = table.column("shingles").combine_chunks()
+    offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return ids, _Region([values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], percent)
+
+
 def _leaf(percent: int):
-    """One region's classes (cid, shingles, side) -> spanning links (a, b). Where sides differ only pairs across count."""
+    """One region's classes (cid, shingles, side) -> spanning links (a, b), each set's to its root. Where sides differ only pairs across count."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("cid")
-        ids = table.column("cid").to_numpy()
-        lists = table.column("shingles").combine_chunks()
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        region = _Region([values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)], percent)
+        ids, region = _region_of(table, percent)
         side = table.column("side").to_numpy()
         region.join(np.arange(len(ids)), side == 0 if (side != side[0]).any() else None)
-        return pa.table({"a": pa.array([ids[a] for a, _ in region.links], pa.int64()), "b": pa.array([ids[b] for _, b in region.links], pa.int64())})
+        roots = np.array([region.root(k) for k in range(len(ids))])
+        away = np.flatnonzero(roots != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[roots[away]], pa.int64()), "b": pa.array(ids[away], pa.int64())})
+
+    return run
+
+
+MEASURED = "region long, cid long, n long, home long, near array<long>, beside array<long>"
+
+
+def _measure(percent: int):
+    """One block of a region (region, cid, shingles, pivot: its rank among the pivots or null) with all of the region's pivots -> MEASURED.
+
+    home: the cell, named by its first pivot, or null; near: the pivots within r; beside: the cells to whose members the class
+    may be near though it isn't in them (each pair of cells meets in the first of the two).
+    """
+    radius = 1 - percent / 100
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("pivot", "ascending"), ("cid", "ascending")])
+        ids, region = _region_of(table, percent)
+        rank = table.column("pivot").to_numpy(zero_copy_only=False)
+        k = int(np.isfinite(rank.astype(float)).sum())
+        everyone = np.arange(len(ids))
+        close, distance = np.zeros((k, len(ids)), bool), np.ones((k, len(ids)))
+        for p in range(k):
+            both, union = region.shared(p, everyone)
+            close[p], distance[p] = 100 * both >= percent * union, 1 - both / union
+        cell = np.arange(k)
+        for p in range(k):  # pivots within r of each other, step by step
+            for q in np.flatnonzero(close[p, :k]):
+                low, high = sorted((cell[p], cell[q]))
+                cell[cell == high] = low
+        member = np.flatnonzero(table.column("block_row").to_numpy(zero_copy_only=False))
+        home, near, beside = [], [], []
+        for x in member:
+            own = np.flatnonzero(close[:, x])
+            cells = set(cell[own].tolist())
+            mine = min(cells) if cells else k
+            home.append(int(ids[mine]) if cells else None)
+            near.append(ids[own].tolist())
+            window = set(cell[distance[:, x] <= 2 * radius + 1e-9].tolist()) - cells
+            beside.append([int(ids[c]) for c in sorted(window) if c < mine])
+        regions = table.column("region").to_numpy()[member]
+        return pa.table([pa.array(regions, pa.int64()), pa.array(ids[member], pa.int64()), pa.array(region.size[member], pa.int64()), pa.array(home, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(beside, pa.list_(pa.int64()))], names=["region", "cid", "n", "home", "near", "beside"])
 
     return run
 
@@ -271,50 +340,73 @@ def _prefix(sets: DataFrame, percent: int) -> DataFrame:
     each = sets.select("cid", F.explode("shingles").alias("s"))
     common = each.groupBy("s").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1").withColumnRenamed("s", "s2")
     known = each.join(common, F.col("s") == F.col("s2")).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("known"))
-    known = known.join(small(sets.select(F.col("cid").alias("c2"), "n")), F.col("cid") == F.col("c2"))
+    known = known.join(sets.select(F.col("cid").alias("c2"), "n"), F.col("cid") == F.col("c2"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
     own = F.col("n") - F.size("known")
     return known.filter(own < length).select("cid", (own / F.col("n")).alias("own"), F.explode(F.slice("known", F.lit(1), (length - own).cast("int"))).alias("k")).select(F.col("k.s").alias("s"), "cid", "own")
 
 
 def _regions(prefix: DataFrame) -> DataFrame:
-    """pivot, cid: the classes of every pivot's region, the pivot among them."""
-    groups = prefix.groupBy("s").agg(F.min_by("cid", F.struct("own", "cid")).alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("s").alias("s2"), "pivot")
-    return prefix.join(groups, F.col("s") == F.col("s2")).select("pivot", "cid").distinct()
-
-
-def _large_regions(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links to the pivots of large regions, and tasks (region, side, cid) for the classes that a pivot leaves open."""
-    radius = 1 - percent / 100
-    with_set = members.filter("pivot <> cid").join(sets.select("cid", "n", "shingles"), "cid")
-    of_pivot = sets.select(F.col("cid").alias("pivot"), F.col("n").alias("pn"), F.col("shingles").alias("ps"))
-    both = F.size(F.array_intersect("shingles", "ps"))
-    union = F.col("n") + F.col("pn") - both
-    stars = materialise(with_set.join(of_pivot, "pivot").select("pivot", "cid", "n", (100 * both >= percent * union).alias("close"), (1 - both / union).alias("d")), "stars")
-    links = stars.filter("close").select(F.col("pivot").alias("a"), F.col("cid").alias("b"))
-    ring = F.floor(F.col("d") / F.lit(radius + 1e-9)).cast("int")
-    # Ring k holds its own classes and those of ring k + 1: every pair within the radius meets in one of them.
-    cells = stars.withColumn("ring", ring).select("pivot", "cid", "n", "close", F.explode(F.array(F.col("ring"), F.col("ring") - 1)).alias("ring"))
-    sizes = cells.groupBy("pivot", "ring").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"), F.bool_or(~F.col("close")).alias("open"))
-    blocks = F.ceil(2 * F.greatest(F.col("m") / F.lit(LEAF_CLASSES), F.col("volume") / F.lit(LEAF_SHINGLES))).cast("int")
-    sizes = sizes.filter("open and m > 1").select(F.col("pivot").alias("p2"), F.col("ring").alias("r2"), blocks.alias("blocks"))
-    cells = cells.join(sizes, (F.col("pivot") == F.col("p2")) & (F.col("ring") == F.col("r2")))
-    block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y"))))
-    cells = cells.withColumn("block", block).select("pivot", "ring", "cid", "block", pairs.alias("pair"))
-    tasks = cells.select(F.concat_ws("/", "pivot", "ring", "pair.x", "pair.y").alias("region"), F.when(F.col("pair.x") == F.col("block"), 0).otherwise(1).alias("side"), "cid")
-    return links, tasks
+    """region, cid, own: the classes of every pivot's region, the pivot among them."""
+    groups = prefix.groupBy("s").agg(F.min_by("cid", F.struct("own", "cid")).alias("region"), F.count(F.lit(1)).alias("m")).filter("m > 1").select(F.col("s").alias("s2"), "region")
+    return prefix.join(groups, F.col("s") == F.col("s2")).groupBy("region", "cid").agg(F.min("own").alias("own"))
 
 
 def _by_size(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (pivot, cid) of the regions that fit one task, and of the others."""
-    sizes = members.join(small(sets.select("cid", "n")), "cid").groupBy("pivot").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
-    large = materialise(sizes.filter((F.col("m") > LEAF_CLASSES) | (F.col("volume") > LEAF_SHINGLES)).select("pivot"), "large")
-    return members.join(large, "pivot", "left_anti"), members.join(large, "pivot", "left_semi")
+    """members (region, cid, own) of the regions that fit one task, and of the others with n and the region's number of blocks."""
+    sized = members.join(small(sets.select(F.col("cid").alias("c3"), "n")), F.col("cid") == F.col("c3")).drop("c3")
+    sizes = sized.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("volume"))
+    large = sizes.filter((F.col("m") > LEAF_CLASSES) | (F.col("volume") > LEAF_SHINGLES))
+    blocks = F.ceil(2 * F.greatest(F.col("m") / F.lit(LEAF_CLASSES), F.col("volume") / F.lit(LEAF_SHINGLES))).cast("int")
+    large = small(materialise(large.select(F.col("region").alias("r2"), blocks.alias("blocks")), "large"))
+    return members.join(large, F.col("region") == F.col("r2"), "left_anti"), sized.join(large, F.col("region") == F.col("r2")).drop("r2")
 
 
 def _tasks(members: DataFrame, name: str) -> DataFrame:
-    return members.select(F.concat_ws("/", F.lit(name), "pivot").alias("region"), F.lit(0).alias("side"), "cid")
+    return members.select(F.concat_ws("/", F.lit(name), "region").alias("region"), F.lit(0).alias("side"), "cid")
+
+
+def _block(blocks) -> Column:
+    return F.pmod(F.xxhash64("cid"), blocks).cast("int")
+
+
+def _measured(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """MEASURED for members (region, cid, own, n, blocks) of large regions: distances to PIVOTS central classes of the region."""
+    few = large.groupBy("region", "blocks", _block(F.least(F.col("blocks") * PIVOTS, F.lit(1024))).alias("part")).agg(F.min(F.struct("own", F.xxhash64("cid"), "cid")).alias("best"))
+    pivots = few.groupBy("region", "blocks").agg(F.slice(F.array_sort(F.collect_list("best")), 1, PIVOTS).alias("best"))  # one of each part
+    pivots = pivots.select("region", "blocks", F.posexplode("best").alias("pivot", "b")).select("region", "blocks", "pivot", F.col("b.cid").alias("cid"))
+    pivots = materialise(pivots, "pivots")
+    copies = pivots.select("region", "cid", "pivot", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    chosen = small(pivots.select(F.col("region").alias("r4"), F.col("cid").alias("c4"), F.lit(True).alias("is_pivot")))
+    rows = large.join(chosen, (F.col("region") == F.col("r4")) & (F.col("cid") == F.col("c4")), "left").select("region", "cid", _block(F.col("blocks")).alias("block"), F.coalesce("is_pivot", F.lit(False)).alias("is_pivot"))
+    # A pivot is in every block, and a row of its own block only once.
+    others = rows.filter("not is_pivot").select("region", "cid", F.lit(None).cast("int").alias("pivot"), "block", F.lit(True).alias("block_row"))
+    home = rows.filter("is_pivot").select(F.col("region").alias("r5"), F.col("cid").alias("c5"), F.col("block").alias("b5"))
+    copies = copies.join(small(materialise(home, "homes")), (F.col("region") == F.col("r5")) & (F.col("cid") == F.col("c5"))).select("region", "cid", "pivot", "block", (F.col("block") == F.col("b5")).alias("block_row"))
+    wanted = materialise(others.unionByName(copies), "blocks")
+    shipped = sets.select(F.col("cid").alias("c6"), "shingles").join(small(wanted), F.col("cid") == F.col("c6")).drop("c6")
+    return materialise(shipped.groupBy("region", "block").applyInArrow(_measure(percent), MEASURED), "measured")
+
+
+def _cells(measured: DataFrame, name: str) -> DataFrame:
+    """Tasks (region, side, cid) that compare every cell's members with its boundary classes, in blocks that fit a task."""
+    rows = measured.filter("home is not null").select("region", F.col("home").alias("cell"), F.lit(0).alias("side"), "cid", "n")
+    rows = rows.union(measured.select("region", F.explode("beside").alias("cell"), F.lit(1).alias("side"), "cid", "n"))
+    part = lambda s: F.greatest(F.lit(1), F.ceil(2 * F.greatest(F.count_if(F.col("side") == s) / F.lit(LEAF_CLASSES), F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)) / F.lit(LEAF_SHINGLES)))).cast("int").alias(f"parts{s}")
+    sizes = rows.groupBy("region", "cell").agg(F.bool_or(F.col("side") == 0).alias("has"), F.bool_or(F.col("side") == 1).alias("open"), part(0), part(1)).filter("has and open")
+    sizes = small(materialise(sizes.select(F.col("region").alias("r7"), F.col("cell").alias("p7"), "parts0", "parts1"), "cells"))
+    rows = rows.join(sizes, (F.col("region") == F.col("r7")) & (F.col("cell") == F.col("p7")))
+    mine, theirs = F.when(F.col("side") == 0, F.col("parts0")).otherwise(F.col("parts1")), F.when(F.col("side") == 0, F.col("parts1")).otherwise(F.col("parts0"))
+    rows = rows.select("region", "cell", "side", "cid", _block(mine).alias("x"), F.explode(F.sequence(F.lit(0), theirs - 1)).alias("y"))
+    at = lambda s: F.when(F.col("side") == s, F.col("x")).otherwise(F.col("y"))
+    return rows.select(F.concat_ws("/", F.lit(name), "region", "cell", at(0), at(1)).alias("region"), "side", "cid")
+
+
+def _block_pairs(large: DataFrame, name: str) -> DataFrame:
+    """Tasks for all pairs of blocks of the members (region, cid, blocks) of large regions."""
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y"))))
+    rows = large.withColumn("block", _block(F.col("blocks"))).select("region", "cid", "block", pairs.alias("pair"))
+    return rows.select(F.concat_ws("/", F.lit(name), "region", "pair.x", "pair.y").alias("region"), F.when(F.col("pair.x") == F.col("block"), 0).otherwise(1).alias("side"), "cid")
 
 
 def links_of(sets: DataFrame, shared: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -322,15 +414,31 @@ def links_of(sets: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
     share = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("k")).join(small(sets.select("cid", "n")), "cid")
     central = shared.join(small(materialise(share.select("cid", (-F.col("k") / F.col("n")).alias("own")), "central")), "cid")
     fit, large = _by_size(materialise(_regions(central), "regions"), sets)
-    tasks, direct = _tasks(fit, "mark"), None
-    large = materialise(large.select("cid").distinct(), "large")
-    if not large.isEmpty():
-        hard = sets.join(small(large), "cid", "left_semi")
+    tasks, direct, round_ = _tasks(fit, "mark"), None, 0
+    large = materialise(large, "open")
+    while not large.isEmpty():
+        round_ += 1
+        hard = materialise(sets.join(small(materialise(large.select("cid").distinct(), "hard")), "cid", "left_semi"), "hard-sets")
         fit, large = _by_size(materialise(_regions(_prefix(hard, percent)), "regions"), hard)
-        direct, cut = _large_regions(large, hard, percent)
-        tasks = tasks.union(_tasks(fit, "prefix")).union(cut)
+        tasks = tasks.union(_tasks(fit, f"prefix{round_}"))
+        large = materialise(large, "large")
+        before = large.count()
+        if not before:
+            break
+        measured = _measured(large, hard, percent)
+        links = measured.select(F.explode("near").alias("a"), F.col("cid").alias("b")).filter("a <> b")
+        direct = links if direct is None else direct.union(links)
+        tasks = tasks.union(_cells(measured, f"cell{round_}"))
+        left = measured.filter("home is null").select(F.col("region").alias("r8"), F.col("cid").alias("c8"))
+        members = materialise(large.join(left, (F.col("region") == F.col("r8")) & (F.col("cid") == F.col("c8")), "left_semi").select("region", "cid", "own"), "members")
+        after = members.count()
+        fit, large = _by_size(members, hard)
+        tasks = tasks.union(_tasks(fit, f"rest{round_}"))
+        large = materialise(large, "open")
+        if 10 * (before - after) < before:
+            tasks, large = tasks.union(_block_pairs(large, f"pair{round_}")), large.limit(0)
     tasks = materialise(tasks, "tasks")
-    shipped = sets.select("cid", "shingles").join(small(tasks), "cid")
+    shipped = sets.select(F.col("cid").alias("c9"), "shingles").join(small(tasks), F.col("cid") == F.col("c9")).drop("c9")
     links = shipped.groupBy("region").applyInArrow(_leaf(percent), "a long, b long")
     return links if direct is None else links.union(direct)
 
@@ -340,26 +448,35 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = df.sparkSession
     python_workers(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    profiles = materialise(docs.mapInArrow(_profiles(words, percent), "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>"), "profiles")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
+    profiles = materialise(docs.mapInArrow(_profiles(words, percent, frequent), "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>"), "profiles")
     postings = profiles.select("k1", F.explode("marks").alias("mark"))
     shared = postings.groupBy("mark").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("mark").alias("m2"))
     shared = materialise(shared, "shared-marks")
     open_ = materialise(postings.join(small(shared, BROADCAST_MARKS), F.col("mark") == F.col("m2"), "left_semi").distinct(), "open-marks")
+    discard(shared)
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
-    reps = materialise(classes.join(open_.select(F.col("k1").alias("o1")).distinct(), F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
-    wanted = small(reps.select(F.col("low").alias("doc_id")).distinct())
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "doc_id long, k1 long, k2 long, shingles array<long>")
+    openk = open_.select(F.col("k1").alias("o1")).distinct()
+    reps = materialise(classes.join(openk, F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
+    wanted = small(reps.select(F.col("low").alias("l0")).distinct())
+    sets = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("l0")), "left_semi").mapInArrow(_sets(words), "doc_id long, k1 long, k2 long, shingles array<long>")
     own = small(reps.select("cid", "n", F.col("low").alias("l2"), F.col("k1").alias("c1"), F.col("k2").alias("c2")))
-    sets = materialise(sets.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("l2"))).select("cid", "n", "shingles"), "sets")
+    sets = sets.join(own, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")) & F.col("doc_id").eqNullSafe(F.col("l2"))).select("cid", "n", "shingles")
+    sets = materialise(sets, "sets")
     marks = open_.join(small(reps.select("cid", F.col("k1").alias("c1"))), F.col("k1") == F.col("c1")).select(F.col("mark").alias("s"), "cid")
-    found = components(links_of(sets, materialise(marks, "marks"), percent))
-    named = reps.join(found, F.col("cid") == F.col("node"))
+    marks = materialise(marks, "marks")
+    discard(open_)
+    found = components(links_of(sets, marks, percent))
+    discard(sets, marks)
+    named = reps.join(found, F.col("cid") == F.col("node")).select("k1", "k2", "low", "label")
+    named = materialise(named, "named")
     lows = named.groupBy("label").agg(F.min("low").alias("lowest")).withColumnRenamed("label", "l2")
-    named = named.join(lows, F.col("label") == F.col("l2")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "lowest")
+    named = spread_join(named, lows, {"label": "l2"}, heavy_keys(named, "label")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "lowest")
     whole = classes.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.coalesce("lowest", "low").alias("least"))
     rows = profiles.select("doc_id", "n_shingles", "k1", "k2")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rest = rows.filter("n_shingles > 0").join(whole, (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
+    full = rows.filter("n_shingles > 0")
+    rest = spread_join(full, whole, {"k1": "w1", "k2": "w2"}, heavy_keys(full, "k1")).select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     return alone.union(rest)
 
 

@@ -7,62 +7,112 @@ so that the expected tokens are a wanted fraction of all (FRACTION where none is
 target), by a hash of the document's id, so the choice is reproducible and needs no shuffle. fraction=None takes c as
 large as it can be with no probability over 1: exactly calibrated, but one rare cell then sets how much stays.
 
+Texts are read once for the weights: a task counts each text's tokens with the tokenizer and names its topic, and
+a narrow table (id, cell, tokens) is all that goes on. Corpora that carry a topic column name it (topic_col); without one the
+topic is the form of the text (table, symbols, shouting, lines or prose) from the shares of its bytes.
+
+Targets are shares of a dimension's values, of any sum. Values without a target keep the share they have, and the given ones
+divide the rest; a target of 0 is the only way to empty a value. Where no targets are given they are the corpus's own marginals
+raised to a power below 1, which lifts small sources and languages and holds back dominant ones.
+
 Cells with less than POOL_SHARE of all tokens are not raked: a cell that is alone in its source, language and topic has no
-solution, and its ratio would be noise. They take the largest ratio of the others. rake() warns if its rounds end before
-the marginals hold.
+solution, and its ratio would be noise. They take the largest ratio of the others. Raking runs until the marginals hold to
+TOLERANCE; targets that contradict each other never hold, and after MOST_ROUNDS rake() raises, or warns if strict is False
+(mix() warns: it still samples by the ratios it got).
 
 Everything runs on the table of cells as Spark jobs, one written table for each round; the driver sees only
-convergence figures. Targets default to the corpus's own marginals raised to a power below 1, which lifts small
-sources and languages and holds back dominant ones.
+convergence figures.
 
 Defined cases: null source, language or topic is a value of its own ("unknown"); a null or empty text has no tokens and
-takes its cell's probability (0 where no document of its cell has tokens); repeated rows share one decision; an empty
-table gives an empty result; other columns are kept by mix() and replaced if they carry the names of its outputs.
+takes its cell's probability (0 where no document of its cell has tokens); repeated rows share one decision, and so do rows
+without an id; an empty table gives an empty result. mix() returns its own columns only and keep_sampled() the rows as they
+came, so no name of an input column can clash.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, materialise, small
+from .common import discard, documents, materialise, python_workers, small, text_buffer, tokenizer_path
+from .packing import encode
 
 DIMENSIONS = ("mix_source", "mix_lang", "topic")
 POWER = 0.85
-ROUNDS = 20
+MOST_ROUNDS = 200
 TOLERANCE = 1e-4
 #: Part of the tokens that a mixture keeps.
 FRACTION = 0.5
 #: Cells with a smaller part of the tokens are pooled instead of raked.
 POOL_SHARE = 1e-4
 UNKNOWN = "unknown"
+#: Bytes whose forms are counted at once.
+BLOCK = 1 << 20
+
+#: The forms of text in order of precedence, each with the bytes that make it and the share of them that it needs.
+FORMS = (("table", b"|", 1 / 50), ("symbols", b"#*$%&<>", 1 / 50), ("shouting", bytes(range(65, 91)), 1 / 4), ("lines", b"\n", 1 / 100))
+PROSE = "prose"
+
+
+def _form_classes() -> np.ndarray:
+    out = np.full(256, len(FORMS), np.uint8)
+    for k, (_, members, _) in enumerate(FORMS):
+        out[list(members)] = k
+    return out
+
+
+FORM_CLASSES = _form_classes()
 
 
-def word_tokens(text: Column) -> Column:
-    """White-space separated words, the token weight where no tokenizer is asked for."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+def form_topics(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Index into FORMS (its length: prose) of each text, by the shares of its bytes."""
+    n, width = len(offsets) - 1, len(FORMS) + 1
+    counts = np.zeros((n, width), np.int64)
+    first = 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK, "right")) - 1)
+        a, b = offsets[first], offsets[last]
+        if last == first + 1:  # one text, of any length
+            for s in range(a, b, BLOCK):
+                counts[first] += np.bincount(FORM_CLASSES[body[s : min(s + BLOCK, b)]], minlength=width)
+        elif b > a:
+            owner = np.repeat(np.arange(last - first), np.diff(offsets[first : last + 1]))
+            counts[first:last] = np.bincount(owner * width + FORM_CLASSES[body[a:b]], minlength=(last - first) * width).reshape(-1, width)
+        first = last
+    size = np.diff(offsets)
+    out = np.full(n, len(FORMS))
+    for k in range(len(FORMS) - 1, -1, -1):
+        out[counts[:, k] > size * FORMS[k][2]] = k
+    return out
 
 
-def form_topic(text: Column) -> Column:
-    """The kind of text by its characters: table, symbols, shouting, lines or prose."""
-    text = F.coalesce(text, F.lit(""))
-    size = F.length(text)
-    count = lambda chars: size - F.length(F.translate(text, chars, ""))
-    return (
-        F.when(count("|") * 50 > size, "table")
-        .when(count("#*$%&<>") * 50 > size, "symbols")
-        .when(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") * 4 > size, "shouting")
-        .when(count("\n") * 100 > size, "lines")
-        .otherwise("prose")
-    )
+_FORM_NAMES = pa.array([*(name for name, _, _ in FORMS), PROSE], pa.string())
 
 
-def features(df: DataFrame, source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """df with mix_source, mix_lang, topic and n_tokens."""
-    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN))
-    return df.withColumns({"mix_source": known(source_col), "mix_lang": known(lang_col), "topic": form_topic(F.col(text_col)), "n_tokens": word_tokens(F.col(text_col))})
+def _known(column: Column) -> Column:
+    return F.coalesce(column.cast("string"), F.lit(UNKNOWN))
+
+
+def features(df: DataFrame, path: str, id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
+    """id, mix_source, mix_lang, topic, n_tokens of every row; path: the rank file of the tokenizer."""
+    python_workers(df.sparkSession)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            n = pa.array([len(encode(path, t)) for t in texts.to_pylist()], pa.int64())
+            topic = batch.column("topic") if topic_col else _FORM_NAMES.take(pa.array(form_topics(*text_buffer(texts))))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mix_source"), batch.column("mix_lang"), topic, n], names=["id", *DIMENSIONS, "n_tokens"])
+
+    topic = _known(F.col(topic_col)) if topic_col else F.lit("")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), _known(F.col(source_col)).alias("mix_source"), _known(F.col(lang_col)).alias("mix_lang"), topic.alias("topic"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(read, "id long, mix_source string, mix_lang string, topic string, n_tokens long")
 
 
 def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFrame:
@@ -70,46 +120,58 @@ def tempered(cells: DataFrame, dimension: str, power: float = POWER) -> DataFram
     return cells.groupBy(dimension).agg(F.pow(F.sum("weight"), F.lit(power)).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def goals_of(cells: DataFrame, dimension: str, shares: DataFrame, total: float) -> DataFrame:
+    """k, goal: the weight that each value of a dimension shall have. Values without a share keep their own weight."""
+    own = cells.groupBy(dimension).agg(F.sum("weight").alias("w")).join(shares.select(F.col(dimension).alias("k"), "target"), F.col(dimension) == F.col("k"), "left")
+    own = materialise(own.select(F.col(dimension).alias("k"), "w", "target"), "targets")
+    free = own.agg(F.sum(F.when(F.col("target").isNull(), F.col("w"))).alias("kept"), F.sum("target").alias("given")).first()
+    room = total - (free["kept"] or 0.0)
+    return own.select("k", F.when(F.col("target").isNull(), F.col("w")).otherwise(F.col("target") * F.lit(room / (free["given"] or 1.0))).alias("goal"))
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
     """cells (dimensions, weight > 0) with ratio: raked over original weight.
 
-    targets: dimension -> (value, target), positive shares of any sum; values without cells are ignored.
+    targets: dimension -> (value, target), shares of any sum; values without cells are ignored, those without a target keep
+    their weight. Without convergence it raises ArithmeticError, or warns if not strict.
     """
     now = materialise(cells.withColumn("raked", F.col("weight")), "cells")
     total = now.agg(F.sum("weight")).first()[0] or 1.0
-    present = {}
-    for d, shares in targets.items():
-        own = materialise(now.select(d).distinct().join(shares, d), "targets")
-        whole = own.agg(F.sum("target")).first()[0] or 1.0
-        present[d] = own.select(F.col(d).alias("k"), (F.col("target") * F.lit(total / whole)).alias("goal"))
+    goals = {d: small(goals_of(now, d, shares, total)) for d, shares in targets.items()}
+    worst = None
     for _ in range(rounds):
         step = now
-        for d, goals in present.items():
-            sums = step.groupBy(d).agg(F.sum("raked").alias("s")).join(goals, F.col(d) == F.col("k")).select("k", (F.col("goal") / F.col("s")).alias("scale"))
+        for d, goal in goals.items():
+            sums = step.groupBy(d).agg(F.sum("raked").alias("s")).join(goal, F.col(d) == F.col("k")).select("k", F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(0.0).alias("scale"))
             step = step.join(sums, F.col(d) == F.col("k"))
-            step = step.withColumns({"raked": F.col("raked") * F.col("scale"), f"scale_{d}": F.col("scale")}).drop("k", "scale")
-        now = materialise(step, "cells")
-        worst = now.agg(F.max(F.greatest(*[F.abs(F.col(f"scale_{d}") - 1) for d in present], F.lit(0.0)))).first()[0]
-        now = now.drop(*[f"scale_{d}" for d in present])
+            step = step.withColumns({"raked": F.col("raked") * F.col("scale"), f"off_{d}": F.when(F.col("raked") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0)}).drop("k", "scale")
+        after = materialise(step, "cells")
+        discard(now)
+        worst = after.agg(F.max(F.greatest(*[F.col(f"off_{d}") for d in goals], F.lit(0.0)))).first()[0]
+        now = after.drop(*[f"off_{d}" for d in goals])
+        now._ridgecast_path = after._ridgecast_path
         if worst is None or worst < tolerance:
             break
     else:
-        warnings.warn(f"raking ended after {rounds} rounds with scales up to {worst:.2g} off", stacklevel=2)
+        said = f"raking ended after {rounds} rounds with scales up to {worst:.2g} off: the targets contradict each other or the cells"
+        if strict:
+            raise ArithmeticError(said)
+        warnings.warn(said, stacklevel=2)
     return now.withColumn("ratio", F.col("raked") / F.col("weight")).drop("raked")
 
 
-def rake_pooled(cells: DataFrame, targets: dict[str, DataFrame], share: float = POOL_SHARE) -> DataFrame:
+def rake_pooled(cells: DataFrame, targets: dict[str, DataFrame], share: float = POOL_SHARE, strict: bool = True) -> DataFrame:
     """rake() of the cells with at least a share of the weight; the lighter ones take the largest ratio of these."""
     least = (cells.agg(F.sum("weight")).first()[0] or 0.0) * share
-    raked = materialise(rake(cells.filter(F.col("weight") >= least), targets), "raked")
+    raked = materialise(rake(cells.filter(F.col("weight") >= least), targets, strict=strict), "raked")
     most = raked.agg(F.max("ratio")).first()[0] or 1.0
     return raked.unionByName(cells.filter(F.col("weight") < least).withColumn("ratio", F.lit(float(most))))
 
 
 def sampling_constant(cells: DataFrame, fraction: float | None = None) -> float:
     """1 over the largest ratio; with a fraction c such that sum(weight * min(1, c * ratio)) is that part of sum(weight)."""
-    ends = cells.agg(F.sum("weight").alias("w"), F.min("ratio").alias("lo"), F.max("ratio").alias("hi")).first()
-    if not ends["w"]:
+    ends = cells.agg(F.sum("weight").alias("w"), F.min(F.when(F.col("ratio") > 0, F.col("ratio"))).alias("lo"), F.max("ratio").alias("hi")).first()
+    if not ends["w"] or not ends["hi"]:
         return 0.0
     if fraction is None:
         return 1 / ends["hi"]
@@ -125,23 +187,49 @@ def sampling_constant(cells: DataFrame, fraction: float | None = None) -> float:
     return high
 
 
-def mix(df: DataFrame, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", seed: str = "mix", **columns: str) -> DataFrame:
-    """df with mix_source, mix_lang, topic, n_tokens, probability and sampled.
-
-    targets: shares by dimension (mix_source, mix_lang, topic); tempered marginals where none are given.
-    """
-    rows = features(df, **columns)
+def chances(rows: DataFrame, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row for each cell of a table of features(): k_<dimension> and k_p, the sampling probability."""
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("weight")).filter("weight > 0")
     cells = materialise(cells, "cells")
-    raked = rake_pooled(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS})
+    raked = rake_pooled(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}, strict=False)
     raked = materialise(raked, "raked")
     c = sampling_constant(raked, fraction)
-    chances = raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("k_p"))
-    same = [F.col(d) == F.col(f"k_{d}") for d in DIMENSIONS]
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    out = rows.join(small(chances), same, "left").withColumn("probability", F.coalesce("k_p", F.lit(0.0)))
-    return out.withColumn("sampled", draw < F.col("probability")).drop("k_p", *[f"k_{d}" for d in DIMENSIONS])
+    return raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("k_p"))
+
+
+def draw(doc_id: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the id alone."""
+    return F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+
+def mix(df: DataFrame, path: str, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None, seed: str = "mix", **columns: str) -> DataFrame:
+    """One row for each row of df: id, mix_source, mix_lang, topic, n_tokens, probability, sampled.
+
+    targets: shares by dimension (mix_source, mix_lang, topic); tempered marginals where none are given. columns: as in features().
+    """
+    rows = materialise(features(df, path, **columns), "features")
+    known = small(chances(rows, fraction, power, targets))
+    out = rows.join(known, [F.col(d) == F.col(f"k_{d}") for d in DIMENSIONS], "left").withColumn("probability", F.coalesce("k_p", F.lit(0.0)))
+    return out.withColumn("sampled", draw(F.col("id"), seed) < F.col("probability")).select("id", *DIMENSIONS, "n_tokens", "probability", "sampled")
+
+
+def keep_sampled(df: DataFrame, path: str, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """The rows of df that mix() samples, unchanged. The rows themselves are not shuffled: each looks its cell's probability up."""
+    rows = materialise(features(df, path, id_col, source_col, lang_col, text_col), "features")
+    known = small(chances(rows, fraction, power, targets))
+    own = [f"__{d}" for d in DIMENSIONS]
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topic = _FORM_NAMES.take(pa.array(form_topics(*text_buffer(batch.column(text_col)))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, topic], names=[*batch.schema.names, own[2]])
+
+    named = df.mapInArrow(name, T.StructType([*df.schema.fields, T.StructField(own[2], T.StringType())]))
+    named = named.withColumns({own[0]: _known(F.col(source_col)), own[1]: _known(F.col(lang_col))})
+    found = named.join(known, [F.col(o) == F.col(f"k_{d}") for o, d in zip(own, DIMENSIONS, strict=True)])
+    return found.filter(draw(F.col(id_col).cast("long"), seed) < F.col("k_p")).select(*[named[c] for c in df.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic", "n_tokens", "probability", "sampled")
+    rows = mix(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic", "n_tokens", "probability", "sampled")

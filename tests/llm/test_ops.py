@@ -395,14 +395,14 @@ def brute_components(rows, words=3, percent=90):
     return [(d, len(s), min((x for x in low[root(i)] if x is not None), default=None)) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("leaf", [2048, 8])
-def test_jaccard_components(docs, rows, monkeypatch, leaf):
+@pytest.mark.parametrize("leaf, words, percent", [(2048, 3, 90), (8, 3, 90), (2048, 5, 80), (8, 5, 80)])
+def test_jaccard_components(docs, rows, monkeypatch, leaf, words, percent):
     monkeypatch.setattr(jaccard_join, "LEAF_CLASSES", leaf)
-    got = jaccard_join.jaccard_components(docs)
-    assert ordered(got) == sorted(brute_components([r[:2] for r in rows]), key=str)
+    got = jaccard_join.jaccard_components(docs, words=words, percent=percent)
+    assert ordered(got) == sorted(brute_components([r[:2] for r in rows], words, percent), key=str)
 
 
-def test_jaccard_family(spark):
+def test_jaccard_family(spark, monkeypatch):
     """A large family around the threshold, cut into regions, windows and blocks."""
     rng = np.random.default_rng(11)
     base = [f"w{i}" for i in range(80)]
@@ -416,12 +416,26 @@ def test_jaccard_family(spark):
     want = sorted(brute_components(rows), key=str)
     assert len({r[2] for r in want}) > 3
     assert ordered(jaccard_join.jaccard_components(df)) == want
-    limit = jaccard_join.LEAF_CLASSES
-    jaccard_join.LEAF_CLASSES = 40
-    try:
+    monkeypatch.setattr(components, "HEAVY", 20)
+    for leaf, pivots in ((40, 8), (40, 1), (12, 3)):
+        monkeypatch.setattr(jaccard_join, "LEAF_CLASSES", leaf)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
         assert ordered(jaccard_join.jaccard_components(df)) == want
-    finally:
-        jaccard_join.LEAF_CLASSES = limit
+
+
+def test_jaccard_template(spark, monkeypatch):
+    """Texts that are alike without being near: the marks overlap, the pivots' cells stay small and the rest is joined by blocks."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for i in range(150):
+        words = [f"t{k}" for k in range(60)]
+        for k in rng.choice(60, 5, replace=False):
+            words[k] = f"v{rng.integers(0, 3)}"
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(jaccard_join, "LEAF_CLASSES", 16)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), words=1, percent=95)
+    assert ordered(got) == sorted(brute_components(rows, 1, 95), key=str)
 
 
 def test_marks_lose_no_pair():
@@ -432,9 +446,10 @@ def test_marks_lose_no_pair():
             keep = a[rng.random(len(a)) < rng.uniform(0.85, 1)]
             b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 4))).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
+            often = np.unique(rng.choice(a, len(a) // 3, replace=False)) if len(a) > 2 else a[:0]
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
-                owner, marks = jaccard_join.trie_marks([a, b], percent)
-                assert set(marks[owner == 0].tolist()) & set(marks[owner == 1].tolist())
+                x, y = jaccard_join.prefix_marks([a, b], (often, rng.permutation(len(often))), percent)
+                assert set(x.tolist()) & set(y.tolist())
 
 
 def test_jaccard_empty(empty):
