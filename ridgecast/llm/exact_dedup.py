@@ -4,34 +4,46 @@ Texts are equal when they are identical after deleting ASCII white space. Each t
 that normal form; the index holds one stored key per live digest. A cuckoo filter in front answers "not here"
 without touching the stored keys; a hit is verified against the keys of its content bucket, so a false positive
 of the filter never merges two texts. When an insertion finds no free slot the filter is rebuilt at twice
-the size from the stored keys.
+the size from the stored keys. The index table holds the keys and, for each shard, the filter itself, so that updates and
+look-ups start from the stored filter.
+
+A live index also keeps its members (one row for each inserted row). A deletion removes the members that it names, and nothing if
+there are none; the digests it touches elect their next representative from the members that are left, or leave the filter and
+the keys with the last one.
 
 Skew: every scan task first folds its own rows into a local index, so a digest reaches its shard at most once per
-task, however many copies there are. The join back to the rows is an inner equi-join that AQE can split.
+task, however many copies there are. The join back to the rows deals the rows of a digest with very many copies over several
+tasks.
 
-Defined cases: a null text counts as empty; rows repeated with the same id are counted each time; of equal texts the
-one with most code points, then the smallest id, stays; an empty table gives an empty result; other columns
-are ignored.
+Defined cases: a null text counts as empty; of equal texts the row with most code points, then the smallest id (a null id comes
+last), stays, and of rows that tie in both exactly one; rows repeated with the same id are counted each; an empty table gives an
+empty result; other columns are ignored by exact_dedup() and kept by drop_copies().
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, materialise, python_workers
+from .common import SPACES, documents, materialise, python_workers, small
+from .components import HEAVY, spread_join
 
 #: Target number of stored keys in one shard.
 SHARD_KEYS = 250_000
 SLOTS = 4
 MAX_KICKS = 200
 
-KEYS_SCHEMA = "shard int, digest binary, keep_id long, keep_chars long, n long"
-PARTIAL_SCHEMA = "digest binary, keep_id long, keep_chars long, n long"
-_PARTIAL_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("n", pa.int64())])
+#: keep_row: the representative's row number in the table that brought it. A shard's filter is a row of its own, without a digest.
+KEYS_SCHEMA = "shard int, digest binary, keep_id long, keep_chars long, n long, keep_row long, filter binary"
+PARTIAL_SCHEMA = "digest binary, keep_id long, keep_chars long, n long, keep_row long"
+_PARTIAL_ARROW = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_chars", pa.int64()), ("n", pa.int64()), ("keep_row", pa.int64())])
+#: What a change does to a key: add copies, put a new representative and count in its place, take it out.
+INSERT, REPLACE, REMOVE = 0, 1, 2
 
 
 class CuckooFilter:
@@ -41,6 +53,19 @@ class CuckooFilter:
         self.mask = n_buckets - 1
         self.table: list[list[int]] = [[] for _ in range(n_buckets)]
 
+    def to_bytes(self) -> bytes:
+        slots = np.zeros((len(self.table), SLOTS), "<u2")
+        for k, bucket in enumerate(self.table):
+            slots[k, : len(bucket)] = bucket
+        return slots.tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> CuckooFilter:
+        slots = np.frombuffer(raw, "<u2").reshape(-1, SLOTS).tolist()
+        out = cls(1)
+        out.mask, out.table = len(slots) - 1, [[fp for fp in bucket if fp] for bucket in slots]
+        return out
+
     @staticmethod
     def fingerprint(digest: bytes) -> int:
         return (digest[8] << 8 | digest[9]) or 1
@@ -98,7 +123,7 @@ class CuckooIndex:
         return int.from_bytes(digest[10:16], "big")
 
     def find(self, digest: bytes) -> list | None:
-        """The stored key [digest, keep_id, keep_chars, n], or None. The filter goes first."""
+        """The stored key [digest, keep_id, keep_chars, n, keep_row], or None. The filter goes first."""
         if not self.filter.contains(digest):
             return None
         for key in self.content.get(self._address(digest), ()):
@@ -106,36 +131,47 @@ class CuckooIndex:
                 return key
         return None
 
-    def insert(self, digest: bytes, keep_id: int | None, keep_chars: int, n: int = 1) -> None:
+    def load(self, keys: list[list], stored: bytes | None) -> None:
+        """Stored keys with the filter that was stored with them (built anew without one)."""
+        for key in keys:
+            self.content.setdefault(self._address(key[0]), []).append(key)
+        self.live = len(keys)
+        if stored is not None:
+            self.filter = CuckooFilter.from_bytes(stored)
+        elif not all(self.filter.insert(key[0]) for key in keys):
+            self._rebuild()
+
+    def insert(self, digest: bytes, keep_id: int | None, keep_chars: int, n: int = 1, keep_row: int = 0) -> None:
         key = self.find(digest)
         if key is None:
-            self.content.setdefault(self._address(digest), []).append([digest, keep_id, keep_chars, n])
+            self.content.setdefault(self._address(digest), []).append([digest, keep_id, keep_chars, n, keep_row])
             self.live += 1
             if not self.filter.insert(digest):
                 self._rebuild()
             return
         key[3] += n
-        if _better(keep_chars, keep_id, key[2], key[1]):
-            key[1], key[2] = keep_id, keep_chars
+        if _better((keep_chars, keep_id, keep_row), (key[2], key[1], key[4])):
+            key[1], key[2], key[4] = keep_id, keep_chars, keep_row
 
-    def delete(self, digest: bytes, doc_id: int | None = None, n: int = 1) -> bool:
-        """Take n copies away; the digest leaves the index with its last copy.
+    def replace(self, digest: bytes, keep_id: int | None, keep_chars: int, n: int, keep_row: int = 0) -> bool:
+        """Another representative and count for a live digest."""
+        key = self.find(digest)
+        if key is None:
+            return False
+        key[1:] = [keep_id, keep_chars, n, keep_row]
+        return True
 
-        If the copy that stays (keep_id) is the one deleted, the key has no representative until the next insertion.
-        """
+    def delete(self, digest: bytes) -> bool:
+        """Take a digest out of the stored keys and the filter."""
         key = self.find(digest)
         if key is None:
             return False
-        key[3] -= n
-        if key[3] <= 0:
-            bucket = self.content[self._address(digest)]
-            bucket.remove(key)
-            if not bucket:
-                del self.content[self._address(digest)]
-            self.filter.delete(digest)
-            self.live -= 1
-        elif doc_id is not None and key[1] == doc_id:
-            key[1], key[2] = None, -1
+        bucket = self.content[self._address(digest)]
+        bucket.remove(key)
+        if not bucket:
+            del self.content[self._address(digest)]
+        self.filter.delete(digest)
+        self.live -= 1
         return True
 
     def _rebuild(self) -> None:
@@ -154,41 +190,43 @@ class CuckooIndex:
             yield from bucket
 
 
-def _better(chars: int, doc_id, than_chars: int, than_id) -> bool:
-    if chars != than_chars:
-        return chars > than_chars
-    return doc_id is not None and (than_id is None or doc_id < than_id)
+def _better(one: tuple, other: tuple) -> bool:
+    """Whether (chars, id, row) stays before another: most code points, smallest id with null last, first row."""
+    rank = lambda x: (-x[0], x[1] is None, x[1] or 0, x[2])
+    return rank(one) < rank(other)
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars (code points of the original text), digest of the text without white space."""
+    """doc_id, n_chars (code points of the original text), digest of the text without white space, row (a number of its own)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return df.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.length(text).cast("long").alias("n_chars"),
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
 def _emit(index: CuckooIndex, rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    out: list[list] = [[], [], [], []]
+    out: list[list] = [[] for _ in _PARTIAL_ARROW]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTIAL_ARROW, strict=True)], schema=_PARTIAL_ARROW)
     for key in index.keys():
         for column, value in zip(out, key, strict=True):
             column.append(value)
         if len(out[0]) >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTIAL_ARROW, strict=True)], schema=_PARTIAL_ARROW)
-            out = [[], [], [], []]
+            yield batch()
+            out = [[] for _ in _PARTIAL_ARROW]
     if out[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _PARTIAL_ARROW, strict=True)], schema=_PARTIAL_ARROW)
+        yield batch()
 
 
 def _fold_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's rows into a local index: doc_id, n_chars, digest -> stored keys."""
+    """One task's rows into a local index: doc_id, n_chars, digest, row -> stored keys."""
     index = CuckooIndex()
     for batch in batches:
-        ids, chars, digest = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "n_chars", "digest"))
-        for d, c, h in zip(ids, chars, digest, strict=True):
-            index.insert(h, d, c)
+        ids, chars, digest, row = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "n_chars", "digest", "row"))
+        for d, c, h, r in zip(ids, chars, digest, row, strict=True):
+            index.insert(h, d, c, 1, r)
     yield from _emit(index)
 
 
@@ -196,71 +234,133 @@ def _shard_of(n_shards: int):
     return F.pmod(F.xxhash64("digest"), F.lit(n_shards)).cast("int")
 
 
+_FIELDS = ("digest", "keep_id", "keep_chars", "n", "keep_row")
+
+
 def _apply_shard(stored: pa.Table, changes: pa.Table) -> pa.Table:
-    """Stored keys of a shard after its changes; deletions (n < 0) come after insertions."""
+    """Stored keys and filter of a shard after its changes (one for each digest and kind, of which insertions come last)."""
     index = CuckooIndex()
     shard = (stored if stored.num_rows else changes).column("shard")[0].as_py()
-    for row in stored.to_pylist():
-        index.insert(row["digest"], row["keep_id"], row["keep_chars"], row["n"])
-    for row in (rows := changes.to_pylist()):
-        if row["n"] > 0:
-            index.insert(row["digest"], row["keep_id"], row["keep_chars"], row["n"])
-    for row in rows:
-        if row["n"] < 0:
-            index.delete(row["digest"], row["keep_id"], -row["n"])
-    keys = list(index.keys())
-    return pa.table(
-        {
-            "shard": pa.array([shard] * len(keys), pa.int32()),
-            "digest": pa.array([k[0] for k in keys], pa.binary()),
-            "keep_id": pa.array([k[1] for k in keys], pa.int64()),
-            "keep_chars": pa.array([k[2] for k in keys], pa.int64()),
-            "n": pa.array([k[3] for k in keys], pa.int64()),
-        }
-    )
+    rows = stored.to_pylist()
+    index.load([[row[f] for f in _FIELDS] for row in rows if row["digest"] is not None], next((row["filter"] for row in rows if row["digest"] is None), None))
+    for row in sorted(changes.to_pylist(), key=lambda x: -x["op"]):
+        if row["op"] == REMOVE:
+            index.delete(row["digest"])
+        elif row["op"] == REPLACE:
+            index.replace(*(row[f] for f in _FIELDS))
+        else:
+            index.insert(*(row[f] for f in _FIELDS))
+    keys = [*index.keys(), [None] * len(_FIELDS)]
+    columns = {"shard": pa.array([shard] * len(keys), pa.int32())}
+    for k, (name, kind) in enumerate(zip(_FIELDS, _PARTIAL_ARROW.types, strict=True)):
+        columns[name] = pa.array([key[k] for key in keys], kind)
+    columns["filter"] = pa.array([None] * (len(keys) - 1) + [index.filter.to_bytes()], pa.binary())
+    return pa.table(columns)
+
+
+def update_index(index: DataFrame | None, n_shards: int, changes: DataFrame) -> DataFrame:
+    """The index table after changes (op, digest, keep_id, keep_chars, n, keep_row). n_shards must stay the same for an index."""
+    changes = changes.withColumn("shard", _shard_of(n_shards)).select("shard", "op", *_FIELDS)
+    if index is None:
+        index = changes.sparkSession.createDataFrame([], KEYS_SCHEMA)
+    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_apply_shard, KEYS_SCHEMA)
 
 
-def empty_index(spark) -> DataFrame:
-    return spark.createDataFrame([], KEYS_SCHEMA)
+def insertions(rows: DataFrame) -> DataFrame:
+    """Changes that insert rows of digests()."""
+    return rows.select("doc_id", "n_chars", "digest", "row").mapInArrow(_fold_rows, PARTIAL_SCHEMA).withColumn("op", F.lit(INSERT))
 
 
-def update_index(index: DataFrame, n_shards: int, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> DataFrame:
-    """The index's stored keys after inserting and deleting rows of digests(). n_shards must stay the same for an index."""
-    spark = index.sparkSession
-    changes = spark.createDataFrame([], PARTIAL_SCHEMA)
-    if inserts is not None:
-        changes = changes.unionByName(inserts.select("doc_id", "n_chars", "digest").mapInArrow(_fold_rows, PARTIAL_SCHEMA))
-    if deletes is not None:
-        changes = changes.unionByName(deletes.select("digest", F.col("doc_id").alias("keep_id"), F.lit(-1).cast("long").alias("keep_chars"), F.lit(-1).cast("long").alias("n")))
-    changes = changes.withColumn("shard", _shard_of(n_shards)).select("shard", "digest", "keep_id", "keep_chars", "n")
-    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_apply_shard, KEYS_SCHEMA)
+def keys_of(index: DataFrame) -> DataFrame:
+    return index.filter("digest is not null").select("digest", "keep_id", "keep_chars", "n", "keep_row")
+
+
+@dataclass
+class LiveIndex:
+    """An index that takes insertions and deletions: the index table (None: nothing yet) and its members (digest, doc_id, n_chars)."""
+
+    n_shards: int
+    table: DataFrame | None = None
+    members: DataFrame | None = None
+
+    def insert(self, rows: DataFrame) -> LiveIndex:
+        """With the rows of digests() inserted."""
+        python_workers(rows.sparkSession)
+        rows = materialise(rows, "inserted")
+        new = rows.select("digest", "doc_id", "n_chars")
+        table = materialise(update_index(self.table, self.n_shards, insertions(rows)), "index")
+        return LiveIndex(self.n_shards, table, materialise(new if self.members is None else self.members.union(new), "members"))
 
+    def delete(self, rows: DataFrame) -> LiveIndex:
+        """Without the members that have the digest and id of a row of digests(); rows that name no member change nothing."""
+        if self.members is None:
+            return self
+        python_workers(rows.sparkSession)
+        named = materialise(rows.select(F.col("digest").alias("d"), F.col("doc_id").alias("i")).distinct(), "deleted")
+        same = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i"))
+        touched = materialise(self.members.join(named, same, "left_semi").select(F.col("digest").alias("t")).distinct(), "touched")
+        left = materialise(self.members.join(named, same, "left_anti"), "members")
+        best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i")))
+        elected = left.join(touched, F.col("digest") == F.col("t"), "left_semi").groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("n"))
+        elected = elected.select(F.col("digest").alias("e"), F.col("b.i").alias("keep_id"), (-F.col("b.c")).alias("keep_chars"), "n")
+        changes = touched.join(elected, F.col("t") == F.col("e"), "left").select(F.col("t").alias("digest"), "keep_id", "keep_chars", "n", F.lit(0).cast("long").alias("keep_row"), F.when(F.col("e").isNull(), REMOVE).otherwise(REPLACE).alias("op"))
+        return LiveIndex(self.n_shards, materialise(update_index(self.table, self.n_shards, changes), "index"), left)
 
-def lookup(index: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows of digests() with keep_id and group size of their stored key (null where the digest isn't live)."""
-    keys = index.select(F.col("digest").alias("k"), "keep_id", F.col("n").alias("group_size"))
-    return rows.join(keys, F.col("digest") == F.col("k"), "left").drop("k")
+    def lookup(self, rows: DataFrame) -> DataFrame:
+        """rows of digests() with keep_id and group_size of their stored key (null where the digest isn't live).
+
+        Distinct digests go through the stored filters first; only hits meet the stored keys.
+        """
+        python_workers(rows.sparkSession)
+        probes = rows.select("digest").distinct().withColumn("shard", _shard_of(self.n_shards))
+        filters = self.table.filter("digest is null").select("shard", "filter")
+
+        def hits(stored: pa.Table, asked: pa.Table) -> pa.Table:
+            known = CuckooFilter.from_bytes(stored.column("filter")[0].as_py()) if stored.num_rows else None
+            return pa.table({"hit": pa.array([d for d in asked.column("digest").to_pylist() if known and known.contains(d)], pa.binary())})
+
+        found = filters.groupBy("shard").cogroup(probes.groupBy("shard")).applyInArrow(hits, "hit binary")
+        keys = keys_of(self.table).join(found, F.col("digest") == F.col("hit")).select(F.col("digest").alias("k"), "keep_id", F.col("n").alias("group_size"))
+        return rows.join(keys, F.col("digest") == F.col("k"), "left").drop("k")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_keys: int = SHARD_KEYS) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
     spark = df.sparkSession
     python_workers(spark)
     rows = materialise(digests(df, id_col, text_col), "digests")
     n_shards = max(1, -(-rows.count() // shard_keys), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index = update_index(empty_index(spark), n_shards, inserts=rows)
-    keys = index.select(F.col("digest").alias("k"), "keep_id", F.col("n").alias("group_size"))
-    return rows.join(keys, F.col("digest") == F.col("k")).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    keys = materialise(keys_of(update_index(None, n_shards, insertions(rows))), "keys")
+    heavy = materialise(keys.filter(F.col("n") > HEAVY).select(F.col("digest").alias("hk"), F.ceil(F.col("n") / HEAVY).cast("int").alias("parts")), "heavy")
+    keys = keys.select(F.col("digest").alias("k"), "keep_id", F.col("n").alias("group_size"), "keep_row")
+    found = spread_join(rows, keys, {"digest": "k"}, None if heavy.isEmpty() else small(heavy))
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that exact_dedup() keeps, unchanged.
+
+    Ids decide wherever an id is on one row. Where rows of different texts share an id, their digests decide, and of rows that
+    differ in nothing but white space and other columns one stays.
+    """
+    found = materialise(exact_dedup(df, id_col, text_col), "exact")
+    by_id = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.count_if("kept").alias("stay")).filter("stay = 0 or m > 1").select(F.col("doc_id").alias("__i"), F.col("stay").alias("__stay")), "ids")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col("__i"))
+    some = by_id.filter("__stay > 0")
+    kept = df.join(small(by_id.filter("__stay = 0")), own, "left_anti")
+    if some.isEmpty():
+        return kept
+    plain, odd = kept.join(small(some), own, "left_anti"), kept.join(small(some), own, "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    odd = odd.withColumns({"__n": F.length(text).cast("long"), "__sha": F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)})
+    right = materialise(found.filter("kept").select(F.col("doc_id").alias("__i"), F.col("n_chars").alias("__c"), F.col("text_sha256").alias("__h")).distinct(), "right")
+    odd = odd.join(small(right), own & (F.col("__n") == F.col("__c")) & (F.col("__sha") == F.col("__h")), "left_semi")
+    one = odd.groupBy(id_col, "__sha").agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("__one")).select("__one.*")
+    return plain.unionByName(one)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    return exact_dedup(documents(spark, sf_dir))
+    return exact_dedup(documents(spark, sf_dir)).drop("n_chars")
 
 
 OP10_SQL = r"""
@@ -271,8 +371,9 @@ WITH d AS (
 ), w AS (
   SELECT doc_id, text_sha256,
          first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS keep_id,
+         row_number() OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id) AS place,
          count(*) OVER (PARTITION BY text_sha256) AS group_size
   FROM d
 )
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM w
 """

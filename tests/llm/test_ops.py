@@ -489,7 +489,7 @@ def test_resynchronisation(rows, name):
 # 10: exact dedup
 
 
-def test_exact_dedup(docs, empty, rows):
+def test_exact_dedup(spark, docs, empty, rows):
     import hashlib
 
     groups = defaultdict(list)
@@ -497,12 +497,32 @@ def test_exact_dedup(docs, empty, rows):
         groups[re.sub(r"[\x20\x09-\x0D]", "", text or "")].append((-len(text or ""), doc_id is None, doc_id))
     want = []
     for key, members in groups.items():
-        keep = min(members)[2]
-        want += [(d, keep, len(members), d == keep, hashlib.sha256(key.encode()).hexdigest()) for _, _, d in members]
+        first, *others = sorted(members)
+        sha = hashlib.sha256(key.encode()).hexdigest()
+        want += [(first[2], first[2], len(members), True, sha, -first[0])] + [(d, first[2], len(members), False, sha, -n) for n, _, d in others]
     got = exact_dedup.exact_dedup(docs)
     assert ordered(got) == sorted(want, key=str) and exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_one_row_of_repeated_ids_stays(spark):
+    """Ids on rows of different texts, null ids, rows that tie in everything: one row of each text stays and no text is lost."""
+    rows = [(1, "a b", "x"), (1, "a  b", "x"), (1, "c", "x"), (2, "c ", "x"), (3, "d", "x"), (3, "d", "x"), (3, "d", "y"), (4, "e f", "x"), (4, "e\tf", "x"), (None, "g", "x"), (None, "g", "x"), (5, "h", "x"), (None, "h i", "x"), (6, None, "x"), (7, " ", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("kept", F.lit("clash"))
+    found = exact_dedup.exact_dedup(df)
+    assert found.filter("kept").count() == found.select("text_sha256").distinct().count() == 8
+    left = exact_dedup.drop_copies(df)
+    assert left.columns == df.columns
+    got = sorted(((r.doc_id or 0, r.text) for r in left.collect()))
+    assert got == [(0, "g"), (0, "h i"), (1, "a  b"), (2, "c "), (3, "d"), (4, "e\tf"), (5, "h"), (7, " ")]
+
+
+def test_heavy_digests_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 10)
+    rows = [(i, "same text" + " " * (i % 7), "s") for i in range(95)] + [(100, "other", "s")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == 96 and [r.doc_id for r in got if r.kept and r.group_size > 1] == [6] and {r.keep_id for r in got} == {6, 100}
+
+
 def test_cuckoo_index_grows_and_deletes():
     import hashlib
 
@@ -513,21 +533,33 @@ def test_cuckoo_index_grows_and_deletes():
         index.insert(k, i + 1, 2) if i % 2 else None
     assert index.rebuilds > 5 and index.live == len(keys) and all(index.find(k)[3] == 1 + i % 2 for i, k in enumerate(keys))
     assert index.find(keys[1])[1] == 2
+    again = exact_dedup.CuckooIndex()
+    again.load([list(k) for k in index.keys()], index.filter.to_bytes())
+    assert again.filter.table == index.filter.table and all(again.find(k) for k in keys)
     for k in keys[:5_000]:
-        assert index.delete(k)
-    assert index.find(keys[0]) is None and index.find(keys[1])[3] == 1 and index.delete(keys[1], 2) and index.find(keys[1]) is None
-    assert all(index.find(k) for k in keys[5_000:]) and not index.delete(keys[0])
+        assert again.delete(k)
+    assert again.find(keys[0]) is None and not again.delete(keys[0]) and again.live == 15_000
+    assert all(again.find(k) for k in keys[5_000:]) and again.replace(keys[6_000], 9, 9, 9) and again.find(keys[6_000])[1:4] == [9, 9, 9]
     missing = [hashlib.sha256(f"x{i}".encode()).digest() for i in range(5_000)]
-    assert not any(index.find(k) for k in missing)
-
-
-def test_index_as_tables(spark):
-    rows = exact_dedup.digests(spark.createDataFrame([(1, "a b"), (2, "ab"), (3, "c")], "doc_id long, text string"))
-    first = common.materialise(exact_dedup.update_index(exact_dedup.empty_index(spark), 4, inserts=rows), "i1")
-    assert sorted((r.keep_id, r.n) for r in first.collect()) == [(1, 2), (3, 1)]
-    second = exact_dedup.update_index(first, 4, inserts=exact_dedup.digests(spark.createDataFrame([(4, "abc  ")], "doc_id long, text string")), deletes=rows.filter("doc_id in (1, 3)"))
-    assert sorted((str(r.keep_id), r.n) for r in second.collect()) == [("4", 1), ("None", 1)]
-    assert {r.doc_id: r.group_size for r in exact_dedup.lookup(first, rows).collect()} == {1: 2, 2: 2, 3: 1}
+    assert not any(again.find(k) for k in missing)
+
+
+def test_live_index(spark):
+    """Deletions elect the next representative, ignore rows that were never inserted and empty a digest with its last member."""
+    table = lambda rows: exact_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = table([(1, "a b"), (2, "ab"), (5, "a  b"), (3, "c"), (None, "c")])
+    keys = lambda index: sorted((str(r.keep_id), r.keep_chars, r.n) for r in exact_dedup.keys_of(index.table).collect())
+    first = exact_dedup.LiveIndex(4).insert(rows)
+    assert keys(first) == [("3", 1, 2), ("5", 4, 3)]
+    second = first.delete(table([(5, "ab"), (9, "ab"), (1, "c"), (7, "nowhere")]))
+    assert keys(second) == [("1", 3, 2), ("3", 1, 2)]
+    third = second.delete(table([(3, "c"), (1, "ab")])).insert(table([(4, "a b  c")]))
+    assert keys(third) == [("2", 2, 1), ("4", 6, 1), ("None", 1, 1)]
+    last = third.delete(table([(None, "c"), (2, "ab")]))
+    assert keys(last) == [("4", 6, 1)]
+    found = {(r.doc_id, r.keep_id, r.group_size) for r in last.lookup(table([(1, "ab"), (8, "abc"), (9, "zz")])).collect()}
+    assert found == {(1, None, None), (8, 4, 1), (9, None, None)}
+    assert exact_dedup.LiveIndex(4).delete(rows).table is None
 
 
 # SQL twins and the pipeline
