@@ -5,11 +5,12 @@ else that could reach across it, so a text's count is the sum over its maximal r
 each distinct run is encoded once.
 
 Longer texts are encoded in overlapping chunks with offsets. Inside an overlap a splice point is a
-place where white space follows a character that is none: both encodings have a token boundary there
-whatever surrounds it (no pre-token holds white space after another character, and no normalisation reaches
-across), provided that the left chunk has seen the white space. The point is accepted only if the first tokens after
-it agree in both encodings as well. Without such a point the overlap is doubled; once it covers the whole left chunk
-the chunk itself is lengthened, so a text without white space ends up encoded in one piece.
+place where both encodings have a token boundary whatever surrounds it: white space that follows another character, or
+a change between ASCII letters, ASCII digits and plain punctuation (no pre-token holds two of these kinds, and no normalisation
+reaches across; apostrophes, which start contractions, and the characters of special strings are left out). The point is accepted
+only if the first tokens after it agree in both encodings as well. Without such a point the overlap is doubled; once it covers the
+whole left chunk that chunk is doubled itself, so a text without any splice point ends up encoded in one piece after work that is
+linear in its length.
 
 Defined cases: null is the empty text with no bytes and no tokens; repeated rows are counted each; an empty table
 gives an empty result; other columns are ignored.
@@ -17,6 +18,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,11 @@ MEMO_WORDS = 400_000
 
 OUTPUT = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
+#: Punctuation that begins no contraction and belongs to no special string.
+_PLAIN = re.escape("!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
+#: Matches the character at which two encodings may be joined.
+_BOUNDARY = re.compile(rf"(?<=[^{SPACES}])[{SPACES}]|(?<=[A-Za-z])[0-9{_PLAIN}]|(?<=[0-9])[A-Za-z{_PLAIN}]|(?<=[{_PLAIN}])[A-Za-z0-9]")
+
 _TOKENIZERS: dict[str, object] = {}
 _MEMO: dict[str, dict[str, int]] = {}
 
@@ -59,14 +66,13 @@ def _window(tok, text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarra
     return np.array([a for a, _ in found.offsets], np.int64) + start, np.array(found.ids, np.int64)
 
 
-def _splice(text: str, low: int, high: int, left, right) -> int | None:
-    """The last place in (low, high) at which left and right may be joined."""
-    for q in range(high - 1, low, -1):
-        if text[q] in SPACES and text[q - 1] not in SPACES:
-            a, b = (int(np.searchsorted(x[0], q)) for x in (left, right))
-            n = min(AGREE, len(left[0]) - a - 1)  # the left's last token may be cut
-            if n <= 0 or (np.array_equal(left[0][a : a + n], right[0][b : b + n]) and np.array_equal(left[1][a : a + n], right[1][b : b + n])):
-                return q
+def _splice(points: list[int], left, right) -> int | None:
+    """The last of the points at which left and right may be joined."""
+    for q in reversed(points):
+        a, b = (int(np.searchsorted(x[0], q)) for x in (left, right))
+        n = min(AGREE, len(left[0]) - a - 1)  # the left's last token may be cut
+        if n <= 0 or (np.array_equal(left[0][a : a + n], right[0][b : b + n]) and np.array_equal(left[1][a : a + n], right[1][b : b + n])):
+            return q
     return None
 
 
@@ -78,12 +84,14 @@ def resync_ids(tok, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> It
         width, cut = overlap, None
         while cut is None and end - width > kept_from:
             begin = end - width
-            stop = min(n, begin + max(chunk, 2 * width))
-            right = _window(tok, text, begin, stop)
-            cut = _splice(text, begin, end, left, right)
+            points = [m.start() for m in _BOUNDARY.finditer(text, begin + 1, end)]
+            if points:
+                stop = min(n, begin + max(chunk, 2 * width))
+                right = _window(tok, text, begin, stop)
+                cut = _splice(points, left, right)
             width *= 2
-        if cut is None:  # nowhere to join: a longer left chunk
-            end = min(n, end + chunk)
+        if cut is None:  # nowhere to join: twice the left chunk
+            end = min(n, 2 * end - start)
             left = _window(tok, text, start, end)
             continue
         yield left[1][np.searchsorted(left[0], kept_from) : np.searchsorted(left[0], cut)]

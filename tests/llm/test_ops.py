@@ -479,13 +479,32 @@ def test_token_counts(docs, empty, rows):
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_resynchronisation(rows, name):
     tok = token_counts.tokenizer(common.tokenizer_path(name))
-    for _, text, *_ in rows:
+    rng = np.random.default_rng(9)
+    odd = [(0, "".join(rng.choice(list("ab1'!<|>s.é\u0301 \n日"), 900).tolist())) for _ in range(20)]
+    for _, text, *_ in [*rows, *odd]:
         for chunk, overlap in ((40, 3), (500, 20), (100_000, 50)):
             text = (text or "")[:4000]
             got = np.concatenate([*token_counts.resync_ids(tok, text, chunk, overlap)])
             assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
+def test_huge_texts_without_white_space():
+    """Megabytes without white space take time in proportion, with and without splice points."""
+    import time
+
+    tok = token_counts.tokenizer(common.tokenizer_path("word_bpe_49k.json"))
+    mixed = "".join(f"ab{i % 977}Cd+{i % 31}/" for i in range(90_000))
+    plain = "".join(chr(0x4E00 + (i * 7919) % 20_000) for i in range(300_000))
+    for text in (mixed, plain, "é" * 200_001, "don't<|endoftext|>" * 4_000):
+        start = time.time()
+        whole = len(tok.encode(text, add_special_tokens=False).ids)
+        middle = time.time()
+        assert token_counts.resync_count(tok, text) == whole
+        assert time.time() - middle < 8 * (middle - start) + 2
+    start = time.time()
+    assert token_counts.resync_count(tok, mixed * 5) > 0 and time.time() - start < 60
+
+
 # 10: exact dedup
 
 
