@@ -1,15 +1,14 @@
 """Language identification by prediction by partial matching (PPM).
 
-Each language has a context tree over byte classes, of order three at most, with frozen counts. A byte's cost under
+Each language has a context tree over bytes, of order three at most, with frozen counts. A byte's cost under
 a language is its code length in bits: -log2 of its probability in the longest context that has seen it, plus the
 escapes from the longer contexts that have not (method C: d / (n + d) for a context with n symbols, d of them
-distinct; order -1 is uniform). A text's code length is the sum over all of its bytes; the shortest wins, and the score
-is that language's share of 2^-bits.
+distinct; order -1 is uniform over 256 bytes). A text's code length is the sum over all of its bytes; the shortest wins, and the
+score is that language's share of 2^-bits.
 
-Byte classes fold ASCII case and the case bit of two-byte letters, so the alphabet has 64 symbols (class 0 stands
-before a text's start). Frozen trees let every context be tabulated: one table holds each known
-four-symbol string's cost in all languages; strings that no language has seen pay the escape from their context
-and the tabulated cost of the shorter string. Scoring is then a gather and a sum over each Arrow batch.
+Byte 0 stands before a text's start as well. Frozen trees let every context be tabulated: for each order one table holds the known
+strings' costs in all languages, and one the escapes from the known contexts; a string that no language has seen pays the escape
+from its context and the cost of the shorter string. Scoring is a probe of a hash table, a gather and a sum over each Arrow batch.
 
 Training reads whole texts of a hash sample of about DOCS_PER_LANGUAGE labelled, not held-out documents of each language
 (the documented bound); counts are summed by Spark.
@@ -35,35 +34,20 @@ from .common import documents, held_out, python_workers, text_buffer
 
 #: Expected number of sampled training documents for a language.
 DOCS_PER_LANGUAGE = 1500
-SYMBOLS = 64
+#: Longest context, and the bits of a byte that no context has seen.
+ORDER, UNIFORM_BITS = 3, 8.0
 #: Bytes scored at once.
 BLOCK = 1 << 20
 UNDETERMINED = "und"
 
 
-def byte_classes() -> np.ndarray:
-    """The class of each byte: letters 1-26, digits 27, white space 28, 0xC3 29, continuation bytes 30-61, other lead bytes 62, the rest 63."""
-    out = np.full(256, 63, np.uint8)
-    for i in range(26):
-        out[ord("a") + i] = out[ord("A") + i] = 1 + i
-    out[ord("0") : ord("9") + 1] = 27
-    out[[9, 10, 11, 12, 13, 32]] = 28
-    out[0x80:0xC0] = 30 + (np.arange(0x80, 0xC0) & 0x1F)
-    out[0xC0:] = 62
-    out[0xC3] = 29
-    return out
-
-
-CLASSES = byte_classes()
-
-
 def strings_of(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte the code of the four symbols that end there; texts start after three symbols of class 0."""
+    """For each byte the four bytes that end there as one number; texts start after three bytes 0."""
     lengths = np.diff(offsets)
     at = np.arange(len(body)) + 3 * np.repeat(np.arange(1, len(lengths) + 1), lengths)
-    padded = np.zeros(len(body) + 3 * len(lengths) + 1, np.int32)
-    padded[at] = CLASSES[body]
-    code = (padded[:-3] << 18) | (padded[1:-2] << 12) | (padded[2:-1] << 6) | padded[3:]
+    padded = np.zeros(len(body) + 3 * len(lengths) + 1, np.uint32)
+    padded[at] = body
+    code = (padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]
     return code[at - 3]
 
 
@@ -74,67 +58,98 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in table["lang"].unique().to_pylist():
             texts = table.filter(pa.compute.equal(table["lang"], lang))["text"]
             code, n = np.unique(strings_of(*text_buffer(texts)), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code), pa.string()), "code": pa.array(code, pa.int32()), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code), pa.string()), "code": pa.array(code, pa.int64()), "n": pa.array(n, pa.int64())})
 
 
 @dataclass
 class PpmModel:
-    """Tabulated code lengths. known: sorted four-symbol codes; cost4: their costs; cost3 and escape3: by three-symbol code."""
+    """Tabulated code lengths, by order: the known strings (sorted) with their costs, the known contexts (sorted) with their escapes."""
 
     languages: list[str]
-    known: np.ndarray
-    cost4: np.ndarray
-    cost3: np.ndarray
-    escape3: np.ndarray
+    strings: list[np.ndarray]
+    costs: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
-    """counts: language -> (four-symbol codes, how often)."""
-    languages = sorted(counts)
-    known = np.unique(np.concatenate([counts[x][0] for x in languages])) if languages else np.zeros(0, np.int32)
-    size3 = SYMBOLS**3
-    cost4 = np.zeros((len(known) + 1, len(languages)), np.float32)
-    cost3 = np.zeros((size3, len(languages)), np.float32)
-    escape3 = np.zeros((size3, len(languages)), np.float32)
-    for k, lang in enumerate(languages):
-        code, n = counts[lang]
-        below = np.full(1, 1 / SYMBOLS)  # order -1, then the probabilities of each order's symbols
-        for order in range(4):
-            width = SYMBOLS ** (order + 1)
-            if order < 3:
-                seen = np.bincount(code % width, weights=n, minlength=width).reshape(-1, SYMBOLS)
-                total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-                whole = total + distinct
-                lower = below.reshape(-1, SYMBOLS) if order else np.full((1, SYMBOLS), 1 / SYMBOLS)
-                lower = np.tile(lower, (len(seen) // len(lower), 1))
-                escape = np.where(total > 0, distinct / np.maximum(whole, 1), 1.0)
-                below = np.where(seen > 0, seen / np.maximum(whole, 1), escape * lower).ravel()
-            else:
-                context = code // SYMBOLS
-                total = np.bincount(context, weights=n, minlength=size3)
-                distinct = np.bincount(context, minlength=size3)
-                escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
-                p = escape[known // SYMBOLS] * below[known % size3]
-                at = np.searchsorted(known, code)
-                p[at] = n / (total + distinct)[context]
-                cost4[:-1, k] = -np.log2(p)
-                cost3[:, k] = -np.log2(below)
-                escape3[:, k] = -np.log2(escape)
-    return PpmModel(languages, known.astype(np.int32), cost4, cost3, escape3)
-
+def _tail(code: np.ndarray, order: int) -> np.ndarray:
+    """The last order + 1 bytes."""
+    return code & np.uint32((1 << 8 * (order + 1)) - 1)
 
-_TABLES: dict[str, np.ndarray] = {}
 
-
-def _table(model: PpmModel) -> np.ndarray:
-    """Four-symbol code -> row of cost4 (its last row: unknown), built once in each worker."""
-    if model.key not in _TABLES:
-        _TABLES.clear()
-        rows = np.full(SYMBOLS**4, len(model.known), np.int32)
-        rows[model.known] = np.arange(len(model.known))
-        _TABLES[model.key] = rows
-    return _TABLES[model.key]
+def build_model(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> PpmModel:
+    """counts: language -> (four-byte strings, how often)."""
+    languages = sorted(counts)
+    model = PpmModel(languages, [], [], [], [])
+    for order in range(ORDER + 1):
+        seen = []
+        for lang in languages:
+            own, back = np.unique(_tail(counts[lang][0].astype(np.uint32), order), return_inverse=True)
+            seen.append((own, np.bincount(back, weights=counts[lang][1], minlength=len(own))))
+        strings = np.unique(np.concatenate([s for s, _ in seen])) if seen else np.zeros(0, np.uint32)
+        contexts, of = np.unique(strings >> np.uint32(8), return_inverse=True)
+        costs, escapes = np.zeros((len(strings), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
+        for k, (own, n) in enumerate(seen):
+            at = np.searchsorted(strings, own)
+            total = np.bincount(of[at], weights=n, minlength=len(contexts))
+            distinct = np.bincount(of[at], minlength=len(contexts))
+            known = total > 0
+            escapes[known, k] = -np.log2(distinct[known] / (total + distinct)[known])
+            shorter = model.costs[-1][np.searchsorted(model.strings[-1], _tail(strings, order - 1)), k] if order else UNIFORM_BITS
+            costs[:, k] = escapes[of, k] + shorter
+            costs[at, k] = -np.log2(n / (total + distinct)[of[at]])
+        model.strings.append(strings)
+        model.costs.append(costs)
+        model.contexts.append(contexts)
+        model.escapes.append(escapes)
+    return model
+
+
+class _Probe:
+    """A hash table from the known four-byte strings to their rows, at most a quarter full; len(strings) for others."""
+
+    def __init__(self, strings: np.ndarray):
+        self.bits = max(4, (4 * len(strings)).bit_length())
+        self.keys = np.zeros(1 << self.bits, np.uint32)
+        self.rows = np.full(1 << self.bits, -1, np.int32)
+        self.none = len(strings)
+        left, at = np.arange(len(strings)), self._place(strings)
+        while len(left):
+            free = np.flatnonzero(self.rows[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at[won]], self.rows[at[won]] = strings[left[won]], left[won]
+            stay = np.setdiff1d(np.arange(len(left)), won, assume_unique=True)
+            left, at = left[stay], (at[stay] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, code: np.ndarray) -> np.ndarray:
+        return ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - min(self.bits, 32))).astype(np.int64)
+
+    def __call__(self, code: np.ndarray) -> np.ndarray:
+        at = self._place(code)
+        rows, same = self.rows[at], self.keys[at] == code
+        out = np.where(same & (rows >= 0), rows, self.none)
+        left = np.flatnonzero(~same & (rows >= 0))
+        while len(left):
+            step = (at[left] + 1) & ((1 << self.bits) - 1)
+            at[left] = step
+            rows, same = self.rows[step], self.keys[step] == code[left]
+            hit = same & (rows >= 0)
+            out[left[hit]] = rows[hit]
+            left = left[~same & (rows >= 0)]
+        return out
+
+
+_PROBES: dict[str, _Probe] = {}
+
+
+def _table(model: PpmModel) -> _Probe:
+    """The model's hash table, built once in each worker."""
+    if model.key not in _PROBES:
+        _PROBES.clear()
+        _PROBES[model.key] = _Probe(model.strings[ORDER])
+    return _PROBES[model.key]
 
 
 def code_lengths(model: PpmModel, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -158,11 +173,28 @@ def code_lengths(model: PpmModel, body: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def _costs(model: PpmModel, table: np.ndarray, code: np.ndarray) -> np.ndarray:
-    rows = table[code]
-    cost = model.cost4[rows]
-    unknown = np.flatnonzero(rows == len(model.known))
-    cost[unknown] = model.escape3[code[unknown] >> 6] + model.cost3[code[unknown] & (SYMBOLS**3 - 1)]
+def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted numbers are in a sorted table, and which are."""
+    at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
+    return at, table[at] == wanted if len(table) else np.zeros(len(wanted), bool)
+
+
+def _costs(model: PpmModel, table: _Probe, code: np.ndarray) -> np.ndarray:
+    rows = table(code)
+    unknown = np.flatnonzero(rows == table.none)
+    rows[unknown] = 0
+    cost = model.costs[ORDER][rows] if table.none else np.zeros((len(code), len(model.languages)), np.float32)
+    cost[unknown] = 0
+    for order in range(ORDER, -1, -1):  # escape, then try the shorter string
+        if not len(unknown):
+            return cost
+        at, known = _find(model.contexts[order], _tail(code[unknown], order) >> np.uint32(8))
+        cost[unknown[known]] += model.escapes[order][at[known]]
+        if order:
+            at, known = _find(model.strings[order - 1], _tail(code[unknown], order - 1))
+            cost[unknown[known]] += model.costs[order - 1][at[known]]
+            unknown = unknown[~known]
+    cost[unknown] += UNIFORM_BITS
     return cost
 
 
@@ -177,7 +209,7 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     rates = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))])
     chance = F.pmod(F.xxhash64("id", F.lit("ppm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.filter(chance < F.element_at(rates, F.col("lang"))).select("lang", "text")
-    found = sample.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    found = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     return build_model({lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in found.groupby("lang")})
 
 

@@ -135,7 +135,7 @@ def test_packing_empty(empty):
 
 def brute_bits(texts_by_lang, text):
     """Code lengths by walking the contexts one by one."""
-    pad = lambda t: [0, 0, 0] + [int(ppm_langid.CLASSES[b]) for b in t.encode()]
+    pad = lambda t: [0, 0, 0, *t.encode()]
     out = {}
     for lang, texts in texts_by_lang.items():
         counts = [defaultdict(Counter) for _ in range(4)]
@@ -157,7 +157,7 @@ def brute_bits(texts_by_lang, text):
                     break
                 p *= d / (n + d)
             else:
-                p /= 64
+                p /= 256
             bits -= np.log2(p)
         out[lang] = bits
     return out
@@ -171,12 +171,33 @@ def test_ppm_code_lengths():
         code, n = np.unique(ppm_langid.strings_of(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in own])])), return_counts=True)
         counts[lang] = (code.astype(np.int64), n.astype(float))
     model = ppm_langid.build_model(counts)
-    for text in ("the hund", "xyz 123 größer", "That"):
+    for text in ("the hund", "xyz 123 größer", "That", "Привет мир", "κόσμε 日本", "aaaa\x00\x00zz"):
         raw = np.frombuffer(text.encode(), np.uint8)
         got = ppm_langid.code_lengths(model, raw, np.array([0, len(raw)]))[0]
         assert np.allclose(got, list(brute_bits(texts, text).values()), rtol=1e-5)
 
 
+def test_ppm_scripts(spark):
+    """Languages of scripts whose letters differ in their lead bytes alone are told apart."""
+    rng = np.random.default_rng(21)
+    alphabets = {"el": range(0x3B1, 0x3C9), "ru": range(0x430, 0x44F), "he": range(0x5D0, 0x5EA), "ar": range(0x628, 0x642), "ja": range(0x3042, 0x3090), "zh": range(0x4E00, 0x4F00)}
+    word = lambda a: "".join(chr(int(x)) for x in rng.choice(list(a), int(rng.integers(2, 8))))
+    rows = [(i, " ".join(word(a) for _ in range(12)), lang, "s", 1) for i, (lang, a) in enumerate(list(alphabets.items()) * 30)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in ppm_langid.predict(df, ppm_langid.train(df.filter("doc_id < 90"))).collect()}
+    assert all(got[r[0]] == r[2] for r in rows)
+
+
+def test_ppm_probe():
+    rng = np.random.default_rng(22)
+    keys = np.unique(rng.integers(0, 2**32, 5_000, dtype=np.uint64).astype(np.uint32))
+    probe = ppm_langid._Probe(keys)
+    other = rng.integers(0, 2**32, 5_000, dtype=np.uint64).astype(np.uint32)
+    asked = np.concatenate([keys, other])
+    known = {int(k): i for i, k in enumerate(keys)}
+    assert probe(asked).tolist() == [known.get(int(k), len(keys)) for k in asked]
+
+
 def test_ppm_long_text_in_blocks(monkeypatch):
     raw = np.frombuffer(("the cat sat " * 300).encode(), np.uint8)
     code, n = np.unique(ppm_langid.strings_of(raw[:100], np.array([0, 100])), return_counts=True)
