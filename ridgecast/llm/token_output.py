@@ -6,8 +6,10 @@ index (the task's first index plus its place in the task); a keyed Feistel netwo
 fixed-size record for each, so slot s lies at byte (s mod per_shard) * stride of shard s div per_shard: a reader
 goes through files front to back and resumes anywhere by arithmetic.
 
-Each shard is one range partition, sorted by slot and written by one task under a temporary name, then renamed: a
-retried task writes the same bytes again. Ids take two bytes where the vocabulary allows it, four otherwise; the last
+A range partition holds a run of shards, sorted by slot; one task writes them one after the other, each under a temporary name that is
+then renamed: a retried task writes the same bytes again. Shards are about 1 GB where there are enough sequences to keep the cores
+busy with such shards, and smaller below that (a power of two of at least LEAST_SHARD sequences); a manifest beside them says how
+many sequences each holds. Ids take two bytes where the vocabulary allows it, four otherwise; the last
 sequence of a task is padded with the end id.
 
 On the way (the written table of sequences and the shuffle) each sequence is compressed: ids become ranks by frequency in a
@@ -35,7 +37,10 @@ from .common import documents, fresh_path, materialise, python_workers, small, t
 from .packing import END_ID, encode
 
 LENGTH = 1024
-PER_SHARD = 4096
+#: Sequences in a shard: at most (1 GB of two-byte ids), and at least.
+MOST_SHARD, LEAST_SHARD = 1 << 19, 1 << 12
+#: Range partitions at most; beyond that each holds several shards.
+PARTITIONS = 20_000
 KEY = 0x5EED
 FEISTEL_ROUNDS = 6
 #: Documents (about) from which the ranks come.
@@ -44,6 +49,7 @@ RANK_DOCS = 2000
 ONE_BYTE, TWO_BYTES = 192, 192 + 63 * 256
 
 SEQUENCES = "part int, local long, n_tokens int, doc_ids array<long>, ids binary"
+MANIFEST = "n long, length int, per_shard long, id_bytes int, key long"
 WRITTEN = "slot long, shard long, byte_offset long, n_tokens int, doc_ids array<long>, ids_crc32 long, path string"
 
 
@@ -152,22 +158,28 @@ def sequences(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(run, SEQUENCES)
 
 
-def with_slots(table: DataFrame, key: int = KEY, per_shard: int = PER_SHARD) -> tuple[DataFrame, int]:
-    """A table of sequences() on disk with slot and shard; and the number of sequences."""
+def shard_size(n: int, cores: int) -> int:
+    """Sequences for each shard: as many as leave four shards for each core, within the bounds."""
+    return min(MOST_SHARD, max(LEAST_SHARD, 1 << max(0, (n // (4 * cores)).bit_length() - 1)))
+
+
+def with_slots(table: DataFrame, key: int = KEY, per_shard: int | None = None) -> tuple[DataFrame, int, int]:
+    """A table of sequences() on disk with slot and shard; the number of sequences; how many a shard holds."""
     spark = table.sparkSession
     counts = sorted((r["part"], r["n"]) for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each task
     n = sum(c for _, c in counts)
+    size = per_shard or shard_size(n, spark.sparkContext.defaultParallelism)
     firsts = np.concatenate([[0], np.cumsum([c for _, c in counts])])
     firsts = spark.createDataFrame([(p, int(f)) for (p, _), f in zip(counts, firsts, strict=False)], "p int, first long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             slot = permute(batch.column("index").to_numpy(), n, key)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot), pa.array((slot // per_shard).astype(np.int32))], names=[*batch.schema.names, "slot", "shard"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot), pa.array(slot // size)], names=[*batch.schema.names, "slot", "shard"])
 
     indexed = table.join(small(firsts), F.col("part") == F.col("p")).select("n_tokens", "doc_ids", "ids", (F.col("local") + F.col("first")).alias("index"))
-    schema = T.StructType([*indexed.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
-    return indexed.mapInArrow(run, schema), n
+    schema = T.StructType([*indexed.schema.fields, T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType())])
+    return indexed.mapInArrow(run, schema), n, size
 
 
 def _write(out_dir: str, per_shard: int, length: int, frequent: np.ndarray | None):
@@ -197,7 +209,7 @@ def _write(out_dir: str, per_shard: int, length: int, frequent: np.ndarray | Non
             stride = len(ids[0]) if ids else 0
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(slots), pa.array(shards.astype(np.int64)), pa.array(slots % per_shard * stride), batch.column("n_tokens"), batch.column("doc_ids"),
+                    pa.array(slots), pa.array(shards), pa.array(slots % per_shard * stride), batch.column("n_tokens"), batch.column("doc_ids"),
                     pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([f"{out_dir}/shard-{k:08d}.bin" for k in shards], pa.string()),
                 ],
                 names=["slot", "shard", "byte_offset", "n_tokens", "doc_ids", "ids_crc32", "path"],
@@ -207,20 +219,28 @@ def _write(out_dir: str, per_shard: int, length: int, frequent: np.ndarray | Non
     return run
 
 
-def materialise_order(df: DataFrame, path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, wide: bool = False) -> DataFrame:
-    """Write the shards under out_dir when the result is read; one row for each sequence, with its place."""
+def materialise_order(df: DataFrame, path: str, out_dir: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int | None = None, key: int = KEY, wide: bool = False) -> DataFrame:
+    """Write the shards under out_dir when the result is read (the manifest at once); one row for each sequence, with its place."""
     frequent = None if wide else frequent_ids(df, path, id_col, text_col)
-    table, n = with_slots(materialise(sequences(df, path, id_col, text_col, length, frequent=frequent), "sequences"), key, per_shard)
-    shards = max(1, -(-n // per_shard))
-    return table.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot").mapInArrow(_write(out_dir, per_shard, length, frequent), WRITTEN)
+    table, n, size = with_slots(materialise(sequences(df, path, id_col, text_col, length, frequent=frequent), "sequences"), key, per_shard)
+    shards = max(1, -(-n // size))
+    partitions = min(shards, PARTITIONS)
+    df.sparkSession.createDataFrame([(n, length, size, 4 if wide else 2, key)], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{out_dir}/manifest")
+    run = F.floor(F.col("shard") * partitions / shards).cast("int")
+    return table.repartitionById(partitions, run).sortWithinPartitions("slot").mapInArrow(_write(out_dir, size, length, frequent), WRITTEN)
+
+
+def read_manifest(spark, out_dir: str) -> dict:
+    """n, length, per_shard, id_bytes, key of a written order."""
+    return spark.read.schema(MANIFEST).json(f"{out_dir}/manifest").first().asDict()
 
 
-def read_order(out_dir: str, n: int, start: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD, wide: bool = False) -> Iterator[np.ndarray]:
-    """The id sequences of slots start .. n - 1, one shard after the other."""
+def read_order(out_dir: str, n: int, length: int, per_shard: int, id_bytes: int = 2, key: int = KEY, start: int = 0) -> Iterator[np.ndarray]:
+    """The id sequences of slots start .. n - 1, one shard after the other (read_order(out_dir, **read_manifest(spark, out_dir)))."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(out_dir)
-    kind = np.dtype("<u4" if wide else "<u2")
+    kind = np.dtype(f"<u{id_bytes}")
     stride, slot = length * kind.itemsize, start
     while slot < n:
         with store.open_input_file(f"{base}/shard-{slot // per_shard:08d}.bin") as file:

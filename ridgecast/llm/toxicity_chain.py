@@ -4,17 +4,17 @@ Categories are predicted one after the other; the model of a later category sees
 earlier ones. In training those probabilities are out of fold (each row's comes from a model that has not seen its
 fold), so that later models learn how far to trust them; in prediction they come from the model on all rows.
 
-Features are the presence of words of a vocabulary learned from the training sample: words in at least MIN_DOCS sampled
-documents with the largest chi-square against any category. No hashing, so long clean documents collect no stray
+Features are the presence of words of a vocabulary learned from the training sample: for each category its even share of the words in
+at least MIN_DOCS sampled documents, largest chi-square first. No hashing, so long clean documents collect no stray
 collisions. The sample is a hash sample of about TRAIN_DOCS labelled rows (the documented bound); every row is scored
 over its whole text. Feature counting, fitting (Spark ML) and scoring are all JVM-side.
 
-The labels table has one toxic label. The query derives a second, weak category from it for the chain: a document is
-"severe" if it is labelled toxic and holds at least SEVERE_WORDS of the SEVERE_VOCABULARY most telling words.
+The labels table has one toxic label and one of quality. The query's chain is low_quality, then toxic: both links learn from labels of
+their own, and the second sees the words and how likely the text is junk.
 
-Defined cases: null texts have no words and are not toxic; labels without a document or with a null are not used; without
-labels of both kinds nothing is toxic (probability 0); repeated rows are scored each; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: null texts have no words and are not toxic; labels without a document or with a null are not used; of several
+labels of one document the worst counts; without labels of both kinds nothing is toxic (probability 0); repeated rows are scored
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ TRAIN_DOCS = 20_000
 VOCABULARY = 512
 MIN_DOCS = 4
 FOLDS = 3
-SEVERE_WORDS = 3
-SEVERE_VOCABULARY = 64
+CATEGORIES = ["low_quality", "toxic"]
+ITERATIONS = 40
+#: Partitions of the training table, which is bounded by the sample.
+TRAIN_PARTITIONS = 8
 THRESHOLD = 0.4
 REGULARISATION = 1e-4
 
@@ -45,18 +47,19 @@ def words_of(text: Column) -> Column:
 
 
 def telling_words(rows: DataFrame, categories: list[str], size: int, min_docs: int = MIN_DOCS) -> list[str]:
-    """The words with the largest chi-square against any category (rows: words, one 0/1 column for each category)."""
+    """For each category its even share of `size` words, those with the largest chi-square (rows: words, one 0/1 column for each category)."""
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     n = totals["n"]
     each = rows.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count(F.lit(1)).alias("df"), *[F.sum(c).alias(c) for c in categories]).filter(F.col("df") >= min_docs)
-    scores = [F.lit(0.0)]
-    for c in categories:
-        share = (totals[c] or 0) / n if n else 0
-        if 0 < share < 1:
-            expected = F.col("df") * F.lit(share)
-            scores.append(F.pow(F.col(c) - expected, F.lit(2)) / (expected * F.lit(1 - share) * (1 - F.col("df") / F.lit(n + 1))))
-    score = F.greatest(*scores) if len(scores) > 1 else F.lit(0.0)
-    return [r["word"] for r in each.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "word").limit(size).collect()]
+    useful = [c for c in categories if 0 < (totals[c] or 0) < n]
+    out: list[str] = []
+    for c in useful:
+        share = totals[c] / n
+        expected = F.col("df") * F.lit(share)
+        score = F.pow(F.col(c) - expected, F.lit(2)) / (expected * F.lit(1 - share) * (1 - F.col("df") / F.lit(n + 1)))
+        found = each.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "word").limit(size // len(useful)).collect()
+        out += [r["word"] for r in found if r["word"] not in out]
+    return out
 
 
 @dataclass
@@ -90,11 +93,11 @@ def fit_chain(rows: DataFrame, categories: list[str], vocabulary: int = VOCABULA
     usable = [c for c in categories if words and 0 < (counts[c] or 0) < counts["n"]]
     if not usable:
         return Chain([], words, [])
-    data = materialise(_vectors(rows, words).select("id", "f0", F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"), *usable), "chain")
+    data = materialise(_vectors(rows, words).select("id", "f0", F.pmod(F.xxhash64("id"), F.lit(folds)).alias("fold"), *usable).coalesce(TRAIN_PARTITIONS), "chain")
     models = []
     for k, c in enumerate(usable):
         inputs = _inputs(data, k, usable).persist()
-        fit = LogisticRegression(featuresCol="x", labelCol=c, regParam=REGULARISATION, maxIter=40, standardization=False)
+        fit = LogisticRegression(featuresCol="x", labelCol=c, regParam=REGULARISATION, maxIter=ITERATIONS, standardization=False)
         models.append(fit.fit(inputs))
         if k + 1 < len(usable):
             parts = []
@@ -121,19 +124,16 @@ def score_chain(df: DataFrame, chain: Chain, categories: list[str], id_col: str
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCS) -> DataFrame:
-    """id, words, toxic of about `size` labelled documents."""
-    known = labels.filter("toxic is not null and doc_id is not null").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    n = known.count()
-    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit("chain")), F.lit(1 << 30)) < F.lit(int(min(1.0, size / max(n, 1)) * (1 << 30)))).dropDuplicates(["id"])
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", words_of(F.col("text")).alias("words"), "toxic")
+    """id, words, low_quality, toxic of about `size` labelled documents."""
+    known = labels.filter("toxic is not null and quality is not null and doc_id is not null")
+    known = known.groupBy(F.col("doc_id").alias("id")).agg((1 - F.min("quality")).cast("int").alias("low_quality"), F.max("toxic").cast("int").alias("toxic"))
+    rate = min(1.0, size / max(labels.count(), 1))
+    chosen = known.filter(F.pmod(F.xxhash64("id", F.lit("chain")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30))))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", words_of(F.col("text")).alias("words"), *CATEGORIES)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rows = materialise(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), "labelled")
-    telling = telling_words(rows, ["toxic"], SEVERE_VOCABULARY)
-    held = F.size(F.array_intersect("words", F.array(*[F.lit(w) for w in telling]).cast("array<string>")))
-    rows = rows.withColumn("severe", ((F.col("toxic") == 1) & (held >= SEVERE_WORDS)).cast("int"))
-    categories = ["severe", "toxic"]
-    scored = score_chain(docs, fit_chain(rows, categories), categories)
+    scored = score_chain(docs, fit_chain(rows, CATEGORIES), CATEGORIES)
     return scored.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)

@@ -225,6 +225,61 @@ def test_ppm_cases(docs, empty, rows):
 # 3: toxicity
 
 
+def newton(x, y, regularisation):
+    """Logistic regression with an unpenalised intercept, to convergence."""
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], regularisation)
+    penalty[-1] = 0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x.T * (p * (1 - p))) @ x / len(y) + np.diag(penalty), x.T @ (p - y) / len(y) + penalty * w)
+    return lambda z: 1 / (1 + np.exp(-np.column_stack([z, np.ones(len(z))]) @ w))
+
+
+def test_toxicity_chain_by_hand(spark, monkeypatch):
+    """Vocabulary, out-of-fold probabilities and both links against the same chain in numpy."""
+    monkeypatch.setattr(toxicity_chain, "ITERATIONS", 500)
+    monkeypatch.setattr(toxicity_chain, "REGULARISATION", 1e-2)
+    rng = np.random.default_rng(31)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    rows = []
+    for i in range(240):
+        held = sorted(set(rng.choice(words, 6).tolist()))
+        junk = int(("wa" in held) ^ (rng.random() < 0.1))
+        rows.append((i, held, junk, int(("wb" in held or (junk and "wc" in held)) ^ (rng.random() < 0.05))))
+    df = spark.createDataFrame(rows, "id long, words array<string>, low_quality int, toxic int")
+    chain = toxicity_chain.fit_chain(df, toxicity_chain.CATEGORIES, vocabulary=16)
+    n, want = len(rows), []
+    for k in (2, 3):
+        share = sum(r[k] for r in rows) / n
+        scores = []
+        for w in words:
+            df_, hits = sum(w in r[1] for r in rows), sum(r[k] for r in rows if w in r[1])
+            scores.append((-((hits - df_ * share) ** 2) / (df_ * share * (1 - share) * (1 - df_ / (n + 1))), w))
+        want += [w for _, w in sorted(scores)[:8] if w not in want]
+    assert chain.words == want
+    x = np.array([[w in r[1] for w in want] for r in rows], float)
+    y1, y2 = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    fold = np.array([r.f for r in df.select("id", F.pmod(F.xxhash64("id"), F.lit(3)).alias("f")).orderBy("id").collect()])
+    unseen = np.zeros(n)
+    for f in range(3):
+        unseen[fold == f] = newton(x[fold != f], y1[fold != f], 1e-2)(x[fold == f])
+    first, second = newton(x, y1, 1e-2), newton(np.column_stack([x, unseen]), y2, 1e-2)
+    p1 = first(x)
+    p2 = second(np.column_stack([x, p1]))
+    docs = spark.createDataFrame([(r[0], " ".join(r[1]), "en", "s", 1) for r in rows], SCHEMA)
+    got = sorted((r.doc_id, r.p_low_quality, r.p_toxic) for r in toxicity_chain.score_chain(docs, chain, toxicity_chain.CATEGORIES).collect())
+    assert np.allclose([g[1] for g in got], p1, atol=2e-3) and np.allclose([g[2] for g in got], p2, atol=2e-3)
+
+
+def test_worst_label_counts(spark):
+    docs = spark.createDataFrame([(i, "some words", "en", "s", 1) for i in range(3)], SCHEMA)
+    labels = spark.createDataFrame([(0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 1, 0), (2, None, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r.id, r.low_quality, r.toxic) for r in toxicity_chain.labelled_sample(docs, labels).collect())
+    assert got == [(0, 0, 1), (1, 1, 0), (2, 0, 0)]
+
+
 def test_toxicity_chain(spark, empty):
     rng = np.random.default_rng(1)
     words, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)], ["badone", "badtwo", "badthree"]
@@ -236,7 +291,7 @@ def test_toxicity_chain(spark, empty):
         labels.append((i, 1, int(toxic)))
     docs = spark.createDataFrame(rows + [(900, None, None, None, None), (901, "", "en", "s", 0)], SCHEMA)
     known = spark.createDataFrame([(i, q, t) for i, q, t in labels if i < 400] + [(None, 1, 1), (5, None, None), (12345, 1, 1)], "doc_id long, quality int, toxic int")
-    sample = toxicity_chain.labelled_sample(docs, known).withColumn("severe", (F.size(F.array_intersect("words", F.array(*map(F.lit, bad)))) >= 2).cast("int"))
+    sample = toxicity_chain.labelled_sample(docs, known).withColumn("severe", (F.size(F.array_intersect("words", F.array(*map(F.lit, bad)))) >= 2).cast("int")).drop("low_quality")
     chain = toxicity_chain.fit_chain(sample, ["severe", "toxic"])
     assert chain.categories == ["severe", "toxic"] and chain.models[1].numFeatures == len(chain.words) + 1
     got = {r.doc_id: r.p_toxic for r in toxicity_chain.score_chain(docs, chain, ["severe", "toxic"]).collect()}
@@ -338,29 +393,63 @@ def test_compressed_ids_round_trip():
             assert token_output.expand_ids(token_output.compress_ids(ids, token_output.ranks_of(chosen)), n, chosen).tolist() == ids.tolist()
 
 
-def test_wide_ids(docs, tmp_path):
+def test_wide_ids(spark, docs, tmp_path):
     out = f"file://{tmp_path}/wide"
     path = common.tokenizer_path("byte_bpe_50k.tiktoken")
     got = sorted(token_output.materialise_order(docs, path, out, length=64, per_shard=32, wide=True).collect(), key=lambda r: r.slot)
-    assert [zlib.crc32(x.tobytes()) for x in token_output.read_order(out, len(got), length=64, per_shard=32, wide=True)] == [r.ids_crc32 for r in got]
-
-
-def test_shards_round_trip(docs, empty, rows, tmp_path):
+    assert [zlib.crc32(x.tobytes()) for x in token_output.read_order(out, **token_output.read_manifest(spark, out))] == [r.ids_crc32 for r in got]
+
+
+def test_shard_sizes():
+    assert [token_output.shard_size(n, 8) for n in (0, 5_000, 1_000_000, 10**10)] == [4096, 4096, 16_384, 1 << 19]
+
+
+def feistel(x, n, key):
+    """The permutation one number at a time."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    mask, whole = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for r in range(token_output.FEISTEL_ROUNDS):
+            f = (right + key + (r + 1) * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 & whole
+            f = (f ^ (f >> 31)) * 0x94D049BB133111EB & whole
+            left, right = right, left ^ ((f ^ (f >> 29)) & mask)
+        x = (left << half) | right
+        if x < n:
+            return x
+
+
+def test_slot_order(spark, docs, tmp_path, monkeypatch):
+    """Every slot's ids and documents against texts joined, cut and permuted one by one."""
+    monkeypatch.setattr(token_output, "PARTITIONS", 3)
+    path, out, length = common.tokenizer_path("byte_bpe_50k.tiktoken"), f"file://{tmp_path}/order", 64
+    parts = defaultdict(list)
+    for r in docs.select("doc_id", "text", F.spark_partition_id().alias("p")).collect():
+        parts[r.p].append(r)
+    cut = []
+    for p in sorted(parts):
+        flat = [(i, r.doc_id) for r in parts[p] for i in [*packing.encode(path, r.text).tolist(), packing.END_ID]]
+        cut += [flat[a : a + length] for a in range(0, len(flat), length)]
+    want = {feistel(k, len(cut), token_output.KEY): s for k, s in enumerate(cut)}
+    assert sorted(want) == list(range(len(cut)))
+    got = {r.slot: r for r in token_output.materialise_order(docs, path, out, length=length, per_shard=16).collect()}
+    read = list(token_output.read_order(out, **token_output.read_manifest(spark, out)))
+    assert len(got) == len(read) == len(cut)
+    for slot, s in want.items():
+        ids = [i for i, _ in s]
+        assert read[slot].tolist() == ids + [packing.END_ID] * (length - len(ids))
+        assert got[slot].n_tokens == len(ids) and got[slot].doc_ids == list(dict.fromkeys(d for _, d in s))
+        assert got[slot].shard == slot // 16 and got[slot].byte_offset == slot % 16 * length * 2
+
+
+def test_shards_resume(docs, spark, empty, tmp_path):
     path = common.tokenizer_path("byte_bpe_50k.tiktoken")
     out = f"file://{tmp_path}/shards"
-    got = sorted(token_output.materialise_order(docs, path, out, length=64, per_shard=32).collect(), key=lambda r: r.slot)
-    assert [r.slot for r in got] == list(range(len(got)))
-    read = list(token_output.read_order(out, len(got), length=64, per_shard=32))
-    assert [zlib.crc32(x.tobytes()) for x in read] == [r.ids_crc32 for r in got]
-    late = list(token_output.read_order(out, len(got), start=len(got) // 2, length=64, per_shard=32))
-    assert all((a == b).all() for a, b in zip(read[len(got) // 2 :], late, strict=True))
-    want = Counter()
-    for _, text, *_ in rows:
-        want.update(packing.encode(path, text).tolist() + [2])
-    have = Counter()
-    for r, ids in zip(got, read, strict=True):
-        have.update(ids[: r.n_tokens].tolist())
-    assert have == want and {d for r in got for d in r.doc_ids} == {r[0] for r in rows}
+    n = token_output.materialise_order(docs, path, out, length=64, per_shard=32).count()
+    places = token_output.read_manifest(spark, out)
+    read = list(token_output.read_order(out, **places))
+    late = list(token_output.read_order(out, **places, start=n // 2))
+    assert len(read) == n and all((a == b).all() for a, b in zip(read[n // 2 :], late, strict=True))
     assert token_output.materialise_order(empty, path, out + "-none").count() == 0
 
 
