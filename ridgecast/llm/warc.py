@@ -2,22 +2,30 @@
 
 Each response gives a metadata record (source headers, title, language, link count) and a conversion record (visible text).
 Both refer to the response by WARC-Refers-To, carry its target URI and date and the digest of its payload, and the
-metadata record names the conversion record. Record ids are derived from the response's id, so a rerun gives the same
-ones. Extraction is a chain of regular expressions in the plan; write_warc() serialises records into gzip members.
+metadata record names the conversion record and repeats the response's own HTTP headers. read_responses() takes responses from WARC
+files as they were captured; responses() makes them of a table of pages, with the headers and dates of its columns where it has
+them. Record ids are derived from the response's id, so a rerun gives the same ones; the id of a page's response covers its
+payload, so two captures of one URL differ. Extraction is a chain of regular expressions in the plan, each linear in the page's
+length: tags end at the next "<" at the latest, and comments, scripts, styles and titles that are never closed run to the end.
+write_warc() serialises records into gzip members.
 
 Defined cases: a null page is an empty payload; a null URL an empty target; repeated responses give repeated records with the
-same ids; an empty table gives no records; other columns are ignored.
+same ids; an empty table gives no records; other columns are ignored. Records of other types in a WARC file are skipped; a
+response without a WARC-Record-ID gets one from its target, date and payload.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
+import re
 import uuid
 from collections.abc import Iterator
 from html import entities
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import python_workers
@@ -25,19 +33,17 @@ from .common import python_workers
 #: The date of records whose source has none.
 DATE = "2024-01-31T00:00:00Z"
 BLOCK_TAGS = "address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|th|title|tr|ul"
-#: (pattern, replacement), in order; the patterns mean the same in Java and RE2. The SQL decodes the six references named here, visible_text all.
+TITLE = r"(?is)<title(?:\s[^<>]*)?>(.*?)(?:</title\s*>|\z)"
+LANGUAGE = r'(?i)<html[^<>]*\slang="?([A-Za-z-]*)'
+LINK = r"(?i)<a\s[^<>]*href="
+#: (pattern, replacement), in order; the patterns mean the same in Java and RE2. None: character references are decoded here.
 TEXT_RULES = [
-    (r"(?s)<!--.*?-->", " "),
-    (r"(?is)<script(\s[^>]*)?>.*?</script\s*>", " "),
-    (r"(?is)<style(\s[^>]*)?>.*?</style\s*>", " "),
-    (rf"(?i)</?({BLOCK_TAGS})(\s[^>]*)?/?>", "\n"),
+    (r"(?s)<!--.*?(?:-->|\z)", " "),
+    (r"(?is)<script(?:\s[^>]*)?(?:>|\z).*?(?:</script\s*>|\z)", " "),
+    (r"(?is)<style(?:\s[^>]*)?(?:>|\z).*?(?:</style\s*>|\z)", " "),
+    (rf"(?i)</?(?:{BLOCK_TAGS})(?:\s[^<>]*)?/?>", "\n"),
     (r"<[^<>]*>", ""),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&#39;", "'"),
-    (r"&amp;", "&"),
+    (None, None),
     (r"[ \t\r\f]+", " "),
     (r" ?\n[ \n]*", "\n"),
     (r"^[ \n]+", ""),
@@ -89,12 +95,9 @@ def decode_references(text: Column) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    text, decoded = F.coalesce(html, F.lit("")), False
+    text = F.coalesce(html, F.lit(""))
     for pattern, put in TEXT_RULES:
-        if not pattern.startswith("&"):
-            text = F.regexp_replace(text, pattern, put)
-        elif not decoded:
-            text, decoded = decode_references(text), True
+        text = F.regexp_replace(text, pattern, put) if pattern else decode_references(text)
     return text
 
 
@@ -107,20 +110,89 @@ def _digest(block: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(block.cast("binary"), 256))
 
 
-def responses(pages: DataFrame) -> DataFrame:
-    """Pages as response records: page_id, response_id, target_uri, warc_date, http_headers, payload, payload_digest."""
+def responses(pages: DataFrame, headers_col: str | None = None, date_col: str | None = None) -> DataFrame:
+    """Pages as response records: page_id, response_id, target_uri, warc_date, http_headers, payload, payload_digest.
+
+    headers_col: the captured status line and headers; without it (or where it is null) they are those of a plain answer.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     uri = F.coalesce(F.col("url"), F.lit(""))
-    headers = F.concat(F.lit("HTTP/1.1 200 OK\nContent-Type: text/html; charset=utf-8\nContent-Length: "), F.octet_length(payload).cast("string"))
-    return pages.select("page_id", _record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri).alias("response_id"), uri.alias("target_uri"), F.lit(DATE).alias("warc_date"), headers.alias("http_headers"), payload.alias("payload"), _digest(payload).alias("payload_digest"))
+    plain = F.concat(F.lit("HTTP/1.1 200 OK\nContent-Type: text/html; charset=utf-8\nContent-Length: "), F.octet_length(payload).cast("string"))
+    headers = F.coalesce(F.col(headers_col), plain) if headers_col else plain
+    date = F.coalesce(F.col(date_col).cast("string"), F.lit(DATE)) if date_col else F.lit(DATE)
+    own = _record_id(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), uri, _digest(payload))
+    return pages.select("page_id", own.alias("response_id"), uri.alias("target_uri"), date.alias("warc_date"), headers.alias("http_headers"), payload.alias("payload"), _digest(payload).alias("payload_digest"))
+
+
+RAW = "page_id string, response_id string, target_uri string, warc_date string, http_headers string, payload string, payload_digest string"
+
+
+def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers, block) of each record of an uncompressed WARC stream, one after the other."""
+    while line := stream.readline():
+        if not line.startswith(b"WARC/"):
+            continue  # the empty lines between records
+        head: dict[str, str] = {}
+        while (line := stream.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
+        size = head.get("content-length", "0")
+        yield head, stream.read(int(size) if size.isdigit() else 0)
+
+
+def _response_row(head: dict[str, str], block: bytes, name: str) -> tuple | None:
+    if head.get("warc-type", "").lower() != "response":
+        return None
+    top, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
+    fields = top.decode("latin-1").replace("\r\n", "\n")
+    charset = re.search(r"(?im)^content-type:.*charset=\"?([A-Za-z0-9_-]+)", fields)
+    try:
+        text = body.decode(charset[1] if charset else "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    uri, date = head.get("warc-target-uri", "").strip("<>"), head.get("warc-date", DATE)
+    digest = head.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+    own = head.get("warc-record-id") or f"<urn:uuid:{uuid.UUID(hashlib.md5('|'.join((uri, date, digest)).encode()).hexdigest())}>"
+    return name, own, uri, date, fields, text, digest
+
+
+def read_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The response records of WARC files (gzip members or plain): page_id (the file), then as in responses(), headers as captured.
+
+    A task streams its files record by record, so a file need not fit in memory; the payload digest is the record's own where it has one.
+    """
+    python_workers(spark)
+    files = spark.read.format("binaryFile").load(path).select("path")  # lists the files, reads none
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        names = [f.split(" ")[0] for f in RAW.split(", ")]
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with store.open_input_stream(inner, compression=None) as raw:
+                    stream = gzip.GzipFile(fileobj=raw) if inner.endswith(".gz") else raw
+                    rows, held = [], 0
+                    for head, block in _records(io.BufferedReader(stream)):
+                        if row := _response_row(head, block, name):
+                            rows.append(row)
+                            held += len(block)
+                        if held > 8 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+                            rows, held = [], 0
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+
+    return files.mapInArrow(run, RAW)
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Two rows for each response: page_id, warc_type, record_id, refers_to, target_uri, warc_date, content_type, content_length, block_digest, source_digest, block."""
     ids = records.withColumns({"metadata_id": _record_id(F.lit("metadata"), F.col("response_id")), "conversion_id": _record_id(F.lit("conversion"), F.col("response_id"))})
-    title = visible_text(F.regexp_extract("payload", r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1))
-    language = F.regexp_extract("payload", r'(?i)<html[^>]*\slang="?([A-Za-z-]*)', 1)
-    links = F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href="))
+    title = visible_text(F.regexp_extract("payload", TITLE, 1))
+    language = F.regexp_extract("payload", LANGUAGE, 1)
+    links = F.regexp_count("payload", F.lit(LINK))
     fields = F.concat(
         F.regexp_replace("http_headers", r"(?m)^", "source-header: "), F.lit("\nsource-payload-digest: "), F.col("payload_digest"), F.lit("\nconversion-record: "), F.col("conversion_id"),
         F.lit("\ntitle: "), F.regexp_replace(title, "\n", " "), F.lit("\nlanguage: "), language, F.lit("\nlinks: "), links.cast("string"), F.lit("\n"),
@@ -175,27 +247,48 @@ def op7(spark, sf_dir: str) -> DataFrame:
     return derive(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
+def _quoted(s: str) -> str:
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in s.split("\n"))
+
+
+def _sql_references(expression: str) -> str:
+    """decode_references() in DuckDB, by the same rules; m is the map of named references."""
+    n = "coalesce(CASE WHEN length(ltrim(d, '0')) > 7 THEN 1114112 ELSE try_cast(CASE WHEN ltrim(d, '0') = '' THEN '0' WHEN hexa THEN '0x' || ltrim(d, '0') ELSE ltrim(d, '0') END AS BIGINT) END, 0)"
+    char = f"""CASE WHEN n = 0 OR n BETWEEN 55296 AND 57343 OR n > 1114111 THEN chr(65533) WHEN n = 160 THEN ' '
+      WHEN n BETWEEN 128 AND 159 THEN [{", ".join(_quoted(_C1[k]) if _C1[k].isprintable() else f"chr({k})" for k in range(128, 160))}][n - 127]
+      WHEN list_contains({_NO_CHARACTER}, n) THEN '' ELSE chr(CAST(n AS INTEGER)) END"""
+    numbered = lambda p, hexa: f"list_transform(list_transform([regexp_extract({p}, '^#{'[xX]' if hexa else ''}([0-9{'a-fA-F' if hexa else ''}]+)', 1)] , lambda d: {n.replace('hexa', 'true' if hexa else 'false')}), lambda n: {char})[1]"
+    piece = f"""CASE WHEN regexp_matches(p, '^#[0-9]+') THEN {numbered("p", False)} || regexp_replace(p, '^#[0-9]+;?', '')
+      WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]+') THEN {numbered("p", True)} || regexp_replace(p, '^#[xX][0-9a-fA-F]+;?', '')
+      WHEN map_contains(m, regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')) THEN m[regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;')] || regexp_replace(p, '^[A-Za-z][A-Za-z0-9]*;', '')
+      WHEN regexp_matches(p, '^(?:{_BARE})') THEN m[regexp_extract(p, '^(?:{_BARE})')] || regexp_replace(p, '^(?:{_BARE})', '')
+      ELSE '&' || p END"""
+    return f"array_to_string(list_transform(string_split({expression}, '&'), lambda p, i: CASE WHEN i = 1 THEN p ELSE {piece} END), '')"
+
+
 def _sql_text(expression: str) -> str:
-    quote = lambda s: "'" + s.replace("'", "''") + "'" if "\n" not in s else "chr(10)"
     for pattern, put in TEXT_RULES:
-        expression = f"regexp_replace({expression}, {quote(pattern)}, {quote(put)}, 'g')"
+        expression = f"regexp_replace({expression}, {_quoted(pattern)}, {_quoted(put)}, 'g')" if pattern else _sql_references(f"coalesce({expression}, '')")
     return expression
 
 
+#: The named references as a DuckDB map.
+_SQL_NAMED = "named AS (SELECT map_from_entries([" + ", ".join(f"({_quoted(k)}, {_quoted(v.replace(chr(160), ' '))})" for k, v in entities.html5.items()) + "]) AS m)"
+
 def _sql_id(kind: str, rest: str) -> str:
     h = f"md5(concat_ws('|', '{kind}', {rest}))"
     return "concat('<urn:uuid:', " + ", '-', ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + ", '>')"
 
 
 OP7_SQL = rf"""
-WITH p AS (
+WITH {_SQL_NAMED}, p AS (
   SELECT page_id, coalesce(html, '') AS payload, coalesce(url, '') AS target_uri,
-         {_sql_id("response", "coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, '')")} AS refers_to
+         {_sql_id("response", "coalesce(CAST(page_id AS VARCHAR), ''), coalesce(url, ''), concat('sha256:', sha256(coalesce(html, '')))")} AS refers_to
   FROM pages
 ), r AS (
   SELECT *, concat('sha256:', sha256(payload)) AS source_digest,
          {_sql_id("metadata", "refers_to")} AS metadata_id, {_sql_id("conversion", "refers_to")} AS conversion_id,
-         regexp_extract(payload, '(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>', 1) AS title
+         regexp_extract(payload, '{TITLE}', 1) AS title
   FROM p
 ), b AS (
   SELECT page_id, refers_to, target_uri, source_digest, 'metadata' AS warc_type, metadata_id AS record_id,
@@ -203,11 +296,11 @@ WITH p AS (
          concat('source-header: HTTP/1.1 200 OK', chr(10), 'source-header: Content-Type: text/html; charset=utf-8', chr(10),
                 'source-header: Content-Length: ', strlen(payload), chr(10), 'source-payload-digest: ', source_digest, chr(10),
                 'conversion-record: ', conversion_id, chr(10), 'title: ', replace({_sql_text("title")}, chr(10), ' '), chr(10),
-                'language: ', regexp_extract(payload, '(?i)<html[^>]*\slang="?([A-Za-z-]*)', 1), chr(10),
-                'links: ', len(regexp_extract_all(payload, '(?i)<a\s[^>]*href=')), chr(10)) AS block
-  FROM r
+                'language: ', regexp_extract(payload, '{LANGUAGE}', 1), chr(10),
+                'links: ', len(regexp_extract_all(payload, '{LINK}')), chr(10)) AS block
+  FROM r, named
   UNION ALL
-  SELECT page_id, refers_to, target_uri, source_digest, 'conversion', conversion_id, 'text/plain; charset=utf-8', {_sql_text("payload")} FROM r
+  SELECT page_id, refers_to, target_uri, source_digest, 'conversion', conversion_id, 'text/plain; charset=utf-8', {_sql_text("payload")} FROM r, named
 )
 SELECT page_id, warc_type, record_id, refers_to, target_uri, '{DATE}' AS warc_date, content_type,
        CAST(strlen(block) AS BIGINT) AS content_length, concat('sha256:', sha256(block)) AS block_digest, source_digest, block
