@@ -1,7 +1,11 @@
 """A training corpus from raw documents: language ID, exact and near deduplication, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
-of documents.
+of documents, in their order and unchanged, and whatever further columns docs has; no name of such a column can clash.
+
+Defined cases, for every stage: an empty table gives an empty result; repeated rows and null ids are rows like any other (exact
+deduplication keeps one of equal rows); very long texts are read whole; nulls in other columns stay as they are. What a null or
+empty text means is said at each stage.
 """
 
 from __future__ import annotations
@@ -16,43 +20,49 @@ from ridgecast.llm.common import documents, held_out, materialise, small, tokeni
 MIN_SCORE = 0.5
 #: Near copies share this percentage of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
-
-
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids in dropped (doc_id); rows without an id stay."""
-    return docs.join(small(materialise(dropped.select("doc_id").distinct(), "dropped")), "doc_id", "left_anti").select(docs.columns)
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a recognisable language go: texts that are null or have no letter, and undecided ones.
+
+    The model learns from the labelled documents of the table. Without any there is nothing to judge by, and all documents stay.
+    """
     model = ppm_langid.train(docs.filter(~held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs
     found = ppm_langid.annotate(docs, model, lang="__lang", score="__score")
     return found.filter((F.col("__lang") != ppm_langid.UNDETERMINED) & (F.col("__score") >= MIN_SCORE)).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays; a row that repeats another's id and text is a copy too."""
-    found = materialise(exact_dedup.exact_dedup(docs), "exact")
-    repeated = materialise(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    kept = _without(docs, found.filter("not kept"))
-    if repeated.isEmpty():
-        return kept
-    return _without(kept, repeated).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    """One document of each group of equal texts stays, the one with most code points, then the smallest id. Null and empty texts are equal.
+
+    Where rows of different texts share an id, each text keeps its row.
+    """
+    return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each linked group stays."""
-    return _without(docs, jaccard_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT).filter("doc_id <> component_id"))
+    """The document with the smallest id of each group that links at NEAR_PERCENT of NEAR_WORDS-word shingles stays.
+
+    Null and empty texts link with nothing, and a document without an id stays. Where rows of different texts share an id, all of
+    them stay if one of them would.
+    """
+    found = jaccard_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
+    gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays")
+    gone = small(materialise(gone.select(F.col("doc_id").alias("__gone")), "dropped"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated sampling draws stay."""
-    return mixing.mix(docs).filter("sampled").select(docs.columns)
+    """Documents that the calibrated sampling draws stay. Null and empty texts weigh nothing and share their cell's probability."""
+    return mixing.keep_sampled(docs, tokenizer_path(TOKENIZER))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their places in sequences."""
-    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    """Pieces with their places in sequences. A null or empty text is one piece, its end token."""
+    return packing.pack_documents(docs, tokenizer_path(TOKENIZER))
 
 
 STAGES = [
