@@ -68,6 +68,14 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes(df) <= most else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made of name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application, so that they need no path of the driver's."""
     context = spark.sparkContext

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, materialise, python_workers, small
+from .common import SPACES, documents, materialise, python_workers, small, unused
 from .components import HEAVY, spread_join
 
 #: Target number of stored keys in one shard.
@@ -344,18 +344,20 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     differ in nothing but white space and other columns one stays.
     """
     found = materialise(exact_dedup(df, id_col, text_col), "exact")
-    by_id = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.count_if("kept").alias("stay")).filter("stay = 0 or m > 1").select(F.col("doc_id").alias("__i"), F.col("stay").alias("__stay")), "ids")
-    own = F.col(id_col).cast("long").eqNullSafe(F.col("__i"))
-    some = by_id.filter("__stay > 0")
-    kept = df.join(small(by_id.filter("__stay = 0")), own, "left_anti")
+    i, stay, n, sha, chars, digest = (unused(df, f"__{c}") for c in ("i", "stay", "n", "sha", "chars", "digest"))
+    by_id = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.count_if("kept").alias("k")).filter("k = 0 or m > 1")
+    by_id = materialise(by_id.select(F.col("doc_id").alias(i), F.col("k").alias(stay)), "ids")
+    own = F.col(id_col).cast("long").eqNullSafe(F.col(i))
+    some = by_id.filter(F.col(stay) > 0)
+    kept = df.join(small(by_id.filter(F.col(stay) == 0)), own, "left_anti")
     if some.isEmpty():
         return kept
     plain, odd = kept.join(small(some), own, "left_anti"), kept.join(small(some), own, "left_semi")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    odd = odd.withColumns({"__n": F.length(text).cast("long"), "__sha": F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)})
-    right = materialise(found.filter("kept").select(F.col("doc_id").alias("__i"), F.col("n_chars").alias("__c"), F.col("text_sha256").alias("__h")).distinct(), "right")
-    odd = odd.join(small(right), own & (F.col("__n") == F.col("__c")) & (F.col("__sha") == F.col("__h")), "left_semi")
-    one = odd.groupBy(id_col, "__sha").agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("__one")).select("__one.*")
+    odd = odd.withColumns({n: F.length(text).cast("long"), sha: F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)})
+    right = materialise(found.filter("kept").select(F.col("doc_id").alias(i), F.col("n_chars").alias(chars), F.col("text_sha256").alias(digest)).distinct(), "right")
+    odd = odd.join(small(right), own & (F.col(n) == F.col(chars)) & (F.col(sha) == F.col(digest)), "left_semi")
+    one = odd.groupBy(id_col, sha).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("one")).select("one.*")
     return plain.unionByName(one)
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, documents, materialise, python_workers, small, text_buffer, tokenizer_path
+from .common import discard, documents, materialise, python_workers, small, text_buffer, tokenizer_path, unused
 from .packing import encode
 
 DIMENSIONS = ("mix_source", "mix_lang", "topic")
@@ -216,8 +216,10 @@ def mix(df: DataFrame, path: str, fraction: float | None = FRACTION, power: floa
 def keep_sampled(df: DataFrame, path: str, fraction: float | None = FRACTION, power: float = POWER, targets: dict[str, DataFrame] | None = None, seed: str = "mix", id_col: str = "doc_id", source_col: str = "source", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """The rows of df that mix() samples, unchanged. The rows themselves are not shuffled: each looks its cell's probability up."""
     rows = materialise(features(df, path, id_col, source_col, lang_col, text_col), "features")
-    known = small(chances(rows, fraction, power, targets))
-    own = [f"__{d}" for d in DIMENSIONS]
+    known = chances(rows, fraction, power, targets)
+    other = {c: unused(df, f"__{c}") for c in known.columns}
+    known = small(known.select(*[F.col(c).alias(n) for c, n in other.items()]))
+    own = [unused(df, f"__{d}") for d in DIMENSIONS]
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,8 +228,8 @@ def keep_sampled(df: DataFrame, path: str, fraction: float | None = FRACTION, po
 
     named = df.mapInArrow(name, T.StructType([*df.schema.fields, T.StructField(own[2], T.StringType())]))
     named = named.withColumns({own[0]: _known(F.col(source_col)), own[1]: _known(F.col(lang_col))})
-    found = named.join(known, [F.col(o) == F.col(f"k_{d}") for o, d in zip(own, DIMENSIONS, strict=True)])
-    return found.filter(draw(F.col(id_col).cast("long"), seed) < F.col("k_p")).select(*[named[c] for c in df.columns])
+    found = named.join(known, [F.col(o) == F.col(other[f"k_{d}"]) for o, d in zip(own, DIMENSIONS, strict=True)])
+    return found.filter(draw(F.col(id_col).cast("long"), seed) < F.col(other["k_p"])).select(df.columns)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

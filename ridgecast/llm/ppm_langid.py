@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, held_out, python_workers, text_buffer
+from .common import documents, held_out, python_workers, text_buffer, unused
 
 #: Expected number of sampled training documents for a language.
 DOCS_PER_LANGUAGE = 1500
@@ -218,7 +218,7 @@ def annotate(df: DataFrame, model: PpmModel, text_col: str = "text", lang: str =
     spark = df.sparkSession
     python_workers(spark)
     shared = spark.sparkContext.broadcast(model)
-    own, letters = "__ppm_text", "__ppm_letters"
+    own, letters = unused(df, "__ppm_text"), unused(df, "__ppm_letters")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*shared.value.languages, UNDETERMINED], pa.string())

@@ -345,7 +345,7 @@ def test_raking_matches_numpy(spark):
     cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 100))) for i in range(4) for j in range(3) for k in range(2) if rng.random() < 0.8]
     df = spark.createDataFrame(cells, "mix_source string, mix_lang string, topic string, weight double")
     targets = {d: mixing.tempered(df, d, 0.5) for d in mixing.DIMENSIONS}
-    got = {(r.mix_source, r.mix_lang, r.topic): r.ratio for r in mixing.rake(df, targets, rounds=40, tolerance=1e-9).collect()}
+    got = {(r.mix_source, r.mix_lang, r.topic): r.ratio for r in mixing.rake(df, targets, tolerance=1e-7).collect()}
     w = {c[:3]: c[3] for c in cells}
     now, total = dict(w), sum(w.values())
     goals = []
@@ -364,15 +364,89 @@ def test_raking_matches_numpy(spark):
     assert all(abs(got[c] - now[c] / w[c]) < 1e-5 * now[c] / w[c] + 1e-6 for c in w)
 
 
-def test_mixing_cases(docs, empty, rows):
-    got = mixing.mix(docs)
-    assert got.count() == len(rows) and set(docs.columns) <= set(got.columns)
+def brute_topic(text):
+    raw = (text or "").encode()
+    for name, members, share in mixing.FORMS:
+        if sum(b in members for b in raw) > len(raw) * share:
+            return name
+    return mixing.PROSE
+
+
+def spark_hash(doc_id, seed):
+    """Spark's xxhash64 of (bigint, string), modulo 2^40; a null leaves the hash as it is."""
+    import struct
+
+    import xxhash
+
+    h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), 42)
+    return xxhash.xxh64_intdigest(seed.encode(), h) % (1 << 40) / (1 << 40)
+
+
+def test_mixing_by_hand(docs, rows):
+    """Topics, weights, raked probabilities and the draw of every row against a plain computation."""
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    got = mixing.mix(docs, path)
+    assert got.columns == ["id", "mix_source", "mix_lang", "topic", "n_tokens", "probability", "sampled"]
+    cells, weight = [], Counter()
+    for _, text, lang, source, _ in rows:
+        cells.append((source or "unknown", lang or "unknown", brute_topic(text)))
+        weight[cells[-1]] += len(packing.encode(path, text))
+    total = sum(weight.values())
+    heavy = {c: float(w) for c, w in weight.items() if w and w >= total * mixing.POOL_SHARE}
+    goals = []
+    for d in range(3):
+        sums = Counter()
+        for c, w in heavy.items():
+            sums[c[d]] += w
+        whole = sum(w**mixing.POWER for w in sums.values())
+        goals.append({v: w**mixing.POWER / whole * sum(heavy.values()) for v, w in sums.items()})
+    now = dict(heavy)
+    for _ in range(2_000):
+        for d in range(3):
+            sums = Counter()
+            for c, w in now.items():
+                sums[c[d]] += w
+            now = {c: w * goals[d][c[d]] / sums[c[d]] for c, w in now.items()}
+    ratio = {c: now[c] / heavy[c] for c in heavy}
+    most = max(ratio.values())
+    ratio |= {c: most for c, w in weight.items() if w and c not in ratio}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (low, mid) if sum(weight[c] * min(1, mid * r) for c, r in ratio.items()) >= mixing.FRACTION * total else (mid, high)
+    want = defaultdict(list)
+    for (doc_id, text, *_), c in zip(rows, cells, strict=True):
+        p = min(1, high * ratio[c]) if c in ratio else 0.0
+        want[doc_id, *c, len(packing.encode(path, text))].append((p, spark_hash(doc_id, "mix")))
     found = got.collect()
-    assert all(0 <= r.probability <= 1 for r in found) and any(r.sampled for r in found) and max(r.probability for r in found) > 0.999
-    assert {r.sampled for r in found if r.doc_id == 7} in ({True}, {False}) and mixing.mix(empty).count() == 0
-    half = mixing.mix(docs, fraction=0.5)
-    tokens = half.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0]
-    assert abs(tokens - 0.5) < 0.01
+    assert len(found) == len(rows)
+    for r in found:
+        p, u = want[r.id, r.mix_source, r.mix_lang, r.topic, r.n_tokens].pop()
+        assert abs(r.probability - p) < 5e-3 and (r.sampled == (u < p) or abs(u - p) < 5e-3)
+
+
+def test_mixing_cases(spark, docs, empty, rows):
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    found = mixing.mix(docs, path).collect()
+    assert any(r.sampled for r in found) and {r.sampled for r in found if r.id == 7} in ({True}, {False}) and mixing.mix(empty, path).count() == 0
+    clash = docs.withColumns({n: F.lit("own") for n in ("k_p", "k_mix_source", "mix_source", "mix_lang", "n_tokens", "sampled", "id", "__topic_")})
+    kept = mixing.keep_sampled(clash, path)
+    assert kept.columns == clash.columns and {r.topic for r in kept.collect()} == {"clash"} and {r.n_tokens for r in kept.collect()} == {"own"}
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.id) for r in found if r.sampled)
+    assert mixing.keep_sampled(empty, path).count() == 0
+    by_topic = mixing.mix(docs.withColumn("theme", F.when(F.col("doc_id") % 2 == 0, "even")), path, topic_col="theme")
+    assert {r.topic for r in by_topic.collect()} == {"even", "unknown"}
+
+
+def test_partial_targets_lose_no_document(spark):
+    rows = [(i, "w " * 50, "en", "st"[i % 2], 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    share = spark.createDataFrame([("s", 1.0), ("absent", 9.0)], "mix_source string, target double")
+    got = mixing.mix(df, common.tokenizer_path("byte_bpe_50k.tiktoken"), targets={"mix_source": share}).collect()
+    assert {r.probability for r in got if r.mix_source == "t"} == {r.probability for r in got if r.mix_source == "s"} and min(r.probability for r in got) > 0.4
+    none = spark.createDataFrame([("s", 1.0), ("t", 0.0)], "mix_source string, target double")
+    got = mixing.mix(df, common.tokenizer_path("byte_bpe_50k.tiktoken"), targets={"mix_source": none}).collect()
+    assert {r.probability for r in got if r.mix_source == "t"} == {0.0} and min(r.probability for r in got if r.mix_source == "s") > 0.999
 
 
 # 6: token shards
@@ -761,9 +835,10 @@ def test_sql_twins(docs, rows, module):
 
 
 def test_pipeline_by_stage(spark, docs, rows, tmp_path):
+    """Every stage against brute force on what its predecessor kept, over a table with clashing extra columns."""
     import corpus_pipeline
 
-    table = docs.select("doc_id", "text", "lang", "source", "n_chars").filter("doc_id is not null")
+    table = docs.filter("doc_id is not null")
     steps = {}
     for name, stage in corpus_pipeline.STAGES:
         before, table = table, common.materialise(stage(spark, table, str(tmp_path)), name)
@@ -780,13 +855,23 @@ def test_pipeline_by_stage(spark, docs, rows, tmp_path):
         groups[re.sub(r"[\x20\x09-\x0D]", "", text_of[d])].append((-len(text_of[d]), d))
     assert ids(after) == sorted(min(g)[1] for g in groups.values())
     before, after = steps["jaccard_join"]
-    assert ids(after) == sorted({c for _, _, c in brute_components([(d, text_of[d]) for d in ids(before)])})
+    near = brute_components([(d, text_of[d]) for d in ids(before)], corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
+    assert ids(after) == sorted({c for _, _, c in near}) and len(ids(after)) < len(near)
     before, after = steps["mixing"]
-    assert ids(after) == sorted(r.doc_id for r in mixing.mix(before).filter("sampled").collect())
+    assert ids(after) == sorted(r.id for r in mixing.mix(before, common.tokenizer_path("byte_bpe_50k.tiktoken")).filter("sampled").collect())
     before, after = steps["packing"]
     assert sorted({r.doc_id for r in after.collect()}) == ids(before)
 
 
+def test_pipeline_without_labels_or_rows(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.identify_language(spark, unlabelled, str(tmp_path)).count() == docs.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
 def test_near_copies_on_five_words(spark, tmp_path):
     """Pairs at 80 % of their five-word shingles go, though they are under 90 % of three words; looser pairs stay."""
     import corpus_pipeline
@@ -809,7 +894,7 @@ def test_stray_rows_leave_the_share(spark, recwarn):
     stray = [(9_000, "# " * 50, "xx", "new", 1)]
     kept = []
     for table in (rows, rows + stray):
-        got = mixing.mix(spark.createDataFrame(table, SCHEMA))
+        got = mixing.mix(spark.createDataFrame(table, SCHEMA), common.tokenizer_path("byte_bpe_50k.tiktoken"))
         kept.append(got.agg(F.sum(F.col("n_tokens") * F.col("probability")) / F.sum("n_tokens")).first()[0])
     assert abs(kept[0] - mixing.FRACTION) < 0.01 and abs(kept[1] - kept[0]) < 0.01
     assert not [w for w in recwarn if "raking" in str(w.message)]
@@ -817,8 +902,11 @@ def test_stray_rows_leave_the_share(spark, recwarn):
 
 def test_raking_reports_missing_convergence(spark):
     cells = spark.createDataFrame([("a", "x", "t", 90.0), ("a", "y", "t", 900.0), ("b", "z", "u", 9.0)], "mix_source string, mix_lang string, topic string, weight double")
+    targets = {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMENSIONS}
     with pytest.warns(UserWarning, match="raking ended"):
-        mixing.rake(cells, {d: mixing.tempered(cells, d, 0.5) for d in mixing.DIMENSIONS}, rounds=3)
+        mixing.rake(cells, targets, rounds=3, strict=False)
+    with pytest.raises(ArithmeticError, match="raking ended"):
+        mixing.rake(cells, targets, rounds=3)
 
 
 def test_references_are_decoded(spark):
