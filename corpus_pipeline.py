@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgecast.llm import exact_dedup, jaccard_join, mixing, packing, ppm_langid
-from ridgecast.llm.common import documents, held_out, materialise, small, tokenizer_path
+from ridgecast.llm.common import documents, held_out, materialise, small, tokenizer_path, unused
 
 #: Share of the evidence that a predicted language needs.
 MIN_SCORE = 0.5
@@ -31,8 +31,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = ppm_langid.train(docs.filter(~held_out(F.col("doc_id"))))
     if not model.languages:
         return docs
-    found = ppm_langid.annotate(docs, model, lang="__lang", score="__score")
-    return found.filter((F.col("__lang") != ppm_langid.UNDETERMINED) & (F.col("__score") >= MIN_SCORE)).select(docs.columns)
+    lang, score = unused(docs, "__lang"), unused(docs, "__score")
+    found = ppm_langid.annotate(docs, model, lang=lang, score=score)
+    return found.filter((F.col(lang) != ppm_langid.UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +52,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = jaccard_join.jaccard_components(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
     gone = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays")
-    gone = small(materialise(gone.select(F.col("doc_id").alias("__gone")), "dropped"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = unused(docs, "__gone")
+    gone = small(materialise(gone.select(F.col("doc_id").alias(own)), "dropped"))
+    return docs.join(gone, F.col("doc_id") == F.col(own), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
