@@ -5,9 +5,12 @@ regions around pivots drawn from all texts would replicate every document into e
 set aside first what cannot have a neighbour within the radius r = 1 - t:
 
 1. Equal sets are one class; only classes go on.
-2. Marks. Under any one order of all shingles two neighbours share one of their first n - ceil(t n) + 1 shingles. The order is:
-   shingles that a hash sample of ORDER_DOCS documents doesn't show often, by hash, then the frequent ones, rarest first. (The
-   sample sets the order only; every order gives the same result.) A class whose marks nobody shares has no neighbour.
+2. Marks. Under any one order of all shingles two neighbours share one of their first n - ceil(t n) + 1 shingles, and k of their first
+   n - ceil(t n) + k. A class's marks are so many first shingles for k = MARK_SHARE of its n. The order is: shingles that a hash
+   sample of ORDER_DOCS documents doesn't show often, by hash, then the frequent ones, rarest first. (The sample sets the order
+   only; every order gives the same result.) A class has no neighbour unless k of its marks (for the least set that can be
+   its neighbour) are shared with others; that is tested twice, first with a bitmap of the shared marks (of bounded size; what
+   it lets pass wrongly the next test finds), then exactly, again and again while classes fall out.
 
 Then the metric join proper:
 
@@ -38,6 +41,7 @@ rows are in one class; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,8 +65,12 @@ CELL = 48
 ORDER_DOCS = 8_000
 ORDER_COUNT = 3
 ORDER_SHINGLES = 500_000
-#: Bytes up to which the shared marks are broadcast.
-BROADCAST_MARKS = 48 << 20
+#: Additional marks, as a share of a set.
+MARK_SHARE = 0.1
+#: Bits of the bitmap of shared marks: for each of them, and at most (32 MB).
+BITS_PER_MARK, MOST_BITS = 16, 1 << 28
+#: How often the exact test of marks is repeated at most.
+MARK_ROUNDS = 4
 PIVOTS = 8
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xBF58476D1CE4E5B9)
@@ -99,9 +107,19 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
+def marks_shared(n: int) -> int:
+    """How many marks two neighbours of at least n shingles share."""
+    return max(1, math.ceil(MARK_SHARE * n))
+
+
+def marks_needed(n: int, percent: int = PERCENT) -> int:
+    """How many marks of a set of n any neighbour shares, whatever its size."""
+    return marks_shared(-(percent * -n // 100))
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    """How many first shingles of a set of n hold one of any neighbour's."""
-    return n + percent * -n // 100 + 1 if n else 0
+    """How many marks a set of n has."""
+    return min(n, n + percent * -n // 100 + marks_shared(n)) if n else 0
 
 
 def prefix_marks(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
@@ -147,7 +165,7 @@ def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profiles(words: int, percent: int, frequent):
-    """doc_id, text -> doc_id, n_shingles, k1, k2, marks; a set that the task has seen brings no marks again."""
+    """doc_id, text -> doc_id, n_shingles, k1, k2, need, marks; a set that the task has seen brings no marks again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -162,7 +180,8 @@ def _profiles(words: int, percent: int, frequent):
             offsets = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
             values = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists], names=["doc_id", "n_shingles", "k1", "k2", "marks"])
+            need = pa.array([marks_needed(len(s), percent) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), need, lists], names=["doc_id", "n_shingles", "k1", "k2", "need", "marks"])
 
     return run
 
@@ -443,18 +462,81 @@ def links_of(sets: DataFrame, shared: DataFrame, percent: int = PERCENT) -> Data
     return links if direct is None else links.union(direct)
 
 
+def _bit_of(marks: np.ndarray, bits: int) -> np.ndarray:
+    return (marks.view(np.uint64) * _A) >> np.uint64(64 - bits)
+
+
+def _bitmap(shared: DataFrame) -> tuple[int, np.ndarray]:
+    """(log2 of its bits, bitmap) of a table of marks (m2): at least BITS_PER_MARK bits each up to MOST_BITS in all."""
+    bits = min(MOST_BITS, max(1 << 10, BITS_PER_MARK * shared.count())).bit_length() - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit_of(batch.column("m2").to_numpy(), bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["i", "w"])
+
+    words = shared.mapInArrow(run, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()  # bounded by MOST_BITS
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64).view(np.uint64)
+    return bits, out
+
+
+def _survivors(shared):
+    """k1, need, marks -> the same with the marks that the bitmap knows, for sets that have enough of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, bitmap = shared.value
+        for batch in batches:
+            lists = batch.column("marks")
+            offsets, marks = lists.offsets.to_numpy(), lists.values.to_numpy()
+            at = _bit_of(marks, bits)
+            known = (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            sums = np.concatenate([[0], np.cumsum(known)])
+            enough = (sums[offsets[1:]] - sums[offsets[:-1]] >= batch.column("need").to_numpy()) & (np.diff(offsets) > 0)
+            chosen = [marks[a:b][known[a:b]] for a, b, ok in zip(offsets[:-1], offsets[1:], enough, strict=True) if ok]
+            ends = np.concatenate([[0], np.cumsum([len(m) for m in chosen])]).astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(chosen) if chosen else marks[:0]))
+            keep = pa.array(enough)
+            yield pa.RecordBatch.from_arrays([batch.column("k1").filter(keep), batch.column("need").filter(keep), kept], names=["k1", "need", "marks"])
+
+    return run
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """The marks (m2) of more than one class."""
+    return postings.groupBy("mark").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("mark").alias("m2"))
+
+
+def open_marks(profiles: DataFrame) -> DataFrame:
+    """k1, mark of the classes that share enough marks with others, and the marks that they share."""
+    shared = materialise(_shared(profiles.select("k1", F.explode("marks").alias("mark"))), "shared-marks")
+    bitmap = profiles.sparkSession.sparkContext.broadcast(_bitmap(shared))
+    discard(shared)
+    rows = profiles.filter(F.size("marks") > 0).select("k1", "need", "marks").mapInArrow(_survivors(bitmap), "k1 long, need long, marks array<long>")
+    now = materialise(rows, "survivors")
+    now = materialise(now.select("k1", "need", F.explode("marks").alias("mark")).distinct(), "open-marks")
+    before = now.count()
+    for _ in range(MARK_ROUNDS):
+        shared = small(materialise(_shared(now), "shared-marks"))
+        held = now.join(shared, F.col("mark") == F.col("m2"), "left_semi")
+        enough = held.groupBy("k1").agg(F.count(F.lit(1)).alias("m"), F.max("need").alias("need")).filter("m >= need").select(F.col("k1").alias("o1"))
+        after = materialise(held.join(small(materialise(enough, "enough")), F.col("k1") == F.col("o1"), "left_semi"), "open-marks")
+        discard(now)
+        now, n = after, after.count()
+        if 10 * (before - n) < before:
+            break
+        before = n
+    return now
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = df.sparkSession
     python_workers(spark)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs, words))
-    profiles = materialise(docs.mapInArrow(_profiles(words, percent, frequent), "doc_id long, n_shingles long, k1 long, k2 long, marks array<long>"), "profiles")
-    postings = profiles.select("k1", F.explode("marks").alias("mark"))
-    shared = postings.groupBy("mark").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).filter("lo <> hi").select(F.col("mark").alias("m2"))
-    shared = materialise(shared, "shared-marks")
-    open_ = materialise(postings.join(small(shared, BROADCAST_MARKS), F.col("mark") == F.col("m2"), "left_semi").distinct(), "open-marks")
-    discard(shared)
+    profiles = materialise(docs.mapInArrow(_profiles(words, percent, frequent), "doc_id long, n_shingles long, k1 long, k2 long, need long, marks array<long>"), "profiles")
+    open_ = open_marks(profiles)
     classes = profiles.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("low"), F.max("n_shingles").alias("n"))
     openk = open_.select(F.col("k1").alias("o1")).distinct()
     reps = materialise(classes.join(openk, F.col("k1") == F.col("o1"), "left_semi").withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -468,8 +550,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     discard(open_)
     found = components(links_of(sets, marks, percent))
     discard(sets, marks)
-    named = reps.join(found, F.col("cid") == F.col("node")).select("k1", "k2", "low", "label")
-    named = materialise(named, "named")
+    named = materialise(reps.join(found, F.col("cid") == F.col("node")).select("k1", "k2", "low", "label"), "named")
     lows = named.groupBy("label").agg(F.min("low").alias("lowest")).withColumnRenamed("label", "l2")
     named = spread_join(named, lows, {"label": "l2"}, heavy_keys(named, "label")).select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "lowest")
     whole = classes.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left").select(F.col("k1").alias("w1"), F.col("k2").alias("w2"), F.coalesce("lowest", "low").alias("least"))

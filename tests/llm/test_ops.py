@@ -654,7 +654,7 @@ def test_jaccard_family(spark, monkeypatch):
     assert len({r[2] for r in want}) > 3
     assert ordered(jaccard_join.jaccard_components(df)) == want
     monkeypatch.setattr(components, "HEAVY", 20)
-    for leaf, pivots in ((40, 8), (40, 1), (12, 3)):
+    for leaf, pivots in ((40, 1), (12, 3)):
         monkeypatch.setattr(jaccard_join, "LEAF_CLASSES", leaf)
         monkeypatch.setattr(jaccard_join, "PIVOTS", pivots)
         assert ordered(jaccard_join.jaccard_components(df)) == want
@@ -686,7 +686,7 @@ def test_marks_lose_no_pair():
             often = np.unique(rng.choice(a, len(a) // 3, replace=False)) if len(a) > 2 else a[:0]
             if len(b) and 100 * both >= percent * (len(a) + len(b) - both):
                 x, y = jaccard_join.prefix_marks([a, b], (often, rng.permutation(len(often))), percent)
-                assert set(x.tolist()) & set(y.tolist())
+                assert len(set(x.tolist()) & set(y.tolist())) >= max(jaccard_join.marks_needed(len(a), percent), jaccard_join.marks_needed(len(b), percent))
 
 
 def test_jaccard_empty(empty):
