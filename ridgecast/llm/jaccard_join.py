@@ -6,7 +6,7 @@ set aside first what cannot have a neighbour within the radius r = 1 - t:
 
 1. Equal sets are one class; only classes go on.
 2. Marks. Under any one order of all shingles two neighbours share one of their first n - ceil(t n) + 1 shingles, and k of their first
-   n - ceil(t n) + k. A class's marks are so many first shingles for k = MARK_SHARE of its n. The order is: shingles that a hash
+   n - ceil(t n) + k. A class's marks are so many first shingles that they make MARK_PERCENT of its n. The order is: shingles that a hash
    sample of ORDER_DOCS documents doesn't show often, by hash, then the frequent ones, rarest first. (The sample sets the order
    only; every order gives the same result.) A class has no neighbour unless k of its marks (for the least set that can be
    its neighbour) are shared with others; that is tested twice, first with a bitmap of the shared marks (of bounded size; what
@@ -65,8 +65,8 @@ CELL = 48
 ORDER_DOCS = 8_000
 ORDER_COUNT = 3
 ORDER_SHINGLES = 500_000
-#: Additional marks, as a share of a set.
-MARK_SHARE = 0.1
+#: Marks as a percentage of a set (more where the radius alone asks for more).
+MARK_PERCENT = 30
 #: Bits of the bitmap of shared marks: for each of them, and at most (32 MB).
 BITS_PER_MARK, MOST_BITS = 16, 1 << 28
 #: How often the exact test of marks is repeated at most.
@@ -107,19 +107,19 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def marks_shared(n: int) -> int:
+def marks_shared(n: int, percent: int = PERCENT) -> int:
     """How many marks two neighbours of at least n shingles share."""
-    return max(1, math.ceil(MARK_SHARE * n))
+    return max(1, (MARK_PERCENT - (100 - percent)) * n // 100)
 
 
 def marks_needed(n: int, percent: int = PERCENT) -> int:
     """How many marks of a set of n any neighbour shares, whatever its size."""
-    return marks_shared(-(percent * -n // 100))
+    return marks_shared(-(percent * -n // 100), percent)
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
     """How many marks a set of n has."""
-    return min(n, n + percent * -n // 100 + marks_shared(n)) if n else 0
+    return min(n, n + percent * -n // 100 + marks_shared(n, percent)) if n else 0
 
 
 def prefix_marks(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> list[np.ndarray]:
@@ -152,8 +152,8 @@ def frequent_shingles(docs: DataFrame, words: int, size: int | None = None) -> t
     rate = min(1.0, (size or ORDER_DOCS) / max(1, docs.count()))
     sample = docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1 << 30)) < F.lit(int(rate * (1 << 30)))).select("text")
     each = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") >= ORDER_COUNT)
-    found = each.orderBy(F.desc("df"), "s").limit(ORDER_SHINGLES).toPandas()  # bounded by ORDER_SHINGLES
-    shingles = found["s"].to_numpy(np.int64).view(np.uint64)
+    found = each.orderBy(F.desc("df"), "s").limit(ORDER_SHINGLES).select("s").toArrow()  # bounded by ORDER_SHINGLES
+    shingles = found["s"].to_numpy().view(np.uint64)
     order = np.argsort(shingles)
     return shingles[order], (len(shingles) - 1 - order).astype(np.int64)
 
@@ -475,9 +475,9 @@ def _bitmap(shared: DataFrame) -> tuple[int, np.ndarray]:
             at = _bit_of(batch.column("m2").to_numpy(), bits)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["i", "w"])
 
-    words = shared.mapInArrow(run, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toPandas()  # bounded by MOST_BITS
+    words = shared.mapInArrow(run, "i long, w long").groupBy("i").agg(F.bit_or("w").alias("w")).toArrow()  # bounded by MOST_BITS
     out = np.zeros(1 << (bits - 6), np.uint64)
-    out[words["i"].to_numpy(np.int64)] = words["w"].to_numpy(np.int64).view(np.uint64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy().view(np.uint64)
     return bits, out
 
 

@@ -209,8 +209,9 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col:
     rates = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, docs_per_language / n)))])
     chance = F.pmod(F.xxhash64("id", F.lit("ppm")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     sample = rows.filter(chance < F.element_at(rates, F.col("lang"))).select("lang", "text")
-    found = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return build_model({lang: (g["code"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for lang, g in found.groupby("lang")})
+    found = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    parts = {lang: found.filter(pa.compute.equal(found["lang"], lang)) for lang in sizes}
+    return build_model({lang: (g["code"].to_numpy(), g["n"].to_numpy().astype(np.float64)) for lang, g in parts.items() if len(g)})
 
 
 def annotate(df: DataFrame, model: PpmModel, text_col: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
