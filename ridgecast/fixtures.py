@@ -24,7 +24,7 @@ from customer""",
     ),
     "fx_registry": (
         "customer",
-        """select 'N' || cast(c_custkey as string) as callsign, case when c_custkey % 80 = 0 then 'reviewed' else 'candidate' end as status,
+        """select 'N' || cast(c_custkey as string) as callsign, case when c_custkey % 200 = 0 then null when c_custkey % 240 = 0 then 'Reviewed' when c_custkey % 80 = 0 then 'reviewed' else 'candidate' end as status,
  case when c_custkey % 160 = 0 then null else cast(36510000 + ((c_custkey * 7919) % 60000) * 100 as double) / 1e6 end as lat,
  case when c_custkey % 160 = 0 then null else cast(-114990000 + ((c_custkey * 104729) % 65000) * 100 as double) / 1e6 end as lon
 from customer where c_custkey % 40 = 0""",

@@ -91,8 +91,8 @@ def delete_from_registry(registry: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def session_metadata(lines: DataFrame, roles: DataFrame, positions: DataFrame) -> DataFrame:
-    """One row: packets, calls with a role, positions resolved, the unresolved calls in order."""
+    """One row: packets, calls with a role, positions resolved, calls unresolved (unresolved_calls() lists them, a row each)."""
     calls = role_sets(roles).join(positions.select("call", F.lit(True).alias("known")).distinct(), "call", "left")
-    found = calls.agg(F.count(F.lit(1)).alias("calls_observed"), F.count_if("known").alias("positions_resolved"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("known").isNull(), F.col("call")))), ",").alias("unresolved"))
+    found = calls.agg(F.count(F.lit(1)).alias("calls_observed"), F.count_if("known").alias("positions_resolved"), F.count_if(F.col("known").isNull()).alias("unresolved"))
     both = lines.agg(F.count(F.lit(1)).alias("packets_observed")).unionByName(found, allowMissingColumns=True)
     return both.agg(*[F.max(c).alias(c) for c in ("packets_observed", "calls_observed", "positions_resolved", "unresolved")])

@@ -88,6 +88,11 @@ def share_canonical(grids: DataFrame, members: DataFrame) -> DataFrame:
     return members.join(grids, "site")
 
 
+def results_in_order(results: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Results (by callsign) in the order of the inputs (callsign, idx)."""
+    return inputs.join(results, "callsign").orderBy("idx")
+
+
 def run_summary(members: DataFrame, grids: DataFrame) -> DataFrame:
     """total, resolved, computed, shared, skipped calls of a run (members: callsign, canonical, site; grids: site, ...)."""
     done = members.join(grids.select("site", F.lit(True).alias("done")).distinct(), "site", "left")

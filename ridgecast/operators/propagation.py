@@ -13,6 +13,7 @@ EARTH_M = 6_371_000.0
 CURVATURE = 0.8
 CLEAR_DB, BLOCKED_DB, BLOCKED_EXTRA_DB = 20.0, 30.0, 30.0
 NEAREST_M = 500.0
+SHORTEST_M = 100.0
 
 
 def line_of_sight(profiles: DataFrame, site_height: float, target_height: float) -> DataFrame:
@@ -30,6 +31,12 @@ def line_of_sight(profiles: DataFrame, site_height: float, target_height: float)
     return profiles.withColumn("__a", slope).withColumn("clear", F.coalesce(F.max("__a").over(before) <= target, F.lit(True))).drop("__a")
 
 
+def min_range(profiles: DataFrame, shortest_m: float = SHORTEST_M) -> DataFrame:
+    """Points of the rays that reach at least so far."""
+    ray = Window.partitionBy("site", "radial")
+    return profiles.withColumn("__far", F.max("dist_m").over(ray)).filter(F.col("__far") >= shortest_m).drop("__far")
+
+
 def sample_schedule(radius_m: float, n: int = 40) -> list[float]:
     """Distances at which the loss is evaluated: a third close in, the rest out to the radius."""
     near = max(3, n // 3)
@@ -95,18 +102,21 @@ def interpolate_margin(margins: DataFrame, radius_m: float, steps: int) -> DataF
 
 
 def paint(steps: DataFrame, sites: DataFrame, n_radials: int, radius_px: float, radius_m: float, floor_db: float, max_db: float, height: int, width: int) -> DataFrame:
-    """site, r, c, margin_db: the best margin over all rays in each cell; the site's own cell has the highest possible one."""
-    shown = steps.filter((F.col("margin_db") > floor_db) & (F.col("margin_db") > 0)).join(sites.select("site", F.col("r").alias("r0"), F.col("c").alias("c0")), "site")
+    """site, r, c, margin_db: the best margin over all rays in each cell; the site's own cell has the highest possible one.
+
+    Under a negative floor the true negative margins are painted too (coverage counts only positive ones).
+    """
+    shown = steps.filter(F.col("margin_db") > floor_db).join(sites.select("site", F.col("r").alias("r0"), F.col("c").alias("c0")), "site")
     angle, px = F.radians(F.col("radial") * 360.0 / n_radials), F.col("dist_m") / radius_m * radius_px
     cells = shown.select("site", F.rint(F.col("r0") - px * F.cos(angle)).cast("int").alias("r"), F.rint(F.col("c0") + px * F.sin(angle)).cast("int").alias("c"), "margin_db")
     cells = cells.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
     own = shown.select("site", "r0", "c0").distinct().select("site", F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(float(max_db)).alias("margin_db"))
-    return paint_max(cells.unionByName(own))
+    return paint_max(cells.unionByName(own), min(floor_db, 0.0))
 
 
-def paint_max(hits: DataFrame) -> DataFrame:
-    """The largest positive margin of each site and cell."""
-    return hits.filter("margin_db > 0").groupBy("site", "r", "c").agg(F.max("margin_db").alias("margin_db"))
+def paint_max(hits: DataFrame, floor_db: float = 0.0) -> DataFrame:
+    """The largest margin over the floor of each site and cell."""
+    return hits.filter(F.col("margin_db") > floor_db).groupBy("site", "r", "c").agg(F.max("margin_db").alias("margin_db"))
 
 
 def radial_stats(margins: DataFrame, n_radials: int, floor_db: float) -> DataFrame:

@@ -13,10 +13,11 @@ from ..functions.text import normalize_call
 def assess(stations: DataFrame, registry: DataFrame, matches: DataFrame | None, as_of: int) -> DataFrame:
     """Stations with source, score, label, reasons, freshness, map status, applied correction and review candidate.
 
-    Only a reviewed entry with coordinates moves a station; any other entry is a candidate for review. Rows without
+    An entry without a status is a candidate, and its case does not matter. last_seen stands in for lasttime where there is such a
+    column. Only a reviewed entry with coordinates moves a station; any other entry is a candidate for review. Rows without
     coordinates pass through unscored. matches: callsign, matched, distance_m.
     """
-    entries = registry.select(normalize_call(F.col("callsign")).alias("k"), F.col("status").alias("reg_status"), F.col("lat").alias("reg_lat"), F.col("lon").alias("reg_lon"))
+    entries = registry.select(normalize_call(F.col("callsign")).alias("k"), F.lower(F.coalesce("status", F.lit("candidate"))).alias("reg_status"), F.col("lat").alias("reg_lat"), F.col("lon").alias("reg_lon"))
     rows = stations.withColumn("__k", normalize_call(F.col("callsign"))).join(F.broadcast(entries) if _is_small(registry) else entries, F.col("__k") == F.col("k"), "left").drop("__k", "k")
     if matches is None:
         rows = rows.withColumns({"checked": F.lit(False), "matched": F.lit(None).cast("boolean"), "distance_m": F.lit(None).cast("long")})
@@ -25,10 +26,10 @@ def assess(stations: DataFrame, registry: DataFrame, matches: DataFrame | None,
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     moved = located & (F.col("reg_status") == "reviewed") & F.col("reg_lat").isNotNull() & F.col("reg_lon").isNotNull()
     moved = F.coalesce(moved, F.lit(False))
-    name = trust.source_name(F.col("source"), F.col("seed_only"))
+    name = trust.source_name(F.trim("source"), F.col("seed_only"))
     status = trust.osm_status(F.col("checked"), F.col("matched"), F.col("distance_m"))
     score = F.when(located, trust.confidence_score(name, F.col("seed_only"), status, F.col("reg_status")))
-    age = trust.age_days(F.col("lasttime"), None, as_of)
+    age = trust.age_days(F.col("lasttime"), F.col("last_seen") if "last_seen" in stations.columns else None, as_of)
     rows = rows.withColumns(
         {
             "reported_source": name, "osm_status": F.when(located, status), "score": score, "label": F.when(located, trust.confidence_label(score)),
@@ -57,9 +58,15 @@ def needs_review(assessed: DataFrame) -> DataFrame:
 
 
 def review_queue(assessed: DataFrame) -> DataFrame:
-    """Rows to review with their successor in (score, call) order, missing scores last."""
-    rows = needs_review(assessed).withColumn("queue_score", F.coalesce("score", F.lit(999)))
-    return rows.withColumn("next_call", F.lead("callsign").over(Window.orderBy("queue_score", "callsign")))
+    """Rows to review with their successor in (score, call) order, missing scores last.
+
+    Rows are ordered inside buckets of a score and a call's first characters; only the buckets themselves are ordered as a whole.
+    """
+    rows = needs_review(assessed).withColumns({"queue_score": F.coalesce("score", F.lit(999)), "__head": F.substring("callsign", 1, 4)})
+    buckets = rows.groupBy("queue_score", "__head").agg(F.min("callsign").alias("__first"))
+    after = buckets.select("queue_score", "__head", F.lead("__first").over(Window.orderBy("queue_score", "__first")).alias("__after"))
+    inside = F.lead("callsign").over(Window.partitionBy("queue_score", "__head").orderBy("callsign"))
+    return rows.withColumn("__next", inside).join(after, ["queue_score", "__head"]).withColumn("next_call", F.coalesce("__next", "__after")).select(*assessed.columns, "queue_score", "next_call")
 
 
 def filter_region(stations: DataFrame, lat: float, lon: float, radius_km: float, types=("digi", "igate")) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import pixel_index, tile_key, utm_forward, utm_inverse
+from .propagation import min_range
 
 PIT_DROP_M, LOWEST_M, HIGHEST_M = 40.0, -200.0, 5000.0
 
@@ -77,6 +78,27 @@ def bounded_resample(dem: DataFrame, height: int, width: int, cap: int) -> DataF
     return bilinear(points, dem, ["tr", "tc"], height, width).select(F.col("tr").alias("r"), F.col("tc").alias("c"), "elev_m")
 
 
+def thumbnail(cells: DataFrame, height: int, width: int, cap: int, value: str = "margin_db") -> DataFrame:
+    """r, c, value of each site's grid with its longest side at most cap: bilinear over a grid whose empty cells are 0, shown where the nearest cell isn't empty."""
+    if max(height, width) <= cap:
+        return cells.select("site", "r", "c", value)
+    scale = max(height, width) / cap
+    rows, cols = max(1, round(height / scale)), max(1, round(width / scale))
+    across, down = width / cols, height / rows
+    # Targets whose nearest cell is full: each full cell is the nearest of those whose centre it holds.
+    first = lambda x, step: F.ceil(F.col(x) / step - 0.5)
+    last = lambda x, step: F.ceil((F.col(x) + 1) / step - 0.5) - 1
+    span = lambda x, step, n: F.when(F.greatest(first(x, step), F.lit(0)) <= F.least(last(x, step), F.lit(n - 1)), F.sequence(F.greatest(first(x, step), F.lit(0)), F.least(last(x, step), F.lit(n - 1))))
+    full = cells.withColumn("tr", F.explode(span("r", down, rows))).withColumn("tc", F.explode(span("c", across, cols))).select("site", "tr", "tc")
+    at = lambda t, step, n: F.least(F.greatest((F.col(t) + 0.5) * step - 0.5, F.lit(0.0)), F.lit(float(n - 1)))
+    points = full.withColumns({"__y": at("tr", down, height), "__x": at("tc", across, width)})
+    r0, c0 = F.least(F.floor("__y"), F.lit(max(height - 2, 0))).cast("int"), F.least(F.floor("__x"), F.lit(max(width - 2, 0))).cast("int")
+    base = points.select("site", "tr", "tc", r0.alias("r0"), c0.alias("c0"), (F.col("__y") - r0).alias("fr"), (F.col("__x") - c0).alias("fc"))
+    corners = F.array(*[F.struct((F.col("r0") + i).alias("r"), (F.col("c0") + j).alias("c"), ((F.col("fr") if i else 1 - F.col("fr")) * (F.col("fc") if j else 1 - F.col("fc"))).alias("w")) for i in (0, 1) for j in (0, 1)])
+    each = base.select("site", "tr", "tc", F.inline(corners)).join(cells.select("site", "r", "c", F.col(value).alias("__v")), ["site", "r", "c"], "left")
+    return each.groupBy("site", "tr", "tc").agg(F.sum(F.col("w") * F.coalesce("__v", F.lit(0.0))).alias(value)).select("site", F.col("tr").cast("int").alias("r"), F.col("tc").cast("int").alias("c"), value)
+
+
 def area_mean(dem: DataFrame, factor: int) -> DataFrame:
     """The block-mean variant of downscaling."""
     return dem.groupBy(F.floor(F.col("r") / factor).cast("int").alias("r"), F.floor(F.col("c") / factor).cast("int").alias("c")).agg(F.avg("elev_m").alias("elev_m"))
@@ -97,6 +119,12 @@ def locate_cells(stations: DataFrame, zone: Column, easting0: float, northing0:
     return rows.withColumns({"c": pixel_index(F.col("easting"), F.lit(easting0), F.lit(cell_m)), "r": pixel_index(-F.col("northing"), F.lit(-northing0), F.lit(cell_m))})
 
 
+def locate_sites(stations: DataFrame, dem: DataFrame, zone: Column, easting0: float, northing0: float, cell_m: float) -> DataFrame:
+    """Stations on the grid (site, lat, lon) with easting, northing, cell, site_elev and the warnings of pit_check()."""
+    located = on_grid(locate_cells(stations, zone, easting0, northing0, cell_m), dem).withColumnRenamed("elev_m", "site_elev")
+    return located.join(pit_check(located.select("site", "r", "c"), dem).select("site", "warnings"), "site")
+
+
 def on_grid(sites: DataFrame, dem: DataFrame) -> DataFrame:
     """Sites (r, c) whose cell has an elevation, with it."""
     return sites.join(dem.filter("elev_m is not null"), ["r", "c"])
@@ -120,10 +148,10 @@ def radials(sites: DataFrame, n: int, radius_px: float) -> DataFrame:
 
 
 def profile_points(rays: DataFrame, points: int, radius_m: float) -> DataFrame:
-    """site, radial, k, dist_m, row, col along each ray."""
+    """site, radial, k, dist_m, row, col along each ray; places are rounded, so that rays along the grid's edge stay on it."""
     rows = rays.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(points))))
     part = F.col("k") / F.lit(float(points))
-    return rows.select("site", "radial", "k", (part * radius_m).alias("dist_m"), (F.col("r") + part * (F.col("end_row") - F.col("r"))).alias("row"), (F.col("c") + part * (F.col("end_col") - F.col("c"))).alias("col"))
+    return rows.select("site", "radial", "k", (part * radius_m).alias("dist_m"), F.round(F.col("r") + part * (F.col("end_row") - F.col("r")), 9).alias("row"), F.round(F.col("c") + part * (F.col("end_col") - F.col("c")), 9).alias("col"))
 
 
 def fill_forward(samples: DataFrame, sites: DataFrame) -> DataFrame:
@@ -137,7 +165,7 @@ def profiles(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radial
     steps = profile_points(radials(sites, n_radials, radius_px), points, radius_m)
     inside = steps.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     keys = ["site", "radial", "k", "dist_m", "row", "col"]
-    return fill_forward(bilinear(inside, dem, keys, height, width), sites)
+    return fill_forward(bilinear(min_range(inside), dem, keys, height, width), sites)
 
 
 def crop(dem: DataFrame, sites: DataFrame, radius_px: int) -> DataFrame:

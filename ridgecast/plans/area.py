@@ -10,6 +10,10 @@ from ..operators import coverage, nearest, propagation, quality, terrain
 from ..operators.catalog import merge_records
 
 
+#: Radio profiles whose budgets are written into one expression.
+PROFILE_BLOCK = 200
+
+
 def area_catalog(groups: DataFrame, registry: DataFrame, features: DataFrame | None, lat: float, lon: float, radius_km: float, as_of: int, match_radius_km: float = 1.0) -> DataFrame:
     """Merge the sources, assess, keep the region, look for mapped sites, assess again."""
     merged = merge_records(groups)
@@ -47,7 +51,14 @@ def scenario_grids(sites: DataFrame, profiles: DataFrame, dem: DataFrame, **shap
     pick = {k: shape[k] for k in ("height", "width", "n_radials", "points", "radius_px", "radius_m")}
     ground = propagation.line_of_sight(terrain.profiles(sites, dem, **pick), shape.get("site_height", 10.0), shape.get("target_height", 2.0))
     sampled = propagation.samples(ground, shape["radius_m"], shape["points"])
-    each = sampled.join(F.broadcast(profiles.select(F.lit(1).alias("one"), "profile_id", budget.alias("__b"), F.col("freq_mhz").alias("__f"))), F.lit(1) == F.col("one")).withColumn("site", F.concat_ws(":", "site", "profile_id"))
+    each = None
+    rows = profiles.select("profile_id", budget.alias("b"), F.col("freq_mhz").alias("f")).collect()  # a job's own profiles, some hundred bytes each
+    for k in range(0, len(rows), PROFILE_BLOCK):
+        block = F.array(*[F.struct(F.lit(p["profile_id"]).alias("profile_id"), F.lit(p["b"]).cast("double").alias("__b"), F.lit(p["f"]).cast("double").alias("__f")) for p in rows[k : k + PROFILE_BLOCK]])
+        part = sampled.select("*", F.inline(block)).withColumn("site", F.concat_ws(":", "site", "profile_id"))
+        each = part if each is None else each.unionByName(part)
+    if each is None:
+        each = sampled.limit(0).selectExpr("*", "0 as profile_id", "0d as __b", "0d as __f").withColumn("site", F.col("site").cast("string"))
     margins = propagation.path_loss(each, F.col("__b"), F.col("__f"), shape.get("model", "fspl_los"))
     floor_db, max_db = shape.get("floor_db", 0.0), shape.get("max_db", 60.0)
     steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor_db), shape["radius_m"], shape["points"])
@@ -56,5 +67,6 @@ def scenario_grids(sites: DataFrame, profiles: DataFrame, dem: DataFrame, **shap
     return _finished(painted, shape["height"], shape["width"], shape["n_radials"], shape["radius_px"], floor_db, max_db, shape.get("gap_factor", 0.25)).withColumnRenamed("site", "scenario")
 
 
-def merged_coverage(grids: DataFrame) -> DataFrame:
-    return coverage.coverage_count(grids)
+def merged_coverage(grids: DataFrame, origins: DataFrame | None = None, cell_m: float = 90.0, ref_cell_m: float = 90.0) -> DataFrame:
+    """r, c, n_sites over all sites' finished grids; with origins (site, row0, col0 in metres) on the reference grid."""
+    return coverage.coverage_count(grids if origins is None else terrain.to_reference(grids, origins, cell_m, ref_cell_m))

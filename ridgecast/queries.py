@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .functions import geo, radio, text, trust
 from .operators import catalog, coverage, nearest, propagation, quality, terrain, tracks
 from .plans import area
 from .sources import packets, sinks, stations
+from .sources.scratch import scratch
 from .sources.tracks import kml_points
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,7 +111,7 @@ def unresolved_calls(v):
 
 @query(f"""with {_PATH} select (select count(*) from lines) as packets_observed, (select count(*) from sets) as calls_observed,
  (select count(*) from sets where call in (select call from pos)) as positions_resolved,
- (select string_agg(call, ',' order by call) from sets where call not in (select call from pos)) as unresolved""")
+ (select count(*) from sets where call not in (select call from pos)) as unresolved""")
 def session_metadata(v):
     lines = _lines(v)
     return catalog.session_metadata(lines, _roles(v), packets.packet_positions(lines))
@@ -125,14 +127,14 @@ merged as (select k as callsign, arg_max(type, nth) filter (type is not null and
  from raw where k <> '' group by k)"""
 
 
-@query("select ord, callsign, type, lat, lon, comment, lasttime, source, seed_only from fx_stations_raw where group_rank = 0")
+@query("select ord, callsign, type, lat, lon, comment, lasttime, source, seed_only from fx_stations_raw")
 def read_station_json(v):
-    rows = v("fx_stations_raw").filter("group_rank = 0")
+    rows = v("fx_stations_raw")
     whole = rows.select(F.to_json(F.struct(F.array(F.struct("callsign", F.col("ord").cast("string").alias("name"), "type", "lat", "lon", "comment", "lasttime", "source", "seed_only")).alias("results"))).alias("value"))
     return stations.parse_stations(whole).select(F.col("name").cast("long").alias("ord"), "callsign", "type", "lat", "lon", "comment", "lasttime", "source", "seed_only")
 
 
-@query(f"select distinct {_CALL} as callsign, status, lat, lon from fx_registry")
+@query(f"select distinct {_CALL} as callsign, lower(coalesce(status, 'candidate')) as status, lat, lon from fx_registry")
 def override_registry(v):
     rows = v("fx_registry").select(F.to_json(F.struct(F.map_from_arrays(F.array("callsign"), F.array(F.struct("status", "lat", "lon"))).alias("overrides"))).alias("value"))
     return stations.parse_registry(rows).select("callsign", "status", "lat", "lon")
@@ -274,7 +276,7 @@ _NEAR = f"""{_MERGE}, placed as (select callsign, lat, lon from merged where lat
 near as (select callsign, osm_type, osm_id, {_hav("p.lat", "p.lon", "o.lat", "o.lon")} as d from placed p join fx_osm o on abs(p.lat - o.lat) < 0.05 where {_hav("p.lat", "p.lon", "o.lat", "o.lon")} <= 3),
 best as (select * from near qualify row_number() over (partition by callsign order by d, osm_id) = 1),
 matches as (select callsign, osm_id is not null as matched, osm_type, osm_id, d, cast(round_even(d * 1000, 0) as bigint) as distance_m from placed left join best using (callsign))"""
-_ASSESS = f"""{_NEAR}, joined as (select m.*, r.status as reg, r.lat as reg_lat, r.lon as reg_lon, x.callsign is not null as checked, matched, distance_m from merged m left join fx_registry r using (callsign) left join matches x using (callsign)),
+_ASSESS = f"""{_NEAR}, joined as (select m.*, case when r.callsign is not null then lower(coalesce(r.status, 'candidate')) end as reg, r.lat as reg_lat, r.lon as reg_lon, x.callsign is not null as checked, matched, distance_m from merged m left join fx_registry r using (callsign) left join matches x using (callsign)),
 named as (select *, case when source in ('APRS-IS', 'aprs.fi', 'reviewed_override', 'seed', 'cache', 'unknown') then source when seed_only then 'seed' else 'unknown' end as src,
  case when not checked then 'NOT_CHECKED' when not coalesce(matched, false) then 'NO_MATCH' when distance_m <= 150 then 'AUTO_CORROBORATED' when distance_m <= 500 then 'PROBABLE' else 'DISAGREES' end as st,
  case when lasttime > 0 then greatest(0e0, ({AS_OF} - lasttime) / 86400e0) end as age from joined),
@@ -421,9 +423,9 @@ def cache_validity(v):
     return cache_is_valid(rows, 39.0, -112.0, 50.0, AS_OF, 21600 * 40).select("ord", "valid")
 
 
-@query(f"with {_MERGE} select callsign, case when type = 'digi' then 15e0 else 10e0 end as height_m from merged")
+@query(f"with {_MERGE} select callsign, case when type = 'digi' then 20e0 else 3e0 end as height_m from merged")
 def antenna_heights(v):
-    return catalog.merge_records(v("fx_stations_raw")).select("callsign", radio.antenna_height(F.col("type"), F.lit(15.0), F.lit(10.0)).alias("height_m"))
+    return catalog.merge_records(v("fx_stations_raw")).select("callsign", radio.antenna_height(F.col("type"), F.lit(radio.DEFAULTS["digi_height_m"]), F.lit(radio.DEFAULTS["igate_height_m"])).alias("height_m"))
 
 
 @query(f"with {_PATH} select 'N' || call as callsign, replace(call, '1', '_') as file, '&lt;' || call || '&gt;' as shown from sets")
@@ -480,21 +482,49 @@ def bilinear_sample(v):
     return terrain.bilinear(_points(v), v("fx_dem"), ["p"], _height(v), 100).withColumn("elev_m", F.round("elev_m", 6))
 
 
-@query(None)
+_BILINEAR = """round((1 - (fr - r0)) * (1 - (fc - c0)) * a.elev_m + (1 - (fr - r0)) * (fc - c0) * b.elev_m + (fr - r0) * (1 - (fc - c0)) * d.elev_m + (fr - r0) * (fc - c0) * e.elev_m, 6) as elev_m
+ from z left join fx_dem a on a.r = r0 and a.c = c0 left join fx_dem b on b.r = r0 and b.c = c0 + 1 left join fx_dem d on d.r = r0 + 1 and d.c = c0 left join fx_dem e on e.r = r0 + 1 and e.c = c0 + 1"""
+
+
+@query(f"""with s as (select cast(max(r) + 1 as double) as h, greatest(max(r) + 1, 100) / 50e0 as scale from fx_dem), t as (select h, scale, unnest(range(0, cast(floor(h / scale) as bigint))) as tr from s),
+ u as (select *, unnest(range(0, cast(floor(100 / scale) as bigint))) as tc from t), x as (select *, least(greatest((tr + 0.5e0) * scale - 0.5e0, 0), h - 1) as fr, least(greatest((tc + 0.5e0) * scale - 0.5e0, 0), 99) as fc from u),
+ z as (select *, cast(least(floor(fr), h - 2) as int) as r0, cast(least(floor(fc), 98) as int) as c0 from x) select cast(tr as int) as r, cast(tc as int) as c, {_BILINEAR}""")
 def bounded_resample(v):
-    return terrain.bounded_resample(v("fx_dem"), _height(v), 100, 50)
+    return terrain.bounded_resample(v("fx_dem"), _height(v), 100, 50).withColumn("elev_m", F.round("elev_m", 6))
 
 
-@query(None)
+def _sql_inverse(easting: str, northing: str, zone: int) -> str:
+    """xi, eta and the rectifying latitude of the northern grid in DuckDB, step by step: columns x0, y0 -> lat, lon of the table `uv`."""
+    k = f"({geo._K0 * geo._RECT!r})"
+    xi = " - ".join(["xi0", *[f"{b!r} * sin({2 * j} * xi0) * cosh({2 * j} * eta0)" for j, b in enumerate(geo._BETA, 1)]])
+    eta = " - ".join(["eta0", *[f"{b!r} * cos({2 * j} * xi0) * sinh({2 * j} * eta0)" for j, b in enumerate(geo._BETA, 1)]])
+    lat = " + ".join(["chi", *[f"{d!r} * sin({2 * j} * chi)" for j, d in enumerate(geo._DELTA, 1)]])
+    return f"""uv0 as (select *, ({northing}) / {k} as xi0, (({easting}) - 500000) / {k} as eta0 from grid), uv1 as (select *, {xi} as xi, {eta} as eta from uv0), uv2 as (select *, asin(sin(xi) / cosh(eta)) as chi from uv1),
+ uv as (select *, degrees({lat}) as lat, {zone * 6 - 183} + degrees(atan2(sinh(eta), cos(xi))) as lon from uv2)"""
+
+
+def _sql_forward(table: str, zone: int) -> str:
+    """easting and northing in DuckDB of a table's lat and lon: the table `en`."""
+    e = repr(geo._E)
+    east = " + ".join(["eta", *[f"{a!r} * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1)]])
+    north = " + ".join(["xi", *[f"{a!r} * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate(geo._ALPHA, 1)]])
+    return f"""en0 as (select *, radians(lat) as phi, radians(lon - {zone * 6 - 183}) as lam from {table}), en1 as (select *, sinh(atanh(sin(phi)) - {e} * atanh({e} * sin(phi))) as t from en0), en2 as (select *, atan2(t, cos(lam)) as xi, atanh(sin(lam) / sqrt(1 + t * t)) as eta from en1),
+ en as (select * exclude (phi, lam, t, xi, eta), 500000 + {geo._K0 * geo._RECT!r} * ({east}) as easting, case when lat < 0 then 1e7 else 0 end + {geo._K0 * geo._RECT!r} * ({north}) as northing from en2)"""
+
+
+@query(f"""with s as (select cast(max(r) + 1 as double) as h from fx_dem), gr as (select h, unnest(range(0, cast(h as bigint))) as tr from s), grid as (select *, unnest(range(0, 90)) as tc from gr),
+ {_sql_inverse("415000e0 + (tc + 0.5e0) * 90e0", "4427000e0 - (tr + 0.5e0) * 90e0", 12)}, x as (select *, (40e0 - lat) / 0.001e0 - 0.5e0 as fr, (lon + 112e0) / 0.001e0 - 0.5e0 as fc from uv),
+ z as (select *, cast(least(greatest(floor(fr), 0), h - 2) as int) as r0, cast(least(greatest(floor(fc), 0), 98) as int) as c0 from x where fr >= 0 and fr <= h - 1 and fc >= 0 and fc <= 99) select cast(tr as int) as r, cast(tc as int) as c, {_BILINEAR}""")
 def reproject_grid(v):
-    return terrain.reproject(v("fx_dem"), _height(v), 100, 40.0, -112.0, 0.001, 12, False, 415_000.0, 4_427_000.0, 90.0, _height(v), 90)
+    return terrain.reproject(v("fx_dem"), _height(v), 100, 40.0, -112.0, 0.001, 12, False, 415_000.0, 4_427_000.0, 90.0, _height(v), 90).withColumn("elev_m", F.round("elev_m", 6))
 
 
-_SITES = "sites as (select r * 100 + c as site, r, c from fx_dem where (r * 100 + c) % 37 = 0)"
+_SITES = "sites as (select r * 100 + c as site, r, c from fx_dem)"
 
 
-def _sites(v, every=37):
-    return v("fx_dem").withColumn("site", (F.col("r") * 100 + F.col("c")).cast("int")).filter(F.col("site") % every == 0)
+def _sites(v):
+    """Every cell of the grid as a site."""
+    return v("fx_dem").withColumn("site", (F.col("r") * 100 + F.col("c")).cast("int"))
 
 
 @query(f"""with {_SITES}, n as (select site, d.elev_m, d.r = s.r and d.c = s.c as centre from sites s join fx_dem d on abs(d.r - s.r) <= 2 and abs(d.c - s.c) <= 2),
@@ -599,16 +629,33 @@ def link_budget(v):
     return v("fx_profiles").select("profile_id", _r6(budget, "budget_db"), _r6(radio.custom_budget_db(F.col("tx_power_dbm"), F.col("tx_gain_dbd")), "custom_db"), _r6(radio.watts_to_dbm((F.col("profile_id") + 1).cast("double")), "dbm"), _r6(radio.fspl_db(F.lit(10000.0), F.col("freq_mhz")), "fspl_10km"))
 
 
-@query("select profile_id, concat_ws(',', case when tx_power_dbm > 40 then 'tx_power_dbm' end, case when tx_gain_dbd > 3 then 'tx_gain_dbd' end, case when cap_db > 170 then 'cap_db' end) as violations from fx_profiles")
+#: Profiles whose fields run through and out of their ranges: field, factor and offset of the profile's number.
+_SPREAD = [
+    ("cap_db", 8, 60), ("tx_power_dbm", 4, -4), ("tx_gain_dbd", 3, -25), ("rx_sens_dbm", 6, -170), ("rx_gain_dbd", 3, -30), ("digi_height_m", 30, 0), ("igate_height_m", 25, 0), ("target_height_m", 6, 0), ("freq_mhz", 60, 0),
+    ("n_radials", 150, 0), ("floor_db", 2, -35), ("max_db", 5, 0), ("dem_max_px", 300, 0), ("climate", 1, -5), ("refractivity", 15, 180), ("conductivity", 1, -3), ("permittivity", 5, -10), ("polarization", 1, -12),
+]
+
+
+@query(f"""with p as (select profile_id, {", ".join(f"cast(profile_id * {k} + {c} as double) as {n}" for n, k, c in _SPREAD)}, cast(36 + profile_id * 5 as double) as lat, cast(-112 - profile_id * 6 as double) as lon, cast(profile_id - 3 as double) as radius_km from fx_profiles)
+ select profile_id, concat_ws(',', case when cap_db < 80 or cap_db > 200 then 'cap_db' end, case when tx_power_dbm < 0 or tx_power_dbm > 80 then 'tx_power_dbm' end, case when tx_gain_dbd < -20 or tx_gain_dbd > 30 then 'tx_gain_dbd' end,
+ case when rx_sens_dbm < -160 or rx_sens_dbm > -50 then 'rx_sens_dbm' end, case when rx_gain_dbd < -20 or rx_gain_dbd > 30 then 'rx_gain_dbd' end, case when digi_height_m < 0.1 or digi_height_m > 500 then 'digi_height_m' end,
+ case when igate_height_m < 0.1 or igate_height_m > 500 then 'igate_height_m' end, case when target_height_m < 0.1 or target_height_m > 100 then 'target_height_m' end, case when freq_mhz < 20 or freq_mhz > 1000 then 'freq_mhz' end,
+ case when n_radials < 90 or n_radials > 2880 then 'n_radials' end, case when floor_db < -30 or floor_db > 20 then 'floor_db' end, case when max_db <= 0 or max_db > 100 then 'max_db' end, case when dem_max_px < 500 or dem_max_px > 6000 then 'dem_max_px' end,
+ case when climate < 1 or climate > 7 then 'climate' end, case when refractivity < 200 or refractivity > 450 then 'refractivity' end, case when conductivity < 1e-6 or conductivity > 1 then 'conductivity' end,
+ case when permittivity < 1 or permittivity > 100 then 'permittivity' end, case when polarization not in (0, 1) then 'polarization' end,
+ case when lat < -90 or lat > 90 then 'lat' end, case when lon < -180 or lon > 180 then 'lon' end, case when radius_km <= 0 then 'radius_km' end, case when floor_db >= max_db then 'floor_db < max_db' end) as violations from p""")
 def range_validations(v):
-    rules = [("tx_power_dbm", 0, 40), ("tx_gain_dbd", -10, 3), ("cap_db", 80, 170)]
-    return v("fx_profiles").select("profile_id", F.array_join(radio.range_violations(ranges=rules), ",").alias("violations"))
+    number = F.col("profile_id").cast("double")
+    rows = v("fx_profiles").select("profile_id", *[(number * k + c).alias(n) for n, k, c in _SPREAD], (number * 5 + 36).alias("lat"), (-112 - number * 6).alias("lon"), (number - 3).alias("radius_km"))
+    return rows.select("profile_id", F.array_join(radio.range_violations(("lat", "lon", "radius_km"), floor="floor_db", ceiling="max_db"), ",").alias("violations"))
 
 
-@query("select profile_id, case when cap_db + 10 = 148 then 138e0 else cap_db + 10 end as cap_db, 1080 as n_radials, 0.25e0 as gap_fill_factor from fx_profiles")
+@query("""select profile_id, case when cap_db + 10 = 148 then 138e0 else cap_db + 10 end as cap_db, tx_power_dbm, tx_gain_dbd, rx_sens_dbm, rx_gain_dbd, 20e0 as digi_height_m, 3e0 as igate_height_m, 2e0 as target_height_m, freq_mhz,
+ case when profile_id % 3 = 0 then 360e0 else 1080e0 end as n_radials, 0e0 as floor_db, case when profile_id % 2 = 0 then 45e0 else 30e0 end as max_db, 2500e0 as dem_max_px, 4e0 as climate, 301e0 as refractivity, 0.001e0 as conductivity, 15e0 as permittivity, 1e0 as polarization, 0.25e0 as gap_fill_factor from fx_profiles""")
 def profile_defaults(v):
-    rows = radio.with_defaults(v("fx_profiles").withColumns({"cap_db": F.col("cap_db") + 10, "n_radials": F.when(F.col("profile_id") % 2 == 0, 720)}))
-    return rows.select("profile_id", "cap_db", F.col("n_radials").cast("int").alias("n_radials"), "gap_fill_factor")
+    n = F.col("profile_id")
+    rows = v("fx_profiles").withColumns({"cap_db": F.col("cap_db") + 10, "n_radials": F.when(n % 3 == 0, 360).when(n % 3 == 1, 720), "max_db": F.when(n % 2 == 0, 45.0)})
+    return radio.with_defaults(rows).select("profile_id", *[F.col(name).cast("double").alias(name) for name in radio.DEFAULTS])
 
 
 # Grids -------------------------------------------------------------------------------------------------------------
@@ -647,9 +694,24 @@ def gap_fill(v):
     return coverage.gap_fill(_painted(v), 2)
 
 
-@query(None)
+def _sql_blur(source: str, out: str, line: str, axis: str) -> str:
+    """One pass of the smoothing in DuckDB: nine or more weighted neighbours along an axis, mirrored at the box's edges."""
+    reach = coverage.blur_radius(2)
+    sigma = 1.2
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
+    weights = ", ".join(f"({k - reach}, {w / sum(raw)!r})" for k, w in enumerate(raw))
+    low, high = ("r1", "r2") if axis == "r" else ("c1", "c2")
+    return f"""{out}_n as (select s.site, s.{line}, s.{axis}, s.{low}, s.{high}, s.{axis} - s.{low} + k.o as i, s.{high} - s.{low} + 1 as n, k.w from {source} s, (values {weights}) k(o, w)),
+ {out}_m as (select *, ((i % (2 * n)) + 2 * n) % (2 * n) as m from {out}_n), {out}_p as (select *, {low} + case when m < n then m else 2 * n - 1 - m end as at from {out}_m),
+ {out} as (select p.site, p.{line}, p.{axis}, any_value(s.r1) as r1, any_value(s.r2) as r2, any_value(s.c1) as c1, any_value(s.c2) as c2, any_value(own.margin_db) as margin_db, sum(p.w * s.v) as v from {out}_p p join {source} s on s.site = p.site and s.{line} = p.{line} and s.{axis} = p.at
+  join {source} own on own.site = p.site and own.{line} = p.{line} and own.{axis} = p.{axis} group by 1, 2, 3)"""
+
+
+@query(f"""with {_DENSE}, start as (select f.site, f.r, f.c, b.r1, b.r2, b.c1, b.c2, f.margin_db, case when f.margin_db = 0 then -1e0 else f.margin_db end as v from filled f join box b on b.site = f.site),
+ {_sql_blur("start", "down", "c", "r")}, {_sql_blur("down", "across", "r", "c")}
+ select site, r, c, round(least(v, 60e0), 6) as margin_db from across where margin_db <> 0 and v >= 0""")
 def smoothed_grid(v):
-    return coverage.finish_grid(_painted(v), 2, 0.0, 60.0)
+    return coverage.finish_grid(_painted(v), 2, 0.0, 60.0).withColumn("margin_db", F.round("margin_db", 6))
 
 
 @query("select site, r, c, margin_db, case when margin_db < 3 then -1e0 else least(margin_db, 20e0) end as clipped from fx_margin_hits")
@@ -676,16 +738,16 @@ def overlay_bounds(v):
     return rows.select("site", *[_r6(F.col(x), x) for x in ("south", "north", "west", "east")])
 
 
-@query(f"with {_PAINT}, m as (select distinct {_CALL} as callsign, cast(ord % 40 as int) as site from fx_stations_raw where group_rank = 0) select callsign, site, count(*) as cells, max(margin_db) as best from m join painted using (site) group by callsign, site")
+@query(f"with {_PAINT}, m as (select distinct {_CALL} as callsign, cast(ord % 40 as int) as site from fx_stations_raw) select callsign, site, count(*) as cells, max(margin_db) as best from m join painted using (site) group by callsign, site")
 def share_canonical(v):
-    members = v("fx_stations_raw").filter("group_rank = 0").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 40).cast("int").alias("site")).distinct()
+    members = v("fx_stations_raw").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 40).cast("int").alias("site")).distinct()
     return coverage.share_canonical(_painted(v), members).groupBy("callsign", "site").agg(F.count(F.lit(1)).alias("cells"), F.max("margin_db").alias("best"))
 
 
-@query(f"""with {_PAINT}, m as (select distinct {_CALL} as callsign, cast(ord % 60 as int) as site from fx_stations_raw where group_rank = 0), k as (select *, min(callsign) over (partition by site) as canonical, site in (select site from painted) as done from m)
+@query(f"""with {_PAINT}, m as (select distinct {_CALL} as callsign, cast(ord % 60 as int) as site from fx_stations_raw), k as (select *, min(callsign) over (partition by site) as canonical, site in (select site from painted) as done from m)
  select count(*) as total, count(*) filter (done) as resolved, count(*) filter (done and callsign = canonical) as computed, count(*) filter (done and callsign <> canonical) as shared, count(*) filter (not done) as skipped from k""")
 def run_summary(v):
-    members = v("fx_stations_raw").filter("group_rank = 0").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 60).cast("int").alias("site")).distinct()
+    members = v("fx_stations_raw").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 60).cast("int").alias("site")).distinct()
     canonical = members.groupBy("site").agg(F.min("callsign").alias("canonical"))
     return coverage.run_summary(members.join(canonical, "site"), _painted(v))
 
@@ -749,6 +811,124 @@ def map_features(v):
     return sinks.map_features(catalog.merge_records(v("fx_stations_raw")))
 
 
+@query("select m.callsign, cast(m.ord as bigint) as idx, count(*) as n from (select ord, replace(upper(trim(callsign)), '*', '') as callsign from fx_stations_raw) m join (select replace(upper(trim(callsign)), '*', '') as callsign from fx_stations_raw) g using (callsign) group by 1, 2")
+def results_in_order(v):
+    inputs = v("fx_stations_raw").select(text.normalize_call(F.col("callsign")).alias("callsign"), F.col("ord").cast("long").alias("idx"))
+    return coverage.results_in_order(inputs.groupBy("callsign").agg(F.count(F.lit(1)).alias("n")), inputs).select("callsign", "idx", "n")
+
+
+@query(f"""with {_PAINT}, t as (select unnest(range(0, 24)) as tr), g as (select tr, unnest(range(0, 24)) as tc from t), x as (select *, 60 / 24e0 as step from g),
+ y as (select *, least(greatest((tr + 0.5e0) * step - 0.5e0, 0), 59) as fr, least(greatest((tc + 0.5e0) * step - 0.5e0, 0), 59) as fc, cast(floor((tr + 0.5e0) * step) as int) as nr, cast(floor((tc + 0.5e0) * step) as int) as nc from x),
+ z as (select *, cast(least(floor(fr), 58) as int) as r0, cast(least(floor(fc), 58) as int) as c0 from y), full_ as (select p.site, z.* from z join painted p on p.r = nr and p.c = nc)
+ select z.site, cast(tr as int) as r, cast(tc as int) as c, round((1 - (fr - r0)) * (1 - (fc - c0)) * coalesce(a.margin_db, 0) + (1 - (fr - r0)) * (fc - c0) * coalesce(b.margin_db, 0) + (fr - r0) * (1 - (fc - c0)) * coalesce(d.margin_db, 0) + (fr - r0) * (fc - c0) * coalesce(e.margin_db, 0), 6) as margin_db
+ from full_ z left join painted a on a.site = z.site and a.r = r0 and a.c = c0 left join painted b on b.site = z.site and b.r = r0 and b.c = c0 + 1 left join painted d on d.site = z.site and d.r = r0 + 1 and d.c = c0 left join painted e on e.site = z.site and e.r = r0 + 1 and e.c = c0 + 1""")
+def thumbnail(v):
+    return terrain.thumbnail(_painted(v), 60, 60, 24).withColumn("margin_db", F.round("margin_db", 6))
+
+
+# Sinks and readers -------------------------------------------------------------------------------------------------
+
+@query(f"with {_MERGE} select callsign, type, lat, lon, comment, lasttime, source, seed_only from merged")
+def seed_sink(v):
+    rows = catalog.merge_records(v("fx_stations_raw"))
+    path = scratch(rows.sparkSession, "seed")
+    sinks.write_seed(rows, rows.agg(F.count(F.lit(1)).alias("n_stations")), path)
+    return stations.read_stations_lines(rows.sparkSession, f"{path}/stations").select("callsign", "type", "lat", "lon", "comment", "lasttime", "source", "seed_only")
+
+
+@query(f"with {_MERGE} select callsign, lower(type) as type, lat, lon, comment, 'seed' as source, true as seed_only from merged where comment is not null")
+def read_seed_csv(v):
+    rows = catalog.merge_records(v("fx_stations_raw")).filter("comment is not null")
+    path = scratch(rows.sparkSession, "seed-csv")
+    own = {"Callsign": "callsign", "Lat": "lat", "Lon": "lon", "Type": "type", "Comment": "comment"}
+    rows.select(*[(F.col(own[c]) if c in own else F.lit(None)).cast("string").alias(c) for c in (field.split(" ")[0] for field in stations.SEED_CSV.split(", "))]).write.option("header", True).csv(path)
+    return stations.read_seed_csv(rows.sparkSession, path)
+
+
+@query(f"with {_MERGE} select 'user' as seed, callsign from merged where seed_only union all select 'bundled', callsign from merged")
+def resolve_seed(v):
+    merged = catalog.merge_records(v("fx_stations_raw")).select("callsign", "seed_only")
+    user, bundled = merged.filter("seed_only").select("callsign"), merged.select("callsign")
+    chosen = [("user", stations.resolve_seed(user, bundled)), ("bundled", stations.resolve_seed(user.limit(0), bundled)), ("empty", stations.resolve_seed(user.limit(0), bundled, chosen=True))]
+    out = [rows.select(F.lit(name).alias("seed"), "callsign") for name, rows in chosen]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query(f"with {_PAINT} select site, r, c, case when site % 2 = 0 then margin_db + 1 else margin_db end as margin_db from painted")
+def margin_grid_sink(v):
+    """Every second site is written again, which replaces its partition and no other."""
+    cells = _painted(v)
+    path = scratch(cells.sparkSession, "margins")
+    sinks.write_margin_grid(cells, path)
+    sinks.write_margin_grid(cells.filter("site % 2 = 0").withColumn("margin_db", F.col("margin_db") + 1), path)
+    return cells.sparkSession.read.parquet(path).select(F.col("site").cast("int").alias("site"), "r", "c", "margin_db")
+
+
+@query(f"with {_PAINT} select r, c, count(distinct site) as n_sites from painted group by r, c")
+def coverage_grid_sink(v):
+    counts = coverage.coverage_count(_painted(v))
+    path = scratch(counts.sparkSession, "coverage")
+    sinks.write_coverage(counts, path)
+    return counts.sparkSession.read.parquet(path)
+
+
+@query(f"with {_MERGE} select callsign, type, lat, lon from merged where type in ('digi', 'igate') and lat is not null and lon is not null")
+def frozen_station_set(v):
+    rows = sinks.usable_stations(catalog.merge_records(v("fx_stations_raw"))).select("callsign", "type", "lat", "lon")
+    return sinks.freeze_stations(rows, scratch(rows.sparkSession, "frozen"), "job")
+
+
+@query(f"with {_MERGE}, b as (select site, min(r) as r1, max(r) as r2 from (select site, r, c, max(margin_db) as m from fx_margin_hits where margin_db > 0 group by 1, 2, 3) group by site), o as (select callsign, r1, r2 from (select distinct {_CALL} as callsign, cast(ord % 60 as int) as site from fx_stations_raw where ord % 3 = 0) join b using (site)) select callsign, case when type = 'digi' then 'Digipeaters' else 'iGates' end as folder, max(r1) as r1, max(r2) as r2 from merged left join (select callsign, max(r1) as r1, max(r2) as r2 from o group by callsign) using (callsign) group by 1, 2")
+def map_overlays(v):
+    """Map features with the bounds of their sites' overlays."""
+    box = _painted(v).groupBy("site").agg(F.min("r").alias("r1"), F.max("r").alias("r2"))
+    own = v("fx_stations_raw").filter("ord % 3 = 0").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 60).cast("int").alias("site")).distinct()
+    outputs = own.join(box, "site").groupBy("callsign").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2"))
+    return sinks.map_features(catalog.merge_records(v("fx_stations_raw")), outputs).select("callsign", "folder", "r1", "r2")
+
+
+# Rays from located sites ---------------------------------------------------------------------------------------------
+
+@query(f"select ord, cast(floor((lon + 115e0) / 0.25e0) as int) as c, cast(floor((-lat + 42e0) / 0.25e0) as int) as r, cast(floor((lon + 113e0) / 0.25e0) as int) as west from ({_PLACED})")
+def pixel_index(v):
+    step = F.lit(0.25)
+    return _placed(v).select("ord", geo.pixel_index(F.col("lon"), F.lit(-115.0), step).alias("c"), geo.pixel_index(-F.col("lat"), F.lit(-42.0), step).alias("r"), geo.pixel_index(F.col("lon"), F.lit(-113.0), step).alias("west"))
+
+
+@query(f"""with {_MERGE}, placed as (select callsign as site, lat, lon from merged where lat is not null and lon is not null), {_sql_forward("placed", 12)}, cell as (select greatest(600000e0 / 100, 690000e0 / (max(r) + 1)) as m from fx_dem),
+ placed_at as (select site, round(easting, 3) as easting, round(northing, 3) as northing, cast(floor((easting - 135000) / m) as int) as c, cast(floor((4720000 - northing) / m) as int) as r from en, cell),
+ n as (select a.site, d.elev_m, d.r = a.r and d.c = a.c as centre from placed_at a join fx_dem d on abs(d.r - a.r) <= 2 and abs(d.c - a.c) <= 2),
+ g as (select site, max(elev_m) filter (centre) as elev_m, count(elev_m) filter (not centre) as neighbours, median(elev_m) filter (not centre) as median_m from n group by site)
+ select site, r, c, easting, northing, elev_m as site_elev, case when neighbours >= 4 and median_m - elev_m > 40 then 'pit' else '' end as warnings from placed_at join g using (site) where elev_m is not null""")
+def locate_sites(v):
+    placed = catalog.merge_records(v("fx_stations_raw")).filter("lat is not null and lon is not null").select(F.col("callsign").alias("site"), "lat", "lon")
+    found = terrain.locate_sites(placed, v("fx_dem"), F.lit(12), 135_000.0, 4_720_000.0, max(600_000.0 / 100, 690_000.0 / _height(v)))
+    return found.select("site", "r", "c", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"), "site_elev", "warnings")
+
+
+@query(f"""with sites as (select r * 100 + c as site, r, c, elev_m as site_elev from fx_dem where elev_m is not null), rays as (select *, unnest(range(0, 4)) as radial from sites), pts as (select *, unnest(range(1, 9)) as k from rays),
+ x as (select site, site_elev, radial, k, round(r - k / 8e0 * 5.3e0 * cos(radians(radial * 90e0)), 9) as fr, round(c + k / 8e0 * 5.3e0 * sin(radians(radial * 90e0)), 9) as fc from pts),
+ z as (select *, cast(least(greatest(floor(fr), 0), {_H} - 2) as int) as r0, cast(least(greatest(floor(fc), 0), 98) as int) as c0 from x where fr >= 0 and fr <= {_H} - 1 and fc >= 0 and fc <= 99),
+ g as (select site, site_elev, radial, k, {_BILINEAR}) select cast(site as int) as site, cast(radial as int) as radial, cast(k as int) as k, coalesce(last_value(elev_m ignore nulls) over (partition by site, radial order by k rows unbounded preceding), site_elev) as elev_m from g""")
+def profiles(v):
+    """Four rays of eight points from every cell."""
+    sites = _sites(v).filter("elev_m is not null").select("site", "r", "c", F.col("elev_m").alias("site_elev"))
+    return terrain.profiles(sites, v("fx_dem"), _height(v), 100, 4, 8, 5.3, 8000.0).select("site", "radial", "k", F.round("elev_m", 6).alias("elev_m"))
+
+
+@query("""with n as (select unnest(range(1, 14)) as i), m as (select unnest(range(1, 28)) as i), s as (select i - 1 as j, 500 + (1800e0 - 500) * i / 13e0 as d from n union all select 12 + i, 1800 + (9000e0 - 1800) * i / 27e0 from m),
+ k as (select cast(least(100, greatest(1, round_even(d / 9000e0 * 100, 0))) as int) as k, cast(min(j) as int) as j from s group by 1) select r as site, k, j from k join fx_dem on c + 1 = k""")
+def sample_schedule(v):
+    return propagation.samples(_ray_table(v), 9000.0, 100).select("site", "k", "j")
+
+
+@query("select r as site, c + 1 as k from fx_dem where r % 3 > 0 or c < 0")
+def min_range(v):
+    """Every third grid row is a ray of a tenth of a metre a point, too short to use."""
+    rays = _ray_table(v).withColumn("dist_m", F.when(F.col("site") % 3 == 0, F.col("k") * 0.1).otherwise(F.col("dist_m")))
+    return propagation.min_range(rays).select("site", "k")
+
+
 # Tracks ------------------------------------------------------------------------------------------------------------
 
 @query(r"""with a as (select track_id, ord, regexp_extract(kml, '<coordinates>(.*?)</coordinates>', 1) as b, regexp_extract(kml, '<gx:coord>(.*?)</gx:coord>', 1) as g from fx_kml),
@@ -764,10 +944,10 @@ def track_in_bounds(v):
 
 
 def _coverage_of_track(v):
-    return coverage.coverage_count(_painted(v)).filter("(r + c) % 3 <> 0")
+    return coverage.coverage_count(_painted(v))
 
 
-_SAMPLED = f"""{_PAINT}, cov as (select r, c, count(distinct site) as n_sites from painted where (r + c) % 3 <> 0 group by r, c),
+_SAMPLED = f"""{_PAINT}, cov as (select r, c, count(distinct site) as n_sites from painted group by r, c),
  pts as (select *, cast(floor((42e0 - lat) / 0.05e0) as int) as r, cast(floor((lon + 112e0) / 0.0005e0) as int) as c, lat between 40.2e0 and 41.5e0 and lon between -112e0 and -111.99e0 as inside from fx_track),
  smp as (select track_id, ord, inside, coalesce(n_sites, 0) as value from pts left join cov using (r, c))"""
 
@@ -800,6 +980,16 @@ def track_segments(v):
     return rows.select("track_id", "segment", "is_hit", F.size("points").cast("long").alias("n"), F.element_at("points", 1)["ord"].alias("first_ord"), F.element_at("points", -1)["ord"].alias("last_ord"))
 
 
+@query("""with painted as (select site, r, c from fx_margin_hits where margin_db > 0 group by site, r, c), cov as (select r, c, count(distinct site) as n_sites from painted group by r, c),
+ pts as (select *, cast(floor((42e0 - lat) / 0.04e0) as int) as r, cast(floor((lon + 112e0) / 0.04e0) as int) as c, lat between 40.2e0 and 41.5e0 and lon between -112e0 and -111.99e0 as inside from fx_track),
+ smp as (select inside, coalesce(n_sites, 0) as value from pts left join cov using (r, c)), s as (select count(*) as total, count(*) filter (not inside) as outside, count(*) filter (inside and value > 0) as hits, count(*) filter (inside and value = 0) as misses from smp)
+ select *, round(case when hits + misses > 0 then hits * 100e0 / (hits + misses) else 0 end, 6) as accuracy_pct from s""")
+def validate_track(v):
+    track = v("fx_track").select("track_id", "ord", "lat", "lon")
+    stats, _ = tracks.validate_track(track, coverage.coverage_count(_painted(v)), 42.0, -112.0, 0.04, (40.2, 41.5, -112.0, -111.99))
+    return stats.withColumn("accuracy_pct", F.round("accuracy_pct", 6))
+
+
 @query(f"with {_SEGMENTS} select track_id, segment, case when is_hit then 'hit' else 'miss' end as style, count(*) as points from e group by 1, 2, 3 having count(*) > 1")
 def segment_lines(v):
     rows = sinks.segment_lines(tracks.segment_track(v("fx_track")))

@@ -52,6 +52,11 @@ def read_stations(spark: SparkSession, path: str, strict: bool = False) -> DataF
     return parse_stations(read_texts(spark, path), strict=strict)
 
 
+def read_stations_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Station rows of JSON lines, as write_seed() leaves them."""
+    return spark.read.schema(STATION).json(path)
+
+
 def resolve_seed(user: DataFrame | None, bundled: DataFrame, chosen: bool = False) -> DataFrame:
     """The user's seed if it has rows; an empty one that was chosen stays empty; else the bundled baseline."""
     if user is not None and not user.isEmpty():
@@ -74,7 +79,7 @@ def parse_registry(df: DataFrame, text: str = "value") -> DataFrame:
     entries = F.coalesce(outer, F.from_json(text, "map<string, string>"))
     rows = df.select(F.explode(entries).alias("call", "entry")).filter(F.ltrim("entry").startswith("{"))
     fields = F.from_json("entry", "struct<status: string, lat: double, lon: double, reason: string, source: string, source_url: string>")
-    return rows.select(normalize_call(F.col("call")).alias("callsign"), fields.alias("f")).filter("callsign <> ''").select("callsign", "f.*")
+    return rows.select(normalize_call(F.col("call")).alias("callsign"), fields.alias("f")).filter("callsign <> ''").select("callsign", "f.*").withColumn("status", F.lower(F.coalesce("status", F.lit("candidate"))))
 
 
 def parse_lookup(df: DataFrame, text: str = "value") -> DataFrame:

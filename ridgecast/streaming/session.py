@@ -33,10 +33,10 @@ def sightings(lines: DataFrame) -> DataFrame:
     return roles.unionByName(spots)
 
 
-def running_catalog(packets: DataFrame, watermark: str | None = None) -> DataFrame:
+def running_catalog(packets: DataFrame) -> DataFrame:
     """call, is_digi, is_igate, position, last: roles and positions may come in either order, any time apart.
 
-    One row of state for each call; watermark ("1 hour") adds hourly packet windows' bound when the source has no end.
+    One row of state for each call, so the state is bounded by the number of stations, not by time or packets.
     """
     rows = sightings(packet_lines(packets))
     return rows.groupBy("call").agg(
@@ -61,22 +61,36 @@ def progress(packets: DataFrame, name: str = "session") -> DataFrame:
     return packets.observe(name, F.count(F.lit(1)).alias("lines"), F.count_if(used).alias("with_path"))
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str = "complete", timeout: float | None = None) -> StreamingQuery:
-    """Process what is available into an in-memory table (sessions that end, tests)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete", timeout: float | None = None) -> StreamingQuery:
+    """Process what is available into Parquet: complete mode leaves each trigger's whole result in a folder of its own, append mode adds rows.
+
+    Executors write the rows; none pass through the driver. read_result() reads them back.
+    """
+    if mode == "complete":
+        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch:010d}"))
+    else:
+        writer = stream.writeStream.outputMode(mode).format("parquet").option("path", path)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination(timeout) if timeout else query.awaitTermination()
     return query
 
 
+def read_result(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
+    """The last trigger's result of a stream in complete mode."""
+    last = max((p["batchId"] for p in query.recentProgress), default=0)
+    return spark.read.parquet(f"{path}/epoch={last:010d}")
+
+
 def upsert_catalog(load: Callable[[], DataFrame], save: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that merges each batch of station rows into the stored catalog.
 
-    The stored rows rank before the batch; save must not overwrite what load reads while it is being read.
+    The stored rows rank before the batch, whose own order is its column ord where it has one; save must not overwrite what load reads while it is being read.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         stored = load().withColumn("group_rank", F.lit(0)).withColumn("ord", F.lit(0).cast("long"))
-        fresh = batch.withColumn("group_rank", F.lit(1)).withColumn("ord", F.monotonically_increasing_id())
+        fresh = batch.withColumn("group_rank", F.lit(1))
+        fresh = fresh if "ord" in batch.columns else fresh.withColumn("ord", F.monotonically_increasing_id())
         save(merge_records(stored.unionByName(fresh, allowMissingColumns=True)))
 
     return merge

@@ -213,9 +213,9 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(lines, "seq long, raw string").withColumn("arrival_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).select("seq", "arrival_ts", "raw")
     df.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = session.packet_stream(spark, str(tmp_path / "in"), 2)
-    session.run_to_memory(session.heard(session.running_catalog(stream)), "t_stream_equals_batch")
+    query = session.run_to_table(session.heard(session.running_catalog(stream)), f"{tmp_path}/out", f"{tmp_path}/at")
     batch = session.heard(session.running_catalog(df))
-    assert sorted(map(str, spark.table("t_stream_equals_batch").collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(str, session.read_result(spark, f"{tmp_path}/out", query).collect())) == sorted(map(str, batch.collect()))
     assert session.within_session(df, F.timestamp_seconds(F.lit(1_700_000_000)), 50).count() == 50
 
 
