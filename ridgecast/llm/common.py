@@ -18,7 +18,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows per Arrow batch: texts can be long, so batches stay small.
 BATCH_ROWS = 512
 #: Bytes (counted rows times a row's width) up to which a narrow table is broadcast; beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

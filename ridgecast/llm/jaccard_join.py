@@ -10,7 +10,8 @@ set aside first what cannot have a neighbour within the radius r = 1 - t:
    sample of ORDER_DOCS documents doesn't show often, by hash, then the frequent ones, rarest first. (The sample sets the order
    only; every order gives the same result.) A class has no neighbour unless k of its marks (for the least set that can be
    its neighbour) are shared with others; that is tested twice, first with a bitmap of the shared marks (of bounded size; what
-   it lets pass wrongly the next test finds), then exactly, again and again while classes fall out.
+   it lets pass wrongly the next test finds), then exactly, again and again while classes fall out. Of the a marks that a class
+   shares it then keeps the a - k + 1 that the fewest classes share: by the same argument two neighbours still share one.
 
 Then the metric join proper:
 
@@ -508,7 +509,7 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 
 def open_marks(profiles: DataFrame) -> DataFrame:
-    """k1, mark of the classes that share enough marks with others, and the marks that they share."""
+    """k1, mark of the classes that share enough marks with others, and of the a marks that they share the a - needed + 1 rarest."""
     shared = materialise(_shared(profiles.select("k1", F.explode("marks").alias("mark"))), "shared-marks")
     bitmap = profiles.sparkSession.sparkContext.broadcast(_bitmap(shared))
     discard(shared)
@@ -526,7 +527,12 @@ def open_marks(profiles: DataFrame) -> DataFrame:
         if 10 * (before - n) < before:
             break
         before = n
-    return now
+    sizes = now.groupBy("mark").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1").withColumnRenamed("mark", "m2")
+    each = now.join(small(materialise(sizes, "mark-sizes")), F.col("mark") == F.col("m2")).groupBy("k1").agg(F.sort_array(F.collect_list(F.struct("df", "mark"))).alias("a"), F.max("need").alias("need"))
+    rarest = F.slice("a", F.lit(1), (F.size("a") - F.col("need") + 1).cast("int"))
+    kept = materialise(each.filter(F.size("a") >= F.col("need")).select("k1", F.explode(rarest).alias("r")).select("k1", F.col("r.mark").alias("mark")), "open-marks")
+    discard(now)
+    return kept
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
