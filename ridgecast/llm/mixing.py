@@ -20,8 +20,8 @@ solution, and its ratio would be noise. They take the largest ratio of the other
 TOLERANCE; targets that contradict each other never hold, and after MOST_ROUNDS rake() raises, or warns if strict is False
 (mix() warns: it still samples by the ratios it got).
 
-Everything runs on the table of cells as Spark jobs, one written table for each round; the driver sees only
-convergence figures.
+Everything runs on the table of cells, in one task while they are few and as Spark jobs with a written table for each round
+beyond that; the driver sees only convergence figures.
 
 Defined cases: null source, language or topic is a value of its own ("unknown"); a null or empty text has no tokens and
 takes its cell's probability (0 where no document of its cell has tokens); repeated rows share one decision, and so do rows
@@ -51,6 +51,8 @@ TOLERANCE = 1e-4
 FRACTION = 0.5
 #: Cells with a smaller part of the tokens are pooled instead of raked.
 POOL_SHARE = 1e-4
+#: Counted cells (some hundred bytes each) that one task rakes; more are raked by Spark jobs.
+TASK_CELLS = 100_000
 UNKNOWN = "unknown"
 #: Bytes whose forms are counted at once.
 BLOCK = 1 << 20
@@ -129,35 +131,78 @@ def goals_of(cells: DataFrame, dimension: str, shares: DataFrame, total: float)
     return own.select("k", F.when(F.col("target").isNull(), F.col("w")).otherwise(F.col("target") * F.lit(room / (free["given"] or 1.0))).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
-    """cells (dimensions, weight > 0) with ratio: raked over original weight.
-
-    targets: dimension -> (value, target), shares of any sum; values without cells are ignored, those without a target keep
-    their weight. Without convergence it raises ArithmeticError, or warns if not strict.
-    """
-    now = materialise(cells.withColumn("raked", F.col("weight")), "cells")
-    total = now.agg(F.sum("weight")).first()[0] or 1.0
-    goals = {d: small(goals_of(now, d, shares, total)) for d, shares in targets.items()}
-    worst = None
+def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
+    """All cells (dimensions, weight, goal_<dimension>) in one frame -> with raked and off, how far the last scales were from 1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        raked = table.column("weight").to_numpy().astype(float).copy()
+        codes, goals = [], []
+        for d in dimensions:
+            code = table.column(d).combine_chunks().dictionary_encode().indices.to_numpy()
+            goal = np.zeros(code.max() + 1)
+            goal[code] = table.column(f"goal_{d}").to_numpy()
+            codes.append(code)
+            goals.append(goal)
+        worst = 0.0
+        for _ in range(rounds):
+            worst = 0.0
+            for code, goal in zip(codes, goals, strict=True):
+                sums = np.bincount(code, weights=raked)
+                scale = np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)
+                worst = max(worst, float(np.abs(scale[code] - 1)[raked > 0].max(initial=0.0)))
+                raked *= scale[code]
+            if worst < tolerance:
+                break
+        kept = table.select([*dimensions, "weight"])
+        return kept.append_column("raked", pa.array(raked)).append_column("off", pa.array(np.full(len(raked), worst)))
+
+    return run
+
+
+def _rake_rounds(cells: DataFrame, dimensions: list[str], rounds: int, tolerance: float) -> DataFrame:
+    """The same as Spark jobs, a written table for each round."""
+    now = materialise(cells.withColumns({"raked": F.col("weight"), "off": F.lit(0.0)}), "cells")
     for _ in range(rounds):
-        step = now
-        for d, goal in goals.items():
-            sums = step.groupBy(d).agg(F.sum("raked").alias("s")).join(goal, F.col(d) == F.col("k")).select("k", F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(0.0).alias("scale"))
+        step = now.withColumn("off", F.lit(0.0))
+        for d in dimensions:
+            sums = step.groupBy(d).agg(F.max(f"goal_{d}").alias("goal"), F.sum("raked").alias("s")).select(F.col(d).alias("k"), F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(0.0).alias("scale"))
             step = step.join(sums, F.col(d) == F.col("k"))
-            step = step.withColumns({"raked": F.col("raked") * F.col("scale"), f"off_{d}": F.when(F.col("raked") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0)}).drop("k", "scale")
+            step = step.withColumns({"off": F.greatest("off", F.when(F.col("raked") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0)), "raked": F.col("raked") * F.col("scale")}).drop("k", "scale")
         after = materialise(step, "cells")
         discard(now)
-        worst = after.agg(F.max(F.greatest(*[F.col(f"off_{d}") for d in goals], F.lit(0.0)))).first()[0]
-        now = after.drop(*[f"off_{d}" for d in goals])
-        now._ridgecast_path = after._ridgecast_path
+        now, worst = after, after.agg(F.max("off")).first()[0]
         if worst is None or worst < tolerance:
             break
+    return now.select(*dimensions, "weight", "raked", "off")
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE, strict: bool = True) -> DataFrame:
+    """cells (dimensions, weight > 0) with ratio: raked over original weight.
+
+    targets: dimension -> (value, target), shares of any sum; values without cells are ignored, those without a target keep
+    their weight. Up to TASK_CELLS counted cells are raked in one task, more by Spark jobs; the results are the same. Without
+    convergence it raises ArithmeticError, or warns if not strict.
+    """
+    dimensions = list(targets)
+    now = materialise(cells, "cells")
+    total = now.agg(F.sum("weight")).first()[0] or 1.0
+    n = now.count()
+    joined = now
+    for d, shares in targets.items():
+        goal = small(materialise(goals_of(now, d, shares, total), "goals"))
+        joined = joined.join(goal.select(F.col("k").alias("__k"), F.col("goal").alias(f"goal_{d}")), F.col(d) == F.col("__k")).drop("__k")
+    if n <= TASK_CELLS:
+        schema = ", ".join(f"{d} string" for d in dimensions) + ", weight double, raked double, off double"
+        ready = materialise(joined.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(_rake_block(dimensions, rounds, tolerance), schema), "raked")
     else:
+        ready = materialise(_rake_rounds(joined, dimensions, rounds, tolerance), "raked")
+    worst = ready.agg(F.max("off")).first()[0] or 0.0
+    if worst >= tolerance:
         said = f"raking ended after {rounds} rounds with scales up to {worst:.2g} off: the targets contradict each other or the cells"
         if strict:
             raise ArithmeticError(said)
         warnings.warn(said, stacklevel=2)
-    return now.withColumn("ratio", F.col("raked") / F.col("weight")).drop("raked")
+    return ready.select(*dimensions, "weight", (F.col("raked") / F.col("weight")).alias("ratio"))
 
 
 def rake_pooled(cells: DataFrame, targets: dict[str, DataFrame], share: float = POOL_SHARE, strict: bool = True) -> DataFrame:

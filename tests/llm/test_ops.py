@@ -340,7 +340,9 @@ def test_host_verdicts(spark):
 # 5: mixing
 
 
-def test_raking_matches_numpy(spark):
+@pytest.mark.parametrize("task_cells", [mixing.TASK_CELLS, 3])
+def test_raking_matches_numpy(spark, monkeypatch, task_cells):
+    monkeypatch.setattr(mixing, "TASK_CELLS", task_cells)
     rng = np.random.default_rng(5)
     cells = [(f"s{i}", f"l{j}", f"t{k}", float(rng.integers(1, 100))) for i in range(4) for j in range(3) for k in range(2) if rng.random() < 0.8]
     df = spark.createDataFrame(cells, "mix_source string, mix_lang string, topic string, weight double")
