@@ -1,6 +1,6 @@
 """Elevation grids as cell tables (r, c, elev_m): tiles, mosaics, resampling, projection, profiles.
 
-Neighbours are always reached by exploding small offsets and an equi-join, never by a band join.
+Neighbours are reached by exploding small offsets or through blocks of cells held as arrays, always with an equi-join, never by a band join.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import pixel_index, tile_key, utm_forward, utm_inverse
 from .propagation import min_range
 
+#: Side of the blocks in which interpolation looks cells up.
+BLOCK = 64
 PIT_DROP_M, LOWEST_M, HIGHEST_M = 40.0, -200.0, 5000.0
 
 
@@ -55,14 +57,34 @@ def mosaic_geometry(tiles: DataFrame, cap: int, bytes_per_cell: int = 4) -> Data
     return size.withColumn("memory_mb", F.col("out_width") * F.col("out_height") * bytes_per_cell / F.lit(1e6))
 
 
+def cell_blocks(cells: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, __br, __bc, __cells: each block's values row by row, with one more row and column, the next blocks' first; missing ones are null."""
+    side = BLOCK + 1
+    own = lambda x: F.floor(F.col(x) / BLOCK).cast("int")
+    blocks = lambda x: F.explode(F.when(F.pmod(F.col(x), F.lit(BLOCK)) == 0, F.array(own(x) - 1, own(x))).otherwise(F.array(own(x))))
+    rows = cells.select(*by, "r", "c", F.col(value).cast("double").alias("v")).withColumn("__br", blocks("r")).withColumn("__bc", blocks("c"))
+    place = ((F.col("r") - F.col("__br") * BLOCK) * side + F.col("c") - F.col("__bc") * BLOCK).cast("int")
+    empty = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("v")))
+    # Nulls sort first, so the last entry of a place is its cell's value.
+    full = rows.groupBy(*by, "__br", "__bc").agg(F.sort_array(F.concat(F.collect_list(F.struct(place.alias("i"), "v")), empty)).alias("__all"))
+    last = F.filter("__all", lambda x, k: F.coalesce(F.get("__all", k + 1)["i"] != x["i"], F.lit(True)))
+    return full.select(*by, "__br", "__bc", F.transform(last, lambda x: x["v"]).alias("__cells"))
+
+
 def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, width: int, row: str = "row", col: str = "col", value: str = "elev_m", by: tuple[str, ...] = ()) -> DataFrame:
-    """keys, value at the fractional (row, col) of each point; null where a neighbour is missing. by: keys that tell several grids apart."""
+    """keys, value at the fractional (row, col) of each point; null where a neighbour is missing. by: keys that tell several grids apart.
+
+    A point meets the one block that holds its four neighbours, so points are shuffled once and never regrouped.
+    """
     r0 = F.least(F.greatest(F.floor(row), F.lit(0)), F.lit(max(height - 2, 0))).cast("int")
     c0 = F.least(F.greatest(F.floor(col), F.lit(0)), F.lit(max(width - 2, 0))).cast("int")
     base = points.select(*keys, r0.alias("__r0"), c0.alias("__c0"), (F.col(row) - r0).alias("__fr"), (F.col(col) - c0).alias("__fc"))
-    corners = F.array(*[F.struct((F.col("__r0") + i).alias("r"), (F.col("__c0") + j).alias("c"), ((F.col("__fr") if i else 1 - F.col("__fr")) * (F.col("__fc") if j else 1 - F.col("__fc"))).alias("w")) for i in (0, 1) for j in (0, 1)])
-    each = base.select(*keys, F.inline(corners)).join(dem.select(*by, "r", "c", F.col(value).alias("__v")), [*by, "r", "c"], "left")
-    return each.groupBy(*keys).agg(F.when(F.count("__v") == 4, F.sum(F.col("w") * F.col("__v"))).alias(value))
+    base = base.withColumns({"__br": F.floor(F.col("__r0") / BLOCK).cast("int"), "__bc": F.floor(F.col("__c0") / BLOCK).cast("int")})
+    first = (F.col("__r0") - F.col("__br") * BLOCK) * (BLOCK + 1) + F.col("__c0") - F.col("__bc") * BLOCK
+    at = lambda i, j: F.get("__cells", first + i * (BLOCK + 1) + j)
+    y, x = F.col("__fr"), F.col("__fc")
+    mean = (1 - y) * ((1 - x) * at(0, 0) + x * at(0, 1)) + y * ((1 - x) * at(1, 0) + x * at(1, 1))
+    return base.join(cell_blocks(dem, value, by), [*by, "__br", "__bc"], "left").select(*keys, mean.alias(value))
 
 
 def bounded_resample(dem: DataFrame, height: int, width: int, cap: int) -> DataFrame:
@@ -148,24 +170,28 @@ def radials(sites: DataFrame, n: int, radius_px: float) -> DataFrame:
 
 
 def profile_points(rays: DataFrame, points: int, radius_m: float) -> DataFrame:
-    """site, radial, k, dist_m, row, col along each ray; places are rounded, so that rays along the grid's edge stay on it."""
+    """site, radial, k, dist_m, row, col (and site_elev, if the rays have it) along each ray; places are rounded, so that rays along the grid's edge stay on it."""
     rows = rays.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(points))))
     part = F.col("k") / F.lit(float(points))
-    return rows.select("site", "radial", "k", (part * radius_m).alias("dist_m"), F.round(F.col("r") + part * (F.col("end_row") - F.col("r")), 9).alias("row"), F.round(F.col("c") + part * (F.col("end_col") - F.col("c")), 9).alias("col"))
+    more = [c for c in rays.columns if c == "site_elev"]
+    return rows.select("site", "radial", "k", *more, (part * radius_m).alias("dist_m"), F.round(F.col("r") + part * (F.col("end_row") - F.col("r")), 9).alias("row"), F.round(F.col("c") + part * (F.col("end_col") - F.col("c")), 9).alias("col"))
 
 
-def fill_forward(samples: DataFrame, sites: DataFrame) -> DataFrame:
-    """Missing profile elevations take the previous one on the ray, else the site's (sites: site, site_elev)."""
+def fill_forward(samples: DataFrame) -> DataFrame:
+    """Missing profile elevations take the previous one on the ray, else the site's (column site_elev)."""
     along = Window.partitionBy("site", "radial").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return samples.join(sites.select("site", "site_elev"), "site").withColumn("elev_m", F.coalesce(F.last("elev_m", ignorenulls=True).over(along), "site_elev"))
+    return samples.withColumn("elev_m", F.coalesce(F.last("elev_m", ignorenulls=True).over(along), "site_elev"))
 
 
 def profiles(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float) -> DataFrame:
-    """Terrain along every ray of sites (site, r, c, site_elev): site, radial, k, dist_m, row, col, elev_m, site_elev."""
-    steps = profile_points(radials(sites, n_radials, radius_px), points, radius_m)
+    """Terrain along every ray of sites (site, r, c, site_elev): site, radial, k, dist_m, row, col, site_elev, elev_m.
+
+    All that goes by rays comes after the look-up, so that one shuffle by ray serves it and the line of sight.
+    """
+    steps = profile_points(radials(sites.select("site", "r", "c", "site_elev"), n_radials, radius_px), points, radius_m)
     inside = steps.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
-    keys = ["site", "radial", "k", "dist_m", "row", "col"]
-    return fill_forward(bilinear(min_range(inside), dem, keys, height, width), sites)
+    keys = ["site", "radial", "k", "dist_m", "row", "col", "site_elev"]
+    return fill_forward(min_range(bilinear(inside, dem, keys, height, width)))
 
 
 def crop(dem: DataFrame, sites: DataFrame, radius_px: int) -> DataFrame:

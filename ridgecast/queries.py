@@ -555,8 +555,8 @@ _ROWS = "base as (select r as site, c, coalesce(last_value(elev_m ignore nulls)
 
 def _ray_table(v):
     """Each grid row as one ray from its first cell, 90 m apart."""
-    rays = v("fx_dem").select(F.col("r").alias("site"), F.lit(0).alias("radial"), (F.col("c") + 1).alias("k"), ((F.col("c") + 1) * 90.0).alias("dist_m"), "elev_m")
-    return terrain.fill_forward(rays, rays.select("site").distinct().withColumn("site_elev", F.lit(1500.0)))
+    rays = v("fx_dem").select(F.col("r").alias("site"), F.lit(0).alias("radial"), (F.col("c") + 1).alias("k"), ((F.col("c") + 1) * 90.0).alias("dist_m"), "elev_m", F.lit(1500.0).alias("site_elev"))
+    return terrain.fill_forward(rays)
 
 
 @query(f"with {_ROWS} select site, c + 1 as k, elev_m from base")
