@@ -845,7 +845,7 @@ def read_seed_csv(v):
     return stations.read_seed_csv(rows.sparkSession, path)
 
 
-@query(f"with {_MERGE} select 'user' as seed, callsign from merged where seed_only union all select 'bundled', callsign from merged")
+@query(f"with {_MERGE} select 'user' as seed, callsign from merged where seed_only or not exists (select * from merged where seed_only) union all select 'bundled', callsign from merged")
 def resolve_seed(v):
     merged = catalog.merge_records(v("fx_stations_raw")).select("callsign", "seed_only")
     user, bundled = merged.filter("seed_only").select("callsign"), merged.select("callsign")
