@@ -13,6 +13,8 @@ from .propagation import min_range
 
 #: Side of the blocks in which interpolation looks cells up.
 BLOCK = 64
+#: Bytes of a grid's blocks up to which it is broadcast (some 2700 x 2700 cells).
+BROADCAST_BYTES = 64 << 20
 PIT_DROP_M, LOWEST_M, HIGHEST_M = 40.0, -200.0, 5000.0
 
 
@@ -74,7 +76,8 @@ def cell_blocks(cells: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataF
 def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, width: int, row: str = "row", col: str = "col", value: str = "elev_m", by: tuple[str, ...] = ()) -> DataFrame:
     """keys, value at the fractional (row, col) of each point; null where a neighbour is missing. by: keys that tell several grids apart.
 
-    A point meets the one block that holds its four neighbours, so points are shuffled once and never regrouped.
+    A point meets the one block that holds its four neighbours and is never regrouped. One grid whose size bounds its blocks to
+    BROADCAST_BYTES is broadcast, so its points stay where they are; beyond that they are shuffled once.
     """
     r0 = F.least(F.greatest(F.floor(row), F.lit(0)), F.lit(max(height - 2, 0))).cast("int")
     c0 = F.least(F.greatest(F.floor(col), F.lit(0)), F.lit(max(width - 2, 0))).cast("int")
@@ -84,7 +87,13 @@ def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, wi
     at = lambda i, j: F.get("__cells", first + i * (BLOCK + 1) + j)
     y, x = F.col("__fr"), F.col("__fc")
     mean = (1 - y) * ((1 - x) * at(0, 0) + x * at(0, 1)) + y * ((1 - x) * at(1, 0) + x * at(1, 1))
-    return base.join(cell_blocks(dem, value, by), [*by, "__br", "__bc"], "left").select(*keys, mean.alias(value))
+    if by:
+        blocks = cell_blocks(dem, value, by)
+    else:
+        blocks = cell_blocks(dem.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1)), value)
+        most = (height // BLOCK + 2) * (width // BLOCK + 2) * (BLOCK + 1) ** 2 * 8
+        blocks = F.broadcast(blocks) if most <= BROADCAST_BYTES else blocks
+    return base.join(blocks, [*by, "__br", "__bc"], "left").select(*keys, mean.alias(value))
 
 
 def bounded_resample(dem: DataFrame, height: int, width: int, cap: int) -> DataFrame:
@@ -186,9 +195,12 @@ def fill_forward(samples: DataFrame) -> DataFrame:
 def profiles(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float) -> DataFrame:
     """Terrain along every ray of sites (site, r, c, site_elev): site, radial, k, dist_m, row, col, site_elev, elev_m.
 
-    All that goes by rays comes after the look-up, so that one shuffle by ray serves it and the line of sight.
+    Rays are dealt out before they are cut into points: that spreads a few sites over all tasks, and where the grid is broadcast
+    no later step along a ray shuffles its points.
     """
-    steps = profile_points(radials(sites.select("site", "r", "c", "site_elev"), n_radials, radius_px), points, radius_m)
+    rays = radials(sites.select("site", "r", "c", "site_elev"), n_radials, radius_px)
+    rays = rays.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site", "radial")
+    steps = profile_points(rays, points, radius_m)
     inside = steps.filter(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
     keys = ["site", "radial", "k", "dist_m", "row", "col", "site_elev"]
     return fill_forward(min_range(bilinear(inside, dem, keys, height, width)))
