@@ -108,10 +108,11 @@ def paint(steps: DataFrame, sites: DataFrame, n_radials: int, radius_px: float,
     """
     shown = steps.filter(F.col("margin_db") > floor_db).join(sites.select("site", F.col("r").alias("r0"), F.col("c").alias("c0")), "site")
     angle, px = F.radians(F.col("radial") * 360.0 / n_radials), F.col("dist_m") / radius_m * radius_px
-    cells = shown.select("site", F.rint(F.col("r0") - px * F.cos(angle)).cast("int").alias("r"), F.rint(F.col("c0") + px * F.sin(angle)).cast("int").alias("c"), "margin_db")
-    cells = cells.filter(F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))
-    own = shown.select("site", "r0", "c0").distinct().select("site", F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(float(max_db)).alias("margin_db"))
-    return paint_max(cells.unionByName(own), min(floor_db, 0.0))
+    hit = F.struct(F.rint(F.col("r0") - px * F.cos(angle)).cast("int").alias("r"), F.rint(F.col("c0") + px * F.sin(angle)).cast("int").alias("c"), "margin_db", F.lit(False).alias("own"))
+    own = F.struct(F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(float(max_db)).alias("margin_db"), F.lit(True).alias("own"))
+    # Every hit brings its site's own cell along, which the partial aggregation takes in, rather than computing the rays a second time for it.
+    cells = shown.select("site", F.inline(F.array(hit, own))).filter(F.col("own") | (F.col("r").between(0, height - 1) & F.col("c").between(0, width - 1))).drop("own")
+    return paint_max(cells, min(floor_db, 0.0))
 
 
 def paint_max(hits: DataFrame, floor_db: float = 0.0) -> DataFrame:
