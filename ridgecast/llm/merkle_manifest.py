@@ -195,11 +195,11 @@ def paths_above(bands: list[DataFrame], crowns: DataFrame) -> list[DataFrame]:
     """Each band's nodes with the path and subroot of its top nodes. crowns (tree, path, subroot): what every tree's top node brings."""
     out: list[DataFrame] = []
     above = None
+    brought = small(crowns.select(F.col("tree").alias("t"), F.col("path").alias("p"), F.col("subroot").alias("s")))
+    is_top = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
     for k in range(len(bands) - 1, -1, -1):
-        base, nodes = k * BAND, bands[k]
-        brought = crowns.select(F.col("tree").alias("t"), F.col("path").alias("p"), F.col("subroot").alias("s"))
-        is_top = (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)
-        own = nodes.join(small(materialise(brought, "crowns")), (F.col("tree") == F.col("t")) & is_top, "left")
+        base = k * BAND
+        own = bands[k].join(brought, (F.col("tree") == F.col("t")) & is_top, "left")
         own = own.select("tree", "level", "lo", "hi", "n", "digest", F.col("p").alias("path"), F.col("s").alias("subroot"))
         if above is not None:
             handed = above.select(F.col("tree").alias("t"), F.col("level").alias("v"), F.col("lo").alias("o"), F.col("path").alias("p"), F.col("subroot").alias("s"))

@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_jaccard_components": ("jaccard_join", "op8", None),
     "op9_token_counts": ("token_counts", "op9", None),
     "op10_cuckoo_dedup": ("exact_dedup", "op10", "OP10_SQL"),
+    "op11_discriminant_quality": ("quality_qda", "op11", None),
+    "op12_merkle_manifest": ("merkle_manifest", "op12", "OP12_SQL"),
+    "op13_feast_whitening": ("whitening", "op13", None),
 }
 
 
