@@ -23,6 +23,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -51,13 +52,34 @@ def encoder(path: str):
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[path] = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+        _ENCODERS[path] = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: 50256})
     return _ENCODERS[path]
 
 
+#: What the vocabulary's pattern takes for white space.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are taken out of a text before the pattern, which backtracks over each, is matched.
+LONG_RUN = 4096
+_LONG_RUNS = re.compile(f"[{WHITE}]{{{LONG_RUN},}}")
+SPECIAL = "<|endoftext|>"
+
+
 def encode(path: str, text: str | None) -> np.ndarray:
-    """Ids as unsigned 32-bit numbers; the special string inside a text is its own id."""
-    return encoder(path).encode_to_numpy(text or "", allowed_special="all")
+    """Ids as unsigned 32-bit numbers; the special string inside a text is its own id.
+
+    The pattern makes one piece of a run of white space but its last character, which goes to the word behind it, and of the whole run at the end of a
+    text or before the special string. Ids of pieces don't depend on each other, so long runs are encoded as the pieces that they are.
+    """
+    text, known = text or "", encoder(path)
+    parts, at = [], 0
+    for run in _LONG_RUNS.finditer(text):
+        end = run.end()
+        if end < len(text) and not text.startswith(SPECIAL, end):
+            end -= 1
+        parts += [known.encode_to_numpy(text[at : run.start()], allowed_special="all"), np.array(known._encode_single_piece(text[run.start() : end]), np.uint32)]
+        at = end
+    rest = known.encode_to_numpy(text[at:], allowed_special="all")
+    return np.concatenate([*parts, rest]) if parts else rest
 
 
 def cut(ids: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, np.ndarray]]:
