@@ -15,10 +15,10 @@ Targets are shares of a dimension's values, of any sum. Values without a target
 divide the rest; a target of 0 is the only way to empty a value. Where no targets are given they are the corpus's own marginals
 raised to a power below 1, which lifts small sources and languages and holds back dominant ones.
 
-Cells with less than POOL_SHARE of all tokens are not raked: a cell that is alone in its source, language and topic has no
-solution, and its ratio would be noise. They take the largest ratio of the others. Raking runs until the marginals hold to
-TOLERANCE; targets that contradict each other never hold, and after MOST_ROUNDS rake() raises, or warns if strict is False
-(mix() warns: it still samples by the ratios it got).
+All cells are raked, however small. Raking runs until the marginals hold to TOLERANCE. Targets that contradict each other, or the cells there are
+(a cell alone in its source, language and topic with three different goals), never hold: then it ends where the scales stop shrinking, or after
+MOST_ROUNDS, and rake() raises, or warns if strict is False (mix() warns: it samples by the ratios it got). marginals() reports what
+share each value has, was meant to have and gets.
 
 Everything runs on the table of cells, in one task while they are few and as Spark jobs with a written table for each round
 beyond that; the driver sees only convergence figures.
@@ -49,8 +49,8 @@ MOST_ROUNDS = 200
 TOLERANCE = 1e-4
 #: Part of the tokens that a mixture keeps.
 FRACTION = 0.5
-#: Cells with a smaller part of the tokens are pooled instead of raked.
-POOL_SHARE = 1e-4
+#: Raking ends when so many rounds in a row have not brought the scales closer to 1 by a STALL-th.
+STALL, STALLED_ROUNDS = 0.01, 5
 #: Counted cells (some hundred bytes each) that one task rakes; more are raked by Spark jobs.
 TASK_CELLS = 100_000
 UNKNOWN = "unknown"
@@ -131,6 +131,11 @@ def goals_of(cells: DataFrame, dimension: str, shares: DataFrame, total: float)
     return own.select("k", F.when(F.col("target").isNull(), F.col("w")).otherwise(F.col("target") * F.lit(room / (free["given"] or 1.0))).alias("goal"))
 
 
+def _stalled(seen: list[float]) -> bool:
+    """Whether the last rounds have not brought the scales closer to 1."""
+    return len(seen) > STALLED_ROUNDS and seen[-1] > seen[-1 - STALLED_ROUNDS] * (1 - STALL)
+
+
 def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
     """All cells (dimensions, weight, goal_<dimension>) in one frame -> with raked and off, how far the last scales were from 1."""
 
@@ -143,7 +148,7 @@ def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
             goal[code] = table.column(f"goal_{d}").to_numpy()
             codes.append(code)
             goals.append(goal)
-        worst = 0.0
+        worst, seen = 0.0, []
         for _ in range(rounds):
             worst = 0.0
             for code, goal in zip(codes, goals, strict=True):
@@ -151,7 +156,8 @@ def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
                 scale = np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)
                 worst = max(worst, float(np.abs(scale[code] - 1)[raked > 0].max(initial=0.0)))
                 raked *= scale[code]
-            if worst < tolerance:
+            seen.append(worst)
+            if worst < tolerance or _stalled(seen):
                 break
         kept = table.select([*dimensions, "weight"])
         return kept.append_column("raked", pa.array(raked)).append_column("off", pa.array(np.full(len(raked), worst)))
@@ -162,6 +168,7 @@ def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
 def _rake_rounds(cells: DataFrame, dimensions: list[str], rounds: int, tolerance: float) -> DataFrame:
     """The same as Spark jobs, a written table for each round."""
     now = materialise(cells.withColumns({"raked": F.col("weight"), "off": F.lit(0.0)}), "cells")
+    seen: list[float] = []
     for _ in range(rounds):
         step = now.withColumn("off", F.lit(0.0))
         for d in dimensions:
@@ -171,7 +178,8 @@ def _rake_rounds(cells: DataFrame, dimensions: list[str], rounds: int, tolerance
         after = materialise(step, "cells")
         discard(now)
         now, worst = after, after.agg(F.max("off")).first()[0]
-        if worst is None or worst < tolerance:
+        seen.append(worst or 0.0)
+        if seen[-1] < tolerance or _stalled(seen):
             break
     return now.select(*dimensions, "weight", "raked", "off")
 
@@ -198,19 +206,23 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROU
         ready = materialise(_rake_rounds(joined, dimensions, rounds, tolerance), "raked")
     worst = ready.agg(F.max("off")).first()[0] or 0.0
     if worst >= tolerance:
-        said = f"raking ended after {rounds} rounds with scales up to {worst:.2g} off: the targets contradict each other or the cells"
+        said = f"raking ended with scales up to {worst:.2g} off: the targets contradict each other or the cells"
         if strict:
             raise ArithmeticError(said)
         warnings.warn(said, stacklevel=2)
     return ready.select(*dimensions, "weight", (F.col("raked") / F.col("weight")).alias("ratio"))
 
 
-def rake_pooled(cells: DataFrame, targets: dict[str, DataFrame], share: float = POOL_SHARE, strict: bool = True) -> DataFrame:
-    """rake() of the cells with at least a share of the weight; the lighter ones take the largest ratio of these."""
-    least = (cells.agg(F.sum("weight")).first()[0] or 0.0) * share
-    raked = materialise(rake(cells.filter(F.col("weight") >= least), targets, strict=strict), "raked")
-    most = raked.agg(F.max("ratio")).first()[0] or 1.0
-    return raked.unionByName(cells.filter(F.col("weight") < least).withColumn("ratio", F.lit(float(most))))
+def marginals(cells: DataFrame, targets: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, weight_share, target_share, reached_share of raked cells (dimensions, weight, ratio)."""
+    out = None
+    total = cells.agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * F.col("ratio")).alias("r")).first()
+    for d, shares in targets.items():
+        goal = goals_of(cells, d, shares, 1.0 * (total["w"] or 1.0)).select("k", (F.col("goal") / F.lit(total["w"] or 1.0)).alias("target_share"))
+        own = cells.groupBy(F.col(d).alias("value")).agg((F.sum("weight") / F.lit(total["w"] or 1.0)).alias("weight_share"), (F.sum(F.col("weight") * F.col("ratio")) / F.lit(total["r"] or 1.0)).alias("reached_share"))
+        part = own.join(goal, F.col("value") == F.col("k")).select(F.lit(d).alias("dimension"), "value", "weight_share", "target_share", "reached_share")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sampling_constant(cells: DataFrame, fraction: float | None = None) -> float:
@@ -236,7 +248,7 @@ def chances(rows: DataFrame, fraction: float | None = FRACTION, power: float = P
     """One row for each cell of a table of features(): k_<dimension> and k_p, the sampling probability."""
     cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").cast("double").alias("weight")).filter("weight > 0")
     cells = materialise(cells, "cells")
-    raked = rake_pooled(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}, strict=False)
+    raked = rake(cells, {d: (targets or {}).get(d) or tempered(cells, d, power) for d in DIMENSIONS}, strict=False)
     raked = materialise(raked, "raked")
     c = sampling_constant(raked, fraction)
     return raked.select(*[F.col(d).alias(f"k_{d}") for d in DIMENSIONS], F.least(F.lit(1.0), F.lit(c) * F.col("ratio")).alias("k_p"))
