@@ -357,7 +357,8 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     odd = odd.withColumns({n: F.length(text).cast("long"), sha: F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)})
     right = materialise(found.filter("kept").select(F.col("doc_id").alias(i), F.col("n_chars").alias(chars), F.col("text_sha256").alias(digest)).distinct(), "right")
     odd = odd.join(small(right), own & (F.col(n) == F.col(chars)) & (F.col(sha) == F.col(digest)), "left_semi")
-    one = odd.groupBy(id_col, sha).agg(F.min(F.struct(*[F.col(c) for c in df.columns])).alias("one")).select("one.*")
+    whole = F.struct(*[F.col(c) for c in df.columns])  # columns of any type, which JSON puts in an order
+    one = odd.groupBy(id_col, sha).agg(F.min_by(whole, F.sha2(F.to_json(whole).cast("binary"), 256)).alias("one")).select("one.*")
     return plain.unionByName(one)
 
 
