@@ -11,7 +11,8 @@ write_warc() serialises records into gzip members.
 
 Defined cases: a null page is an empty payload; a null URL an empty target; repeated responses give repeated records with the
 same ids; an empty table gives no records; other columns are ignored. Records of other types in a WARC file are skipped; a
-response without a WARC-Record-ID gets one from its target, date and payload.
+response without a WARC-Record-ID gets one from its target, date and payload. Captured bodies lose their transfer and content codings (chunked; gzip,
+deflate, zstd) before their text is read, as far as a cut-off body goes; other content codings, for which there is no decoder here, leave an empty payload.
 """
 
 from __future__ import annotations
@@ -21,10 +22,12 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from html import entities
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,18 +143,70 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield head, stream.read(int(size) if size.isdigit() else 0)
 
 
+TRANSFER_CHUNKED = re.compile(r"(?im)^transfer-encoding:.*\bchunked\b")
+CHUNK = re.compile(rb"([0-9A-Fa-f]+)[^\r\n]*\r?\n")
+CONTENT_CODING = re.compile(r"(?im)^content-encoding:(.*)$")
+
+
+def unchunk(body: bytes) -> bytes:
+    """A body sent in chunks as one; unchanged where it isn't one (captures may hold it joined), and up to where a cut-off one goes."""
+    out, at = [], 0
+    while line := CHUNK.match(body, at):
+        size, at = int(line[1], 16), line.end()
+        if not size:
+            return b"".join(out)
+        out.append(body[at : at + size])
+        at += size
+        at += 2 if body[at : at + 2] == b"\r\n" else body[at : at + 1] == b"\n"
+    return b"".join(out) if out else body
+
+
+def decompress(body: bytes, coding: str) -> bytes:
+    """A body without its content coding, as far as it goes if cut off; unchanged where it isn't so coded. Other codings than gzip, deflate and zstd give an empty one."""
+    if coding in ("", "identity"):
+        return body
+    if coding in ("gzip", "x-gzip"):
+        out = []
+        while body.startswith(b"\x1f\x8b"):
+            text, body = _inflated(body, 31)
+            out.append(text)
+        return b"".join(out) if out else body
+    if coding == "deflate":  # with a header or without one, both are in use
+        return _inflated(body, 15)[0] or _inflated(body, -15)[0] or body
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body) if body.startswith(b"\x28\xb5\x2f\xfd") else body
+    return b""
+
+
+def _inflated(body: bytes, window: int) -> tuple[bytes, bytes]:
+    """What one compressed stream holds up to its end or first error, and what stands behind it."""
+    member, out, step = zlib.decompressobj(window), [], 1 << 16
+    for k in range(0, len(body), step):
+        try:
+            out.append(member.decompress(body[k : k + step]))
+        except zlib.error:
+            return b"".join(out), b""
+        if member.eof:
+            return b"".join(out), member.unused_data + body[k + step :]
+    return b"".join(out), b""
+
+
 def _response_row(head: dict[str, str], block: bytes, name: str) -> tuple | None:
     if head.get("warc-type", "").lower() != "response":
         return None
     top, _, body = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
     fields = top.decode("latin-1").replace("\r\n", "\n")
+    if TRANSFER_CHUNKED.search(fields):
+        body = unchunk(body)
+    digest = head.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
+    for coding in reversed([c.strip().lower() for line in CONTENT_CODING.findall(fields) for c in line.split(",")]):
+        body = decompress(body, coding)
     charset = re.search(r"(?im)^content-type:.*charset=\"?([A-Za-z0-9_-]+)", fields)
     try:
         text = body.decode(charset[1] if charset else "utf-8", "replace")
     except LookupError:
         text = body.decode("utf-8", "replace")
     uri, date = head.get("warc-target-uri", "").strip("<>"), head.get("warc-date", DATE)
-    digest = head.get("warc-payload-digest") or "sha256:" + hashlib.sha256(body).hexdigest()
     own = head.get("warc-record-id") or f"<urn:uuid:{uuid.UUID(hashlib.md5('|'.join((uri, date, digest)).encode()).hexdigest())}>"
     return name, own, uri, date, fields, text, digest
 
