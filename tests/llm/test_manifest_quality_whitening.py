@@ -50,7 +50,7 @@ def test_discriminant_scores(spark, judged, tmp_path):
     got = quality_qda.op11(spark, str(tmp_path)).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
-    known = {i: q for i, q in labels if q in (0, 1)}
+    known = {i: q for i, q in labels if i is not None and q in (0, 1)}
     held = [(r.predicted, known[r.doc_id]) for r in got if r.held_out and r.doc_id in known]
     assert len(held) > 30 and np.mean([a == b for a, b in held]) > 0.95
 
