@@ -16,7 +16,7 @@ divide the rest; a target of 0 is the only way to empty a value. Where no target
 raised to a power below 1, which lifts small sources and languages and holds back dominant ones.
 
 All cells are raked, however small. Raking runs until the marginals hold to TOLERANCE. Targets that contradict each other, or the cells there are
-(a cell alone in its source, language and topic with three different goals), never hold: then it ends where the scales stop shrinking, or after
+(a cell alone in its source, language and topic with three different goals), never hold: then it ends where a round moves no cell any more, or after
 MOST_ROUNDS, and rake() raises, or warns if strict is False (mix() warns: it samples by the ratios it got). marginals() reports what
 share each value has, was meant to have and gets.
 
@@ -49,8 +49,8 @@ MOST_ROUNDS = 200
 TOLERANCE = 1e-4
 #: Part of the tokens that a mixture keeps.
 FRACTION = 0.5
-#: Raking ends when so many rounds in a row have not brought the scales closer to 1 by a STALL-th.
-STALL, STALLED_ROUNDS = 0.01, 5
+#: Raking also ends when a whole round moves no cell by more than this part of the tolerance: contradicting targets come round to the same weights.
+STILL = 0.1
 #: Counted cells (some hundred bytes each) that one task rakes; more are raked by Spark jobs.
 TASK_CELLS = 100_000
 UNKNOWN = "unknown"
@@ -131,11 +131,6 @@ def goals_of(cells: DataFrame, dimension: str, shares: DataFrame, total: float)
     return own.select("k", F.when(F.col("target").isNull(), F.col("w")).otherwise(F.col("target") * F.lit(room / (free["given"] or 1.0))).alias("goal"))
 
 
-def _stalled(seen: list[float]) -> bool:
-    """Whether the last rounds have not brought the scales closer to 1."""
-    return len(seen) > STALLED_ROUNDS and seen[-1] > seen[-1 - STALLED_ROUNDS] * (1 - STALL)
-
-
 def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
     """All cells (dimensions, weight, goal_<dimension>) in one frame -> with raked and off, how far the last scales were from 1."""
 
@@ -148,16 +143,15 @@ def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
             goal[code] = table.column(f"goal_{d}").to_numpy()
             codes.append(code)
             goals.append(goal)
-        worst, seen = 0.0, []
+        worst = 0.0
         for _ in range(rounds):
-            worst = 0.0
+            worst, before = 0.0, raked.copy()
             for code, goal in zip(codes, goals, strict=True):
                 sums = np.bincount(code, weights=raked)
                 scale = np.divide(goal, sums, out=np.zeros_like(goal), where=sums > 0)
                 worst = max(worst, float(np.abs(scale[code] - 1)[raked > 0].max(initial=0.0)))
                 raked *= scale[code]
-            seen.append(worst)
-            if worst < tolerance or _stalled(seen):
+            if worst < tolerance or (np.abs(raked - before) <= STILL * tolerance * before).all():
                 break
         kept = table.select([*dimensions, "weight"])
         return kept.append_column("raked", pa.array(raked)).append_column("off", pa.array(np.full(len(raked), worst)))
@@ -168,18 +162,18 @@ def _rake_block(dimensions: list[str], rounds: int, tolerance: float):
 def _rake_rounds(cells: DataFrame, dimensions: list[str], rounds: int, tolerance: float) -> DataFrame:
     """The same as Spark jobs, a written table for each round."""
     now = materialise(cells.withColumns({"raked": F.col("weight"), "off": F.lit(0.0)}), "cells")
-    seen: list[float] = []
     for _ in range(rounds):
-        step = now.withColumn("off", F.lit(0.0))
+        step = now.withColumns({"off": F.lit(0.0), "before": F.col("raked")})
         for d in dimensions:
             sums = step.groupBy(d).agg(F.max(f"goal_{d}").alias("goal"), F.sum("raked").alias("s")).select(F.col(d).alias("k"), F.when(F.col("s") > 0, F.col("goal") / F.col("s")).otherwise(0.0).alias("scale"))
             step = step.join(sums, F.col(d) == F.col("k"))
             step = step.withColumns({"off": F.greatest("off", F.when(F.col("raked") > 0, F.abs(F.col("scale") - 1)).otherwise(0.0)), "raked": F.col("raked") * F.col("scale")}).drop("k", "scale")
         after = materialise(step, "cells")
         discard(now)
-        now, worst = after, after.agg(F.max("off")).first()[0]
-        seen.append(worst or 0.0)
-        if seen[-1] < tolerance or _stalled(seen):
+        now = after.drop("before")
+        now._ridgecast_path = after._ridgecast_path
+        ended = after.agg(F.max("off").alias("off"), F.count_if(F.abs(F.col("raked") - F.col("before")) > STILL * tolerance * F.col("before")).alias("moved")).first()
+        if (ended["off"] or 0.0) < tolerance or not ended["moved"]:
             break
     return now.select(*dimensions, "weight", "raked", "off")
 

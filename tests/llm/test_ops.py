@@ -394,7 +394,7 @@ def test_mixing_by_hand(docs, rows):
         cells.append((source or "unknown", lang or "unknown", brute_topic(text)))
         weight[cells[-1]] += len(packing.encode(path, text))
     total = sum(weight.values())
-    heavy = {c: float(w) for c, w in weight.items() if w and w >= total * mixing.POOL_SHARE}
+    heavy = {c: float(w) for c, w in weight.items() if w}
     goals = []
     for d in range(3):
         sums = Counter()
@@ -410,8 +410,6 @@ def test_mixing_by_hand(docs, rows):
                 sums[c[d]] += w
             now = {c: w * goals[d][c[d]] / sums[c[d]] for c, w in now.items()}
     ratio = {c: now[c] / heavy[c] for c in heavy}
-    most = max(ratio.values())
-    ratio |= {c: most for c, w in weight.items() if w and c not in ratio}
     low, high = 0.0, 1e6
     for _ in range(200):
         mid = (low + high) / 2
