@@ -9,17 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: View -> (base table, SQL).
 VIEWS = {
+    # Some calls are placed by no source but the last, some seeds are confirmed by none, and some calls share the site of the call before.
     "fx_stations_raw": (
         "customer",
-        """select c_custkey as ord, cast(c_custkey % 4 as int) as group_rank,
+        """select ord, group_rank, callsign, type, case when dark then null else cast(36500000 + ((spot * 7919) % 60000) * 100 + group_rank * 1000 as double) / 1e6 end as lat,
+ case when dark then null else cast(-115000000 + ((spot * 104729) % 65000) * 100 as double) / 1e6 end as lon, comment, lasttime, source, seed_only from (
+ select ord, group_rank, callsign, type, comment, lasttime, source, seed_only, case when k % 12 = 5 then k - 1 else k end as spot, ord % 7 = 0 or (k % 10 = 3 and group_rank < 3) or (k % 10 = 6 and group_rank >= 2) as dark from (
+ select c_custkey as ord, cast(c_custkey % 4 as int) as group_rank, cast(floor(c_custkey/4) as bigint) as k,
  case when c_custkey % 9 = 0 then ' n' else 'N' end || cast(cast(floor(c_custkey/4) as bigint) as string) || case when c_custkey % 13 = 0 then '*' else '' end as callsign,
  case when c_custkey % 4 = 3 then null when cast(floor(c_custkey/4) as bigint) % 3 = 0 then 'igate' else 'digi' end as type,
- case when c_custkey % 7 = 0 then null else cast(36500000 + ((cast(floor(c_custkey/4) as bigint) * 7919) % 60000) * 100 + (c_custkey % 4) * 1000 as double) / 1e6 end as lat,
- case when c_custkey % 7 = 0 then null else cast(-115000000 + ((cast(floor(c_custkey/4) as bigint) * 104729) % 65000) * 100 as double) / 1e6 end as lon,
  case when c_custkey % 5 = 0 then '' else c_mktsegment end as comment,
  case when c_custkey % 11 = 0 then 0 else 1706659200 - ((c_custkey * 9973) % 500) * 86400 end as lasttime,
  case c_custkey % 4 when 0 then 'seed' when 1 then 'cache' when 2 then 'APRS-IS' else 'aprs.fi' end as source,
  (c_custkey % 4 = 0) as seed_only
+from customer) keyed) marked""",
+    ),
+    # Station records as they come: any keys, coordinates as numbers or text, some with a name and no call, empty, null, false and nested values.
+    "fx_records": (
+        "customer",
+        """select c_custkey as ord, cast(c_custkey % 4 as int) as group_rank,
+ chr(123) || case when c_custkey % 11 = 0 then '"callsign": "", "name": " site ' || cast(c_custkey % 7 as string) || '"' else '"callsign": "n' || cast(cast(floor(c_custkey/4) as bigint) as string) || '*"' end
+ || case when c_custkey % 7 = 0 then ', "lat": null, "lon": ""' when c_custkey % 3 = 0 then ', "lat": "' || cast(36 + c_custkey % 6 as string) || '.5", "lon": "-11' || cast(c_custkey % 5 as string) || '.25"' else ', "lat": ' || cast(36 + c_custkey % 6 as string) || '.5, "lon": -11' || cast(c_custkey % 5 as string) || '.25' end
+ || ', "key' || cast(c_custkey % 5 as string) || '": ' || case c_custkey % 8 when 0 then '""' when 1 then 'null' when 2 then 'false' when 3 then '0' when 4 then chr(123) || '"a":[1,2],"b":"x"' || chr(125) when 5 then '"v' || cast(c_custkey as string) || '"' when 6 then '[true,null]' else cast(c_custkey as string) end
+ || ', "symbol": "' || case when c_custkey % 2 = 0 then '#' else '' end || '", "_source": "' || case c_custkey % 4 when 0 then 'seed' when 1 then 'cache' when 2 then 'APRS-IS' else 'aprs.fi' end || '"' || case when c_custkey % 4 = 0 or c_custkey % 10 = 3 then ', "_seed_only": true' else '' end || chr(125) as value
 from customer""",
     ),
     "fx_registry": (

@@ -83,7 +83,7 @@ def confidence_label(score: Column) -> Column:
     return F.when(score >= 80, "HIGH").when(score >= 55, "MEDIUM").otherwise("LOW")
 
 
-def osm_label(tags: Column, default: str = "OSM communications site") -> Column:
+def osm_label(tags: Column, default: str = "mapped radio site") -> Column:
     """The best name that a mapped feature's tags give."""
     tag = lambda k: F.nullif(F.trim(tags[k]), F.lit(""))
     return F.coalesce(tag("name"), tag("ref"), tag("operator"), F.replace(tag("man_made"), F.lit("_"), F.lit(" ")), F.concat(tag("tower:type"), F.lit(" tower")), F.lit(default))

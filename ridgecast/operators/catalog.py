@@ -5,26 +5,110 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_call
+from ..functions.text import coerce_number, normalize_call, record_key
 
 #: Sources that confirm a seed position, fixed values.
 LIVE_SOURCES = ("APRS-IS", "aprs.fi", "reviewed_override")
-MERGED = ("type", "lat", "lon", "comment", "lasttime", "source")
+#: Keys of open records that say where a record came from, and that its position is an unconfirmed seed's; fixed values.
+SOURCE, SEED_ONLY = "_source", "_seed_only"
+#: Columns that place a row among the others or name it; all further ones are merged.
+_PLACES = ("callsign", "name", "group_rank", "ord", "seed_only")
+
+
+def _present(rows: DataFrame, c: str):
+    """Whether a field has a value: neither null nor an empty string (0 and false are values)."""
+    return F.col(c).isNotNull() & (F.col(c) != "") if dict(rows.dtypes)[c] == "string" else F.col(c).isNotNull()
+
+
+def record_states(groups: DataFrame, key: str = "callsign", rank: str = "group_rank", row: str = "ord") -> DataFrame:
+    """One row for each call: for every field its last value with its place (struct of at, value), and the places of the last seed and live rows.
+
+    The key is the call sign, else the name (where there is such a column); rows with neither are dropped. States of any parts of the rows merge to the state of all
+    (merge_states), so a stored catalog can go on from where it was.
+    """
+    call = record_key(F.col(key), F.col("name")) if "name" in groups.columns else normalize_call(F.col(key))
+    rows = groups.withColumn("__call", call).filter("__call <> ''").withColumn("__at", F.struct(F.col(rank).cast("long").alias("rank"), F.col(row).cast("long").alias("ord")))
+    fields = [c for c in groups.columns if c not in (*_PLACES, key, rank, row)]
+    last = lambda c: F.max_by(F.struct(F.col("__at").alias("at"), F.col(c).alias("value")), F.when(_present(rows, c), F.col("__at"))).alias(c)
+    confirmed = [F.col("source").isin(*LIVE_SOURCES), *[_present(rows, c) for c in ("lat", "lon")]]
+    seeded = F.max(F.when(F.col("seed_only"), F.col("__at"))).alias("__seeded")
+    live = F.max(F.when(confirmed[0] & confirmed[1] & confirmed[2], F.col("__at"))).alias("__live")
+    named = [last("name")] if "name" in groups.columns else []
+    return rows.groupBy(F.col("__call").alias("callsign")).agg(*named, *[last(c) for c in fields], seeded, live)
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """The states of all rows from the states of parts of them; fields that some parts lack are theirs to lack."""
+    every = states[0]
+    for other in states[1:]:
+        every = every.unionByName(other, allowMissingColumns=True)
+    fields = [c for c in every.columns if c not in ("callsign", "__seeded", "__live")]
+    return every.groupBy("callsign").agg(*[F.max_by(c, F.col(c)["at"]).alias(c) for c in fields], F.max("__seeded").alias("__seeded"), F.max("__live").alias("__live"))
+
+
+def merged_values(states: DataFrame) -> DataFrame:
+    """The catalog that states stand for: callsign, every field's value, seed_only."""
+    fields = [c for c in states.columns if c not in ("callsign", "__seeded", "__live")]
+    seed_only = F.col("__seeded").isNotNull() & (F.col("__live").isNull() | (F.col("__seeded") > F.col("__live")))
+    return states.select("callsign", *[F.col(c)["value"].alias(c) for c in fields], seed_only.alias("seed_only"))
 
 
 def merge_records(groups: DataFrame, key: str = "callsign", rank: str = "group_rank", row: str = "ord") -> DataFrame:
-    """One row for each call: every field's last value that is neither null nor empty, groups in order and rows in order within.
+    """One row for each call, else name: every column's last value that is neither null nor empty, groups in order and rows in order within.
+
+    seed_only stays only while no later live row with coordinates has confirmed the station. Rows without a call and a name are dropped.
+    """
+    return merged_values(record_states(groups, key, rank, row))
+
+
+# open keys: records as they came, a map of their JSON values
+
+
+def field_states(groups: DataFrame, record: str = "record", rank: str = "group_rank", row: str = "ord") -> DataFrame:
+    """callsign, field, at, value: each field of open records (a map of variants) where it has a value, keyed by call sign, else name.
 
-    seed_only stays only while no later live row with coordinates has confirmed the station. Rows without a call are dropped.
+    A live record with coordinates takes the mark of an unconfirmed seed away: an entry for that field without a value, placed behind the record's own fields.
     """
-    rows = groups.withColumn("__call", normalize_call(F.col(key))).filter("__call <> ''").withColumn("__at", F.struct(F.col(rank), F.col(row)))
-    kinds = dict(groups.dtypes)
-    present = lambda c: F.col(c).isNotNull() & (F.col(c) != "") if kinds[c] == "string" else F.col(c).isNotNull()
-    last = lambda c: F.max_by(F.when(present(c), F.col(c)), F.when(present(c), F.col("__at"))).alias(c)
-    seeded = F.max(F.when(F.col("seed_only"), F.col("__at")))
-    live = F.max(F.when(F.col("source").isin(*LIVE_SOURCES) & F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("__at")))
-    merged = rows.groupBy(F.col("__call").alias("callsign")).agg(*[last(c) for c in MERGED if c in groups.columns], seeded.alias("__s"), live.alias("__l"))
-    return merged.withColumn("seed_only", F.col("__s").isNotNull() & (F.col("__l").isNull() | (F.col("__s") > F.col("__l")))).drop("__s", "__l")
+    get = lambda k: F.try_element_at(record, F.lit(k))
+    told = lambda k: F.try_variant_get(get(k), "$", "string")
+    has = lambda v: ~F.coalesce(F.is_variant_null(v), F.lit(True)) & (F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("?")) != "")
+    confirmed = F.coalesce(told(SOURCE).isin(*LIVE_SOURCES) & has(get("lat")) & has(get("lon")), F.lit(False))
+    place = lambda late: F.struct(F.col(rank).cast("long").alias("rank"), F.col(row).cast("long").alias("ord"), F.lit(late).alias("late"))
+    rows = groups.withColumns({"__call": record_key(told("callsign"), told("name")), "__confirmed": confirmed}).filter("__call <> ''")
+    each = rows.select("__call", place(False).alias("at"), F.explode(record).alias("field", "value")).filter(has(F.col("value")) & (F.col("field") != "callsign"))
+    taken = rows.filter("__confirmed").select("__call", place(True).alias("at"), F.lit(SEED_ONLY).alias("field"), F.lit(None).cast("variant").alias("value"))
+    known = rows.select("__call", place(False).alias("at"), F.lit("callsign").alias("field"), F.to_variant_object(F.array("__call")).alias("value")).withColumn("value", F.try_variant_get("value", "$[0]", "variant"))
+    return latest_fields(each.unionByName(taken).unionByName(known).withColumnRenamed("__call", "callsign"))
+
+
+def latest_fields(*states: DataFrame) -> DataFrame:
+    """Each field's last entry over all parts (callsign, field, at, value)."""
+    every = states[0]
+    for other in states[1:]:
+        every = every.unionByName(other)
+    return every.groupBy("callsign", "field").agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value"))
+
+
+def open_records(states: DataFrame) -> DataFrame:
+    """callsign, record: the merged records, maps of whatever keys theirs had."""
+    entries = F.collect_list(F.struct("field", "value"))
+    return states.filter("value is not null").groupBy("callsign").agg(F.map_from_entries(entries).alias("record"))
+
+
+def merge_open_records(groups: DataFrame, record: str = "record", rank: str = "group_rank", row: str = "ord") -> DataFrame:
+    """merge_records() of records with any keys."""
+    return open_records(field_states(groups, record, rank, row))
+
+
+def typed_stations(records: DataFrame, record: str = "record") -> DataFrame:
+    """Further columns, and callsign, name, type, lat, lon, comment, symbol, lasttime, source, seed_only of open records; numbers may be text."""
+    get = lambda k: F.try_variant_get(F.try_element_at(record, F.lit(k)), "$", "string")
+    seen = lambda k: F.nullif(coerce_number(get(k)), F.lit(0.0))
+    fields = {
+        **{k: get(k) for k in ("callsign", "name", "type")}, "lat": coerce_number(get("lat")), "lon": coerce_number(get("lon")), "comment": get("comment"), "symbol": get("symbol"),
+        "lasttime": F.coalesce(seen("lasttime"), seen("last seen")).cast("long"), "source": get(SOURCE), "seed_only": F.coalesce(get(SEED_ONLY).try_cast("boolean"), F.lit(False)),
+    }
+    return records.select(*[c for c in records.columns if c != record and c not in fields], *[v.alias(k) for k, v in fields.items()])
 
 
 def role_sets(roles: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,22 +42,24 @@ def gap_fill(cells: DataFrame, reach: int, margin: int | None = None, size: tupl
 def _blur(rows: DataFrame, line: str, axis: str, weights: list[float]) -> DataFrame:
     """One separable pass: the cells of a line as an array, mirrored at both ends."""
     reach = len(weights) // 2
-    lines = rows.groupBy("site", line).agg(F.array_sort(F.collect_list(F.struct(axis, "v"))).alias("a")).withColumn("n", F.size("a"))
+    lines = rows.groupBy("site", line).agg(F.array_sort(F.collect_list(F.struct(axis, "v", "__e"))).alias("a")).withColumn("n", F.size("a"))
     mirrored = lambda i: F.when(F.pmod(i, 2 * F.col("n")) < F.col("n"), F.pmod(i, 2 * F.col("n"))).otherwise(2 * F.col("n") - 1 - F.pmod(i, 2 * F.col("n"))).cast("int")
     total = lambda i: sum((F.lit(w) * F.get("a", mirrored(i + (k - reach)))["v"] for k, w in enumerate(weights)), F.lit(0.0))
-    return lines.select("site", line, F.inline(F.transform("a", lambda x, i: F.struct(x[axis].alias(axis), total(i).alias("v")))))
+    return lines.select("site", line, F.inline(F.transform("a", lambda x, i: F.struct(x[axis].alias(axis), total(i).alias("v"), x["__e"].alias("__e")))))
+
+
+def _weights(reach: int) -> list[float]:
+    sigma, radius = max(1.0, 0.6 * reach), blur_radius(reach)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    return [w / sum(raw) for w in raw]
 
 
 def smooth(cells: DataFrame, reach: int) -> DataFrame:
     """Gaussian smoothing of dense cells with empty ones at -1; cells that were empty are empty again afterwards."""
-    sigma = max(1.0, 0.6 * reach)
-    radius = blur_radius(reach)
-    weights = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
-    weights = [w / sum(weights) for w in weights]
+    weights = _weights(reach)
     start = cells.withColumn("v", F.when(F.col("margin_db") == 0, F.lit(EMPTY)).otherwise(F.col("margin_db")))
-    done = _blur(_blur(start.select("site", "r", "c", "v"), "c", "r", weights), "r", "c", weights)
-    was_empty = start.select("site", "r", "c", (F.col("v") == EMPTY).alias("__e"))
-    return done.join(was_empty, ["site", "r", "c"]).select("site", "r", "c", F.when(F.col("__e"), F.lit(EMPTY)).otherwise(F.col("v")).alias("margin_db"))
+    done = _blur(_blur(start.select("site", "r", "c", "v", (F.col("v") == EMPTY).alias("__e")), "c", "r", weights), "r", "c", weights)
+    return done.select("site", "r", "c", F.when(F.col("__e"), F.lit(EMPTY)).otherwise(F.col("v")).alias("margin_db"))
 
 
 def threshold_clip(margin: Column, floor_db: float, max_db: float) -> Column:
@@ -63,15 +67,59 @@ def threshold_clip(margin: Column, floor_db: float, max_db: float) -> Column:
     return F.when(margin < floor_db, F.lit(EMPTY)).otherwise(F.least(F.greatest(margin, F.lit(EMPTY)), F.lit(float(max_db))))
 
 
-def finish_grid(cells: DataFrame, reach: int, floor_db: float, max_db: float, size: tuple[int, int] | None = None) -> DataFrame:
-    """Gap-filled, smoothed, thresholded cells; empty ones are left out.
+def _box_max(grid: np.ndarray, reach: int) -> np.ndarray:
+    """The largest value within reach of each cell, along rows and then along columns."""
+    for axis in (0, 1):
+        pad = [(reach, reach) if k == axis else (0, 0) for k in (0, 1)]
+        grid = np.lib.stride_tricks.sliding_window_view(np.pad(grid, pad, constant_values=-np.inf), 2 * reach + 1, axis=axis).max(axis=-1)
+    return grid
+
+
+def _blur_grid(grid: np.ndarray, weights: list[float]) -> np.ndarray:
+    """Weighted means along columns and then along rows, mirrored at the edges."""
+    reach = len(weights) // 2
+    for axis in (0, 1):
+        pad = [(reach, reach) if k == axis else (0, 0) for k in (0, 1)]
+        wide = np.pad(grid, pad, mode="symmetric")
+        n = grid.shape[axis]
+        grid = sum(w * np.take(wide, range(k, k + n), axis=axis) for k, w in enumerate(weights))
+    return grid
 
-    With the size (height, width) of the whole grid the result is that of the whole grid: nothing is filled outside it and it is
-    mirrored only at its own edges.
+
+def finish_grids(cells: DataFrame, keys: list[str], size: tuple[int, int] | None = None) -> DataFrame:
+    """Gap-filled, smoothed, thresholded cells of each grid (keys, reach, floor_db, max_db, r, c, margin_db): keys, r, c, margin_db, without empty ones.
+
+    A grid is laid out in one task: a site's window, bounded by its radius. With the size (height, width) of the whole grid the result is that of the whole
+    grid: nothing is filled outside it and it is mirrored only at its own edges.
     """
-    margin = reach + blur_radius(reach) if size else None
-    done = smooth(gap_fill(cells, reach, margin, size), reach)
-    return done.withColumn("margin_db", threshold_clip(F.col("margin_db"), floor_db, max_db)).filter(F.col("margin_db") > EMPTY)
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+
+    def finish(grid: pa.Table) -> pa.Table:
+        one = {c: grid.column(c)[0] for c in (*keys, "reach", "floor_db", "max_db")}
+        reach = one["reach"].as_py()
+        r, c, margin = (grid.column(x).to_numpy() for x in ("r", "c", "margin_db"))
+        beyond = reach + (blur_radius(reach) if size else 0)
+        low, high = [r.min() - beyond, c.min() - beyond], [r.max() + beyond, c.max() + beyond]
+        if size:
+            low, high = [max(x, 0) for x in low], [min(x, n - 1) for x, n in zip(high, size, strict=True)]
+        dense = np.zeros((high[0] - low[0] + 1, high[1] - low[1] + 1))
+        dense[r - low[0], c - low[1]] = margin
+        filled = np.where(dense == 0, _box_max(dense, reach), dense)
+        empty = filled == 0
+        done = _blur_grid(np.where(empty, EMPTY, filled), _weights(reach))
+        done = np.where(empty | (done < one["floor_db"].as_py()), EMPTY, np.clip(done, EMPTY, one["max_db"].as_py()))
+        row, col = np.nonzero(done > EMPTY)
+        columns = {k: pa.array([one[k].as_py()] * len(row), grid.schema.field(k).type) for k in keys}
+        return pa.table({**columns, "r": pa.array(row + low[0], pa.int32()), "c": pa.array(col + low[1], pa.int32()), "margin_db": pa.array(done[row, col])})
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "r int, c int, margin_db double"])
+    rows = cells.select(*keys, F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("margin_db").cast("double").alias("margin_db"), "reach", "floor_db", "max_db")
+    return rows.groupBy(*keys).applyInArrow(finish, schema)
+
+
+def finish_grid(cells: DataFrame, reach: int, floor_db: float, max_db: float, size: tuple[int, int] | None = None) -> DataFrame:
+    """finish_grids() of sites that share all parameters."""
+    return finish_grids(cells.withColumns({"reach": F.lit(reach), "floor_db": F.lit(float(floor_db)), "max_db": F.lit(float(max_db))}), ["site"], size)
 
 
 def coverage_count(cells: DataFrame) -> DataFrame:

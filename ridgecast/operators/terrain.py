@@ -9,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import pixel_index, tile_key, utm_forward, utm_inverse
+from ..sources.grids import BLOCK, block_table
 from .propagation import min_range
 
-#: Side of the blocks in which interpolation looks cells up.
-BLOCK = 64
 #: Bytes of a grid's blocks up to which it is broadcast (some 2700 x 2700 cells).
 BROADCAST_BYTES = 64 << 20
 PIT_DROP_M, LOWEST_M, HIGHEST_M = 40.0, -200.0, 5000.0
@@ -60,17 +59,8 @@ def mosaic_geometry(tiles: DataFrame, cap: int, bytes_per_cell: int = 4) -> Data
 
 
 def cell_blocks(cells: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """by, __br, __bc, __cells: each block's values row by row, with one more row and column, the next blocks' first; missing ones are null."""
-    side = BLOCK + 1
-    own = lambda x: F.floor(F.col(x) / BLOCK).cast("int")
-    blocks = lambda x: F.explode(F.when(F.pmod(F.col(x), F.lit(BLOCK)) == 0, F.array(own(x) - 1, own(x))).otherwise(F.array(own(x))))
-    rows = cells.select(*by, "r", "c", F.col(value).cast("double").alias("v")).withColumn("__br", blocks("r")).withColumn("__bc", blocks("c"))
-    place = ((F.col("r") - F.col("__br") * BLOCK) * side + F.col("c") - F.col("__bc") * BLOCK).cast("int")
-    empty = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.struct(i.alias("i"), F.lit(None).cast("double").alias("v")))
-    # Nulls sort first, so the last entry of a place is its cell's value.
-    full = rows.groupBy(*by, "__br", "__bc").agg(F.sort_array(F.concat(F.collect_list(F.struct(place.alias("i"), "v")), empty)).alias("__all"))
-    last = F.filter("__all", lambda x, k: F.coalesce(F.get("__all", k + 1)["i"] != x["i"], F.lit(True)))
-    return full.select(*by, "__br", "__bc", F.transform(last, lambda x: x["v"]).alias("__cells"))
+    """by, __br, __bc, __cells: the blocks of grids.block_table()."""
+    return block_table(cells, value, by).select(*by, F.col("br").alias("__br"), F.col("bc").alias("__bc"), F.col("cells").alias("__cells"))
 
 
 def bilinear(points: DataFrame, dem: DataFrame, keys: list[str], height: int, width: int, row: str = "row", col: str = "col", value: str = "elev_m", by: tuple[str, ...] = ()) -> DataFrame:

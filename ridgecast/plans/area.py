@@ -2,71 +2,121 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.radio import effective_budget_db
-from ..operators import coverage, nearest, propagation, quality, terrain
+from ..functions.radio import antenna_height, effective_budget_db
+from ..operators import catalog, coverage, nearest, quality, rays, terrain
 from ..operators.catalog import merge_records
+from ..operators.rays import Geometry
+from ..sources.grids import Grid
 
-
-#: Radio profiles whose budgets are written into one expression.
-PROFILE_BLOCK = 200
+#: Antenna heights over ground where a run or a profile names none: digipeaters, gateways, mobile stations.
+DIGI_HEIGHT_M, IGATE_HEIGHT_M, TARGET_HEIGHT_M = 10.0, 10.0, 2.0
 
 
 def area_catalog(groups: DataFrame, registry: DataFrame, features: DataFrame | None, lat: float, lon: float, radius_km: float, as_of: int, match_radius_km: float = 1.0) -> DataFrame:
-    """Merge the sources, assess, keep the region, look for mapped sites, assess again."""
+    """Merge the sources, assess, keep the region, look for mapped sites, assess again. Positions as first reported stay with every row."""
     merged = merge_records(groups)
-    region = quality.filter_region(quality.assess(merged, registry, None, as_of).select(*merged.columns), lat, lon, radius_km)
+    first = quality.assess(merged, registry, None, as_of).select(*merged.columns, "reported_lat", "reported_lon")
+    region = quality.filter_region(first, lat, lon, radius_km)
     matches = None if features is None else nearest.nearest_feature(region, features, match_radius_km)
     return quality.assess(region, registry, matches, as_of)
 
 
-def site_margins(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float, budget: Column, freq_mhz: Column, site_height: float = 10.0, target_height: float = 2.0, model="los") -> DataFrame:
-    """Margins of the scheduled samples along every ray (sites: site, r, c, site_elev)."""
-    ground = terrain.profiles(sites, dem, height, width, n_radials, points, radius_px, radius_m)
-    seen = propagation.line_of_sight(ground, site_height, target_height)
-    return propagation.path_loss(propagation.samples(seen, radius_m, points), budget, freq_mhz, model)
+def shared_sites(stations: DataFrame) -> DataFrame:
+    """Stations (callsign, type, lat, lon) with site: the smallest call sign among those at the same rounded coordinates. All of them share its grid."""
+    groups = catalog.colocation_groups(stations).select(F.col("canonical").alias("site"), F.explode("members").alias("__m"))
+    return stations.join(groups, F.col("callsign") == F.col("__m")).drop("__m")
 
 
-def _finished(cells: DataFrame, height: int, width: int, n_radials: int, radius_px: float, floor_db: float, max_db: float, gap_factor: float) -> DataFrame:
-    """Painted cells, gap-filled, smoothed and thresholded site by site."""
-    return coverage.finish_grid(cells, coverage.gap_fill_reach(radius_px, n_radials, gap_factor), floor_db, max_db, (height, width))
+def sites_on_grid(stations: DataFrame, grid: Grid, dem: DataFrame) -> DataFrame:
+    """One row for each site of stations (callsign, type, lat, lon) on a cell with an elevation: site, type, r, c, site_elev."""
+    own = shared_sites(stations).filter(F.col("callsign") == F.col("site")).select("site", "type", "lat", "lon")
+    located = terrain.locate_cells(own, F.lit(grid.zone), grid.easting0, grid.northing0, grid.cell_m)
+    located = located.select("site", "type", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
+    return terrain.on_grid(located, dem).select("site", "type", "r", "c", F.col("elev_m").alias("site_elev"))
 
 
-def site_grids(sites: DataFrame, dem: DataFrame, height: int, width: int, n_radials: int, points: int, radius_px: float, radius_m: float, budget: Column, freq_mhz: Column, floor_db: float = 0.0, max_db: float = 60.0, gap_factor: float = 0.25, **more) -> DataFrame:
-    """Finished cells of every site: site, r, c, margin_db."""
-    margins = site_margins(sites, dem, height, width, n_radials, points, radius_px, radius_m, budget, freq_mhz, **more)
-    steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor_db), radius_m, points)
-    painted = propagation.paint(steps, sites, n_radials, radius_px, radius_m, floor_db, max_db, height, width)
-    return _finished(painted, height, width, n_radials, radius_px, floor_db, max_db, gap_factor)
+def _viewed(sites: DataFrame, views: list[tuple[int, float, float, float]]) -> DataFrame:
+    """sites with views: for each (view, digi height, igate height, target height) the heights at a site of its type."""
+    each = [F.struct(F.lit(v).alias("view"), antenna_height(F.col("type"), F.lit(float(digi)), F.lit(float(igate))).alias("site_height"), F.lit(float(target)).alias("target_height")) for v, digi, igate, target in views]
+    return sites.withColumn("views", F.array(*each))
 
 
-def scenario_grids(sites: DataFrame, profiles: DataFrame, dem: DataFrame, **shape) -> DataFrame:
-    """Finished cells of every site under every radio profile: scenario (site:profile), r, c, margin_db.
+def _painted(losses: DataFrame, sites: DataFrame, profiles: list[dict], model: str) -> DataFrame:
+    """site, profile_id, reach, floor_db, max_db, r, c, margin_db over the floor; a site's own cell has the highest margin there is.
 
-    The terrain is the same for all profiles of a site, so it is profiled once and only the loss is evaluated for each.
+    profiles: those of one geometry with their view. Under a negative floor true negative margins are painted too.
     """
-    budget = effective_budget_db(F.col("tx_power_dbm"), F.col("tx_gain_dbd"), F.col("rx_sens_dbm"), F.col("rx_gain_dbd"), F.col("cap_db"))
-    pick = {k: shape[k] for k in ("height", "width", "n_radials", "points", "radius_px", "radius_m")}
-    ground = propagation.line_of_sight(terrain.profiles(sites, dem, **pick), shape.get("site_height", 10.0), shape.get("target_height", 2.0))
-    sampled = propagation.samples(ground, shape["radius_m"], shape["points"])
-    each = None
-    rows = profiles.select("profile_id", budget.alias("b"), F.col("freq_mhz").alias("f")).collect()  # a job's own profiles, some hundred bytes each
-    for k in range(0, len(rows), PROFILE_BLOCK):
-        block = F.array(*[F.struct(F.lit(p["profile_id"]).alias("profile_id"), F.lit(p["b"]).cast("double").alias("__b"), F.lit(p["f"]).cast("double").alias("__f")) for p in rows[k : k + PROFILE_BLOCK]])
-        part = sampled.select("*", F.inline(block)).withColumn("site", F.concat_ws(":", "site", "profile_id"))
-        each = part if each is None else each.unionByName(part)
-    if each is None:
-        each = sampled.limit(0).selectExpr("*", "0 as profile_id", "0d as __b", "0d as __f").withColumn("site", F.col("site").cast("string"))
-    margins = propagation.path_loss(each, F.col("__b"), F.col("__f"), shape.get("model", "fspl_los"))
-    floor_db, max_db = shape.get("floor_db", 0.0), shape.get("max_db", 60.0)
-    steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor_db), shape["radius_m"], shape["points"])
-    places = margins.select("site", F.split("site", ":")[0].alias("s")).distinct().join(sites.select(F.col("site").cast("string").alias("s"), "r", "c"), "s").select("site", "r", "c")
-    painted = propagation.paint(steps, places, shape["n_radials"], shape["radius_px"], shape["radius_m"], floor_db, max_db, shape["height"], shape["width"])
-    return _finished(painted, shape["height"], shape["width"], shape["n_radials"], shape["radius_px"], floor_db, max_db, shape.get("gap_factor", 0.25)).withColumnRenamed("site", "scenario")
+    apart = ["profile_id", "reach", "floor_db", "max_db"]
+    table = F.array(*[F.struct(*[F.lit(p[c]).alias(c) for c in ("view", "budget_db", "freq_mhz", *apart)]) for p in profiles])
+    each = losses.select("site", F.col("view").alias("__v"), "r", "c", "loss", F.inline(table)).filter(F.col("view") == F.col("__v"))
+    hits = each.withColumn("margin_db", rays.offset_db(F.col("budget_db"), F.col("freq_mhz"), model) - F.col("loss")).filter(F.col("margin_db") > F.col("floor_db"))
+    own = sites.select("site", "r", "c", F.inline(table)).withColumn("margin_db", F.col("max_db"))
+    both = hits.select("site", *apart, "r", "c", "margin_db").unionByName(own.select("site", *apart, "r", "c", "margin_db"))
+    return both.groupBy("site", *apart, "r", "c").agg(F.max("margin_db").alias("margin_db"))
+
+
+def site_grids(sites: DataFrame, grid: Grid, g: Geometry, budget_db: float, freq_mhz: float, floor_db: float = 0.0, max_db: float = 60.0, gap_factor: float = 0.25, model: str = "los", digi_height: float = DIGI_HEIGHT_M, igate_height: float = IGATE_HEIGHT_M, target_height: float = TARGET_HEIGHT_M) -> DataFrame:
+    """Finished cells of every site (site, type, r, c, site_elev): site, r, c, margin_db."""
+    one = {
+        "profile_id": 0, "budget_db": float(budget_db), "freq_mhz": float(freq_mhz), "floor_db": float(floor_db), "max_db": float(max_db), "gap_factor": float(gap_factor), "digi_height_m": float(digi_height), "igate_height_m": float(igate_height),
+        "target_height_m": float(target_height), "n_radials": g.n_radials, "points": g.points, "radius_px": float(g.radius_px), "radius_m": float(g.radius_m),
+    }
+    return scenario_grids(sites, sites.sparkSession.createDataFrame([tuple(one.values())], PROFILE), grid, model).drop("profile_id")
+
+
+#: A radio profile of scenario_grids(): what it may spend, how its grid is finished, how its rays are laid and from what heights.
+PROFILE = "profile_id long, budget_db double, freq_mhz double, floor_db double, max_db double, gap_factor double, digi_height_m double, igate_height_m double, target_height_m double, n_radials int, points int, radius_px double, radius_m double"
+
+
+def radio_profiles(profiles: DataFrame, **defaults) -> DataFrame:
+    """Profiles of a job in the form of PROFILE: the budget from power, gains and sensitivity, and defaults for the columns that they lack or leave null."""
+    budget = effective_budget_db(*[F.col(c) for c in ("tx_power_dbm", "tx_gain_dbd", "rx_sens_dbm", "rx_gain_dbd", "cap_db")])
+    known = {"budget_db": budget, **{c: F.col(c) for c in profiles.columns}}
+    fields = [f.strip().split(" ") for f in PROFILE.split(",")]
+    return profiles.select(*[F.coalesce(*[x for x in (known.get(c), F.lit(defaults[c]) if c in defaults else None) if x is not None]).cast(kind).alias(c) for c, kind in fields])
+
+
+def scenario_grids(sites: DataFrame, profiles: DataFrame, grid: Grid, model: str = "fspl_los") -> DataFrame:
+    """Finished cells of every site (site, type, r, c, site_elev) under every profile (PROFILE): site, profile_id, r, c, margin_db.
+
+    Profiles fall into groups of one ray geometry; a group's terrain is laid out once. Within it they fall into views of the same antenna heights, which
+    share lines of sight and painted losses; budgets, frequencies and floors come last. The profiles of a job, some hundred bytes each, are read to plan this.
+    """
+    out = None
+    rows = [r.asDict() for r in profiles.orderBy("profile_id").collect()]
+    geometries = sorted({(r["n_radials"], r["points"], r["radius_px"], r["radius_m"]) for r in rows})
+    for geometry in geometries:
+        g = Geometry(*geometry)
+        same = [r for r in rows if (r["n_radials"], r["points"], r["radius_px"], r["radius_m"]) == geometry]
+        heights = sorted({(r["digi_height_m"], r["igate_height_m"], r["target_height_m"]) for r in same})
+        seen = rays.sightlines(_viewed(sites, [(k, *h) for k, h in enumerate(heights)]), grid, g)
+        losses = rays.painted_losses(seen, sites, grid, g, model)
+        told = [r | {"view": heights.index((r["digi_height_m"], r["igate_height_m"], r["target_height_m"])), "reach": coverage.gap_fill_reach(g.radius_px, g.n_radials, r["gap_factor"])} for r in same]
+        part = coverage.finish_grids(_painted(losses, sites, told, model), ["site", "profile_id"], (grid.height, grid.width))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return sites.limit(0).select("site", F.lit(0).cast("long").alias("profile_id"), "r", "c", F.lit(0.0).alias("margin_db"))
+    return out
+
+
+def zero_coverage(sites: DataFrame, grid: Grid, dem: DataFrame, g: Geometry, budget_db: float, freq_mhz: float, floor_db: float, model: str = "fspl_los", digi_height: float = DIGI_HEIGHT_M, igate_height: float = IGATE_HEIGHT_M, target_height: float = TARGET_HEIGHT_M) -> DataFrame:
+    """Sites with rays but no covered one: site, n_rays, the columns of pit_check() and the loss at the end of the first ray."""
+    seen = rays.sightlines(_viewed(sites, [(0, digi_height, igate_height, target_height)]), grid, g)
+    offset = rays.offset_db(F.lit(float(budget_db)), F.lit(float(freq_mhz)), model)
+    stats = rays.ray_stats(seen, g, offset, floor_db, model).filter("n_covered = 0")
+    pits = terrain.pit_check(sites.select("site", "r", "c"), dem)
+    loss = F.lit(float(budget_db)) - offset + F.col("first_ray_loss")
+    return stats.select("site", "n_rays", loss.alias("first_ray_loss_db")).join(pits, "site", "left")
 
 
 def merged_coverage(grids: DataFrame, origins: DataFrame | None = None, cell_m: float = 90.0, ref_cell_m: float = 90.0) -> DataFrame:
     """r, c, n_sites over all sites' finished grids; with origins (site, row0, col0 in metres) on the reference grid."""
     return coverage.coverage_count(grids if origins is None else terrain.to_reference(grids, origins, cell_m, ref_cell_m))
+
+
+def station_grids(grids: DataFrame, stations: DataFrame) -> DataFrame:
+    """Every station's grid (callsign, site, r, c, margin_db): its site's (see shared_sites())."""
+    return coverage.share_canonical(grids, shared_sites(stations).select("callsign", "site"))

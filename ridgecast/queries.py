@@ -188,6 +188,33 @@ def merge_records(v):
     return catalog.merge_records(v("fx_stations_raw")).orderBy("callsign")
 
 
+_OPEN = """js as (select ord, group_rank * 1000000000000 + ord as nth, cast(value as json) as j from fx_records),
+keyed as (select *, replace(upper(trim(coalesce(nullif(j->>'callsign', ''), j->>'name', ''))), '*', '') as k from js),
+entries as (select k, nth, false as late, unnest(json_keys(j)) as field, j from keyed where k <> ''),
+told as (select k, nth, late, field, json_extract(j, '$."' || field || '"') as value from entries where field <> 'callsign'),
+every as (select k, nth, late, field, cast(value as varchar) as value from told where json_type(value) <> 'NULL' and cast(value as varchar) <> '""'
+ union all select k, nth, true, '_seed_only', null from keyed where k <> '' and j->>'_source' in ('APRS-IS', 'aprs.fi', 'reviewed_override') and coalesce(j->>'lat', '') <> '' and coalesce(j->>'lon', '') <> ''
+ union all select distinct k, 0, false, 'callsign', '"' || k || '"' from keyed where k <> ''),
+opened as (select k as callsign, field, value from every qualify row_number() over (partition by k, field order by nth desc, late desc) = 1)"""
+
+
+def _open(v):
+    """Merged open records, from lists of records as files hold them."""
+    rows = v("fx_records").select("ord", "group_rank", F.concat(F.lit('{"results": ['), "value", F.lit(', "no record", null, 5]}')).alias("value"))
+    return catalog.merge_open_records(stations.parse_records(rows))
+
+
+@query(f"with {_OPEN} select callsign, field, value from opened where value is not null")
+def merge_open_records(v):
+    return _open(v).select("callsign", F.explode("record").alias("field", "value")).select("callsign", "field", F.to_json("value").alias("value"))
+
+
+@query(f"""with {_OPEN}, wide as (select callsign, max(value) filter (field = 'name') as name, max(value) filter (field = 'lat') as lat, max(value) filter (field = 'lon') as lon, max(value) filter (field = 'symbol') as symbol, max(value) filter (field = '_source') as source, max(value) filter (field = '_seed_only') as seed from opened group by callsign)
+ select callsign, trim(name, '"') as name, try_cast(trim(lat, '"') as double) as lat, try_cast(trim(lon, '"') as double) as lon, trim(symbol, '"') as symbol, trim(source, '"') as source, coalesce(seed = 'true', false) as seed_only from wide""")
+def open_records_typed(v):
+    return catalog.typed_stations(_open(v).drop("callsign")).select("callsign", "name", "lat", "lon", "symbol", "source", "seed_only")
+
+
 @query(f"with {_MERGE} select k as callsign, arg_max(type, nth) as type from raw where type is not null and type <> '' and k <> '' group by k")
 def role_map(v):
     return catalog.role_map(v("fx_stations_raw"))
@@ -272,11 +299,19 @@ def _hav(a, b, c, d):
     return f"2 * 6371.0088e0 * asin(least(1e0, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
 
 
-_NEAR = f"""{_MERGE}, placed as (select callsign, lat, lon from merged where lat is not null and lon is not null),
-near as (select callsign, osm_type, osm_id, {_hav("p.lat", "p.lon", "o.lat", "o.lon")} as d from placed p join fx_osm o on abs(p.lat - o.lat) < 0.05 where {_hav("p.lat", "p.lon", "o.lat", "o.lon")} <= 3),
+_DISTANCE = _hav("p.lat", "p.lon", "o.lat", "o.lon")
+
+
+def _near_sql(table: str, radius_km: float) -> str:
+    return f"""placed as (select callsign, lat, lon from {table} where lat is not null and lon is not null),
+near as (select callsign, osm_type, osm_id, label, {_DISTANCE} as d from placed p join fx_osm o on abs(p.lat - o.lat) < 0.05 where {_DISTANCE} <= {radius_km}),
 best as (select * from near qualify row_number() over (partition by callsign order by d, osm_id) = 1),
-matches as (select callsign, osm_id is not null as matched, osm_type, osm_id, d, cast(round_even(d * 1000, 0) as bigint) as distance_m from placed left join best using (callsign))"""
-_ASSESS = f"""{_NEAR}, joined as (select m.*, case when r.callsign is not null then lower(coalesce(r.status, 'candidate')) end as reg, r.lat as reg_lat, r.lon as reg_lon, x.callsign is not null as checked, matched, distance_m from merged m left join fx_registry r using (callsign) left join matches x using (callsign)),
+matches as (select callsign, osm_id is not null as matched, osm_type, osm_id, label as osm_label, d, cast(round_even(d * 1000, 0) as bigint) as distance_m, case when d <= 0.1 then 'STRONG' when d <= 0.3 then 'GOOD' when d <= 1 then 'NEARBY' when d is not null then 'WEAK' end as strength from placed left join best using (callsign))"""
+
+
+def _assess_sql(table: str) -> str:
+    """The table assessed: stations of a table with type, lat, lon, comment, lasttime, source, seed_only, reported_lat, reported_lon, held against matches."""
+    return f"""joined as (select m.*, case when r.callsign is not null then lower(coalesce(r.status, 'candidate')) end as reg, r.lat as reg_lat, r.lon as reg_lon, x.callsign is not null as checked, matched, distance_m, osm_label, strength from {table} m left join fx_registry r using (callsign) left join matches x using (callsign)),
 named as (select *, case when source in ('APRS-IS', 'aprs.fi', 'reviewed_override', 'seed', 'cache', 'unknown') then source when seed_only then 'seed' else 'unknown' end as src,
  case when not checked then 'NOT_CHECKED' when not coalesce(matched, false) then 'NO_MATCH' when distance_m <= 150 then 'AUTO_CORROBORATED' when distance_m <= 500 then 'PROBABLE' else 'DISAGREES' end as st,
  case when lasttime > 0 then greatest(0e0, ({AS_OF} - lasttime) / 86400e0) end as age from joined),
@@ -285,10 +320,18 @@ s2 as (select *, case when seed_only then least(base, 65) else base end as cappe
 s3 as (select *, case when st = 'AUTO_CORROBORATED' then greatest(capped, 85) when st = 'PROBABLE' then greatest(capped, 70) when st = 'DISAGREES' and src in ('seed', 'cache', 'unknown') then least(capped, 49) else capped end as mapped from s2),
 s4 as (select *, case when lat is null or lon is null then null when reg = 'reviewed' then 100 when reg is not null then least(mapped, 49) else mapped end as score,
  coalesce(lat is not null and lon is not null and reg = 'reviewed' and reg_lat is not null, false) as corrected from s3),
-assessed as (select callsign, src as reported_source, case when lat is not null and lon is not null then st end as osm_status, cast(score as int) as score, case when score >= 80 then 'HIGH' when score >= 55 then 'MEDIUM' when score is not null then 'LOW' end as label,
- case when age is null then 'UNKNOWN' when age <= 7 then 'RECENT' when age <= 90 then 'AGING' when age <= 365 then 'STALE' else 'VERY_STALE' end as freshness, corrected,
- coalesce(lat is not null and lon is not null and reg is not null and not corrected, false) as review_candidate, case when corrected then reg_lat else lat end as lat, case when corrected then reg_lon else lon end as lon from s4)"""
-_ASSESSED = ["callsign", "reported_source", "osm_status", "score", "label", "freshness", "corrected", "review_candidate", "lat", "lon"]
+s5 as (select *, coalesce(lat is not null and lon is not null and reg is not null and not corrected, false) as review_candidate from s4),
+assessed as (select callsign, type, src as reported_source, case when lat is not null and lon is not null then st end as osm_status, osm_label, strength, cast(score as int) as score, case when score >= 80 then 'HIGH' when score >= 55 then 'MEDIUM' when score is not null then 'LOW' end as label,
+ case when age is null then 'UNKNOWN' when age <= 7 then 'RECENT' when age <= 90 then 'AGING' when age <= 365 then 'STALE' else 'VERY_STALE' end as freshness,
+ case when age is null then 'no usable last-heard time' else 'last heard ' || cast(floor(age) as bigint) || ' days before the reference date' end as freshness_reason, corrected, review_candidate,
+ case when corrected then reg end as correction_status, case when corrected then reg_lat end as correction_lat, case when review_candidate then reg end as review_status, case when review_candidate then reg_lat end as review_lat,
+ case when lat is not null and lon is not null then reported_lat end as reported_lat, case when lat is not null and lon is not null then reported_lon end as reported_lon, case when corrected then reg_lat else lat end as lat, case when corrected then reg_lon else lon end as lon from s5)"""
+
+
+_NEAR = f"{_MERGE}, {_near_sql('merged', 3)}"
+_ASSESS = f"{_NEAR}, fresh as (select *, lat as reported_lat, lon as reported_lon from merged), {_assess_sql('fresh')}"
+_AUDITED = {"osm_label": "osm.label", "strength": "osm.strength", "correction_status": "correction.status", "correction_lat": "correction.candidate_lat", "review_status": "review.status", "review_lat": "review.candidate_lat"}
+_ASSESSED = ["callsign", "type", "reported_source", "osm_status", "score", "label", "freshness", "freshness_reason", "corrected", "review_candidate", "reported_lat", "reported_lon", "lat", "lon", *_AUDITED]
 
 
 def _assessed(v):
@@ -297,7 +340,7 @@ def _assessed(v):
     return quality.assess(merged, v("fx_registry"), matches, AS_OF)
 
 
-@query(f"with {_NEAR} select callsign, matched, osm_type, coalesce(osm_id, -1) as osm_id, round(d, 6) as distance_km, coalesce(distance_m, -1) as distance_m, case when d <= 0.1 then 'STRONG' when d <= 0.3 then 'GOOD' when d <= 1 then 'NEARBY' when d is not null then 'WEAK' end as strength from matches")
+@query(f"with {_NEAR} select callsign, matched, osm_type, coalesce(osm_id, -1) as osm_id, osm_label as label, round(d, 6) as distance_km, coalesce(distance_m, -1) as distance_m, strength, 3e0 as radius_km from matches")
 def osm_nearest(v):
     return nearest.nearest_feature(catalog.merge_records(v("fx_stations_raw")), v("fx_osm"), 3.0).withColumns({"distance_km": F.round("distance_km", 6), "osm_id": F.coalesce("osm_id", F.lit(-1).cast("long")), "distance_m": F.coalesce("distance_m", F.lit(-1).cast("long"))})
 
@@ -309,7 +352,7 @@ def match_stats(v):
 
 @query(f"with {_ASSESS} select * from assessed")
 def location_confidence(v):
-    return _assessed(v).select(*_ASSESSED)
+    return _assessed(v).withColumns({c: F.col(x) for c, x in _AUDITED.items()}).select(*_ASSESSED)
 
 
 @query(f"with {_ASSESS} select count(*) filter (label = 'HIGH') as high, count(*) filter (label = 'MEDIUM') as medium, count(*) filter (label = 'LOW') as low, count(*) filter (corrected) as corrected, count(*) filter (review_candidate) as review, count(*) filter (osm_status = 'AUTO_CORROBORATED') as osm_auto from assessed")
@@ -338,9 +381,12 @@ def coordinate_overrides(v):
     return quality.override_coordinates(catalog.merge_records(v("fx_stations_raw")), _user(v)).select("callsign", "lat", "lon")
 
 
-@query(f"with {_MERGE} select callsign, type from merged where type in ('digi', 'igate') and {_hav('lat', 'lon', '39e0', '-112e0')} <= 300")
+@query(f"""with {_MERGE}, once as (select m.*, m.lat is not null and m.lon is not null and lower(r.status) = 'reviewed' and r.lat is not null as moved, r.lat as new_lat, r.lon as new_lon from merged m left join fx_registry r using (callsign)),
+ shifted as (select * exclude (lat, lon, moved, new_lat, new_lon), lat as reported_lat, lon as reported_lon, case when moved then new_lat else lat end as lat, case when moved then new_lon else lon end as lon from once),
+ region as (select * from shifted where type in ('digi', 'igate') and {_hav('lat', 'lon', '39e0', '-112e0')} <= 300), {_near_sql("region", 1)}, {_assess_sql("region")} select * from assessed""")
 def area_catalog(v):
-    return area.area_catalog(v("fx_stations_raw"), v("fx_registry"), v("fx_osm"), 39.0, -112.0, 300.0, AS_OF).select("callsign", "type")
+    found = area.area_catalog(v("fx_stations_raw"), v("fx_registry"), v("fx_osm"), 39.0, -112.0, 300.0, AS_OF)
+    return found.withColumns({c: F.col(x) for c, x in _AUDITED.items()}).select(*_ASSESSED)
 
 
 # Geometry ----------------------------------------------------------------------------------------------------------
@@ -766,41 +812,6 @@ def reference_grid(v):
     return terrain.to_reference(grids, origins, 90.0, 120.0).withColumn("margin_db", F.round("margin_db", 6))
 
 
-def _grid_shape(v):
-    """120 points: at this radius fewer would merge some of the 40 loss samples of a ray."""
-    return {"height": _height(v), "width": 100, "n_radials": 1080, "points": 120, "radius_px": 12.0, "radius_m": 12000.0}
-
-
-def _grid_sites(v):
-    """Every placed station of the catalog on its cell, the grid stretched over the stations' region in zone 12."""
-    placed = catalog.merge_records(v("fx_stations_raw")).filter("lat is not null and lon is not null").select(F.col("callsign").alias("site"), "lat", "lon")
-    cell_m = max(600_000.0 / 100, 690_000.0 / _height(v))
-    located = terrain.locate_cells(placed, F.lit(12), 135_000.0, 4_720_000.0, cell_m).select("site", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"))
-    return terrain.on_grid(located, v("fx_dem")).select("site", "r", "c", F.col("elev_m").alias("site_elev"))
-
-
-@query(None)
-def site_grids(v):
-    return area.site_grids(_grid_sites(v), v("fx_dem"), budget=F.lit(138.0), freq_mhz=F.lit(144.39), model="fspl_los", max_db=80.0, **_grid_shape(v))
-
-
-@query(None)
-def merged_coverage(v):
-    return area.merged_coverage(area.site_grids(_grid_sites(v), v("fx_dem"), budget=F.lit(138.0), freq_mhz=F.lit(144.39), **_grid_shape(v)))
-
-
-@query(None)
-def scenario_grid(v):
-    cells = area.scenario_grids(_grid_sites(v), v("fx_profiles"), v("fx_dem"), **_grid_shape(v))
-    return cells.groupBy("scenario").agg(F.count(F.lit(1)).alias("cells"), F.max("margin_db").alias("best"))
-
-
-@query(None)
-def zero_coverage(v):
-    margins = area.site_margins(_grid_sites(v), v("fx_dem"), budget=F.lit(60.0), freq_mhz=F.lit(144.39), model="fspl_los", **_grid_shape(v))
-    return propagation.zero_coverage(propagation.radial_stats(margins, _grid_shape(v)["n_radials"], -100.0), terrain.pit_check(_grid_sites(v).select("site", "r", "c"), v("fx_dem")), margins)
-
-
 @query(f"with {_MERGE} select type, count(*) as n from merged group by type")
 def group_counts(v):
     return catalog.merge_records(v("fx_stations_raw")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
@@ -836,12 +847,15 @@ def seed_sink(v):
     return stations.read_stations_lines(rows.sparkSession, f"{path}/stations").select("callsign", "type", "lat", "lon", "comment", "lasttime", "source", "seed_only")
 
 
-@query(f"with {_MERGE} select callsign, lower(type) as type, lat, lon, comment, 'seed' as source, true as seed_only from merged where comment is not null")
+@query(f"with {_MERGE} select callsign, lower(type) as type, lat, lon, comment, 'N' as override, lat as power_w, 30e0 as height_ft, case when lon < -112 then 2.5e0 end as gain_dbd, lon + 180 as dir_deg, 'seed' as source, true as seed_only from merged where comment is not null")
 def read_seed_csv(v):
     rows = catalog.merge_records(v("fx_stations_raw")).filter("comment is not null")
     path = scratch(rows.sparkSession, "seed-csv")
-    own = {"Callsign": "callsign", "Lat": "lat", "Lon": "lon", "Type": "type", "Comment": "comment"}
-    rows.select(*[(F.col(own[c]) if c in own else F.lit(None)).cast("string").alias(c) for c in (field.split(" ")[0] for field in stations.SEED_CSV.split(", "))]).write.option("header", True).csv(path)
+    own = {
+        "Callsign": F.col("callsign"), "Lat": F.col("lat"), "Lon": F.col("lon"), "Type": F.col("type"), "Comment": F.col("comment"), "Override": F.lit("N"), "Power_W": F.col("lat"), "Height_ft": F.lit(30.0),
+        "Gain_dBd": F.when(F.col("lon") < -112, 2.5), "Dir_deg": F.col("lon") + 180,
+    }
+    rows.select(*[own[c].cast("string").alias(c) for c in (field.split(" ")[0] for field in stations.SEED_CSV.split(", "))]).write.option("header", True).csv(path)
     return stations.read_seed_csv(rows.sparkSession, path)
 
 
@@ -997,12 +1011,14 @@ def segment_lines(v):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from .plans import queries as plans
     from .streaming import queries as streaming
 
-    return QUERIES | streaming.QUERIES
+    return QUERIES | plans.QUERIES | streaming.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    from .plans import queries as plans
     from .streaming import queries as streaming
 
-    return SQL | streaming.SQL
+    return SQL | plans.SQL | streaming.SQL

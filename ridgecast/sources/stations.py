@@ -25,27 +25,41 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
         raise
 
 
-def parse_stations(df: DataFrame, text: str = "value", strict: bool = False) -> DataFrame:
-    """Station rows of JSON texts: a list, or an object that wraps one under stations, results or data.
+def parse_records(df: DataFrame, text: str = "value", strict: bool = False) -> DataFrame:
+    """df's other columns, pos and record (map of key -> variant) of JSON texts: a list of objects, or an object that wraps one under stations, results or data.
 
-    strict: the first of the three that is a list counts, and a text without one is an error; otherwise the first key that is
-    present counts and anything else gives no rows.
+    Records keep whatever keys they have; list elements that are no objects are left out. strict: the first of the three that is a list counts, and a text
+    without one is an error; otherwise the first key that is present counts and anything else gives no rows.
     """
-    listed = F.from_json(text, f"array<struct<{_struct(STATION)}>>")
-    value = F.ltrim(F.col(text))
-    wrapped = F.from_json(text, "struct<" + ", ".join(f"{k}: string" for k in WRAPPERS) + ">")
-    df = df.withColumn("__w", wrapped)
-    inner = [F.col("__w")[k] for k in WRAPPERS]
-    lists = [F.when(F.ltrim(x).startswith("["), x) for x in inner]
-    chosen = F.coalesce(*lists) if strict else F.when(F.ltrim(F.coalesce(*inner)).startswith("["), F.coalesce(*inner))
-    rows = F.when(value.startswith("["), listed).otherwise(F.from_json(chosen, f"array<struct<{_struct(STATION)}>>"))
+    whole = F.try_parse_json(text)
+    listed = lambda path: F.try_variant_get(whole, path, "array<variant>")
+    wrapped = [listed(f"$.{k}") for k in WRAPPERS]
+    if strict:
+        inner = F.coalesce(*wrapped)
+    else:
+        there = lambda k: F.try_variant_get(whole, f"$.{k}", "variant").isNotNull()
+        inner = F.when(there(WRAPPERS[0]), wrapped[0]).when(there(WRAPPERS[1]), wrapped[1]).otherwise(wrapped[2])
+    rows = F.coalesce(listed("$"), inner)
     if strict:
         rows = F.when(rows.isNull(), F.raise_error(F.lit("no station list in the text"))).otherwise(rows)
-    return df.withColumn("__rows", F.filter(rows, lambda x: x.isNotNull())).select(F.inline("__rows"))
+    each = df.select(*[c for c in df.columns if c != text], F.posexplode(rows).alias("pos", "__v"))
+    return each.withColumn("record", F.try_variant_get("__v", "$", "map<string, variant>")).filter("record is not null").drop("__v")
+
+
+def parse_stations(df: DataFrame, text: str = "value", strict: bool = False) -> DataFrame:
+    """Station rows of the catalog's own columns; numbers may be text. Both spellings of source and seed_only count. See parse_records()."""
+    records = parse_records(df.select(text), text, strict)
+    get = lambda k: F.try_variant_get(F.try_element_at("record", F.lit(k)), "$", "string")
+    kinds = {"lat": "double", "lon": "double", "lasttime": "double", "seed_only": "boolean"}
+    either = {"source": ("source", "_source"), "seed_only": ("seed_only", "_seed_only")}
+    column = lambda c: F.coalesce(*[get(k) for k in either.get(c, (c,))])
+    fields = [tuple(field.strip().split(" ")) for field in STATION.split(",")]
+    return records.select(*[column(c).try_cast(kinds.get(c, "string")).cast(kind).alias(c) for c, kind in fields])
 
 
-def _struct(schema: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (field.strip().split(" ") for field in schema.split(",")))
+def open_records_of(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """pos and record of JSON files."""
+    return parse_records(read_texts(spark, path), strict=strict)
 
 
 def read_stations(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -66,7 +80,11 @@ def resolve_seed(user: DataFrame | None, bundled: DataFrame, chosen: bool = Fals
 
 def seed_rows(csv: DataFrame) -> DataFrame:
     """The seed table's columns under the catalog's names."""
-    return csv.select(F.col("Callsign").alias("callsign"), F.lower("Type").alias("type"), F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), F.col("Comment").alias("comment"), F.lit("seed").alias("source"), F.lit(True).alias("seed_only"))
+    more = {"Override": "override", "Power_W": "power_w", "Height_ft": "height_ft", "Gain_dBd": "gain_dbd", "Dir_deg": "dir_deg"}
+    return csv.select(
+        F.col("Callsign").alias("callsign"), F.lower("Type").alias("type"), F.col("Lat").alias("lat"), F.col("Lon").alias("lon"), F.col("Comment").alias("comment"), *[F.col(c).alias(n) for c, n in more.items() if c in csv.columns],
+        F.lit("seed").alias("source"), F.lit(True).alias("seed_only"),
+    )
 
 
 def read_seed_csv(spark: SparkSession, path: str) -> DataFrame:

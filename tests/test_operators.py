@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgecast.functions import geo, radio, text, trust
-from ridgecast.operators import catalog, coverage, nearest, propagation, terrain, tracks
+from ridgecast.operators import catalog, coverage, nearest, propagation, quality, rays, terrain, tracks
 from ridgecast.sources import packets, sinks, stations
 from ridgecast.streaming import session
 
@@ -153,12 +153,19 @@ def test_line_of_sight_equals_pairwise(spark):
     assert {(r.site, r.k): r.clear for r in propagation.line_of_sight(df, 10.0, 2.0).collect()} == want
 
 
+def flat_grid(spark, elev="1000.0D"):
+    from ridgecast.sources.grids import grid_of
+
+    dem = spark.range(900).selectExpr("cast(id div 30 as int) r", "cast(id % 30 as int) c", f"{elev} elev_m")
+    return dem, grid_of(dem, 30, 30)
+
+
 def test_coverage_grows_with_budget(spark):
-    dem = spark.range(900).selectExpr("cast(id div 30 as int) r", "cast(id % 30 as int) c", "cast(1000 + (id * 7919) % 60 as double) elev_m")
-    sites = spark.createDataFrame([(1, 15, 15, 1050.0)], "site int, r int, c int, site_elev double")
     from ridgecast.plans import area
 
-    cells = [area.site_grids(sites, dem, 30, 30, 24, 30, 12.0, 12000.0, F.lit(b), F.lit(144.39), model="fspl_los").count() for b in (95.0, 110.0, 130.0)]
+    _, grid = flat_grid(spark, "cast(1000 + (id * 7919) % 60 as double)")
+    sites = spark.createDataFrame([(1, "digi", 15, 15, 1050.0)], "site int, type string, r int, c int, site_elev double")
+    cells = [area.site_grids(sites, grid, rays.Geometry(24, 30, 12.0, 12000.0), b, 144.39, model="fspl_los").count() for b in (95.0, 110.0, 130.0)]
     assert cells[0] <= cells[1] <= cells[2] and cells[2] > 0
 
 
@@ -213,21 +220,73 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(lines, "seq long, raw string").withColumn("arrival_ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq"))).select("seq", "arrival_ts", "raw")
     df.repartition(5).write.parquet(str(tmp_path / "in"))
     stream = session.packet_stream(spark, str(tmp_path / "in"), 2)
-    query = session.run_to_table(session.heard(session.running_catalog(stream)), f"{tmp_path}/out", f"{tmp_path}/at")
+    found = session.run_to_table(session.heard(session.running_catalog(stream)), f"{tmp_path}/out", f"{tmp_path}/at").result()
     batch = session.heard(session.running_catalog(df))
-    assert sorted(map(str, session.read_result(spark, f"{tmp_path}/out", query).collect())) == sorted(map(str, batch.collect()))
+    assert sorted(map(str, found.collect())) == sorted(map(str, batch.collect())) and len(list((tmp_path / "out").iterdir())) == 1  # earlier results are gone
     assert session.within_session(df, F.timestamp_seconds(F.lit(1_700_000_000)), 50).count() == 50
 
 
-def test_upsert_catalog(spark, tmp_path):
+def test_upsert_catalog_in_any_batches(spark):
+    """Whatever the batches, the stored states end as those of all rows; values, order and seed flag included."""
+    rng = random.Random(11)
+    schema = "ord long, group_rank int, callsign string, name string, type string, lat double, lon double, symbol string, lasttime long, source string, seed_only boolean"
+    rows = [(i, rng.randrange(4), rng.choice(["a", " A*", "B", "", None]), rng.choice([None, "site one", "b"]), rng.choice([None, "", "digi", "igate"]), rng.choice([None, 1.5, 0.0]), rng.choice([None, 2.5]), rng.choice(["", "#", None]), rng.choice([None, 0, 7]), rng.choice(["seed", "APRS-IS"]), rng.random() < 0.4) for i in range(120)]
+    whole = one(catalog.merge_records(spark.createDataFrame(rows, schema)))
+    assert len(whole) == 3
+    for cuts in (1, 3, 4):
+        rng.shuffle(rows)
+        stored = {}
+        merge = session.upsert_catalog(lambda: stored.get("now"), lambda df: stored.update(now=spark.createDataFrame(df.collect(), df.schema)))
+        for k in range(cuts):
+            merge(spark.createDataFrame(rows[k::cuts], schema), k)
+        assert one(catalog.merged_values(stored["now"])) == whole
+
+
+def test_upsert_catalog_without_order(spark):
+    """Rows that bring no order come after those of earlier batches."""
+    stored = {}
+    merge = session.upsert_catalog(lambda: stored.get("now"), lambda df: stored.update(now=spark.createDataFrame(df.collect(), df.schema)))
     schema = "callsign string, type string, lat double, lon double, comment string, lasttime long, source string, seed_only boolean"
-    state = {"now": spark.createDataFrame([("A", "digi", 1.0, 2.0, "old", 1, "seed", True)], schema)}
-    merge = session.upsert_catalog(lambda: state["now"], lambda df: state.update(now=df))
-    merge(spark.createDataFrame([("a", None, 1.5, 2.5, "", 2, "APRS-IS", False), ("B", "igate", 3.0, 4.0, "b", 3, "APRS-IS", False)], schema), 0)
-    rows = {r.callsign: r for r in state["now"].collect()}
+    merge(spark.createDataFrame([("A", "digi", 1.0, 2.0, "old", 1, "seed", True)], schema), 0)
+    merge(spark.createDataFrame([("a", None, 1.5, 2.5, "", 2, "APRS-IS", False), ("B", "igate", 3.0, 4.0, "b", 3, "APRS-IS", False)], schema), 1)
+    rows = {r.callsign: r for r in catalog.merged_values(stored["now"]).collect()}
     assert rows["A"].type == "digi" and rows["A"].lat == 1.5 and rows["A"].comment == "old" and not rows["A"].seed_only and rows["B"].lat == 3.0
 
 
+def test_counters_over_many_triggers(spark, tmp_path):
+    lines = spark.range(310).selectExpr("id as seq", "timestamp_seconds(1700000000 + id) as arrival_ts", "case when id % 3 = 0 then 'U>A,D*:x' else 'U:x' end as raw")
+    lines.repartition(310, "seq").write.parquet(str(tmp_path / "in"))
+    files = len(list((tmp_path / "in").glob("part-*")))
+    counters = session.Counters(every=0.5)
+    session.run_to_table(session.progress(session.packet_stream(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "at"), mode="append", counters=counters)
+    assert counters.triggers == files > 150 and counters.totals == {"lines": 310, "with_path": 104}
+    times = [t for t, _ in counters.seen]
+    assert all(b - a >= 0.5 for a, b in zip(times, times[1:])) and spark.read.parquet(str(tmp_path / "out")).count() == 310
+
+
+def test_session_over_an_endless_source_ends_on_time(spark, tmp_path):
+    import time
+
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 50).load()
+    packets = rate.selectExpr("value as seq", "timestamp as arrival_ts", "concat('U', value % 5, '>A,D', value % 3, '*:!4000.00N/11100.00W#') as raw")
+    began = time.monotonic()
+    done = session.run_to_table(session.running_catalog(packets), str(tmp_path / "out"), str(tmp_path / "at"), seconds=8)
+    assert 8 <= time.monotonic() - began < 40 and not done.query.isActive
+    assert {r.call for r in done.result().collect()} <= {f"{a}{k}" for a in "UD" for k in range(5)} and len(list((tmp_path / "out").iterdir())) <= 2
+
+
+def test_lines_of_text_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("# hello\nU1>A,D1*:!4000.00N/11100.00W>\n\n U1>A,D1*:!4100.00N/11100.00W> \r\n")
+    stream = session.text_stream(spark, f"{tmp_path}/in")
+    found = session.run_to_table(session.running_catalog(stream), f"{tmp_path}/out", f"{tmp_path}/at").result().collect()
+    assert {(r.call, r.p and r.p.lat) for r in found} == {("U1", 41.0), ("D1", None)}
+    batch = session.text_lines(spark.read.option("wholetext", True).text(f"{tmp_path}/in").select("value", "_metadata"))
+    assert sorted((r.call, r.p and r.p.lat) for r in session.running_catalog(batch).collect()) == sorted((r.call, r.p and r.p.lat) for r in found)
+    records = spark.createDataFrame([(bytearray(b"U2>A,D2*:x"), 1, 5)], "value binary, partition int, offset long").withColumn("timestamp", F.timestamp_seconds(F.lit(5)))
+    assert [(r.call, r.is_digi) for r in session.running_catalog(session.kafka_lines(records)).collect()] == [("D2", True)]
+
+
 def test_cache_validity(spark):
     meta = spark.createDataFrame([(1000, 40.0, -112.0, 100.0)], "updated_at long, center_lat double, center_lon double, radius_km double")
     valid = lambda **k: session.cache_is_valid(meta, **({"lat": 40.0, "lon": -112.0, "radius_km": 100.0, "as_of": 1000} | k)).first().valid
@@ -255,15 +314,106 @@ def test_resolve_seed(spark):
     assert stations.resolve_seed(a, empty).count() == 1 and stations.resolve_seed(empty, a, chosen=True).count() == 0 and stations.resolve_seed(None, a).count() == 1
 
 
+def row_chain(sites, dem, g, budget, heights, floor=0.0, top=60.0):
+    """The painted cells by the operators on rows: profiles, sight, samples, loss, interpolation, paint."""
+    ground = terrain.profiles(sites, dem, 30, 30, g.n_radials, g.points, g.radius_px, g.radius_m)
+    seen = propagation.line_of_sight(ground, heights[0], heights[1])
+    margins = propagation.path_loss(propagation.samples(seen, g.radius_m, g.points), F.lit(budget), F.lit(144.39), "fspl_los")
+    steps = propagation.interpolate_margin(propagation.useful_radials(margins, floor), g.radius_m, g.points)
+    return margins, propagation.paint(steps, sites, g.n_radials, g.radius_px, g.radius_m, floor, top, 30, 30)
+
+
+def test_rays_as_arrays_equal_rays_as_rows(spark):
+    """Profiles, stats and painted losses of every ray against the operators on rows, with holes in the terrain and sites at the grid's edge."""
+    from ridgecast.plans import area
+
+    dem, grid = flat_grid(spark, "case when id % 97 = 0 then null else cast(1000 + (id * 7919) % 260 as double) end")
+    g = rays.Geometry(48, 40, 9.0, 9000.0)
+    sites = spark.createDataFrame([(1, "digi", 15, 15, 1110.0), (2, "igate", 1, 28, 1200.0), (3, "digi", 29, 0, 1050.0)], "site int, type string, r int, c int, site_elev double")
+    rows = terrain.profiles(sites, dem, 30, 30, 48, 40, 9.0, 9000.0)
+    want = {(r.site, r.radial, r.k): r.elev_m for r in rows.collect()}
+    got = {(r.site, r.radial, k): e for r in rays.profiles(sites, grid, g).collect() for k, e in enumerate(r.elev_m, 1)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+    margins, painted = row_chain(sites, dem, g, 120.0, (10.0, 2.0))
+    seen = rays.sightlines(area._viewed(sites, [(0, 10.0, 10.0, 2.0)]), grid, g)
+    offset = rays.offset_db(F.lit(120.0), F.lit(144.39), "fspl_los")
+    stats = {r.site: (r.n_rays, r.n_covered) for r in rays.ray_stats(seen, g, offset, 5.0, "fspl_los").collect()}
+    assert stats == {r.site: (r.n_rays, r.n_covered) for r in propagation.radial_stats(margins, 48, 5.0).collect()}
+    cells = rays.painted_losses(seen, sites, grid, g, "fspl_los").withColumn("m", offset - F.col("loss")).filter("m > 0").collect()
+    own = {(1, 15, 15), (2, 1, 28), (3, 29, 0)}
+    assert {(r.site, r.r, r.c): round(r.m, 6) for r in cells if (r.site, r.r, r.c) not in own} == {(r.site, r.r, r.c): round(r.margin_db, 6) for r in painted.collect() if (r.site, r.r, r.c) not in own}
+
+
+def test_heights_and_geometry_of_profiles_matter(spark):
+    """Every profile of a job gives the grid that it gives alone; antenna heights by type, target height and rays tell grids apart."""
+    from ridgecast.plans import area
+
+    dem, grid = flat_grid(spark, "cast(1000 + (id * 7919) % 260 as double)")
+    sites = spark.createDataFrame([(1, "digi", 15, 15, 1110.0), (2, "igate", 4, 25, 1150.0)], "site int, type string, r int, c int, site_elev double")
+    base = {"budget_db": 125.0, "freq_mhz": 144.39, "floor_db": 0.0, "max_db": 60.0, "gap_factor": 0.25, "digi_height_m": 10.0, "igate_height_m": 10.0, "target_height_m": 2.0, "n_radials": 36, "points": 40, "radius_px": 9.0, "radius_m": 9000.0}
+    changes = [{}, {"digi_height_m": 90.0}, {"igate_height_m": 90.0}, {"target_height_m": 60.0}, {"n_radials": 90}, {"radius_px": 5.0, "radius_m": 5000.0}, {"budget_db": 110.0}, {"freq_mhz": 900.0}, {"floor_db": 12.0}]
+    rows = [(k, *(base | c).values()) for k, c in enumerate(changes)]
+    made = area.scenario_grids(sites, spark.createDataFrame(rows, area.PROFILE), grid).collect()
+    grids = {k: {(r.site, r.r, r.c): round(r.margin_db, 6) for r in made if r.profile_id == k} for k in range(len(changes))}
+    for k, c in enumerate(changes):
+        p = base | c
+        alone = area.site_grids(sites, grid, rays.Geometry(p["n_radials"], p["points"], p["radius_px"], p["radius_m"]), p["budget_db"], p["freq_mhz"], p["floor_db"], p["max_db"], p["gap_factor"], "fspl_los", p["digi_height_m"], p["igate_height_m"], p["target_height_m"])
+        assert {(r.site, r.r, r.c): round(r.margin_db, 6) for r in alone.collect()} == grids[k]
+        assert k == 0 or grids[k] != grids[0]
+    of = lambda k, site: {c: m for c, m in grids[k].items() if c[0] == site}
+    assert of(1, 2) == of(0, 2) and of(1, 1) != of(0, 1) and of(2, 1) == of(0, 1) and of(2, 2) != of(0, 2)
+    assert area.scenario_grids(sites, spark.createDataFrame([], area.PROFILE), grid).count() == 0 and area.scenario_grids(sites.limit(0), spark.createDataFrame(rows[:1], area.PROFILE), grid).count() == 0
+
+
+def test_call_signs_at_one_site_share_its_grid(spark):
+    from ridgecast.plans import area
+    from ridgecast.sources.grids import Grid
+
+    dem, grid = flat_grid(spark)
+    east, north = geo.utm_forward(F.lit(40.0), F.lit(-111.0), F.lit(12))
+    at = spark.range(1).select(east.alias("e"), north.alias("n")).first()
+    grid = Grid(grid.blocks, 30, 30, at.e - 15_500, at.n + 15_500, 1000.0, 12)
+    stations_ = spark.createDataFrame([("B", "igate", 40.00001, -111.0), ("A", "digi", 40.0, -111.0), ("C", "digi", 40.05, -111.05)], "callsign string, type string, lat double, lon double")
+    sites = area.sites_on_grid(stations_, grid, dem)
+    assert sorted((r.site, r.type, r.r, r.c) for r in sites.collect())[0] == ("A", "digi", 15, 15) and sites.count() == 2
+    grids = area.site_grids(sites, grid, rays.Geometry(36, 30, 3.0, 3000.0), 138.0, 144.39)
+    assert area.merged_coverage(grids).agg(F.max("n_sites")).first()[0] <= 2
+    shared = area.station_grids(grids, stations_)
+    cells = {c: {(r.r, r.c, r.margin_db) for r in shared.collect() if r.callsign == c} for c in "ABC"}
+    assert cells["A"] == cells["B"] and cells["A"] != cells["C"] and len(cells["A"]) > 9
+
+
+def test_stored_grid_reads_the_tiles_it_needs(spark, tmp_path):
+    from ridgecast.sources import grids
+
+    cells = spark.range(40 * 2100).selectExpr("cast(id div 2100 as int) r", "cast(id % 2100 as int) c", "case when id % 31 = 0 then -9999.0D else cast(id % 1000 as double) end elev_m")
+    made = grids.grid_of(cells, 40, 2100, nodata=-9999.0, easting0=5.0, northing0=7.0, cell_m=30.0, zone=12)
+    stored = grids.write_grid(made, str(tmp_path))
+    assert (stored.height, stored.width, stored.easting0, stored.northing0, stored.cell_m, stored.zone, stored.south) == (40, 2100, 5.0, 7.0, 30.0, 12, False)
+    rows = lambda g: {(r.tile, r.br, r.bc): r.cells for r in g.blocks.collect()}
+    assert rows(stored) == rows(made) and len({t for t, _, _ in rows(stored)}) == 3
+    sites = spark.createDataFrame([(1, 20, 100), (2, 20, 130)], "site int, r int, c int")
+    near = grids.windows(sites, stored, 12)
+    assert {(r.site, r.br, r.bc) for r in near.collect()} == {(1, 0, 1), (2, 0, 1), (2, 0, 2)}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    near.collect()
+    block = {(r.br, r.bc): r.cells for r in stored.blocks.filter("br = 0 and bc = 1").collect()}[0, 1]
+    assert block[0] == (None if 64 % 31 == 0 else 64.0) and block[64] == 128.0 and block[65 * 39 + 64] == float((39 * 2100 + 128) % 1000) and block[65 * 40] is None
+    spark.createDataFrame([(0, 5, 0.0, 0.0, 1.0, 0, False)], "height int, width int, easting0 double, northing0 double, cell_m double, zone int, south boolean").write.mode("overwrite").parquet(f"{tmp_path}/about")
+    with pytest.raises(ValueError):
+        grids.read_grid(spark, str(tmp_path))
+
+
 def test_site_and_scenario_grids_are_finished(spark):
     """Grids of few rays equal the whole grid filled, smoothed and thresholded in numpy, also at the grid's edge."""
     from ridgecast.plans import area
 
-    dem = spark.range(900).selectExpr("cast(id div 30 as int) r", "cast(id % 30 as int) c", "1000.0D elev_m")
-    sites = spark.createDataFrame([(1, 15, 15, 1000.0), (2, 1, 28, 1000.0)], "site int, r int, c int, site_elev double")
-    shape = {"height": 30, "width": 30, "n_radials": 12, "points": 30, "radius_px": 10.0, "radius_m": 10000.0}
-    margins = area.site_margins(sites, dem, budget=F.lit(138.0), freq_mhz=F.lit(144.39), model="fspl_los", **shape)
-    painted = propagation.paint(propagation.interpolate_margin(margins, 10000.0, 30), sites, 12, 10.0, 10000.0, 0.0, 60.0, 30, 30).collect()
+    dem, grid_ = flat_grid(spark)
+    sites = spark.createDataFrame([(1, "digi", 15, 15, 1000.0), (2, "digi", 1, 28, 1000.0)], "site int, type string, r int, c int, site_elev double")
+    g = rays.Geometry(12, 30, 10.0, 10000.0)
+    painted = row_chain(sites, dem, g, 138.0, (10.0, 2.0))[1].collect()
     reach, want = coverage.gap_fill_reach(10.0, 12, 0.25), {}
     radius = int(4 * max(1.0, 0.6 * reach) + 0.5)
     w = np.exp(-0.5 * (np.arange(-radius, radius + 1) / max(1.0, 0.6 * reach)) ** 2)
@@ -283,8 +433,116 @@ def test_site_and_scenario_grids_are_finished(spark):
         blur = np.where((start == -1) | (blur < 0), -1.0, np.minimum(blur, 60.0))
         want |= {(site, i, j): blur[i, j] for i, j in zip(*np.nonzero(blur > -1))}
     assert len(want) > len(painted)
-    got = {(r.site, r.r, r.c): r.margin_db for r in area.site_grids(sites, dem, budget=F.lit(138.0), freq_mhz=F.lit(144.39), model="fspl_los", **shape).collect()}
+    got = {(r.site, r.r, r.c): r.margin_db for r in area.site_grids(sites, grid_, g, 138.0, 144.39, model="fspl_los").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    profiles = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 0.0, 138.0, 144.39)], "profile_id int, tx_power_dbm double, tx_gain_dbd double, rx_sens_dbm double, rx_gain_dbd double, cap_db double, freq_mhz double")
-    scenario = {(int(r.scenario.split(":")[0]), r.r, r.c): r.margin_db for r in area.scenario_grids(sites, profiles, dem, **shape).collect()}
+    profile = spark.createDataFrame([(7, 0.0, 0.0, 0.0, 0.0, 138.0, 144.39, None)], "profile_id int, tx_power_dbm double, tx_gain_dbd double, rx_sens_dbm double, rx_gain_dbd double, cap_db double, freq_mhz double, max_db double")
+    job = area.radio_profiles(profile, floor_db=0.0, max_db=60.0, gap_factor=0.25, digi_height_m=10.0, igate_height_m=10.0, target_height_m=2.0, n_radials=12, points=30, radius_px=10.0, radius_m=10000.0)
+    scenario = {(r.site, r.r, r.c): r.margin_db for r in area.scenario_grids(sites, job, grid_).collect()}
     assert scenario.keys() == want.keys() and all(abs(scenario[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_nearest_over_seam_and_poles(spark):
+    """Brute force where longitude has its seam and at the poles; the first row of a call with a place on the globe counts."""
+    rng = random.Random(9)
+    places = [(0.0, 179.9995), (0.0, -179.9995), (89.9999, 10.0), (89.9999, -170.0), (-90.0, 0.0), (65.0, 180.0), (65.0, -180.0)]
+    near = lambda lat, lon: (max(-90.0, min(90.0, lat + rng.uniform(-0.02, 0.02))), (lon + rng.uniform(-0.03, 0.03) + 180) % 360 - 180)
+    sites = [(f"S{i}", i, *near(*places[i % len(places)])) for i in range(60)]
+    marks = [("node", i, *near(*places[i % len(places)])) for i in range(80)] + [("way", 200, 0.0, None), ("way", 201, 95.0, 0.0)]
+
+    def distance(a, b, c, d):
+        p, q, r, s = map(math.radians, (a, b, c, d))
+        h = math.sin((r - p) / 2) ** 2 + math.cos(p) * math.cos(r) * math.sin((s - q) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
+
+    want = {}
+    for call, _, lat, lon in sites:
+        d, i = min((distance(lat, lon, la, lo), i) for _, i, la, lo in marks[:80])
+        want[call] = i if d <= 2 else None
+    odd = [("S0", 90, 3.0, 3.0), ("S1", -5, None, 1.0), ("S1", -4, 99.0, 1.0), ("N", 1, None, None)]
+    schema = "callsign string, ord int, lat double, lon double"
+    got = nearest.nearest_feature(spark.createDataFrame(odd + sites, schema), spark.createDataFrame(marks, "osm_type string, osm_id long, lat double, lon double"), 2.0)
+    assert {r.callsign: r.osm_id for r in got.collect()} == want and sum(w is not None for w in want.values()) > 30
+    pair = nearest.nearest_feature(spark.createDataFrame([("A", 1, 0.0, 179.9997)], schema), spark.createDataFrame([("node", 1, 0.0, -179.9997, "mast")], "osm_type string, osm_id long, lat double, lon double, label string"), 1.0).first()
+    assert pair.matched and 60 < pair.distance_m < 70 and pair.label == "mast" and pair.radius_km == 1.0
+
+
+def test_review_queue_over_many_partitions(spark):
+    rows = [(f"C{k * 7919 % 1000:03d}", None if k % 11 == 0 else k * 31 % 50, "LOW" if k % 3 else "HIGH", k % 5 == 0) for k in range(600)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = quality.review_queue(spark.createDataFrame(rows, "callsign string, score int, label string, review_candidate boolean"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        have = {r.callsign: (r.queue_score, r.next_call) for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    queue = sorted((999 if s is None else s, c) for c, s, label, review in rows if label == "LOW" or review)
+    assert have == {c: (s, queue[i + 1][1] if i + 1 < len(queue) else None) for i, (s, c) in enumerate(queue)} and "SinglePartition" not in plan
+
+
+def test_positions_as_first_reported_stay(spark):
+    schema = "callsign string, type string, lat double, lon double, lasttime long, source string, seed_only boolean"
+    rows = spark.createDataFrame([("A", "digi", 40.0, -111.0, 1_706_000_000, "APRS-IS", False), ("B", "digi", 41.0, -111.0, None, "seed", True), ("C", "digi", None, -111.0, 5, "seed", True)], schema)
+    registry = spark.createDataFrame([("a*", "Reviewed", 40.5, -111.5, "moved", "survey", "http://x"), ("B", None, None, None, "look", None, None)], "callsign string, status string, lat double, lon double, reason string, source string, source_url string")
+    once = quality.assess(rows, registry, None, 1_706_659_200)
+    twice = quality.assess(once, registry, nearest.nearest_feature(once, spark.createDataFrame([("node", 5, 40.5, -111.5, "mast")], "osm_type string, osm_id long, lat double, lon double, label string"), 1.0), 1_706_659_200)
+    got = {r.callsign: r for r in twice.collect()}
+    a, b, c = (got[k] for k in "ABC")
+    assert (a.reported_lat, a.reported_lon, a.lat, a.lon) == (40.0, -111.0, 40.5, -111.5) and a.location_source == "reviewed_override"
+    assert a.correction.asDict() == {"status": "reviewed", "reason": "moved", "source": "survey", "source_url": "http://x", "candidate_lat": 40.5, "candidate_lon": -111.5} and a.review is None
+    assert a.osm.strength == "STRONG" and a.osm.label == "mast" and a.osm.radius_km == 1.0 and a.freshness_reason == "last heard 7 days before the reference date"
+    assert b.review.status == "candidate" and b.review.reason == "look" and b.review.candidate_lat is None and b.correction is None and b.freshness_reason == "no usable last-heard time"
+    assert c.score is None and c.reported_lat is None and c.lon == -111.0
+
+
+def test_region_over_the_seam(spark):
+    rng = random.Random(4)
+    rows = [(str(i), "digi", rng.uniform(-90, 90) if i % 2 else rng.uniform(60, 72), rng.choice([-1, 1]) * rng.uniform(170, 180)) for i in range(400)]
+    df = spark.createDataFrame(rows, "callsign string, type string, lat double, lon double")
+    for lat, lon, radius in ((66.0, 179.0, 500.0), (-20.0, -179.9, 300.0), (89.0, 0.0, 900.0), (0.0, 100.0, 50.0)):
+        near = {r.callsign for r in df.filter(geo.haversine_km(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon)) <= radius).collect()}
+        assert {r.callsign for r in quality.filter_region(df, lat, lon, radius).collect()} == near
+
+
+def test_open_records_from_files(spark, tmp_path):
+    import json
+
+    (tmp_path / "a.json").write_text(json.dumps({"stations": {"no": "list"}, "results": [{"callsign": "a*", "lat": "40.5", "lon": -111, "k": {"x": [1]}}, 3, None, "t", {"name": " b ", "n": 0, "f": False, "e": "", "z": None, "_seed_only": True}]}))
+    found = stations.open_records_of(spark, f"{tmp_path}/a.json")
+    assert found.count() == 0  # the first key that is there is no list
+    strict = stations.open_records_of(spark, f"{tmp_path}/a.json", strict=True)
+    assert [sorted(r.record) for r in strict.orderBy("pos").collect()] == [["callsign", "k", "lat", "lon"], ["_seed_only", "e", "f", "n", "name", "z"]]
+    merged = catalog.merge_open_records(strict.withColumns({"ord": F.col("pos").cast("long"), "group_rank": F.lit(0)}))
+    text_of = {r.callsign: {k: json.loads(v) for k, v in r.m.items()} for r in merged.select("callsign", F.transform_values("record", lambda k, v: F.to_json(v)).alias("m")).collect()}
+    assert text_of == {"A": {"callsign": "A", "lat": "40.5", "lon": -111, "k": {"x": [1]}}, "B": {"callsign": "B", "name": " b ", "n": 0, "f": False, "_seed_only": True}}
+    typed = {r.callsign: r for r in catalog.typed_stations(merged.drop("callsign")).collect()}
+    assert typed["A"].lat == 40.5 and typed["A"].lon == -111.0 and typed["B"].seed_only and typed["B"].lat is None
+    assert [(r.callsign, r.lat, r.lon) for r in stations.read_stations(spark, f"{tmp_path}/a.json", strict=True).collect()] == [("a*", 40.5, -111.0), (None, None, None)]
+    with pytest.raises(Exception, match="no station list"):
+        stations.parse_records(spark.createDataFrame([('{"a": 1}',)], "value string"), strict=True).collect()
+    assert stations.parse_records(spark.createDataFrame([("not json",), ('{"data": []}',), (None,), ("[1, 2]",)], "value string")).count() == 0
+
+
+def test_open_merge_in_parts_and_in_order(spark):
+    """Random records: the ordered rule on dictionaries, and any split into parts."""
+    import json
+
+    rng, rows = random.Random(2), []
+    for i in range(200):
+        record = {k: rng.choice([None, "", 0, False, 1.5, "v", [1], {"a": None}]) for k in rng.sample(["p", "q", "r", "lat", "lon"], rng.randrange(6))}
+        record |= {"callsign": rng.choice(["a", " A*", "B", ""]), "name": rng.choice(["site", "b", ""]), "_source": rng.choice(["seed", "APRS-IS", ""])} | ({"_seed_only": True} if rng.random() < 0.3 else {})
+        rows.append((i, rng.randrange(4), json.dumps([record])))
+    want = {}
+    for _, _, value in sorted(rows, key=lambda r: (r[1], r[0])):
+        record = json.loads(value)[0]
+        call = (record.get("callsign") or record.get("name") or "").strip().upper().replace("*", "")
+        if not call:
+            continue
+        state = want.setdefault(call, {})
+        state |= {k: v for k, v in (record | {"callsign": call}).items() if v is not None and v != ""}
+        if record["_source"] in catalog.LIVE_SOURCES and all(record.get(k) is not None and record.get(k) != "" for k in ("lat", "lon")):
+            state.pop("_seed_only", None)
+    df = stations.parse_records(spark.createDataFrame(rows, "ord long, group_rank int, value string"))
+    read = lambda states: {r.callsign: {k: json.loads(v) for k, v in r.m.items()} for r in catalog.open_records(states).select("callsign", F.transform_values("record", lambda k, v: F.to_json(v)).alias("m")).collect()}
+    assert read(catalog.field_states(df)) == want and len(want) > 2
+    parts = [catalog.field_states(df.filter(F.col("ord") % 3 == k)) for k in range(3)]
+    assert read(catalog.latest_fields(*parts)) == want
