@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 EMPTY = -1.0
 
 
@@ -92,6 +94,7 @@ def finish_grids(cells: DataFrame, keys: list[str], size: tuple[int, int] | None
     A grid is laid out in one task: a site's window, bounded by its radius. With the size (height, width) of the whole grid the result is that of the whole
     grid: nothing is filled outside it and it is mirrored only at its own edges.
     """
+    ship(cells.sparkSession)
     kinds = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
 
     def finish(grid: pa.Table) -> pa.Table:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ..sources.grids import BLOCK, Grid, windows
 from .propagation import BLOCKED_DB, BLOCKED_EXTRA_DB, CLEAR_DB, CURVATURE, EARTH_M, SHORTEST_M, sample_schedule
 
@@ -47,6 +48,7 @@ class Geometry:
 
 def _dealt(near: DataFrame, sites: DataFrame, g: Geometry) -> DataFrame:
     """Windows dealt out by site, so that tasks have about TASK_POINTS points."""
+    ship(sites.sparkSession)
     tasks = math.ceil(sites.count() * g.n_radials * g.points / TASK_POINTS)
     return near.repartition(max(1, min(MOST_TASKS, tasks)), "site")
 
@@ -188,11 +190,14 @@ def step_losses(losses: Column, g: Geometry) -> Column:
 
 def painted_losses(rays: DataFrame, sites: DataFrame, grid: Grid, g: Geometry, model: str = "los") -> DataFrame:
     """site, view, r, c, loss: the least relative loss over all rays in each cell."""
-    lost = rays.select("site", "view", "radial", F.inline(F.array(F.struct(relative_losses(g, model).alias("losses")))))
+    angle = F.radians(F.col("radial") * 360.0 / g.n_radials)
+    once = F.struct(relative_losses(g, model).alias("losses"), F.cos(angle).alias("down"), F.sin(angle).alias("across"))
+    lost = rays.select("site", "view", F.inline(F.array(once)))
     places = sites.select(F.col("site").alias("__s"), F.col("r").alias("r0"), F.col("c").alias("c0"))
-    steps = lost.select("site", "view", "radial", F.posexplode(step_losses(F.col("losses"), g)).alias("step", "loss")).join(places, F.col("site") == F.col("__s"))
-    angle, px = F.radians(F.col("radial") * 360.0 / g.n_radials), (F.col("step") + 1) * (g.radius_m / (g.points + 1)) / g.radius_m * g.radius_px
-    row, col = F.rint(F.round(F.col("r0") - px * F.cos(angle), 9)).cast("int"), F.rint(F.round(F.col("c0") + px * F.sin(angle), 9)).cast("int")
+    steps = lost.join(places, F.col("site") == F.col("__s")).select("site", "view", "r0", "c0", "down", "across", F.posexplode(step_losses(F.col("losses"), g)).alias("step", "loss"))
+    px = (F.col("step") + 1) * (g.radius_m / (g.points + 1)) / g.radius_m * g.radius_px
+    even = lambda x: F.rint(F.rint(x * 1e9) / 1e9).cast("int")  # noqa: E731 (nine decimals first, so that halves are halves)
+    row, col = even(F.col("r0") - px * F.col("down")), even(F.col("c0") + px * F.col("across"))
     cells = steps.select("site", "view", row.alias("r"), col.alias("c"), "loss").filter(F.col("r").between(0, grid.height - 1) & F.col("c").between(0, grid.width - 1))
     return cells.groupBy("site", "view", "r", "c").agg(F.min("loss").alias("loss"))
 
