@@ -167,6 +167,31 @@ def count_rgba(counts: DataFrame, hot: bool, alpha: int = 180) -> DataFrame:
     return counts.withColumns({"red": F.floor(red).cast("int"), "green": F.floor(green).cast("int"), "blue": F.floor(blue).cast("int"), "alpha": F.when(F.col("n_sites") > 0.5, alpha).otherwise(0)})
 
 
+def _count_columns(value: Column, most: Column, hot: bool, alpha: float) -> dict[str, Column]:
+    n = value / most
+    red, green, blue = (128 + 127 * n, 220 - 220 * n, F.lit(0.0)) if hot else (F.lit(0.0), 200 - 150 * n, 100 + 155 * n)
+    return {"red": red, "green": green, "blue": blue, "alpha": F.when(value > 0.5, F.lit(float(alpha))).otherwise(0.0)}
+
+
+#: A grid whose largest value is over this holds margins, any other one counts.
+COUNTS_UP_TO = 1.5
+
+
+def grid_rgba(cells: DataFrame, floor_db: float, max_db: float, hot: bool = True, alpha: float = 200.0) -> DataFrame:
+    """Colour columns of whole grids (site, type, r, c, margin_db): margins where a station's grid holds any over COUNTS_UP_TO, else counts relative to the grid's largest.
+
+    A grid without a type is no station's. Cells that are not shown have colour 0 throughout.
+    """
+    most = cells.groupBy(F.col("site").alias("__s")).agg(F.max("margin_db").alias("__most"))
+    rows = cells.join(most, F.col("site").eqNullSafe(F.col("__s"))).drop("__s")
+    margins = F.col("type").isNotNull() & (F.col("__most") > COUNTS_UP_TO)
+    as_margin = margin_rgba(F.col("type"), F.col("margin_db"), floor_db, max_db, alpha)
+    as_count = _count_columns(F.col("margin_db"), F.when(F.col("__most") > 0, F.col("__most")).otherwise(1.0), hot, alpha)
+    shown = F.when(margins, F.col("margin_db") > EMPTY).otherwise(F.col("margin_db") > 0.5)
+    pick = lambda c: F.when(shown, F.when(margins, as_margin[c]).otherwise(F.floor(as_count[c]))).otherwise(0).cast("int")
+    return rows.withColumns({c: pick(c) for c in ("red", "green", "blue", "alpha")}).drop("__most")
+
+
 def overlay_bounds(cells: DataFrame, north: float, west: float, step: float) -> DataFrame:
     """The box of each site's cells in degrees."""
     box = cells.groupBy("site").agg(F.min("r").alias("r1"), F.max("r").alias("r2"), F.min("c").alias("c1"), F.max("c").alias("c2"))

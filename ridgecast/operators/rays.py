@@ -1,8 +1,7 @@
 """Rays around sites as arrays: terrain, sight and loss along each ray in one row, cells only where something is painted.
 
-A site's window of the grid comes as blocks; one vectorised function for each site lays the rays over it, so that a profile's points are entries of a
-matrix and never rows. What leaves it is one row for each ray and view: whether the antenna at each scheduled distance sees the
-site's. Losses, interpolation and painting are expressions on these arrays.
+A site's window of the grid comes as blocks; one vectorised function for each site lays the rays over it, so that the points of profiles are entries of a
+matrix and never rows. What leaves it is one row for each ray (whether the antenna at each scheduled distance sees the site's) or for each painted cell.
 
 A view is a pair of antenna heights. All budgets and frequencies share a view's painted losses: a cell's margin is an offset less its least loss,
 so profiles that differ in nothing else are told apart after painting.
@@ -151,16 +150,18 @@ def profiles(sites: DataFrame, grid: Grid, g: Geometry) -> DataFrame:
     return _dealt(near, sites, g).groupBy("site").applyInArrow(lay, f"site {kind}, radial int, dist_m array<double>, elev_m array<double>")
 
 
-def relative_losses(g: Geometry, model: str = "los") -> Column:
-    """The losses at a ray's samples (column seen), less what is the same for all of them: a margin is offset_db() less a loss."""
+def _loss_table(g: Geometry, model: str) -> tuple[list[float], float]:
+    """The loss at each sample in sight, and what more it is out of sight, less what is the same for all samples: a margin is offset_db() less a loss."""
     if model == "los":
-        clear = [-CLEAR_DB] * g.n_samples
-        extra = CLEAR_DB + BLOCKED_DB
-    elif model == "fspl_los":
-        clear = [32.45 + 20 * math.log10(max(d, 1.0) / 1000) for d in g.sample_distances()]
-        extra = BLOCKED_EXTRA_DB
-    else:
-        raise ValueError(f"no such model: {model}")
+        return [-CLEAR_DB] * len(g.sample_points()), CLEAR_DB + BLOCKED_DB
+    if model == "fspl_los":
+        return [32.45 + 20 * math.log10(max(d, 1.0) / 1000) for d in g.sample_distances()], BLOCKED_EXTRA_DB
+    raise ValueError(f"no such model: {model}")
+
+
+def relative_losses(g: Geometry, model: str = "los") -> Column:
+    """The losses at a ray's samples (column seen)."""
+    clear, extra = _loss_table(g, model)
     known = F.array(*[F.lit(x) for x in clear])
     return F.transform("seen", lambda s, j: F.get(known, j) + F.when(s, 0.0).otherwise(extra))
 
@@ -169,37 +170,52 @@ def offset_db(budget: Column, freq_mhz: Column, model: str = "los") -> Column:
     return F.lit(0.0) if model == "los" else budget - 20 * F.log10(freq_mhz)
 
 
-def step_losses(losses: Column, g: Geometry) -> Column:
-    """Losses at evenly spaced steps, linear between samples and constant beyond the outer ones: the samples around a step are the same for all rays."""
-    dist, width = g.sample_distances(), g.radius_m / (g.points + 1)
-    places = []
-    for step in range(1, g.points + 1):
-        x = step * width
-        low = max(0, sum(d <= x for d in dist) - 1)
-        share = 0.0 if x <= dist[low] or low + 1 == len(dist) else (x - dist[low]) / (dist[low + 1] - dist[low])
-        places.append(F.struct(F.lit(low).alias("low"), F.lit(share).alias("share")))
-    n = F.size(losses)
-
-    def at(p):
-        low = F.least(p["low"], n - 1)
-        here = F.get(losses, low)
-        return F.when(p["low"] >= n - 1, here).otherwise(here + (F.get(losses, low + 1) - here) * p["share"])
-
-    return F.transform(F.array(*places), at)
-
-
-def painted_losses(rays: DataFrame, sites: DataFrame, grid: Grid, g: Geometry, model: str = "los") -> DataFrame:
-    """site, view, r, c, loss: the least relative loss over all rays in each cell."""
-    angle = F.radians(F.col("radial") * 360.0 / g.n_radials)
-    once = F.struct(relative_losses(g, model).alias("losses"), F.cos(angle).alias("down"), F.sin(angle).alias("across"))
-    lost = rays.select("site", "view", F.inline(F.array(once)))
-    places = sites.select(F.col("site").alias("__s"), F.col("r").alias("r0"), F.col("c").alias("c0"))
-    steps = lost.join(places, F.col("site") == F.col("__s")).select("site", "view", "r0", "c0", "down", "across", F.posexplode(step_losses(F.col("losses"), g)).alias("step", "loss"))
-    px = (F.col("step") + 1) * (g.radius_m / (g.points + 1)) / g.radius_m * g.radius_px
-    even = lambda x: F.rint(F.rint(x * 1e9) / 1e9).cast("int")  # noqa: E731 (nine decimals first, so that halves are halves)
-    row, col = even(F.col("r0") - px * F.col("down")), even(F.col("c0") + px * F.col("across"))
-    cells = steps.select("site", "view", row.alias("r"), col.alias("c"), "loss").filter(F.col("r").between(0, grid.height - 1) & F.col("c").between(0, grid.width - 1))
-    return cells.groupBy("site", "view", "r", "c").agg(F.min("loss").alias("loss"))
+def _step_places(g: Geometry) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Evenly spaced steps: the sample before each, the share of the way to the next one, and how many cells out it lies. The same for all rays."""
+    dist = np.array(g.sample_distances())
+    x = np.arange(1, g.points + 1) * (g.radius_m / (g.points + 1))
+    low = np.maximum(np.searchsorted(dist, x, "right") - 1, 0)
+    after = np.minimum(low + 1, len(dist) - 1)
+    share = np.where((x <= dist[low]) | (after == low), 0.0, (x - dist[low]) / np.where(after == low, 1.0, dist[after] - dist[low]))
+    return low, share, x / g.radius_m * g.radius_px
+
+
+def painted_losses(sites: DataFrame, grid: Grid, g: Geometry, model: str = "los") -> DataFrame:
+    """site, view, r, c, loss: the least relative loss over all rays in each cell, linear between a ray's samples and constant beyond the outer ones."""
+    size = grid.height, grid.width
+    at, (clear, extra), (low, share, out) = np.array(g.sample_points()), _loss_table(g, model), _step_places(g)
+    clear, side = np.array(clear), math.ceil(g.radius_px) + 1
+    dist = np.arange(1, g.points + 1) / float(g.points) * g.radius_m
+    near = windows(sites.select("site", "r", "c", "site_elev", "views"), grid, math.ceil(g.radius_px))
+
+    def paint(group: pa.Table) -> pa.Table:
+        one = group.slice(0, 1).drop(["cells"]).to_pylist()[0]
+        window, best = _window(group), np.full((len(one["views"]), 2 * side + 1, 2 * side + 1), np.inf)
+        for first in range(0, g.n_radials, AT_ONCE):
+            some = np.arange(first, min(first + AT_ONCE, g.n_radials))
+            elev, reach = _terrain(window, (one["r"], one["c"], one["site_elev"]), some, g, size)
+            count = np.searchsorted(at, reach, "right")
+            use = np.flatnonzero((count > 0) & (dist[np.maximum(reach, 1) - 1] >= SHORTEST_M))
+            last = count[use][:, None] - 1
+            here, after = np.minimum(low, last), np.minimum(low + 1, last)
+            angle = np.radians(some[use] * 360.0 / g.n_radials)[:, None]
+            even = lambda x: np.rint(np.rint(x * 1e9) / 1e9).astype(int)  # noqa: E731 (nine decimals first, so that halves are halves)
+            row, col = even(one["r"] - out * np.cos(angle)), even(one["c"] + out * np.sin(angle))
+            inside = (row >= 0) & (row < size[0]) & (col >= 0) & (col < size[1])
+            cell = row[inside] - one["r"] + side, col[inside] - one["c"] + side
+            for k, v in enumerate(one["views"]):
+                seen = _clear(elev[use], dist, one["site_elev"] + v["site_height"], v["target_height"])[:, at - 1]
+                loss = clear + np.where(seen, 0.0, extra)
+                start = np.take_along_axis(loss, here, axis=1)
+                steps = start + (np.take_along_axis(loss, after, axis=1) - start) * share
+                np.minimum.at(best[k], cell, steps[inside])
+        k, row, col = np.nonzero(best < np.inf)
+        site = pa.array([one["site"]] * len(k), group.schema.field("site").type)
+        view = np.array([v["view"] for v in one["views"]])[k]
+        return pa.table({"site": site, "view": pa.array(view, pa.int32()), "r": pa.array(row + one["r"] - side, pa.int32()), "c": pa.array(col + one["c"] - side, pa.int32()), "loss": pa.array(best[k, row, col])})
+
+    kind = sites.schema["site"].dataType.simpleString()
+    return _dealt(near, sites, g).groupBy("site").applyInArrow(paint, f"site {kind}, view int, r int, c int, loss double")
 
 
 def ray_stats(rays: DataFrame, g: Geometry, offset: Column, floor_db: float, model: str = "los") -> DataFrame:

@@ -92,8 +92,7 @@ def scenario_grids(sites: DataFrame, profiles: DataFrame, grid: Grid, model: str
         g = Geometry(*geometry)
         same = [r for r in rows if (r["n_radials"], r["points"], r["radius_px"], r["radius_m"]) == geometry]
         heights = sorted({(r["digi_height_m"], r["igate_height_m"], r["target_height_m"]) for r in same})
-        seen = rays.sightlines(_viewed(sites, [(k, *h) for k, h in enumerate(heights)]), grid, g)
-        losses = rays.painted_losses(seen, sites, grid, g, model)
+        losses = rays.painted_losses(_viewed(sites, [(k, *h) for k, h in enumerate(heights)]), grid, g, model)
         told = [r | {"view": heights.index((r["digi_height_m"], r["igate_height_m"], r["target_height_m"])), "reach": coverage.gap_fill_reach(g.radius_px, g.n_radials, r["gap_factor"])} for r in same]
         part = coverage.finish_grids(_painted(losses, sites, told, model), ["site", "profile_id"], (grid.height, grid.width))
         out = part if out is None else out.unionByName(part)

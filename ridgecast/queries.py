@@ -817,9 +817,27 @@ def group_counts(v):
     return catalog.merge_records(v("fx_stations_raw")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_MERGE} select callsign, case when type = 'digi' then 'Digipeaters' else 'iGates' end as folder, case when type = 'digi' then 'style_digi' else 'style_igate' end as style, '[' || upper(type) || '] ' || callsign || case when coalesce(comment, '') = '' then '' else ' — ' || substr(comment, 1, 40) end as label, replace(replace(replace(coalesce(comment, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as description, lon, lat from merged""")
+_FEATURE = """callsign, case when type = 'digi' then 'Digipeaters' else 'iGates' end as folder, case when type = 'digi' then 'style_digi' else 'style_igate' end as style,
+ '[' || upper(type) || '] ' || callsign || case when coalesce(comment, '') = '' then '' else ' — ' || substr(comment, 1, 40) end as label,
+ concat_ws(chr(10), 'Callsign: ' || callsign, 'Type: ' || case when type = 'digi' then 'Digipeater' else 'iGate' end, 'Frequency: 144.390 MHz', 'Coordinates: ' || coalesce(printf('%.5f', lat) || ', ' || printf('%.5f', lon), 'null, null'),
+ 'Antenna: ' || case when type = 'digi' then '20' else '3' end || ' m over ground', 'Link budget: 138.0 dB', 'Comment: ' || coalesce(replace(replace(replace(nullif(comment, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '-'), 'Last seen: ' || coalesce(cast(nullif(lasttime, 0) as varchar), '-')) as description, lon, lat"""
+
+
+@query(f"with {_MERGE} select {_FEATURE} from merged")
 def map_features(v):
-    return sinks.map_features(catalog.merge_records(v("fx_stations_raw")))
+    return sinks.map_features(catalog.merge_records(v("fx_stations_raw")), digi_height=20.0, igate_height=3.0)
+
+
+@query(f"""with {_PAINT}, kinds as (select distinct site, case site % 3 when 0 then 'digi' when 1 then 'igate' end as type from painted), cells as (select site, type, r, c, case when site % 5 = 0 then margin_db / 20 else margin_db end as margin_db from painted join kinds using (site)),
+ m as (select *, max(margin_db) over (partition by site) as most from cells), k as (select *, type is not null and most > 1.5e0 as margins, least(greatest(margin_db / 25e0, 0), 1) as n, margin_db / most as q from m)
+ select site, r, c, cast(floor(case when margins then case when type = 'digi' then 40 - 40 * n else 80 - 80 * n end when margin_db > 0.5e0 then 128 + 127 * q else 0 end) as int) as red,
+ cast(floor(case when margins then case when type = 'digi' then 120 + 135 * n else 160 - 130 * n end when margin_db > 0.5e0 then 220 - 220 * q else 0 end) as int) as green,
+ cast(floor(case when margins then case when type = 'digi' then 40 - 40 * n else 200 + 55 * n end else 0 end) as int) as blue,
+ cast(floor(case when margins then 200 * least(greatest(0.3e0 + 0.7e0 * n / 0.6e0, 0), 1) when margin_db > 0.5e0 then 200 else 0 end) as int) as alpha from k""")
+def grid_colors(v):
+    kind = F.when(F.col("site") % 3 == 0, "digi").when(F.col("site") % 3 == 1, "igate")
+    cells = _painted(v).withColumns({"type": kind, "margin_db": F.when(F.col("site") % 5 == 0, F.col("margin_db") / 20).otherwise(F.col("margin_db"))})
+    return coverage.grid_rgba(cells, 0.0, 25.0).drop("type", "margin_db")
 
 
 @query("select m.callsign, cast(m.ord as bigint) as idx, count(*) as n from (select ord, replace(upper(trim(callsign)), '*', '') as callsign from fx_stations_raw) m join (select replace(upper(trim(callsign)), '*', '') as callsign from fx_stations_raw) g using (callsign) group by 1, 2")
@@ -892,13 +910,14 @@ def frozen_station_set(v):
     return sinks.freeze_stations(rows, scratch(rows.sparkSession, "frozen"), "job")
 
 
-@query(f"with {_MERGE}, b as (select site, min(r) as r1, max(r) as r2 from (select site, r, c, max(margin_db) as m from fx_margin_hits where margin_db > 0 group by 1, 2, 3) group by site), o as (select callsign, r1, r2 from (select distinct {_CALL} as callsign, cast(ord % 60 as int) as site from fx_stations_raw where ord % 3 = 0) join b using (site)) select callsign, case when type = 'digi' then 'Digipeaters' else 'iGates' end as folder, max(r1) as r1, max(r2) as r2 from merged left join (select callsign, max(r1) as r1, max(r2) as r2 from o group by callsign) using (callsign) group by 1, 2")
+@query(f"""with {_MERGE}, {_PAINT}, b as (select site, 40 - (max(r) + 1) * 0.01e0 as south, 40 - min(r) * 0.01e0 as north, -112 + min(c) * 0.01e0 as west, -112 + (max(c) + 1) * 0.01e0 as east from painted group by site),
+ o as (select {_CALL} as callsign, cast(min(ord) % 60 as int) as site from fx_stations_raw group by 1)
+ select callsign, case when type = 'digi' then 'Digipeaters' else 'iGates' end as folder, round(south, 6) as south, round(north, 6) as north, round(west, 6) as west, round(east, 6) as east from merged left join o using (callsign) left join b using (site)""")
 def map_overlays(v):
-    """Map features with the bounds of their sites' overlays."""
-    box = _painted(v).groupBy("site").agg(F.min("r").alias("r1"), F.max("r").alias("r2"))
-    own = v("fx_stations_raw").filter("ord % 3 = 0").select(text.normalize_call(F.col("callsign")).alias("callsign"), (F.col("ord") % 60).cast("int").alias("site")).distinct()
-    outputs = own.join(box, "site").groupBy("callsign").agg(F.max("r1").alias("r1"), F.max("r2").alias("r2"))
-    return sinks.map_features(catalog.merge_records(v("fx_stations_raw")), outputs).select("callsign", "folder", "r1", "r2")
+    """Map features with the boxes of their sites' overlays; a third of the calls have a site without one."""
+    sites = v("fx_stations_raw").groupBy(text.normalize_call(F.col("callsign")).alias("callsign")).agg((F.min("ord") % 60).cast("int").alias("site"))
+    boxes = sites.join(coverage.overlay_bounds(_painted(v), 40.0, -112.0, 0.01), "site")
+    return sinks.map_features(catalog.merge_records(v("fx_stations_raw")), boxes).select("callsign", "folder", *[F.round(c, 6).alias(c) for c in ("south", "north", "west", "east")])
 
 
 # Rays from located sites ---------------------------------------------------------------------------------------------

@@ -340,7 +340,8 @@ def test_rays_as_arrays_equal_rays_as_rows(spark):
     offset = rays.offset_db(F.lit(120.0), F.lit(144.39), "fspl_los")
     stats = {r.site: (r.n_rays, r.n_covered) for r in rays.ray_stats(seen, g, offset, 5.0, "fspl_los").collect()}
     assert stats == {r.site: (r.n_rays, r.n_covered) for r in propagation.radial_stats(margins, 48, 5.0).collect()}
-    cells = rays.painted_losses(seen, sites, grid, g, "fspl_los").withColumn("m", offset - F.col("loss")).filter("m > 0").collect()
+    viewed = area._viewed(sites, [(0, 10.0, 10.0, 2.0)])
+    cells = rays.painted_losses(viewed, grid, g, "fspl_los").withColumn("m", offset - F.col("loss")).filter("m > 0").collect()
     own = {(1, 15, 15), (2, 1, 28), (3, 29, 0)}
     assert {(r.site, r.r, r.c): round(r.m, 6) for r in cells if (r.site, r.r, r.c) not in own} == {(r.site, r.r, r.c): round(r.margin_db, 6) for r in painted.collect() if (r.site, r.r, r.c) not in own}
 
@@ -546,3 +547,28 @@ def test_open_merge_in_parts_and_in_order(spark):
     assert read(catalog.field_states(df)) == want and len(want) > 2
     parts = [catalog.field_states(df.filter(F.col("ord") % 3 == k)) for k in range(3)]
     assert read(catalog.latest_fields(*parts)) == want
+
+
+def test_store_computes_what_it_lacks(spark, tmp_path):
+    """A second run with one new site, a moved one and a new profile adds those grids only, and reads the same as one run over all."""
+    from ridgecast.plans import area, store
+
+    dem, grid = flat_grid(spark, "cast(1000 + (id * 7919) % 260 as double)")
+    schema = "site string, type string, r int, c int, site_elev double"
+    old = [("A", "digi", 15, 15, 1110.0), ("B", "igate", 4, 25, 1150.0)]
+    base = (125.0, 144.39, 0.0, 60.0, 0.25, 10.0, 10.0, 2.0, 24, 30, 6.0, 6000.0)
+    jobs = [(1, *base), (2, 110.0, *base[1:])]
+    path = str(tmp_path / "store")
+    run = lambda sites, profiles: (spark.createDataFrame(sites, schema), spark.createDataFrame(profiles, area.PROFILE))
+    read = lambda df: {(r.site, r.profile_id, r.r, r.c): round(r.margin_db, 9) for r in df.collect()}
+    sites, profiles = run(old, jobs)
+    assert read(store.stored_grids(sites, profiles, grid, path)) == read(area.scenario_grids(sites, profiles, grid)) and store.missing_grids(sites, profiles, path).count() == 0
+    new = [old[0], ("B", "igate", 5, 25, 1150.0), ("C", "digi", 20, 8, 1040.0)]
+    sites, profiles = run(new, [jobs[0], (7, 100.0, *base[1:])])
+    assert sorted((r.site, r.profile_id) for r in store.missing_grids(sites, profiles, path).collect()) == [("A", 7), ("B", 1), ("B", 7), ("C", 1), ("C", 7)]
+    (tmp_path / "store" / "cells" / "profile=stray").mkdir()
+    assert read(store.stored_grids(sites, profiles, grid, path)) == read(area.scenario_grids(sites, profiles, grid))
+    batches = sorted(r["count"] for r in spark.read.parquet(f"{path}/done").groupBy("batch").count().collect())
+    assert batches == [4, 5]
+    assert read(store.stored_grids(*run(old, jobs), grid, path)) == read(area.scenario_grids(*run(old, jobs), grid))
+    assert store.stored_grids(*run(old, []), grid, path).count() == 0
