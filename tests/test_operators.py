@@ -572,3 +572,21 @@ def test_store_computes_what_it_lacks(spark, tmp_path):
     assert batches == [4, 5]
     assert read(store.stored_grids(*run(old, jobs), grid, path)) == read(area.scenario_grids(*run(old, jobs), grid))
     assert store.stored_grids(*run(old, []), grid, path).count() == 0
+
+
+def test_pit_check_equals_brute_force_without_pairs(spark):
+    """Holes, cells of several rows, sites outside the grid and on block edges; no neighbour is a row, so nothing many times the sites' size is broadcast or shuffled."""
+    rng = random.Random(4)
+    cells = [(r, c, None if rng.random() < 0.2 else float(rng.randrange(900, 1100))) for r in range(58, 75) for c in range(60, 70)] + [(63, 64, 5000.5), (64, 64, None), (64, 63, -900.0)]
+    sites = [(f"S{r}-{c}", r, c) for r in range(55, 78) for c in range(57, 73)] + [("none", None, 64)]
+    dem, places = spark.createDataFrame(cells, "r int, c int, elev_m double"), spark.createDataFrame(sites, "site string, r int, c int")
+    want = {}
+    for site, r, c in sites[:-1]:
+        near = [(y == r and x == c, e) for y, x, e in cells if abs(y - r) <= 2 and abs(x - c) <= 2]
+        own, others = [e for centre, e in near if centre and e is not None], sorted(e for centre, e in near if not centre and e is not None)
+        if near:
+            want[site] = (max(own, default=None), len(others), float(np.median(others)) if others else None)
+    found = terrain.pit_check(places, dem)
+    assert {r.site: (r.elev_m, r.neighbours, r.median_m) for r in found.collect()} == want and 200 < len(want) < len(sites)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
