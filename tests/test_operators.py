@@ -590,3 +590,27 @@ def test_pit_check_equals_brute_force_without_pairs(spark):
     assert {r.site: (r.elev_m, r.neighbours, r.median_m) for r in found.collect()} == want and 200 < len(want) < len(sites)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_sites_on_one_cell_share_one_grid(spark):
+    """A grid is made once for each cell and kind of antenna, in rows of bounded length, and counts for every site that stands there."""
+    from ridgecast.plans import area
+
+    dem, grid = flat_grid(spark, "cast(1000 + (id * 7919) % 260 as double)")
+    rows = [(k, ("digi", "igate", None)[k % 3], 15, 15, 1110.0) for k in range(9)] + [(20, "digi", 0, 29, 1050.0), (21, "igate", 29, 3, 1001.0)]
+    sites = spark.createDataFrame(rows, "site int, type string, r int, c int, site_elev double")
+    g = rays.Geometry(36, 40, 9.0, 9000.0)
+    heights = {"digi_height": 30.0, "igate_height": 4.0, "target_height": 2.0}
+    jobs = area.one_profile(sites, g, 125.0, 144.39, **heights)
+    jobs = jobs.unionByName(jobs.withColumns({"profile_id": F.lit(1).cast("long"), "floor_db": F.lit(12.0)})).unionByName(jobs.withColumn("profile_id", F.lit(2).cast("long")))
+    made = area.stand_grids(area.with_stands(sites), jobs, grid).collect()
+    assert len({(r.stand, r.kind, r.profile_id) for r in made}) == len(made) == 4 * 3 and all(len(r.cells) <= area.PIECE for r in made)
+    cells = [tuple(r) for r in area.scenario_grids(sites, jobs, grid).collect()]
+    of = lambda site, job: {x[2:] for x in cells if x[:2] == (site, job)}
+    assert of(0, 0) == of(3, 0) == of(6, 2) != of(1, 0) and of(1, 0) == of(2, 0) == of(8, 0) and of(0, 1) != of(0, 0)
+    alone = {s: {tuple(x)[1:] for x in area.scenario_grids(sites.filter(F.col("site") == s), jobs.filter("profile_id = 0"), grid).drop("profile_id").collect()} for s in (0, 1, 20, 21)}
+    assert all(of(s, 0) == alone[s] for s in alone)
+    told = {(r.site, r.profile_id): (r.cells, r.best, round(r.total, 6)) for r in area.scenario_stats(sites, jobs, grid).collect()}
+    assert told == {(s, p): (len(of(s, p)), max(x[2] for x in of(s, p)), round(sum(x[2] for x in of(s, p)), 6)) for s in {x[0] for x in cells} for p in (0, 1, 2)}
+    counts = {(r.r, r.c): r.n_sites for r in area.run_coverage(sites, jobs.filter("profile_id = 0"), grid, "fspl_los").collect()}
+    assert counts == {(r.r, r.c): r.n_sites for r in area.merged_coverage(area.scenario_grids(sites, jobs.filter("profile_id = 0"), grid)).collect()} and max(counts.values()) >= 9
