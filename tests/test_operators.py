@@ -600,7 +600,7 @@ def test_sites_on_one_cell_share_one_grid(spark):
     rows = [(k, ("digi", "igate", None)[k % 3], 15, 15, 1110.0) for k in range(9)] + [(20, "digi", 0, 29, 1050.0), (21, "igate", 29, 3, 1001.0)]
     sites = spark.createDataFrame(rows, "site int, type string, r int, c int, site_elev double")
     g = rays.Geometry(36, 40, 9.0, 9000.0)
-    heights = {"digi_height": 30.0, "igate_height": 4.0, "target_height": 2.0}
+    heights = {"digi_height": 300.0, "igate_height": 4.0, "target_height": 2.0}
     jobs = area.one_profile(sites, g, 125.0, 144.39, **heights)
     jobs = jobs.unionByName(jobs.withColumns({"profile_id": F.lit(1).cast("long"), "floor_db": F.lit(12.0)})).unionByName(jobs.withColumn("profile_id", F.lit(2).cast("long")))
     made = area.stand_grids(area.with_stands(sites), jobs, grid).collect()
@@ -614,3 +614,16 @@ def test_sites_on_one_cell_share_one_grid(spark):
     assert told == {(s, p): (len(of(s, p)), max(x[2] for x in of(s, p)), round(sum(x[2] for x in of(s, p)), 6)) for s in {x[0] for x in cells} for p in (0, 1, 2)}
     counts = {(r.r, r.c): r.n_sites for r in area.run_coverage(sites, jobs.filter("profile_id = 0"), grid, "fspl_los").collect()}
     assert counts == {(r.r, r.c): r.n_sites for r in area.merged_coverage(area.scenario_grids(sites, jobs.filter("profile_id = 0"), grid)).collect()} and max(counts.values()) >= 9
+
+
+def test_packet_lines_are_made_once(spark):
+    """Conditions on a line do not make it again: what it comes from is mentioned once in the plan of each pass."""
+    rows = spark.range(40).selectExpr("concat('U', id, '>APRS,D1*,qAR,G', id % 3, ':!4030.10N/11200.20W', if(id % 5 = 0, '#', '>'), 'c') as raw").union(spark.createDataFrame([("# x",), ("  ",), (None,)], "raw string"))
+    rows = rows.withColumn("raw", F.concat("raw", F.lit("MADE")))
+    lines = packets.packet_lines(rows)
+    assert lines.columns == ["raw"] and lines.count() == 41
+    for found, n in ((packets.packet_positions(lines), 40), (packets.packet_roles(lines), 80)):
+        assert found.count() == n
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MADE") <= 2
+    left = catalog.unresolved_calls(packets.packet_roles(lines).select("call", "role").union(catalog.symbol_roles(packets.packet_positions(lines))), packets.packet_positions(lines))
+    assert {r.call for r in left.collect()} == {"D1", "G0", "G1", "G2"}
