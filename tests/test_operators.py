@@ -616,6 +616,16 @@ def test_sites_on_one_cell_share_one_grid(spark):
     assert counts == {(r.r, r.c): r.n_sites for r in area.merged_coverage(area.scenario_grids(sites, jobs.filter("profile_id = 0"), grid)).collect()} and max(counts.values()) >= 9
 
 
+def test_shared_grids_are_told_once_for_each_site(spark):
+    """What is told of a grid is told before its calls share it: the join has a row for each call, not for each cell of each call."""
+    from ridgecast import queries
+    from ridgecast.queries import SQL
+
+    assert "share_canonical" in SQL
+    plan = queries.queries()["share_canonical"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert plan[0].startswith("Project") and "Join" in plan[1]
+
+
 def test_packet_lines_are_made_once(spark):
     """Conditions on a line do not make it again: what it comes from is mentioned once in the plan of each pass."""
     rows = spark.range(40).selectExpr("concat('U', id, '>APRS,D1*,qAR,G', id % 3, ':!4030.10N/11200.20W', if(id % 5 = 0, '#', '>'), 'c') as raw").union(spark.createDataFrame([("# x",), ("  ",), (None,)], "raw string"))
