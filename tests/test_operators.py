@@ -1,8 +1,10 @@
 """Golden rows, boundaries and properties of the radio and terrain operators."""
 
 import math
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -616,6 +618,35 @@ def test_sites_on_one_cell_share_one_grid(spark):
     assert counts == {(r.r, r.c): r.n_sites for r in area.merged_coverage(area.scenario_grids(sites, jobs.filter("profile_id = 0"), grid)).collect()} and max(counts.values()) >= 9
 
 
+def _over(spark, tmp_path, n):
+    """The tables that the views need, events n times as long."""
+    from ridgecast.fixtures import VIEWS
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    for table in {table for table, _ in VIEWS.values()}:
+        rows = spark.read.parquet(f"{data}/{table}.parquet")
+        if table == "events":
+            size = rows.agg(F.max("event_id")).first()[0] + 1
+            rows = rows.join(spark.range(n).withColumnRenamed("id", "__k")).withColumn("event_id", F.col("event_id") + F.col("__k") * size).drop("__k")
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+    return str(tmp_path)
+
+
+def test_bounded_resample_of_a_narrow_grid(spark, tmp_path):
+    """A grid more than fifty times as long as wide in target cells has no whole column, as in its SQL; the operator keeps one unless told otherwise."""
+    from ridgecast import queries
+
+    path = _over(spark, tmp_path, 510)
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{path}/events.parquet/*.parquet'")
+    want = duck.sql(queries.oracle_sql()["bounded_resample"]).fetchall()
+    assert sorted(one(queries.queries()["bounded_resample"](spark, path))) == sorted(want) == []
+    dem = spark.range(300).selectExpr("cast(id as int) r", "0 c", "cast(id as double) elev_m")
+    assert terrain.bounded_resample(dem, 300, 1, 50).count() == 50 and terrain.bounded_resample(dem, 300, 1, 50, least=0).count() == 0
+
+
 def test_shared_grids_are_told_once_for_each_site(spark):
     """What is told of a grid is told before its calls share it: the join has a row for each call, not for each cell of each call."""
     from ridgecast import queries
