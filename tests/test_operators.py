@@ -668,3 +668,35 @@ def test_packet_lines_are_made_once(spark):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("MADE") <= 2
     left = catalog.unresolved_calls(packets.packet_roles(lines).select("call", "role").union(catalog.symbol_roles(packets.packet_positions(lines))), packets.packet_positions(lines))
     assert {r.call for r in left.collect()} == {"D1", "G0", "G1", "G2"}
+
+
+def test_profiles_shuffle_no_points(spark):
+    """Profiles by squares of sites against points held against cells one by one, with holes, sites off the grid and on square edges, ground without an elevation, and rays far longer than a square."""
+    rng = random.Random(3)
+    height, width = 70, 90
+    cells = {(r, c): None if rng.random() < 0.15 else float(rng.randrange(800, 1300)) for r in range(height) for c in range(width) if (r, c) != (20, 20)}
+    dem = spark.createDataFrame([(r, c, e) for (r, c), e in cells.items()] + [(height + 3, 5, 1.0)], "r int, c int, elev_m double")
+    places = [(f"S{k}", rng.randrange(-4, height + 4), rng.randrange(-4, width + 4), None if k % 9 == 0 else 1000.0 + k) for k in range(40)] + [("edge", 64, 64, 5.0), ("corner", 0, 0, 6.0), ("none", None, 1, 7.0)]
+    sites = spark.createDataFrame(places, "site string, r int, c int, site_elev double")
+    for n, points, radius in ((5, 7, 5.3), (3, 40, 37.0)):
+        want = {}
+        for site, r, c, ground in places[:-1]:
+            for radial in range(n):
+                turn, last, ray = math.radians(radial * 360.0 / n), ground, {}
+                for k in range(1, points + 1):
+                    row, col = (round(x, 9) for x in (r - k / points * radius * math.cos(turn), c + k / points * radius * math.sin(turn)))
+                    if not (0 <= row <= height - 1 and 0 <= col <= width - 1):
+                        continue
+                    i, j = min(int(row), height - 2), min(int(col), width - 2)
+                    four = [cells.get((i + a, j + b)) for a in (0, 1) for b in (0, 1)]
+                    if None not in four:
+                        y, x = row - i, col - j
+                        last = (1 - y) * ((1 - x) * four[0] + x * four[1]) + y * ((1 - x) * four[2] + x * four[3])
+                    ray[site, radial, k] = (round(row, 6), round(col, 6), None if last is None else round(last, 6))
+                if ray and max(k for _, _, k in ray) / points * radius * 40 >= 100:
+                    want |= ray
+        made = terrain.profiles(sites, dem, height, width, n, points, radius, radius * 40)
+        got = {(x.site, x.radial, x.k): (round(x.row, 6) + 0.0, round(x.col, 6) + 0.0, None if x.elev_m is None else round(x.elev_m, 6)) for x in made.collect()}
+        assert got.keys() == want.keys() and len(want) > 300
+        assert all(abs(a - b) < 2e-6 if a is not None and b is not None else a is b for k in want for a, b in zip(want[k], got[k]))
+        assert made.columns == ["site", "radial", "k", "dist_m", "row", "col", "site_elev", "elev_m"] and "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
