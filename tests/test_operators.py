@@ -618,6 +618,24 @@ def test_sites_on_one_cell_share_one_grid(spark):
     assert counts == {(r.r, r.c): r.n_sites for r in area.merged_coverage(area.scenario_grids(sites, jobs.filter("profile_id = 0"), grid)).collect()} and max(counts.values()) >= 9
 
 
+def test_a_grid_without_cells_is_told(spark):
+    """A profile whose highest margin lies under its floor leaves no cell; its sites are told with none, and grids keep all of theirs."""
+    from ridgecast.plans import area
+
+    dem, grid = flat_grid(spark)
+    sites = spark.createDataFrame([("A", "digi", 15, 15, 1000.0), ("B", "igate", 15, 15, 1000.0), ("C", "digi", 15, 15, 1000.0)], "site string, type string, r int, c int, site_elev double")
+    g = rays.Geometry(36, 40, 9.0, 9000.0)
+    jobs = area.one_profile(sites, g, 125.0, 144.39).unionByName(area.one_profile(sites, g, 0.0, 144.39, floor_db=12.0, max_db=10.0).withColumn("profile_id", F.lit(1).cast("long")))
+    cells = area.scenario_grids(sites, jobs, grid)
+    n = {(r.site, r.profile_id): r["count"] for r in cells.groupBy("site", "profile_id").count().collect()}
+    assert set(n) == {("A", 0), ("B", 0), ("C", 0)}
+    told = {(r.site, r.profile_id): (r.cells, r.best is None, r.total == 0) for r in area.scenario_stats(sites, jobs, grid).collect()}
+    assert told == {(s, 0): (n[s, 0], False, False) for s in "ABC"} | {(s, 1): (0, True, True) for s in "ABC"}
+    assert area.scenario_stats(sites, jobs.limit(0), grid).count() == 0
+    rounded = {tuple(r) for r in area.scenario_grids(sites, jobs, grid, digits=6).collect()}
+    assert rounded == {tuple(r) for r in cells.withColumn("margin_db", F.round("margin_db", 6)).collect()} and len(rounded) == sum(n.values())
+
+
 def _over(spark, tmp_path, n):
     """The tables that the views need, events n times as long."""
     from ridgecast.fixtures import VIEWS
